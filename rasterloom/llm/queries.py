@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, packing, piece_bpe
+from . import jaccard, langid, media, packing, piece_bpe
 from .common import table
 
 
@@ -36,8 +36,12 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op5_packing, op6_media_tiff, op7_piece_bpe)}
+    return {f.__name__: f for f in (op2_langid, op5_packing, op6_media_tiff, op7_piece_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
