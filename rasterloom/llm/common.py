@@ -40,9 +40,18 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark removes a query's shuffle files when it has ended, instead of when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: cuts lineage, survives lost executors."""
-    df.write.parquet(path := scratch_path(spark, what))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path := scratch_path(spark, what))
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
