@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Remembered units; beyond it the memory is emptied and filled anew.
-MOST_UNITS = 400_000
+#: Remembered units of each of two generations: when the younger is full it becomes the older, whose units move back when met.
+MOST_UNITS = 300_000
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -127,7 +128,7 @@ class PieceModel:
         """Whether merging the joined characters of two pieces leaves them apart as they are."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= MOST_UNITS:
+            if len(self.pairs) >= 2 * MOST_UNITS:
                 self.pairs.clear()
             found = self.pairs[left, right] = left[-1] + right[0] not in self.bonds or self.merged(left + right) == [left, right]
         return found
@@ -208,17 +209,21 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Units(dict):
-    """Remembers the ids of units; at most MOST_UNITS."""
+    """Remembers the ids of units, twice MOST_UNITS at most."""
 
     def __init__(self, model: PieceModel, make=None):
         super().__init__()
-        self.model, self.make = model, make
+        self.model, self.make, self.older = model, make, {}
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
+        found = self.older.get(unit)
+        if found is None:
+            m = self.model
+            found = self.make(unit) if self.make else tuple([i for p in m.backtrack(unit) for i in m.ids(p)])
         if len(self) >= MOST_UNITS:
+            self.older = dict(self)
             self.clear()
-        m = self.model
-        found = self[unit] = self.make(unit) if self.make else tuple(i for p in m.backtrack(unit) for i in m.ids(p))
+        self[unit] = found
         return found
 
 
@@ -235,7 +240,7 @@ def model(path: str) -> PieceModel:
 def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of each text (null: no ids) as array<int>; a column of that name is replaced."""
     kept = [c for c in df.columns if c != out]
-    schema = df.select(*kept).schema.add(out, "array<int>")
+    schema = df.select(*kept).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
