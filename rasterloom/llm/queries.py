@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, lines, media, packing, piece_bpe
+from . import jaccard, langid, lines, media, packing, piece_bpe, suffix
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op4_line_dedup, op5_packing, op6_media_tiff, op7_piece_bpe, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_langid, op3_suffix_dedup, op4_line_dedup, op5_packing, op6_media_tiff, op7_piece_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
