@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, knn, langid, lines, media, packing, piece_bpe, suffix
+from . import jaccard, knn, langid, lines, lm, media, packing, piece_bpe, suffix
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_report(table(spark, sf_dir, "documents"))
+
+
 def op9_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -54,7 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_suffix_dedup, op4_line_dedup, op5_packing, op6_media_tiff, op7_piece_bpe, op9_knn, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_langid, op3_suffix_dedup, op4_line_dedup, op5_packing, op6_media_tiff, op7_piece_bpe, op8_lm_score, op9_knn, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
