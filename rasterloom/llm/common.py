@@ -11,14 +11,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are taken in slices of about so many bytes, so that numpy's intermediate arrays stay small.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Spark sends Arrow batches of about so many bytes to Python, however long the rows are.
+BATCH_BYTES = 4 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark (the folder may be in a store that only Spark reads)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session's owner has set a bound."""
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -46,6 +56,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: cuts lineage, survives lost executors."""
+    small_batches(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
