@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, knn, langid, lines, lm, media, packing, piece_bpe, suffix
+from . import idcoder, jaccard, knn, langid, lines, lm, media, packing, piece_bpe, suffix
 from .common import table
 
 
@@ -21,6 +21,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcoder.id_report(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_suffix_dedup, op4_line_dedup, op5_packing, op6_media_tiff, op7_piece_bpe, op8_lm_score, op9_knn, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_id_files, op2_langid, op3_suffix_dedup, op4_line_dedup, op5_packing, op6_media_tiff, op7_piece_bpe, op8_lm_score, op9_knn, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
