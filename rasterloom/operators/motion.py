@@ -111,7 +111,7 @@ def predicted_vector(v: np.ndarray, by: int, bx: int) -> int:
 
 
 def displacement_costs(samples: DataFrame, reach: int, block: int) -> DataFrame:
-    """Block costs of every whole displacement against the frame before: (media_id, frame_no, by, bx, dy, dx, cost).
+    """Block costs of every whole displacement against the frame before: (media_id, frame_no, brow, bcol, dy, dx, cost).
 
     Each sample meets (2 reach + 1)^2 reference samples by an equi-join on clamped coordinates; for small rasters and
     checks. Production search runs in numpy, one task per frame pair.
@@ -124,42 +124,42 @@ def displacement_costs(samples: DataFrame, reach: int, block: int) -> DataFrame:
     cur = cur.selectExpr("media_id", "frame_no", "y", "x", "v", "dy", "dx", "frame_no - 1 AS rf", "greatest(0, least(ym, y + dy)) AS ry", "greatest(0, least(xm, x + dx)) AS rx")
     ref = samples.selectExpr("media_id AS m", "frame_no AS f", "y AS yy", "x AS xx", "v AS r")
     met = cur.join(ref, F.expr("media_id = m AND rf = f AND ry = yy AND rx = xx"))
-    return met.groupBy("media_id", "frame_no", F.expr(f"CAST(y div {block} AS INT)").alias("by"), F.expr(f"CAST(x div {block} AS INT)").alias("bx"), "dy", "dx").agg(F.sum(F.expr(S.residual_cost("v", "r"))).cast("long").alias("cost"))
+    return met.groupBy("media_id", "frame_no", F.expr(f"CAST(y div {block} AS INT)").alias("brow"), F.expr(f"CAST(x div {block} AS INT)").alias("bcol"), "dy", "dx").agg(F.sum(F.expr(S.residual_cost("v", "r"))).cast("long").alias("cost"))
 
 
 def best_displacement(costs: DataFrame) -> DataFrame:
     """The cheapest vector of each block; among equals the shortest, then the first in raster order."""
     rank = F.struct("cost", F.expr("dy * dy + dx * dx").alias("size"), "dy", "dx")
-    return costs.groupBy("media_id", "frame_no", "by", "bx").agg(F.min(rank).alias("b")).select("media_id", "frame_no", "by", "bx", F.col("b.dy").alias("dy"), F.col("b.dx").alias("dx"), F.col("b.cost").alias("cost"))
+    return costs.groupBy("media_id", "frame_no", "brow", "bcol").agg(F.min(rank).alias("b")).select("media_id", "frame_no", "brow", "bcol", F.col("b.dy").alias("dy"), F.col("b.dx").alias("dx"), F.col("b.cost").alias("cost"))
 
 
 def spatial_costs(residuals: DataFrame, block: int) -> DataFrame:
     """Block costs of the residuals of stencils.med_residuals."""
-    return residuals.groupBy("media_id", "frame_no", F.expr(f"CAST(y div {block} AS INT)").alias("by"), F.expr(f"CAST(x div {block} AS INT)").alias("bx")).agg(F.sum(F.expr(S.residual_cost("v", "pred"))).cast("long").alias("spatial"))
+    return residuals.groupBy("media_id", "frame_no", F.expr(f"CAST(y div {block} AS INT)").alias("brow"), F.expr(f"CAST(x div {block} AS INT)").alias("bcol")).agg(F.sum(F.expr(S.residual_cost("v", "pred"))).cast("long").alias("spatial"))
 
 
 def block_modes(best: DataFrame, spatial: DataFrame, penalty: int = MOVE_PENALTY) -> DataFrame:
     """mode, dy, dx and both costs of each block."""
-    both = best.join(spatial, ["media_id", "frame_no", "by", "bx"])
+    both = best.join(spatial, ["media_id", "frame_no", "brow", "bcol"])
     both = both.withColumn("mode", F.expr(f"CASE WHEN cost + CASE WHEN dy <> 0 OR dx <> 0 THEN {penalty} ELSE 0 END < spatial THEN 1 ELSE 0 END"))
-    return both.selectExpr("media_id", "frame_no", "by", "bx", "mode", "mode * dy AS dy", "mode * dx AS dx", "cost AS temporal", "spatial")
+    return both.selectExpr("media_id", "frame_no", "brow", "bcol", "mode", "mode * dy AS dy", "mode * dx AS dx", "cost AS temporal", "spatial")
 
 
 def vector_predictions(blocks: DataFrame) -> DataFrame:
     """blocks with pdy and pdx, the median prediction of its vector from blocks coded before."""
-    row = Window.partitionBy("media_id", "frame_no", "by").orderBy("bx")
-    column = Window.partitionBy("media_id", "frame_no", "bx").orderBy("by")
+    row = Window.partitionBy("media_id", "frame_no", "brow").orderBy("bcol")
+    column = Window.partitionBy("media_id", "frame_no", "bcol").orderBy("brow")
     out = blocks
     for v in ("dy", "dx"):
         out = out.withColumn(f"_u{v}", F.lag(v).over(column))
-    last = F.lead("bx").over(row).isNull()
+    last = F.lead("bcol").over(row).isNull()
     for v in ("dy", "dx"):
         left = F.coalesce(F.lag(v).over(row), F.lit(0))
         up = F.col(f"_u{v}")
         corner = F.when(last, F.coalesce(F.lag(f"_u{v}").over(row), F.lit(0))).otherwise(F.lead(f"_u{v}").over(row))
         out = out.withColumns({f"_l{v}": left, f"_c{v}": corner})
         median = F.col(f"_l{v}") + up + F.col(f"_c{v}") - F.greatest(f"_l{v}", f"_u{v}", f"_c{v}") - F.least(f"_l{v}", f"_u{v}", f"_c{v}")
-        out = out.withColumn(f"p{v}", F.when(F.col("by") == 0, F.col(f"_l{v}")).otherwise(median))
+        out = out.withColumn(f"p{v}", F.when(F.col("brow") == 0, F.col(f"_l{v}")).otherwise(median))
     return out.select(*blocks.columns, "pdy", "pdx")
 
 
@@ -168,7 +168,7 @@ def moved_samples(samples: DataFrame, blocks: DataFrame, block: int) -> DataFram
     from .stencils import half_sample_planes
 
     size = samples.groupBy("media_id").agg(F.max("y").alias("ym"), F.max("x").alias("xm"))
-    at = samples.withColumns({"by": F.expr(f"CAST(y div {block} AS INT)"), "bx": F.expr(f"CAST(x div {block} AS INT)")}).join(blocks.select("media_id", "frame_no", "by", "bx", "dy", "dx"), ["media_id", "frame_no", "by", "bx"]).join(F.broadcast(size), "media_id")
+    at = samples.withColumns({"brow": F.expr(f"CAST(y div {block} AS INT)"), "bcol": F.expr(f"CAST(x div {block} AS INT)")}).join(blocks.select("media_id", "frame_no", "brow", "bcol", "dy", "dx"), ["media_id", "frame_no", "brow", "bcol"]).join(F.broadcast(size), "media_id")
     at = at.selectExpr("media_id", "frame_no", "plane_no", "y", "x", "v", "frame_no - 1 AS rf", "2 * (dy & 1) + (dx & 1) AS ph", "greatest(0, least(ym, y + (dy >> 1))) AS ry", "greatest(0, least(xm, x + (dx >> 1))) AS rx")
     ref = half_sample_planes(samples).selectExpr("media_id AS m", "frame_no AS f", "plane_no AS p", "y AS yy", "x AS xx", "phase", "v AS moved")
     return at.join(ref, F.expr("media_id = m AND rf = f AND plane_no = p AND ph = phase AND ry = yy AND rx = xx")).select("media_id", "frame_no", "plane_no", "y", "x", "v", "moved")
