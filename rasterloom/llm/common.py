@@ -54,16 +54,23 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: cuts lineage, survives lost executors."""
     small_batches(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path := scratch_path(spark, what))
+        df.write.option("compression", compression).parquet(path := scratch_path(spark, what))
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Removes a table that stored() made, once nothing reads it any more."""
+    remove(table.sparkSession, table._scratch)
 
 
 def remove(spark: SparkSession, path: str) -> None:
