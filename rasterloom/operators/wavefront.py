@@ -7,8 +7,8 @@ together share one). Encoder and decoder run the same steps; only where a decisi
 a decision depends on is integer arithmetic.
 
 A sample is predicted by a blend of predictors weighted by their errors at the neighbours, refined by a normalized
-least-mean-squares combiner, or replaced where an earlier place with the same neighbours has been right often enough,
-or by motion compensation. The residual is coded as a zero flag, a sign, the bit length of its magnitude in unary, two
+least-mean-squares combiner, or replaced by the sample of an earlier place with the same neighbours where such guesses
+were right at the neighbours, or by motion compensation. The residual is coded as a zero flag, a sign, the bit length of its magnitude in unary, two
 modelled bits below the leading one, and plain bits. Each modelled decision mixes several contexts' log odds by gated
 weights and refines the result by an adaptive map.
 """
@@ -198,7 +198,7 @@ def code_plane(bank: Bank, kind: int, height: int, width: int, source: np.ndarra
     sizes = np.zeros((height + pad, width + 2 * pad), np.int64)
     signs = np.zeros_like(sizes)
     misses = np.zeros((4, height + pad, width + 2 * pad), np.int64)
-    matches, trust = np.full(1 << MATCH_BITS, -1, np.int64), np.zeros(1 << MATCH_BITS, np.int64)
+    matches, runs = np.full(1 << MATCH_BITS, -1, np.int64), np.zeros_like(sizes)
     coders = who.n
     who.reserve(16 + 2 * width * (-(-height // coders)))
     if side is not None and side.shape != (height, width):
@@ -245,8 +245,8 @@ def code_plane(bank: Bank, kind: int, height: int, width: int, source: np.ndarra
         own_pred = pred
         # an earlier place with the same neighbours
         place = (w * 0x9E3779B1 + n * 0x85EBCA77 + nw * 0xC2B2AE3D + ne * 0x27D4EB2F + ww * 0x165667B1 + nn * 0x2545F491 >> 13) & (1 << MATCH_BITS) - 1
-        guess, sure = matches[place], trust[place]
-        sure = np.where(guess < 0, 0, sure)
+        guess = matches[place]
+        sure = np.where(guess < 0, 0, np.minimum(at(runs, 0, 1) + at(runs, 1, 0), 15))  # how often such guesses were right just before
         pred = np.where(sure >= MATCH_TRUST, guess, pred)
         kinds = np.full(len(y), kind)
         if moved is not None:
@@ -327,6 +327,6 @@ def code_plane(bank: Bank, kind: int, height: int, width: int, source: np.ndarra
         share = np.bincount(context, minlength=len(bank.lms))
         touched = share > 0
         bank.lms[touched] = np.clip(bank.lms[touched] + sums[touched] // (share[touched] + 7)[:, None], -(1 << 19), 1 << 19)
-        trust[place] = np.where(guess == value, np.minimum(sure + 1, 15), 0)
+        runs[r, c] = np.where(guess == value, np.minimum(at(runs, 0, 1) + 1, 15), 0)
         matches[place] = value
     return rows[pad:, pad : pad + width].astype(np.uint8), sizes[pad:, pad : pad + width]
