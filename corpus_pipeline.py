@@ -20,6 +20,12 @@ LEAST_SCORE = 0.3
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns that an operator would replace renamed, and their names by the new ones."""
+    there = {f"_in_{c}": c for c in docs.columns if c in names}
+    return docs.withColumnsRenamed({c: n for n, c in there.items()}), there
+
+
 def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
     """docs with a new text and its length, in the columns of the stage's input."""
     docs = docs.withColumn("text", text)
@@ -32,13 +38,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a likely language; learns from the labelled documents."""
     common.small_batches(spark)
     net = langid.fit(docs.where(langid.fold() != 1))
-    return langid.predict(docs, net).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    columns = docs.columns
+    docs, there = _aside(docs, ("lang_pred", "score"))
+    out = langid.predict(docs, net).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return out.drop("lang_pred", "score").withColumnsRenamed(there).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each group of similar lines keeps its first; documents without any line left go."""
-    out = lines.dedup_lines(docs)
-    return _with_text(out.where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_lines") == 0)), docs.columns, F.col("text"))
+    columns = docs.columns
+    docs, there = _aside(docs, ("n_lines", "n_removed"))
+    out = lines.dedup_lines(docs).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
+    return _with_text(out.drop("n_lines", "n_removed").withColumnsRenamed(there), columns, F.col("text"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +60,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that a smaller doc_id has; documents that lose all they had go."""
+    columns = docs.columns
+    docs, there = _aside(docs, ("kept", "removed", "n_bytes"))
     out = suffix.dedup_suffixes(docs)
     left = out.where((F.size("removed") == 0) | (F.octet_length("kept") > 0))
     # A cut inside a character leaves bytes that aren't text; they become replacement characters.
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    return _with_text(left, docs.columns, text)
+    left = left.withColumn("text", text).drop("kept", "removed", "n_bytes").withColumnsRenamed(there)
+    return _with_text(left, columns, F.col("text"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
