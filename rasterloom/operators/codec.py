@@ -22,7 +22,7 @@ from .coders import BitDecoder, BitEncoder, Reader, varint
 from .wavefront import Bank, RowCoders, code_plane, coders_of
 
 IMAGE, CLIP = b"RLI1", b"RLV1"
-COLOUR = 1
+COLOUR, TURNED = 1, 2  # flags; a tall image is coded on its side, which takes fewer steps
 MOST_SAMPLES = 1 << 31
 
 
@@ -94,10 +94,13 @@ def encode_image(channels: list[np.ndarray], statistics: dict | None = None) ->
         changed = forward_colour(channels[:3])
         if med_entropy(changed) <= med_entropy(channels[:3]):
             planes, flags = changed + channels[3:], COLOUR
+    if height > width:
+        planes, flags = [np.ascontiguousarray(p.T) for p in planes], flags | TURNED
     out = [IMAGE, varint(width), varint(height), bytes((len(channels), flags))]
-    bank, side, coders = Bank(), None, RowCoders(coders_of(height, width))
+    rows, columns = planes[0].shape
+    bank, side, coders = Bank(), None, RowCoders(coders_of(rows, columns))
     for k, plane in enumerate(planes):
-        _, sizes = code_plane(bank, k, height, width, plane, coders, side=side if k in (1, 2) else None)
+        _, sizes = code_plane(bank, k, rows, columns, plane, coders, side=side if k in (1, 2) else None)
         side = sizes if k == 0 else side
     out.append(_put_streams(coders.finish()))
     if statistics is not None:
@@ -111,12 +114,14 @@ def decode_image(data: bytes) -> list[np.ndarray]:
     if not 1 <= channels <= 4 or not 0 < width * height < MOST_SAMPLES:
         raise ValueError("the header is damaged")
     bank, side, planes = Bank(), None, []
-    n = coders_of(height, width)
+    rows, columns = (width, height) if flags & TURNED else (height, width)
+    n = coders_of(rows, columns)
     coders = RowCoders(n, _get_streams(r, n))
     for k in range(channels):
-        plane, sizes = code_plane(bank, k, height, width, None, coders, side=side if k in (1, 2) else None)
+        plane, sizes = code_plane(bank, k, rows, columns, None, coders, side=side if k in (1, 2) else None)
         side = sizes if k == 0 else side
         planes.append(plane)
+    planes = [np.ascontiguousarray(p.T) for p in planes] if flags & TURNED else planes
     return inverse_colour(planes[:3]) + planes[3:] if flags & COLOUR else planes
 
 
