@@ -6,13 +6,17 @@
 2.  A second pass makes each document's set: its size, a digest of the set (equal sets form a class, and the class's
     smallest doc_id stands for it), a bitmap signature, and the prefix of the set in that order: two sets of n shingles
     that are similar enough share one of their first n - ceil(t n) + 1 shingles, so meeting there loses nothing.
-3.  For each prefix shingle the smallest id is the leader; every other member is paired with it only (no more pairs
-    than prefix rows). Verified pairs are links; their components are found by distributed union-find.
+3.  Shingles that the same documents have in their prefixes count as one. Each shingle's smallest id leads; every
+    document is paired with the one leader that most of its shingles have, for ROUNDS rounds: no more pairs than
+    documents. Verified pairs are links; their components are found by distributed union-find after each round.
 4.  Where a prefix shingle still holds members of several components, they are compared in tiles: rows sorted by
     size, in size bands (a band and the one below), cut into blocks of TILE rows; pairs of one component are left out,
-    since a further link between them changes no component. A tile's pairs pass the size bound, then the bit-count
+    since a further link between them changes no component. A first round of tiles tries the likeliest pair of each
+    two components, a last one all that are still apart. A tile's pairs pass the size bound, then the bit-count
     bound of the bitmaps, which limits the overlap from above, then the exact intersection of the sorted arrays.
 
+Joins with wide rows are merge joins at every size, so that a small input takes no other way than a large one.
+
 Defined results: null or empty text, or a text without words: an empty set, linked with nothing; a text with fewer
 words than a shingle is one shingle; equal texts have equal sets and link; an empty table gives no rows. doc_id is
 taken as unique; repeated rows of one doc_id count once.
@@ -33,8 +37,10 @@ from .components import connected_components
 from .shingles import shingle_sets
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-SKETCH, CHUNK = 1 << 20, 1 << 14
-TILE = 2048
+SKETCH, CHUNK = 1 << 24, 1 << 16
+TILE, ROUNDS = 2048, 2
+#: A tile's sets hold about so many shingles at most; a leader meets so many members in one task.
+TILE_SHINGLES, STAR = 1 << 20, 256
 #: Bits of the bitmap signatures; a signature of 2**k bits folds to fewer by or-ing its halves.
 LEAST_BITS, MOST_BITS = 64, 2048
 
@@ -44,39 +50,39 @@ def _sets(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sketch(docs: DataFrame) -> np.ndarray:
-    """How many (document, shingle) pairs fall into each of SKETCH buckets. SKETCH numbers, whatever the input."""
+    """How many (document, shingle) pairs fall into each of SKETCH buckets, 255 at most: SKETCH bytes, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint32)  # a document counts a shingle once, so this can't run over
         for batch in batches:
             for part in common.slices(batch, "text"):
                 hashes, _ = _sets(part, 0)
-                total += np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            chunks = range(0, SKETCH, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array([s // CHUNK for s in chunks], pa.int32()), pa.array([total[s : s + CHUNK].astype("<u4").tobytes() for s in chunks], pa.binary())], names=["chunk", "counts"])
+                np.add.at(total, (hashes & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+        for s in range(0, SKETCH, CHUNK):
+            if (part := total[s : s + CHUNK]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([s // CHUNK], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+                more = np.frombuffer(raw, np.uint8).astype(np.uint16)
+                sums[k] = np.minimum(sums[k] + more, 255) if k in sums else more
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    few = max(1, min(16, SKETCH // CHUNK))
-    rows = docs.select("text").mapInArrow(count, schema).repartition(few, "chunk").mapInArrow(add, schema).collect()
-    sketch = np.zeros(SKETCH, np.uint32)
+    rows = docs.select("text").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(add, schema).collect()  # SKETCH bytes
+    sketch = np.zeros(SKETCH, np.uint8)
     for r in rows:
-        sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<u4")
+        sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
     return sketch
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A signature of the set: one bit per hash, about two bits for each member, 2**k bits in all."""
+    """A signature of the set: one bit per hash, about four bits for each member, 2**k bits in all."""
     bits = LEAST_BITS
-    while bits < MOST_BITS and bits < 2 * len(hashes):
+    while bits < MOST_BITS and bits < 4 * len(hashes):
         bits *= 2
     marks = np.zeros(bits, np.uint8)
     marks[(hashes >> np.uint64(40)).astype(np.int64) & (bits - 1)] = 1
@@ -89,7 +95,7 @@ def prefix_length(sizes: np.ndarray) -> np.ndarray:
 
 def _profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """doc_id, n, key (digest of the set), bits (signature), prefix (rarest shingles first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.ceil(np.log2(sketch.astype(np.float64) + 1) * 4).astype(np.uint8))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
@@ -136,30 +142,37 @@ def needed(na, nb):
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, bits_a, bits_b) that the size and bit-count bounds leave, as (a, b)."""
+    """Pairs (tile, a, b, na, nb, bits_a, bits_b) that the size and bit-count bounds leave, as (tile, a, b)."""
     for batch in batches:
         c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
         na, nb = (c[x].to_numpy(zero_copy_only=False) for x in ("na", "nb"))
         least = needed(na, nb)
         fits = np.flatnonzero(np.minimum(na, nb) >= least)
         keep = [i for i in fits.tolist() if overlap_bound(c["bits_a"][i].as_py(), int(na[i]), c["bits_b"][i].as_py(), int(nb[i])) >= least[i]]
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        yield batch.select(["tile", "a", "b"]).take(pa.array(keep, pa.int64()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, set_a, set_b) whose sorted arrays share enough."""
+    """Rows (tile, kind, a, b, members) sorted by tile and kind: sets (kind 0) come before pairs (kind 1), which stay if
+    their sorted arrays share enough."""
+    tile, sets = None, {}
     for batch in batches:
-        c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-        keep = []
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(c[s][i].as_buffer(), np.uint64) for s in ("set_a", "set_b"))
+        out_a, out_b = [], []
+        members = batch.column(4)
+        for k, (t, kind, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+            if t != tile:
+                tile, sets = t, {}
+            if not kind:
+                sets[a] = np.frombuffer(members[k].as_buffer().to_pybytes(), np.uint64)
+                continue
+            x, y = sets[a], sets[b]
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
-            shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if shared >= needed(len(x), len(y)):
-                keep.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            if int((y[np.minimum(at, len(y) - 1)] == x).sum()) >= needed(len(x), len(y)):
+                out_a.append(a)
+                out_b.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
 def _set_table(docs: DataFrame) -> DataFrame:
@@ -175,27 +188,53 @@ def _set_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, members binary")
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents that link: size and bit-count bounds, then the exact intersection. Stored."""
-    spark = docs.sparkSession
+def bounded_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs (tile, a, b) that the size and bit-count bounds leave."""
     small = profiles.select("doc_id", "n", "bits")
     side = lambda x: small.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
-    left = common.stored(spark, left.mapInArrow(_bounded, "a long, b long"), "bounded")
-    wanted = left.select(F.col("a").alias("doc_id")).unionAll(left.select(F.col("b").alias("doc_id"))).distinct()
-    sets = common.stored(spark, _set_table(docs.join(wanted, "doc_id", "left_semi")), "sets")
-    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"set_{x}"))
-    both = left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
-    return common.stored(spark, both.mapInArrow(_verified, "a long, b long"), "links")
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("tile", "a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded, "tile long, a long, b long")
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (tile, a, b) that link, by exact intersection. Stored. A tile gets each of its sets once."""
+    need = pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge").join(sets, "doc_id")
+    rows = need.selectExpr("tile", "0 AS kind", "doc_id AS a", "CAST(NULL AS BIGINT) AS b", "members").unionAll(pairs.selectExpr("tile", "1 AS kind", "a", "b", "CAST(NULL AS BINARY) AS members"))
+    rows = rows.repartition("tile").sortWithinPartitions("tile", "kind")
+    return common.stored(pairs.sparkSession, rows.mapInArrow(_verified, "a long, b long"), "links")
+
 
+def bits_fit(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row pairs (i, j) that the bit-count bound leaves, and by how much; signatures of one size are taken together."""
+    size = t["size"]
+    spare = np.full(len(i), -1, np.int64)
+    for a, b in {*zip(size[i].tolist(), size[j].tolist())} if len(i) else ():
+        k = np.flatnonzero((size[i] == a) & (size[j] == b))
+        x, y = (_stacked(t["bits"], r[k], own, min(a, b)) for r, own in ((i, a), (j, b)))
+        na, nb = t["n"][i[k]], t["n"][j[k]]
+        bound = np.minimum(na - np.bitwise_count(x & ~y).sum(1), nb - np.bitwise_count(y & ~x).sum(1))
+        spare[k] = bound - needed(na, nb)
+    keep = spare >= 0
+    return i[keep], j[keep], spare[keep]
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of tiles: rows (key, band, ti, tj, n, doc, comp, block, home) sorted by tile and n."""
+
+def _stacked(bits: np.ndarray, rows: np.ndarray, own: int, size: int) -> np.ndarray:
+    out = np.frombuffer(b"".join(bits[rows]), np.uint8).reshape(len(rows), own)
+    while out.shape[1] > size:
+        half = out.shape[1] // 2
+        out = out[:, :half] | out[:, half:]
+    return out
+
+
+def _tile_pairs(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of tiles that the bounds leave: rows (key, band, ti, tj, tile, n, doc, comp, block, home, bits) sorted by tile and n.
+
+    best: of each two components, only the pair with the most to spare.
+    """
 
     def pairs(t: dict[str, np.ndarray]) -> pa.RecordBatch:
         rows = len(t["n"])
         same = np.ones(rows, bool)
-        out_a, out_b = [], []
+        out_a, out_b, out_s = [], [], []
         live = np.arange(rows)
         step = 1
         group = np.cumsum(np.concatenate([[0], (np.diff(t["key"]) != 0) | (np.diff(t["band"]) != 0) | (np.diff(t["ti"]) != 0) | (np.diff(t["tj"]) != 0)])) if rows else same
@@ -205,19 +244,34 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fits = (group[live] == group[other]) & (t["n"][live] * DENOMINATOR >= t["n"][other] * NUMERATOR)
             live, other = live[fits], other[fits]
             ok = (t["comp"][live] != t["comp"][other]) & (t["home"][live] | t["home"][other]) & ((t["ti"][live] == t["tj"][live]) | (t["block"][live] != t["block"][other]))
-            out_a.append(t["doc"][live[ok]])
-            out_b.append(t["doc"][other[ok]])
+            x, y, spare = bits_fit(t, live[ok], other[ok])
+            out_a.append(x)
+            out_b.append(y)
+            out_s.append(spare)
             step += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
-
-    names = ["key", "band", "ti", "tj", "n", "doc", "comp", "block", "home"]
+        a, b, spare = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, out_s))
+        if best and len(a):
+            c, d = t["comp"][a], t["comp"][b]
+            order = np.lexsort((-spare, np.maximum(c, d), np.minimum(c, d)))
+            pair = np.stack([np.minimum(c, d), np.maximum(c, d)])[:, order]
+            new = np.ones(len(order), bool)
+            new[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
+            a, b = a[order[new]], b[order[new]]
+        where, a, b = t["tile"][a], t["doc"][a], t["doc"][b]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((where, high, low))
+        where, low, high = where[order], low[order], high[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(x[new], pa.int64()) for x in (where, low, high)], names=["tile", "a", "b"])
+
+    names = ["key", "band", "ti", "tj", "tile", "n", "doc", "comp", "block", "home", "bits"]
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
         t = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)}
+        t["size"] = common.lengths(batch.column(len(names) - 1))
         if held is not None:
-            t = {n: np.concatenate([held[n], t[n]]) for n in names}
+            t = {n: np.concatenate([held[n], t[n]]) for n in t}
         tile = np.stack([t[n] for n in names[:4]])
         change = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) if tile.shape[1] else []
         cut = int(change[-1]) + 1 if len(change) else 0  # the last tile may go on in the next batch
@@ -228,37 +282,70 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
-def tile_candidates(members: DataFrame) -> DataFrame:
-    """(a, b) of rows (key, doc, n, comp) that share a key, lie in the same or the next size band, in other components."""
+def tile_candidates(members: DataFrame, best: bool = False) -> DataFrame:
+    """(tile, a, b) of rows (key, doc, n, comp, bits) that share a key, lie in the same or the next size band, in other components."""
     banded = members.withColumn("own", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DENOMINATOR / NUMERATOR)))).cast("int"))
     rows = banded.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band"))
-    sizes = rows.groupBy("key", "band").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("any_home")).where("any_home and c0 <> c1").select("key", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("blocks"))
+    sizes = rows.groupBy("key", "band").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("any_home")).where("any_home and c0 <> c1").select("key", "band", F.ceil(F.greatest(F.col("rows") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
     rows = rows.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "band", F.least("block", "j").cast("int").alias("ti"), F.greatest("block", "j").cast("int").alias("tj"), "n", "doc", "comp", "block", "home")
+    rows = rows.select("key", "band", F.least("block", "j").cast("int").alias("ti"), F.greatest("block", "j").cast("int").alias("tj"), "n", "doc", "comp", "block", "home", "bits")
     tile = ["key", "band", "ti", "tj"]
-    return rows.repartition(*tile).sortWithinPartitions(*tile, "n", "doc").mapInArrow(_tile_pairs, "a long, b long").distinct()
+    rows = rows.withColumn("tile", F.xxhash64(*tile)).select(*tile, "tile", "n", "doc", "comp", "block", "home", "bits")
+    found = rows.repartition(*tile).sortWithinPartitions(*tile, "n", "doc").mapInArrow(lambda batches: _tile_pairs(batches, best), "tile long, a long, b long")
+    return found.groupBy("a", "b").agg(F.min("tile").alias("tile")).select("tile", "a", "b")
 
 
 def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profiles (doc_id, n, rep), links between class representatives (a, b), and components (node, component)."""
+    """Profiles (doc_id, n, rep), links between class representatives (a, b), and components (node, component).
+
+    The links are those that were verified: they join every two linked texts in one component.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     profiles = common.stored(spark, _profiles(docs, shingle_sketch(docs)), "profiles")
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = common.stored(spark, classes.select(F.col("rep").alias("doc_id"), "key"), "classes")
-    spread = profiles.where("n > 0").join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", F.explode("prefix").alias("key"))
+    spread = profiles.where("n > 0").join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("key"))
     by_key = Window.partitionBy("key")
-    met = spread.select("key", F.col("doc_id").alias("doc"), "n", F.min("doc_id").over(by_key).alias("first"), F.max("doc_id").over(by_key).alias("last")).where("first <> last")
-    met = common.stored(spark, met.select("key", "doc", "n", "first"), "met")
-    star = met.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    known = verified_links(docs, star, profiles)
-    labels = connected_components(known)
-    at = met.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-    mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    rest = tile_candidates(at.join(mixed, "key", "left_semi")).join(star, ["a", "b"], "left_anti")
-    links = known.unionAll(verified_links(docs, rest, profiles)).distinct()
-    return profiles.join(reps.select("key", F.col("doc_id").alias("rep")), "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), links, connected_components(links)
+    x1, x2 = F.xxhash64("doc_id"), F.xxhash64(F.lit(1), "doc_id")
+    met = spread.select("key", F.col("doc_id").alias("doc"), F.min("doc_id").over(by_key).alias("first"), F.max("doc_id").over(by_key).alias("last"), F.bit_xor(x1).over(by_key).alias("x1"), F.bit_xor(x2).over(by_key).alias("x2")).where("first <> last")
+    met = common.stored(spark, met.drop("last"), "met")
+    # Shingles with the same members lead to the same pairs: one of them stays, with their number.
+    alike = met.where("doc = first").groupBy("first", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("w")).select("key", "w")
+    every = met
+    met = common.stored(spark, every.join(alike, "key").select("key", "doc", "w"), "alike")
+    common.drop(every)
+    wanted = met.select(F.col("doc").alias("doc_id")).distinct()
+    sets = common.stored(spark, _set_table(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
+    links = spark.createDataFrame([], "a long, b long")
+    members = first_members = met.withColumn("comp", F.col("doc"))
+    tried = links
+    for step in ("star",) * ROUNDS + ("best", "all"):
+        if step == "star":
+            first = members.groupBy("key").agg(F.min("doc").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "first")
+            led = members.join(first, "key").where("doc <> first").groupBy("first", "doc").agg(F.sum("w").alias("w"))
+            led = led.join(tried.select(F.col("a").alias("first"), F.col("b").alias("doc")), ["first", "doc"], "left_anti")
+            pairs = led.groupBy("doc").agg(F.min(F.struct((-F.col("w")).alias("m"), "first")).alias("best")).select(F.col("best.first").alias("a"), F.col("doc").alias("b"))
+            pairs = common.stored(spark, pairs, "star")
+            tried = tried.unionAll(pairs)
+            blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("blocks"))
+            pairs = bounded_pairs(pairs.join(blocks, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))).alias("tile"), "a", "b"), profiles)
+        else:
+            mixed = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+            rest = members.join(mixed, "key", "left_semi").join(profiles.select(F.col("doc_id").alias("doc"), "n", "bits").hint("merge"), "doc")
+            pairs = tile_candidates(rest.select("key", "doc", "n", "comp", "bits"), step == "best").join(tried, ["a", "b"], "left_anti").select("tile", "a", "b")
+        pairs = common.stored(spark, pairs, "candidates")
+        if step != "star":
+            tried = tried.unionAll(pairs.select("a", "b"))
+        links = links.unionAll(verified_links(pairs, sets))
+        labels = connected_components(links)
+        if step != "all":
+            before = members
+            members = common.stored(spark, met.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "w", F.coalesce("component", "doc").alias("comp")), "members")
+            if before is not first_members:
+                common.drop(before)
+    return profiles.join(reps.select("key", F.col("doc_id").alias("rep")), "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), links, labels
 
 
 def component_table(docs: DataFrame) -> DataFrame:
