@@ -272,7 +272,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocab
             documents, starts, total = documents[len(now) :], [s - take for s in starts[len(now) :]], len(ids) - take
 
         for batch in batches:
-            for piece in common.slices(batch, "text"):
+            for piece in common.slices(batch, "text", tokens.SLICE):
                 for doc, raw in zip(piece.column(0).to_pylist(), of.encode(piece.column(1).to_pylist())):
                     n = len(raw) // 4 + 1
                     documents.append((doc, n))

@@ -166,15 +166,15 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, remember: int = tokens.MOST) -> DataFrame:
     """Each text's ids and an end id, cut into pieces of `capacity` ids (the first may be shorter)."""
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = tokens.tokenizer(path)
+        of = tokens.tokenizer(path, remember)
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", tokens.SLICE):
                 rows, ids = [], []
                 for doc, raw in zip(part.column(0).to_pylist(), of.encode(part.column(1).to_pylist())):
                     raw += end
@@ -196,7 +196,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CA
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, remember: int = tokens.MOST) -> DataFrame:
     """Tokenizes, cuts and packs documents: one row per piece with its sequence and its place there."""
-    pieces = common.stored(docs.sparkSession, token_pieces(docs, path, end_id, capacity), "pieces")
+    pieces = common.stored(docs.sparkSession, token_pieces(docs, path, end_id, capacity, remember=remember), "pieces")
     return pack(pieces, capacity=capacity)

@@ -11,8 +11,9 @@ from __future__ import annotations
 import json
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
+from collections.abc import Callable, Iterable
 
 #: Letters up to U+024F. Texts with a character of ODD aren't cut here: re and the library could differ on it.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -22,14 +23,43 @@ WORDS = {
     "byte": re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[0-9]|[^\s{LETTER}0-9]+"),
 }
-#: Remembered words; beyond it the memory is emptied and filled anew.
-MOST_WORDS = 800_000
+#: The same on ASCII text, where shorter character classes are faster.
+ASCII_WORDS = {
+    "byte": re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII),
+    "word": re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII),
+}
+#: Remembered words of each of two generations, where a caller doesn't say.
+MOST = 300_000
+#: Texts are encoded in slices of about so many bytes: the library is called once for a slice's new words.
+SLICE = 4 << 20
+
+
+class Memory:
+    """Values of keys in two generations: when the younger is full it becomes the older, whose keys move back when met."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int):
+        self.make, self.most = make, most
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def of(self, keys: set[str]) -> Callable[[str], bytes]:
+        """A lookup that has all these keys."""
+        if len(self.young) > self.most:
+            self.young, self.older = {}, self.young
+        young, older = self.young, self.older
+        if new := keys - young.keys():
+            if met := new & older.keys():
+                young.update((w, older[w]) for w in met)
+                new -= met
+            fresh = list(new)
+            young.update(zip(fresh, self.make(fresh)))
+        return young.__getitem__
 
 
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -43,41 +73,41 @@ class WordTokenizer:
             self.kind = "byte"
         elif (steps := pre.get("pretokenizers")) and steps[0].get("type") == "Split" and steps[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
-        self.known: dict[str, bytes] = {}
+        self.words = Memory(self.slow, most)
 
     def slow(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cut(self, text: str) -> list[str] | None:
+        """The words of a text; None: the library takes it whole."""
+        if text.isascii():  # re.ASCII takes the separators 28 to 31 for text, as the library does
+            return ASCII_WORDS[self.kind].findall(text.lower() if self.kind == "word" else text)
+        if ODD.search(text):
+            return None
+        return WORDS[self.kind].findall(text.lower() if self.kind == "word" else text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none), without special ids."""
         if self.kind is None:
             return self.slow([t or "" for t in texts])
-        cut, odd = [], []
-        find = WORDS[self.kind].findall
-        for k, t in enumerate(texts):
-            if t and not t.isascii() and ODD.search(t) or t and t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                odd.append(k)
-                cut.append([])
-            else:
-                cut.append(find(t.lower() if self.kind == "word" else t) if t else [])
-        known = self.known
-        if new := list(set().union(*cut) - known.keys()):
-            if len(known) + len(new) > MOST_WORDS:
-                known.clear()
-                new = list(set().union(*cut))
-            known.update(zip(new, self.slow(new)))
-        of = known.__getitem__
+        cut = [self.cut(t) if t else [] for t in texts]
+        odd = [k for k, c in enumerate(cut) if c is None]
+        for k in odd:
+            cut[k] = []
+        of = self.words.of(set().union(*cut))
         out = [b"".join(map(of, words)) for words in cut]
         for k, ids in zip(odd, self.slow([texts[k] for k in odd]) if odd else []):
             out[k] = ids
         return out
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of a path, loaded once in each process."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def tokenizer(path: str, most: int = MOST) -> WordTokenizer:
+    """The tokenizer of a path, loaded once in each process; it remembers up to twice `most` words."""
+    if (path, most) not in _loaded:
+        _loaded[path, most] = WordTokenizer(path, most)
+    return _loaded[path, most]
