@@ -45,9 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Scratch paths handed out, in order; a caller that knows when results are written can remove() what they needed.
+MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 #: Spark removes a query's shuffle files when it has ended, instead of when the driver next collects its garbage.

@@ -37,7 +37,7 @@ from .components import connected_components
 from .shingles import shingle_sets
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-SKETCH, CHUNK = 1 << 24, 1 << 16
+SKETCH, CHUNK = 1 << 23, 1 << 16
 TILE, ROUNDS = 2048, 2
 #: A tile's sets hold about so many shingles at most; a leader meets so many members in one task.
 TILE_SHINGLES, STAR = 1 << 20, 256
@@ -94,7 +94,7 @@ def prefix_length(sizes: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, key (digest of the set), bits (signature), prefix (rarest shingles first)."""
+    """doc_id, n, key (digest of the set), bits (signature), prefix (rarest shingles first). Stored."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,10 @@ def _profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
                 ], names=["doc_id", "n", "key", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, key binary, bits binary, prefix array<long>")
+    out = docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, key binary, bits binary, prefix array<long>")
+    out = common.stored(docs.sparkSession, out, "profiles")
+    shared.destroy()
+    return out
 
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
@@ -303,7 +306,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    profiles = common.stored(spark, _profiles(docs, shingle_sketch(docs)), "profiles")
+    profiles = _profiles(docs, shingle_sketch(docs))
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = common.stored(spark, classes.select(F.col("rep").alias("doc_id"), "key"), "classes")
     spread = profiles.where("n > 0").join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("key"))
