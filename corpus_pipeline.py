@@ -8,6 +8,11 @@ is left.
 
 from __future__ import annotations
 
+import functools
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +21,32 @@ from rasterloom.llm.queries import tokenizer_file
 
 #: A text stays if its best language has this mean probability.
 LEAST_SCORE = 0.3
+#: Words that packing remembers; workers stay from one stage to the next, and their memory with them.
+REMEMBER = 100_000
 #: Fuzzy matching of stages can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+_before: list[str] = []  # scratch tables of the stage before
+
+
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes the scratch tables of the one before, whose result is written when the next begins."""
+
+    @functools.wraps(run)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _before:
+            common.remove(spark, _before.pop())
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        known = len(common.MADE)
+        out = run(spark, docs, sf_dir)
+        _before.extend(common.MADE[known:])
+        return out
+
+    return stage
+
+
 def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns that an operator would replace renamed, and their names by the new ones."""
     there = {f"_in_{c}": c for c in docs.columns if c in names}
@@ -34,6 +61,7 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
     return docs.select(*columns)
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or without a likely language; learns from the labelled documents."""
     common.small_batches(spark)
@@ -44,6 +72,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.drop("lang_pred", "score").withColumnsRenamed(there).select(*columns)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each group of similar lines keeps its first; documents without any line left go."""
     columns = docs.columns
@@ -52,12 +81,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(out.drop("n_lines", "n_removed").withColumnsRenamed(there), columns, F.col("text"))
 
 
+@_stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: the smallest doc_id."""
     heads = jaccard.component_table(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_doc")).distinct()
     return docs.join(heads, F.col("doc_id") == F.col("_doc"), "left_semi")
 
 
+@_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that a smaller doc_id has; documents that lose all they had go."""
     columns = docs.columns
@@ -70,9 +101,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _with_text(left, columns, F.col("text"))
 
 
+@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and places."""
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), remember=REMEMBER)
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_jaccard_join), ("suffix-array dedup", suffix_dedup), ("best-fit packing", best_fit_packing)]
