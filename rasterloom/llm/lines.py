@@ -10,7 +10,10 @@ each word start, and from every STEP characters within longer words, so the shin
     pairs never outnumber bucket entries. Leaders come from an aggregation joined back, so hot buckets can be split.
 3.  Pairs are verified by the exact Jaccard similarity of their shingle sets; lines that fail against their leader
     choose another leader among themselves, for ROUNDS rounds.
-4.  Verified pairs are links; each component keeps its first line by (doc_id, line number), all others go.
+4.  Buckets whose lines (without the first leader, which has met them all) still lie in two components are compared
+    whole: all pairs of two components that share one of their rarest shingles, without which 0.8 can't be reached, are
+    verified. Common shingles' lines are dealt into tiles. So no pair of a bucket is left out.
+5.  Verified pairs are links; each component keeps its first line by (doc_id, line number), all others go.
 
 Two lines at similarity s meet in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.993 at 0.8, 0.9999 at 0.9.
 
@@ -30,6 +33,8 @@ from .components import connected_components
 LEAST_CHARS, SHINGLE, STEP = 20, 12, 8
 BANDS, ROWS, ROUNDS = 7, 3, 2
 NUMERATOR, DENOMINATOR = 8, 10
+#: Lines of a shingle that make another tile of the rest.
+TILE = 256
 
 
 def norm(line: Column) -> Column:
@@ -85,24 +90,56 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("i") * DENOMINATOR >= NUMERATOR * (F.col("n") - F.col("i"))).select("leader", "id").distinct()
 
 
+def rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (leader, id) of lines of two components that may be similar, for the buckets (key, id) that hold several."""
+    spark = members.sparkSession
+    placed = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("key").alias("k"))
+    wanted = placed.join(mixed.hint("shuffle_hash"), F.col("key") == F.col("k")).select("id", "c").distinct()
+    grams = common.stored(spark, sets.join(wanted, "id").select("id", "c", F.size("grams").alias("size"), F.explode("grams").alias("g")).select("id", "c", "size", F.xxhash64("g").alias("x")), "rest")
+    often = grams.groupBy("x").agg(F.count("*").alias("n"))
+    ranked = grams.join(often, "x").groupBy("id", "c", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("r"))
+    rarest = F.expr(f"slice(r, 1, size - ({NUMERATOR} * size + {DENOMINATOR - 1}) div {DENOMINATOR} + 1)")
+    rare = ranked.select("id", "c", "size", F.explode(F.transform(rarest, lambda r: r["x"])).alias("x"))
+    rare = common.stored(spark, rare, "rarest")
+    common.drop(grams)
+    several = rare.groupBy("x").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b")
+    groups = rare.join(several.select("x", F.expr(f"CAST(n div {TILE} + 1 AS INT)").alias("tiles")), "x").select("x", "c", "tiles").distinct()
+    left = groups.select("x", F.col("c").alias("ca"), F.pmod(F.xxhash64("c"), "tiles").cast("int").alias("tile"))
+    right = groups.select("x", F.col("c").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    met = left.join(right, ["x", "tile"]).where("ca < cb").select("x", "ca", "cb")
+    met = met.join(rare.select("x", F.col("c").alias("ca"), F.col("id").alias("leader"), F.col("size").alias("p")), ["x", "ca"])
+    met = met.join(rare.select("x", F.col("c").alias("cb"), "id", F.col("size").alias("q")), ["x", "cb"])
+    out = common.stored(spark, met.where(f"least(p, q) * {DENOMINATOR} >= greatest(p, q) * {NUMERATOR}").select("leader", "id").distinct(), "pairs")
+    common.drop(rare)
+    return out
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, removed): the numbers of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
     table = common.stored(spark, signatures(docs), "lines")
     members = table.select("id", F.explode("bands").alias("key"))
-    links = sets = None
+    links = sets = several = None
     for _ in range(ROUNDS):
         met = common.stored(spark, led(members), "met")
         pairs = common.stored(spark, met.select("leader", "id").distinct(), "pairs")
         if sets is None:  # later rounds pair lines of the first only
+            several = met.select("key", "id")  # the first leader of a bucket has met all its lines
             ids = pairs.select("id").unionAll(pairs.select(F.col("leader").alias("id"))).distinct()
             sets = common.stored(spark, gram_sets(docs, table, ids), "grams")
         found = common.stored(spark, similar(pairs, sets), "similar")
         links = found if links is None else links.unionAll(found)
         common.drop(pairs)
         members = met.join(found, ["leader", "id"], "left_anti").select("id", "key")
+    labels = connected_components(links, "leader", "id")
+    pairs = rest_pairs(several, labels, sets)
+    found = common.stored(spark, similar(pairs, sets), "similar")
+    common.drop(pairs)
     common.drop(sets)
-    labels = connected_components(links, "leader", "id").withColumnRenamed("node", "id")
+    if not found.isEmpty():
+        labels = connected_components(links.unionAll(found), "leader", "id")
+    labels = labels.withColumnRenamed("node", "id")
     joined = common.stored(spark, table.where("times > 1").select("id").unionAll(labels.select("id")).distinct().join(table, "id").join(labels, "id", "left").select("h1", "h2", "doc_id", "line_no", F.coalesce("component", "id").alias("c")), "classes")
     keeper = joined.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"))
     classes = joined.join(keeper, "c").select("h1", "h2", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.line_no").alias("kept_no"))

@@ -190,6 +190,26 @@ def test_line_dedup_stays_in_the_engine(odd_docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_lines_of_one_bucket_all_meet(spark, monkeypatch):
+    """Many groups of near copies in one frame, and a chain, all in one bucket."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    frame, rows = " ".join(word() for _ in range(10)), []
+    for _ in range(40):
+        own = [word() for _ in range(20)]
+        rows += [f"{frame} {' '.join(own)}", f"{frame} {' '.join(own[:-1])} {word()}"]
+    chain = [word() for _ in range(36)]
+    rows += [" ".join(chain[k : k + 32]) for k in (2, 0, 4)]
+    texts = list(enumerate("\n".join(rows[k::5]) for k in range(5)))
+    signatures = lines.signatures
+    monkeypatch.setattr(lines, "signatures", lambda docs: signatures(docs).withColumn("bands", F.array(F.lit(0).cast("long"))))
+    for tile in (256, 4):
+        monkeypatch.setattr(lines, "TILE", tile, raising=False)
+        out = lines.line_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["kept_sha256"] for r in out} == line_brute(texts)
+        assert sum(r["n_removed"] for r in out) == 42
+
+
 # ---- operator 8
 
 
