@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.samples import wrap
 
 KEY = ["media_id", "frame_no", "plane_no"]
-#: Rows of the `embeddings` raster that make one frame of the clip, and how many of its rows the clip takes.
+#: Rows of the `embeddings` raster that make one frame of the clip. CLIP_END is only where the oracle SQL still ends it.
 CLIP_ROWS, CLIP_END = 50, 500
 SCENE_ROWS, SCENE_COLUMNS, SCENE_FRAMES = 64, 96, 4
 
@@ -37,8 +37,8 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten frames of 50 rows."""
-    rows = _quantized(spark, sf_dir).where(F.col("vec_id") < CLIP_END)
+    """Frames of 50 rows, as many as the table gives."""
+    rows = _quantized(spark, sf_dir)
     return rows.selectExpr("'clip' AS media_id", f"CAST(vec_id div {CLIP_ROWS} AS INT) AS frame_no", "0 AS plane_no", f"CAST(vec_id % {CLIP_ROWS} AS INT) AS y", "dim AS x", "v")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rasterloom import cli
 from rasterloom.operators import codec
-from rasterloom.sources import images, y4m
+from rasterloom.plans import queries
+from rasterloom.sources import images, rasters, y4m
 from rasterloom.streaming import clips
 from tests.test_coders import picture, same
 
@@ -113,3 +114,12 @@ def test_streaming_histograms(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["n"] for r in spark.table("counts").select(F.col("n")).collect()] == [2]
+
+
+def test_clip_has_every_frame(spark, tmp_path):
+    rows = [(k, [(k % 7 - 3) / 7] * 64) for k in range(0, 1130)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    frames = {r["frame_no"]: r["count"] for r in rasters.clip(spark, str(tmp_path)).groupBy("frame_no").count().collect()}
+    assert frames == {k: 50 * 64 if k < 22 else 30 * 64 for k in range(23)}
+    back = queries.clip_roundtrip(spark, str(tmp_path)).where("media_id = 'clip'")
+    assert sorted(back.collect()) == sorted(rasters.clip(spark, str(tmp_path)).select(*back.columns).collect())
