@@ -1,14 +1,21 @@
 """Token-id files: an adaptive context-mixing range coder over ids, in independently reset, checksummed blocks.
 
-For each id, a table of the last two ids (order 2) and one of the last id (order 1) predict a candidate; adaptive
+For each id, a hashed table of the last two ids (order 2) and one of the last id (order 1) predict a candidate; adaptive
 probabilities of the candidate, by the confidence of order 2 and of order 1 and by how often the id came at all (order
 0), are mixed in the logistic domain by adaptive weights, and code whether the candidate is right. A missed id is
-coded by the adaptive order-0 distribution of the block. Decisions drive a carry-less range coder.
+coded by the block's adaptive order-0 distribution: its range of ids by how often the range was missed in, then its
+place in the range. Decisions drive a carry-less range coder of 64-bit bounds and 16-bit units.
 
 Blocks share nothing, so a batch of blocks is coded side by side in lanes: one step codes the next id of each.
 
-Layout of a block (little-endian): magic `RLB1`, u32 ids, u32 steps (ids with padding), u32 vocabulary, u32 documents
-that start here, u32 crc32 of the ids as u32, then per document i64 id and u64 ids, then the coded 16-bit units.
+Layout of a block (little-endian): magic `RLB2`, u32 ids, u32 steps (ids with padding), u32 vocabulary, u32 documents
+that start here, u32 crc32 of the ids as u32, then per document i64 id and u64 ids, then the coded 16-bit units
+(zero bytes at the end are left out).
+
+Defined results: null text is empty (the end id alone); a text of any length may go on through any number of blocks;
+repeated rows are written each; rows of one doc_id follow each other in any order, and a null doc_id raises ValueError,
+since files are in ascending doc_id order; an empty table gives files without blocks and no rows. Further columns are
+not read.
 """
 
 from __future__ import annotations
@@ -27,157 +34,187 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-MAGIC, HEAD = b"RLB1", struct.Struct("<4sIIIII")
-LANES, BLOCK = 256, 16384
-SLOT_BITS, GAIN = 14, 32
-RESHAPE = {64, 256, 1024}  # and every EVERY steps, the order-0 distribution takes up what came since
-EVERY = 2048
-PART_BYTES = 16 << 20
-MASK48, UNIT = np.uint64((1 << 48) - 1), np.uint64(16)
+MAGIC, HEAD = b"RLB2", struct.Struct("<4sIIIII")
+LANES, BLOCK, LEAST_LANES = 1024, 8192, 128
+TWO_BITS, ONE_BITS, ZERO_BITS = 13, 12, 13
+RESHAPE, EARLY = 512, {8, 32, 64, 128, 256}  # steps after which the distribution of missed ids takes up what came since
+GAIN, RANGES = 24, 512
+PART_BYTES = 20 << 20
+WIDE, TIGHT, UNIT, ONES = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16), np.uint64(0xFFFF)
 #: 12-bit probabilities to log odds in 1/256, and back.
 STRETCH = np.array([round(256 * math.log((k + 0.5) / (4096 - k - 0.5))) for k in range(4096)], np.int64)
-SQUASH = np.array([min(4032, max(64, round(4096 / (1 + math.exp(-(k - 2048) / 256))))) for k in range(4096)], np.int64)
-LOG2 = np.array([int(k).bit_length() for k in range(BLOCK + 1)], np.int64)
+SQUASH = np.array([min(4080, max(16, round(4096 / (1 + math.exp(-(k - 2048) / 256))))) for k in range(4096)], np.uint64)
+LEVEL = np.array([min(15, int(k).bit_length() * 2 - (k > 0 and k < 3 << max(int(k).bit_length() - 2, 0))) for k in range(256)], np.int64)
+
+
+def id_ranges(vocabulary: int) -> np.ndarray:
+    """First ids of the ranges that missed ids fall into: RANGES to each doubling, so frequent (small) ids have their own."""
+    edges, width, at = {0, vocabulary}, 1, 0
+    while at < vocabulary:
+        for _ in range(2 * RANGES if width == 1 else RANGES):
+            edges.add(min(at, vocabulary))
+            at += width
+        width *= 2
+    return np.array(sorted(edges), np.int64)
 
 
 class Lanes:
-    """The models and coder states of a batch of blocks."""
+    """The models and coder states of a batch of blocks, one block a lane."""
 
     def __init__(self, lanes: int, steps: int, vocabulary: int, data: list[np.ndarray] | None = None):
         n = self.n = lanes
-        self.steps, self.vocabulary = steps, vocabulary
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
-        row = np.arange(n)
-        self.row = row
-        self.at1, self.at2 = row * vocabulary, row << SLOT_BITS
-        self.guess1, self.sure1 = np.zeros(n * vocabulary, np.int32), np.zeros(n * vocabulary, np.int8)
-        self.guess2, self.sure2 = np.zeros(n << SLOT_BITS, np.int32), np.zeros(n << SLOT_BITS, np.int8)
-        self.count = np.zeros(n * vocabulary, np.uint16)
-        self.sums = np.zeros((n, vocabulary + 1), np.int32)
-        self.sum_at = row * (vocabulary + 1)
-        self.odds = [np.full(n * 16, 32768, np.int64) for _ in range(3)]
-        self.weight = [np.full(n, 24000, np.int64) for _ in range(3)]
+        self.steps = steps
+        self.first = id_ranges(vocabulary)
+        self.width = np.diff(self.first)
+        ranges = self.ranges = len(self.width)
+        row = self.row = np.arange(n)
+        self.low, self.high = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+        # Candidates (id << 3 | confidence) after the last two ids, then after the last one.
+        self.guess = np.zeros((n << TWO_BITS) + (n << ONE_BITS), np.int32)
+        self.guess_at = np.stack([row << TWO_BITS, (n << TWO_BITS) + (row << ONE_BITS)])
+        self.count, self.count_at = np.zeros(n << ZERO_BITS, np.uint8), row << ZERO_BITS
+        self.odds = np.full(3 * n * 16, 32768, np.int64)
+        self.odds_at = np.arange(3 * n).reshape(3, n) * 16
+        self.weight = np.full((3, n), 24000, np.int64)
+        self.missed = np.zeros((n, ranges), np.int32)
+        self.sums = np.zeros((n, ranges + 1), np.int64)
         if data is None:
-            self.out = np.zeros((n, 2 * steps + 16), np.uint16)
-            self.put = np.zeros(n, np.int64)
+            self.room = 4 * steps + 16
+            self.out, self.put = np.zeros(n * self.room, np.uint16), row * self.room
         else:
-            most = max(len(d) for d in data) + 8
+            most = max(len(d) for d in data) + 16
             self.input = np.zeros(n * most, np.uint64)
             for k, d in enumerate(data):
                 self.input[k * most : k * most + len(d)] = d
-            self.get = row * most
+            self.get, self.last = row * most, row * most + most - 1
             self.code = np.zeros(n, np.uint64)
-            for _ in range(3):
+            for _ in range(4):
                 self.code = self.code << UNIT | self.input[self.get]
                 self.get += 1
 
     def reshape(self) -> None:
-        np.cumsum(1 + GAIN * self.count.reshape(self.n, -1).astype(np.int32), axis=1, out=self.sums[:, 1:])
-        self.total = np.uint64(self.sums[0, -1])
+        """Cumulative frequencies of the ranges, each lane's above those of the lane before it."""
+        np.cumsum(1 + GAIN * self.missed, axis=1, out=self.sums[:, 1:])
+        self.total = self.sums[:, -1].astype(np.uint64)
+        self.marks = (self.sums + (self.row << 32)[:, None]).ravel()
 
     def run(self, ids: np.ndarray | None) -> np.ndarray:
         """Codes ids (lanes x steps), or decodes them where ids is None."""
         encode = ids is not None
-        got = np.zeros((self.steps, self.n), np.int64)
+        got = np.zeros((self.steps, self.n), np.int32)
         want = np.ascontiguousarray(ids.T.astype(np.int64)) if encode else None
-        self.reshape()
-        flat = self.sums.reshape(-1)
-        one = two = np.zeros(self.n, np.int64)
-        base = self.row * 16
-        odds2, odds1, odds0 = self.odds
-        mask = (1 << SLOT_BITS) - 1
+        n, guess, count, odds = self.n, self.guess, self.count, self.odds
+        two_mask, one_mask, zero_mask = (1 << TWO_BITS) - 1, (1 << ONE_BITS) - 1, (1 << ZERO_BITS) - 1
+        one_hash, two_part = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        i, k = np.empty((2, n), np.int64), np.empty((3, n), np.int64)
+        twelve = np.uint64(12)
         for t in range(self.steps):
-            i2 = self.at2 + ((one * 40503 + two * 30011 ^ one >> 3) & mask)
-            i1 = self.at1 + one
-            c2, n2, c1, n1 = self.guess2[i2], self.sure2[i2], self.guess1[i1], self.sure1[i1]
-            c = np.where(n2 > 0, c2, c1).astype(np.int64)
-            k2 = base + (n2 * 2 + (c1 == c2))
-            k1 = base + np.where(c1 == c, n1, 8)
-            k0 = base + LOG2[self.count[self.at1 + c]]
-            q2, q1, q0 = odds2[k2], odds1[k1], odds0[k0]
-            s2, s1, s0 = STRETCH[q2 >> 4], STRETCH[q1 >> 4], STRETCH[q0 >> 4]
-            w2, w1, w0 = self.weight
-            p = SQUASH[np.clip((w2 * s2 + w1 * s1 + w0 * s0 >> 16) + 2048, 0, 4095)]
-            bound = (self.range >> np.uint64(12)) * p.astype(np.uint64)
+            if t % RESHAPE == 0 or t in EARLY:
+                self.reshape()
+            i[0] = (one_hash ^ two_part) >> 7 & two_mask
+            i[1] = one_hash >> 9 & one_mask
+            i += self.guess_at
+            e = guess.take(i).astype(np.int64)
+            sure, said = e & 7, e >> 3
+            c = np.where(sure[0] > 0, said[0], said[1])
+            zero = self.count_at + ((c ^ c >> 9) & zero_mask)
+            k[:2] = sure
+            k[:2] *= 2
+            k[0] += said[0] == said[1]
+            k[1] += said[1] == c
+            k[2] = LEVEL.take(count.take(zero))
+            k += self.odds_at
+            q = odds.take(k)
+            s = STRETCH.take(q >> 4)
+            mixed = np.add.reduce(self.weight * s) >> 16
+            mixed += 2048
+            p = SQUASH.take(mixed, mode="clip")
+            edge = self.low + ((self.high - self.low) >> twelve) * p
             if encode:
                 now = want[t]
                 hit = now == c
             else:
-                hit = ((self.code - self.low) & MASK48) < bound
+                hit = self.code <= edge
                 now = c
-            self.low += np.where(hit, np.uint64(0), bound)
-            self.range = np.where(hit, bound, self.range - bound)
             miss = np.flatnonzero(~hit)
+            self.high = np.where(hit, edge, self.high)
             if len(miss):
-                part = self.range[miss] // self.total
-                at = self.sum_at[miss]
-                if encode:
-                    at = at + now[miss]
-                else:
-                    value = np.minimum(((self.code[miss] - self.low[miss]) & MASK48) // part, self.total - np.uint64(1)).astype(np.int64)
-                    low, width = np.zeros(len(miss), np.int64), 1 << (self.vocabulary.bit_length() - 1)
-                    while width:
-                        probe = np.minimum(low + width, self.vocabulary)
-                        low = np.where(flat[at + probe] <= value, probe, low)
-                        width >>= 1
-                    now = c.copy()
-                    now[miss] = low
-                    at = at + low
-                first = flat[at].astype(np.uint64)
-                self.low[miss] += part * first
-                self.range[miss] = part * (flat[at + 1].astype(np.uint64) - first)
-            self.low &= MASK48
+                now = self.code_missed(miss, edge[miss] + np.uint64(1), now, encode)
             self.shift(encode)
             got[t] = now
-            error = ((hit.astype(np.int64) << 12) - p) * 6
-            self.weight = [w2 + (s2 * error >> 10), w1 + (s1 * error >> 10), w0 + (s0 * error >> 10)]
-            goal = hit.astype(np.int64) * 65535
-            odds2[k2], odds1[k1], odds0[k0] = q2 + (goal - q2 >> 5), q1 + (goal - q1 >> 5), q0 + (goal - q0 >> 5)
-            for guess, sure, i, g, s in ((self.guess2, self.sure2, i2, c2, n2), (self.guess1, self.sure1, i1, c1, n1)):
-                same = (g == now) & (s > 0)
-                fresh = ~same & (s <= 1)
-                guess[i] = np.where(fresh, now, g)
-                sure[i] = np.where(same, np.minimum(s + 1, 7), np.where(fresh, 1, s >> 1))
-            self.count[self.at1 + now] += 1
-            one, two = now, one
-            if t + 1 in RESHAPE or (t + 1) % EVERY == 0:
-                self.reshape()
+            truth = hit.astype(np.int64)
+            error = ((truth << 12) - p.astype(np.int64)) * 6
+            s *= error
+            s >>= 10
+            self.weight += s
+            truth *= 65535
+            odds[k] = q + (truth - q >> 5)
+            right = (said == now) & (sure > 0)
+            fresh = np.where(sure <= 1, (now << 3) + 1, e - sure + (sure >> 1))
+            guess[i] = np.where(right, e + (sure < 7), fresh)
+            zero = self.count_at + ((now ^ now >> 9) & zero_mask)
+            seen = count.take(zero)
+            count[zero] = seen + (seen < 255)
+            two_part = one_hash * 5 & 0xFFFFFFFFFF
+            one_hash = now * 0x9E3779B1 & 0xFFFFFFFF
         return got.T
 
+    def code_missed(self, miss: np.ndarray, low: np.ndarray, now: np.ndarray, encode: bool) -> np.ndarray:
+        """Codes ids that weren't the candidate: the range by how often it was missed in, then evenly within the range."""
+        high, ranges = self.high[miss], self.ranges
+        part = (high - low) // self.total[miss]
+        base = miss * (ranges + 1)
+        if encode:
+            there = now[miss]
+            r = np.searchsorted(self.first, there, "right") - 1
+        else:
+            value = np.minimum((self.code[miss] - low) // part, self.total[miss] - np.uint64(1)).astype(np.int64)
+            r = np.searchsorted(self.marks, value + (miss << 32), "right") - 1 - base
+        sums = self.sums.reshape(-1)
+        below = sums.take(base + r)
+        low = low + part * below.astype(np.uint64)
+        part = part * (sums.take(base + r + 1) - below).astype(np.uint64) // self.width.take(r).astype(np.uint64)
+        if encode:
+            place = there - self.first.take(r)
+        else:
+            place = np.minimum((self.code[miss] - low) // part, (self.width.take(r) - 1).astype(np.uint64)).astype(np.int64)
+            now = now.copy()
+            now[miss] = self.first.take(r) + place
+        low = low + part * place.astype(np.uint64)
+        self.low[miss], self.high[miss] = low, low + part - np.uint64(1)
+        self.missed.reshape(-1)[miss * ranges + r] += 1
+        return now
+
     def shift(self, encode: bool) -> None:
-        """Moves settled 16-bit units out of (or into) the coder, until every range has 32 bits again."""
-        live = np.flatnonzero(((self.low ^ ((self.low + self.range) & MASK48)) >> np.uint64(32) == 0) | (self.range < 1 << 32) | (self.low + self.range > MASK48))
+        """Moves settled 16-bit units out of (or into) the coder. A narrow range across a border gives up its smaller side."""
+        live = np.flatnonzero(((self.low ^ self.high) < WIDE) | (self.high - self.low < TIGHT))
         while len(live):
-            low, rng = self.low[live], self.range[live]
-            settled = (low ^ (low + rng)) >> np.uint64(32) == 0
-            small = ~settled & (rng < np.uint64(1 << 32))
-            go = settled | small
-            if not go.any():
-                break
-            live, low, rng, small = live[go], low[go], rng[go], small[go]
-            # A small range across a border gives up what lies beyond the border.
-            rng = np.where(small, (np.uint64(1 << 32) - (low & np.uint64((1 << 32) - 1))) & np.uint64((1 << 32) - 1), rng)
-            rng = np.where(small & (rng == 0), np.uint64((1 << 32) - 1), rng)
+            low, high = self.low[live], self.high[live]
+            across = np.flatnonzero((low ^ high) >= WIDE)
+            if len(across):
+                a, z = low[across], high[across]
+                border = z & ~(WIDE - np.uint64(1))
+                left = border - a > z - border
+                high[across], low[across] = np.where(left, border - np.uint64(1), z), np.where(left, a, border)
             if encode:
-                self.out[live, self.put[live]] = (low >> np.uint64(32)).astype(np.uint16)
+                self.out[self.put[live]] = (low >> np.uint64(48)).astype(np.uint16)
                 self.put[live] += 1
             else:
-                self.code[live] = (self.code[live] << UNIT | self.input[self.get[live]]) & MASK48
-                self.get[live] += 1
-            self.low[live] = (low << UNIT) & MASK48
-            self.range[live] = rng << UNIT
-        # Ranges never reach past 48 bits: what is beyond would need a carry.
-        over = self.low + self.range > MASK48
-        if over.any():
-            self.range = np.where(over, MASK48 - self.low, self.range)
+                self.code[live] = self.code[live] << UNIT | self.input[self.get[live]]
+                self.get[live] = np.minimum(self.get[live] + 1, self.last[live])
+            low, high = low << UNIT, high << UNIT | ONES
+            self.low[live], self.high[live] = low, high
+            live = live[((low ^ high) < WIDE) | (high - low < TIGHT)]
 
     def finish(self) -> list[bytes]:
         """Flushes the encoder: the units of each lane."""
-        for _ in range(3):
-            self.out[self.row, self.put] = (self.low >> np.uint64(32)).astype(np.uint16)
+        rest = self.low
+        for _ in range(4):
+            self.out[self.put] = (rest >> np.uint64(48)).astype(np.uint16)
             self.put += 1
-            self.low = (self.low << UNIT) & MASK48
-        return [self.out[k, :p].astype("<u2").tobytes() for k, p in enumerate(self.put.tolist())]
+            rest = rest << UNIT
+        start = self.row * self.room
+        return [self.out[a:z].astype("<u2").tobytes().rstrip(b"\0") for a, z in zip(start.tolist(), self.put.tolist())]
 
 
 @dataclass
@@ -195,7 +232,7 @@ def encode_blocks(ids: np.ndarray, documents: list[tuple[int, int]], starts: np.
         raise ValueError("too many ids for a batch")
     if n and int(ids.max()) >= vocabulary:
         raise ValueError("an id is not in the vocabulary")
-    steps = max(1, -(-n // lanes))
+    steps = max(1, min(block, -(-n // min(lanes, LEAST_LANES))), -(-n // lanes))  # few ids: shorter blocks, so steps stay wide
     used = max(1, -(-n // steps))
     padded = np.zeros(used * steps, np.uint32)
     padded[:n] = ids
@@ -219,7 +256,7 @@ def decode_blocks(blocks: list[bytes], lanes: int = LANES) -> Iterator[Block]:
             raise ValueError("not a block of token ids")
         magic, n, steps, vocabulary, docs, crc = HEAD.unpack_from(b)
         start = HEAD.size + 16 * docs
-        if n > steps or not 0 < steps <= 1 << 24 or not 0 < vocabulary <= 1 << 24 or len(b) < start or (len(b) - start) % 2:
+        if n > steps or not 0 < steps <= 1 << 24 or not 0 < vocabulary <= 1 << 24 or len(b) < start:
             raise ValueError("a block's header is damaged")
         heads.append((n, steps, vocabulary, crc, [struct.unpack_from("<qQ", b, HEAD.size + 16 * k) for k in range(docs)], start))
     a = 0
@@ -227,7 +264,7 @@ def decode_blocks(blocks: list[bytes], lanes: int = LANES) -> Iterator[Block]:
         z = a + 1
         while z < len(blocks) and z - a < lanes and heads[z][1:3] == heads[a][1:3]:
             z += 1
-        coder = Lanes(z - a, heads[a][1], heads[a][2], [np.frombuffer(b[h[5] :], "<u2") for b, h in zip(blocks[a:z], heads[a:z])])
+        coder = Lanes(z - a, heads[a][1], heads[a][2], [np.frombuffer(b[h[5] :] + b"\0" * ((len(b) - h[5]) % 2), "<u2") for b, h in zip(blocks[a:z], heads[a:z])])
         try:
             found = coder.run(None)
         except (IndexError, ZeroDivisionError):
@@ -248,8 +285,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocab
 
     Parts are ranges of doc_id; part numbers and block numbers ascend with doc_id.
     """
-    end = np.array([end_id], "<u4").tobytes()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("a null doc_id has no place in the files")).cast("long"))
+    rows = docs.select(known.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(max(1, -(-size // PART_BYTES)))
 
@@ -260,7 +297,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocab
 
         def flush(most: int) -> Iterator[pa.RecordBatch]:
             nonlocal held, documents, starts, total, number
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             take = min(most, len(ids))
             now = [k for k, s in enumerate(starts) if s < take]
             blocks = encode_blocks(ids[:take], [documents[k] for k in now], np.array([starts[k] for k in now], np.int64), vocabulary)
@@ -268,19 +305,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocab
                 own = blocks[s : s + 64]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), pa.array(np.arange(number, number + len(own))), pa.array(own, pa.binary())], names=["part", "block_no", "block"])
                 number += len(own)
-            held = [ids[take:].tobytes()] if take < len(ids) else []
+            held = [ids[take:].copy()] if take < len(ids) else []
             documents, starts, total = documents[len(now) :], [s - take for s in starts[len(now) :]], len(ids) - take
 
         for batch in batches:
             for piece in common.slices(batch, "text", tokens.SLICE):
-                for doc, raw in zip(piece.column(0).to_pylist(), of.encode(piece.column(1).to_pylist())):
-                    n = len(raw) // 4 + 1
-                    documents.append((doc, n))
-                    starts.append(total)
-                    held += (raw, end)
-                    total += n
-                    while total >= room:
-                        yield from flush(room)
+                ids, offsets = of.encode(piece.column(1))
+                ids = np.insert(ids, offsets[1:], np.uint32(end_id))  # one after each text
+                sizes = np.diff(offsets) + 1
+                starts += (total + np.cumsum(sizes) - sizes).tolist()
+                documents += zip(piece.column(0).to_pylist(), sizes.tolist())
+                held.append(ids.astype("<u4", copy=False))
+                total += len(ids)
+                while total >= room:
+                    yield from flush(room)
         if total:
             yield from flush(room)
 

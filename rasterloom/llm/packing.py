@@ -169,28 +169,26 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, remember: int = tokens.MOST) -> DataFrame:
     """Each text's ids and an end id, cut into pieces of `capacity` ids (the first may be shorter)."""
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = tokens.tokenizer(path, remember)
         for batch in batches:
             for part in common.slices(batch, "text", tokens.SLICE):
-                rows, ids = [], []
-                for doc, raw in zip(part.column(0).to_pylist(), of.encode(part.column(1).to_pylist())):
-                    raw += end
-                    n = len(raw) // 4
-                    stop, piece = (n - 1) % capacity + 1, 0
-                    start = 0
-                    while start < n:
-                        cut_ = raw[4 * start : 4 * stop]
-                        rows.append((doc, piece, start, stop - start, zlib.crc32(cut_)))
-                        if with_ids:
-                            ids.append(np.frombuffer(cut_, "<i4"))
-                        start, stop, piece = stop, stop + capacity, piece + 1
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                ids, offsets = of.encode(part.column(1))
+                ids = np.ascontiguousarray(np.insert(ids, offsets[1:], np.uint32(end_id)), "<u4")
+                sizes = np.diff(offsets) + 1
+                first = np.cumsum(sizes) - sizes
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                stop = (sizes[owner] - 1) % capacity + 1 + piece * capacity
+                start = np.where(piece > 0, stop - capacity, 0)
+                raw = memoryview(ids).cast("B")
+                a, z = first[owner] + start, first[owner] + stop
+                crc = np.fromiter((zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(a.tolist(), z.tolist())), np.int64, len(owner))
+                columns = [part.column(0).cast(pa.int64()).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start), pa.array(crc)]
+                if with_ids:  # pieces lie end to end in ids
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(a, len(ids)), pa.int32()), pa.array(ids.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)

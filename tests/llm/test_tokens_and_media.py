@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -16,19 +17,25 @@ from tests.conftest import DATA
 
 def library(name):
     t = Tokenizer.from_file(queries.tokenizer_file(name))
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 LATIN = st.text(st.sampled_from("abcXYZéÀßñ '\n\t.,!0129-_<|>ļ"), max_size=40)
+PARTS = ["it's", "we'LL", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\u0085", "\x1c", "\u200b", "’", "É", "à", "Σ", "İ", "é", "漢字", "😀", ".", ",", "a.b", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "\x00"]
+MIXED = st.lists(st.sampled_from(PARTS), max_size=30).map("".join)
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-@given(st.lists(st.one_of(LATIN, st.text(max_size=20)), max_size=20))
-@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(LATIN, MIXED, st.text(max_size=20), st.none()), max_size=20))
+@settings(max_examples=100, deadline=None)
 def test_ids_are_the_librarys(name, texts):
-    found = tokens.tokenizer(queries.tokenizer_file(name)).encode(texts)
-    assert [np.frombuffer(f, "<u4").tolist() for f in found] == library(name)(texts)
+    ids, offsets = tokens.tokenizer(queries.tokenizer_file(name)).encode(pa.array(texts, pa.string()))
+    assert [ids[a:z].tolist() for a, z in zip(offsets, offsets[1:])] == library(name)(texts)
+
+
+def test_added_tokens_are_the_librarys():
+    ids, _ = tokens.tokenizer(queries.tokenizer_file("byte_bpe_50k.json")).encode(pa.array(["a b<|endoftext|>c"]))
+    assert 50256 in ids.tolist()
 
 
 # ---- operator 1
