@@ -85,6 +85,25 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key that more than one in so many rows have is hot; there are fewer than so many of them, whatever the input.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows (inner) joined with facts, which has one row for each key and in column n how many of `total` rows have it.
+
+    Hot keys' facts, fewer than HOT_SHARE of them, are broadcast, so their rows stay where they are; the others are
+    shuffled and no task gets more than its share. facts must be stored: they are read twice. n is dropped.
+    """
+    from pyspark.sql import functions as F
+
+    least = total // HOT_SHARE
+    hot, calm = facts.where(F.col(n) > least).drop(n), facts.where(F.col(n) <= least).drop(n)
+    marks = hot.select(*keys)
+    rest = rows.join(F.broadcast(marks), keys, "left_anti").join(calm.hint("shuffle_hash"), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose column holds about `most` bytes each, one row at least."""
     n = batch.num_rows

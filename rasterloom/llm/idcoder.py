@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 MAGIC, HEAD = b"RLB2", struct.Struct("<4sIIIII")
-LANES, BLOCK, LEAST_LANES = 1024, 8192, 128
+LANES, BLOCK, LEAST_LANES = 512, 8192, 128
 TWO_BITS, ONE_BITS, ZERO_BITS = 13, 12, 13
 RESHAPE, EARLY = 512, {8, 32, 64, 128, 256}  # steps after which the distribution of missed ids takes up what came since
 GAIN, RANGES = 24, 512
-PART_BYTES = 20 << 20
+PART_BYTES = 10 << 20
 WIDE, TIGHT, UNIT, ONES = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16), np.uint64(0xFFFF)
 #: 12-bit probabilities to log odds in 1/256, and back.
 STRETCH = np.array([round(256 * math.log((k + 0.5) / (4096 - k - 0.5))) for k in range(4096)], np.int64)
@@ -77,7 +77,7 @@ class Lanes:
         self.odds_at = np.arange(3 * n).reshape(3, n) * 16
         self.weight = np.full((3, n), 24000, np.int64)
         self.missed = np.zeros((n, ranges), np.int32)
-        self.sums = np.zeros((n, ranges + 1), np.int64)
+        self.sums = np.zeros((n, ranges + 1), np.int32)
         if data is None:
             self.room = 4 * steps + 16
             self.out, self.put = np.zeros(n * self.room, np.uint16), row * self.room

@@ -1,13 +1,14 @@
 """Fuzzy line deduplication in DataFrame operations only: MinHash, banding, exact Jaccard, distributed union-find.
 
-Lines are what lies between line feeds; they are compared trimmed and in lower case, if that leaves LEAST_CHARS
-characters or more (shorter lines always stay). A line's set holds character shingles: up to SHINGLE characters from
-each word start, and from every STEP characters within longer words, so the shingles cover the whole line.
+Lines are what lies between line feeds; they are compared trimmed and in lower case, and empty ones always stay. A
+line's set holds its character shingles: the SHINGLE characters from every position on; a shorter line is its own only
+shingle, so short lines match only equal ones.
 
-1.  Equal lines meet first and count as one (combined before the shuffle); their shingles are hashed and the minima
-    under BANDS x ROWS xor-shifted orders are taken by a hash aggregation in the same stage.
+1.  All lines' shingles are hashed and, in the same stage, the minima under BANDS x ROWS xor-shifted orders are taken by
+    a hash aggregation; equal lines come together in it and count as one.
 2.  Each band is a bucket key. A bucket's smallest id leads; every other line of the bucket is paired with it only, so
-    pairs never outnumber bucket entries. Leaders come from an aggregation joined back, so hot buckets can be split.
+    pairs never outnumber bucket entries. Leaders come from an aggregation joined back; hot buckets' leaders, of which
+    there is a bounded number, are broadcast, so no bucket meets in one task.
 3.  Pairs are verified by the exact Jaccard similarity of their shingle sets; lines that fail against their leader
     choose another leader among themselves, for ROUNDS rounds.
 4.  Buckets whose lines (without the first leader, which has met them all) still lie in two components are compared
@@ -19,7 +20,8 @@ Two lines at similarity s meet in a band with probability 1 - (1 - s**ROWS)**BAN
 
 Defined results: null text has no line; empty text is one empty line, which stays; a document all of whose lines go
 keeps an empty text; lines of one document are compared like others; an empty table gives no rows. Repeated rows of one
-doc_id are treated as the same lines: the first occurrence stays in each of them.
+doc_id are treated as the same lines: the first occurrence stays in each of them. Rows whose doc_id is null stay as they
+are and are compared with nothing. A line of any length is compared whole.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import connected_components
 
-LEAST_CHARS, SHINGLE, STEP = 20, 12, 8
+SHINGLE = 12
 BANDS, ROWS, ROUNDS = 7, 3, 2
 NUMERATOR, DENOMINATOR = 8, 10
 #: Lines of a shingle that make another tile of the rest.
@@ -41,68 +43,99 @@ def norm(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def shingles(line: Column) -> Column:
-    """The character shingles of a normalized line, in order, with repeats."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S{{1,{STEP}}}\s*"), F.lit(1))
-
-
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def once(table: DataFrame, **made: Column) -> DataFrame:
+    """table with columns that are made once a row: the optimizer doesn't move them into what uses them."""
+    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("_once")
+    return table.select("*", held).select(*table.columns, *[F.col(f"_once.{n}").alias(n) for n in made])
+
+
+def wide(line: Column) -> Column:
+    """Four bytes a character, so that any character is found at once."""
+    return F.encode(line, "UTF-32")
+
+
+def places(b: str) -> Column:
+    """The positions (from 0) of the shingles of a wide line."""
+    return F.expr(f"sequence(0, greatest(octet_length({b}) div 4 - {SHINGLE}, 0))")
+
+
+def shingle(b: str, i: str) -> str:
+    return f"xxhash64(substring({b}, 4 * {i} + 1, {4 * SHINGLE}))"
+
+
+def shingle_set(b: str) -> Column:
+    """The distinct shingle hashes of a wide line (a column made by once())."""
+    return F.expr(f"array_distinct(transform(sequence(0, greatest(octet_length({b}) div 4 - {SHINGLE}, 0)), i -> {shingle(b, 'i')}))")
+
+
 def eligible_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line (normalized), and two 64-bit hashes of it, for all lines that are compared."""
-    lines = docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "raw")).select("doc_id", "line_no", norm(F.col("raw")).alias("line"))
-    return lines.where(F.length("line") >= LEAST_CHARS).select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "raw")).select("doc_id", "line_no", norm(F.col("raw")).alias("line"))
+    return lines.where("line <> ''").select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: its first place, how often it occurs, and its band keys."""
-    distinct = eligible_lines(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("p"), F.first("line").alias("line"), F.count("*").alias("times"))
-    grams = distinct.select("h1", "h2", F.col("p.doc_id").alias("doc_id"), F.col("p.line_no").alias("line_no"), "times", F.explode(shingles(F.col("line"))).alias("g"))
-    grams = grams.withColumn("x", F.xxhash64("g")).drop("g")
+    """One row per distinct line: its first document, how often it occurs, and its band keys."""
+    lines = eligible_lines(docs).select("doc_id", "h1", "h2", wide(F.col("line")).alias("b"))
+    grams = lines.select("doc_id", "h1", "h2", "b", F.explode(places("b")).alias("i"))
+    grams = grams.select("doc_id", "h1", "h2", F.expr("if(i = 0, 1, 0)").alias("one"), F.expr(shingle("b", "i")).alias("x"))
     order = [int(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) - (1 << 63) for k in range(BANDS * ROWS)]  # spread evenly
-    least = grams.groupBy("h1", "h2", "doc_id", "line_no", "times").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(order)])
+    least = grams.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.sum("one").alias("times"), *[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(order)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc_id", "line_no", "times", F.array(*bands).alias("bands"))
+    return least.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc_id", "times", F.array(*bands).alias("bands"))
 
 
 def led(members: DataFrame) -> DataFrame:
-    """(key, leader, id) for members (key, id) of buckets with several lines, without the leaders themselves."""
-    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select(F.col("key").alias("k"), "leader")
-    return members.join(leaders.hint("shuffle_hash"), F.col("key") == F.col("k")).where("id <> leader").select("key", "leader", "id")
+    """(key, leader, id) for members (key, id) of buckets with several lines, without the leaders themselves. Stored."""
+    spark = members.sparkSession
+    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n")).where("leader <> last").drop("last")
+    leaders = common.stored(spark, leaders, "leaders")
+    total = leaders.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = common.spread_join(members, leaders, ["key"], "n", total).where("id <> leader").select("key", "leader", "id")
+    out = common.stored(spark, out, "met")
+    common.drop(leaders)
+    return out
 
 
-def gram_sets(docs: DataFrame, table: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, grams): the distinct shingles of the lines wanted, taken from the documents."""
-    wanted = table.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("w"))  # one document's lines
-    parts = docs.select("doc_id", "text").join(wanted, "doc_id").select(split_lines(F.col("text")).alias("parts"), "w")
-    one = parts.select("parts", F.explode("w").alias("w")).select(F.col("w.id").alias("id"), norm(F.col("parts")[F.col("w.line_no")]).alias("line"))
-    return one.select("id", F.array_distinct(shingles(F.col("line"))).alias("grams"))
+def line_texts(docs: DataFrame, table: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line): the lines wanted, taken from their first documents."""
+    wanted = table.join(ids, "id", "left_semi").select("id", "doc_id", "h1", "h2")
+    return eligible_lines(docs).select("doc_id", "h1", "h2", "line").join(wanted.hint("shuffle_hash"), ["doc_id", "h1", "h2"]).select("id", "line").dropDuplicates(["id"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (leader, id) whose sets have a Jaccard similarity of NUMERATOR / DENOMINATOR or more."""
-    left = sets.select(F.col("id").alias("leader"), F.col("grams").alias("x"))
-    both = pairs.join(left, "leader").join(sets.select("id", F.col("grams").alias("y")), "id")
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select("leader", "id", shared.alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    left = texts.select(F.col("id").alias("leader"), F.col("line").alias("p"))
+    both = pairs.join(left, "leader").join(texts.select("id", F.col("line").alias("q")), "id")
+    both = once(both, a=wide(F.col("p")), b=wide(F.col("q"))).select("leader", "id", "a", "b")
+    both = once(both, x=shingle_set("a"), y=shingle_set("b")).select("leader", "id", "x", "y")
+    both = both.select("leader", "id", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
     return both.where(F.col("i") * DENOMINATOR >= NUMERATOR * (F.col("n") - F.col("i"))).select("leader", "id").distinct()
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (leader, id) of lines of two components that may be similar, for the buckets (key, id) that hold several."""
     spark = members.sparkSession
     placed = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("key").alias("k"))
-    wanted = placed.join(mixed.hint("shuffle_hash"), F.col("key") == F.col("k")).select("id", "c").distinct()
-    grams = common.stored(spark, sets.join(wanted, "id").select("id", "c", F.size("grams").alias("size"), F.explode("grams").alias("g")).select("id", "c", "size", F.xxhash64("g").alias("x")), "rest")
-    often = grams.groupBy("x").agg(F.count("*").alias("n"))
-    ranked = grams.join(often, "x").groupBy("id", "c", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("r"))
-    rarest = F.expr(f"slice(r, 1, size - ({NUMERATOR} * size + {DENOMINATOR - 1}) div {DENOMINATOR} + 1)")
-    rare = ranked.select("id", "c", "size", F.explode(F.transform(rarest, lambda r: r["x"])).alias("x"))
+    placed = common.stored(spark, placed, "placed")
+    mixed = common.stored(spark, placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n"), "mixed")
+    total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wanted = common.spread_join(placed, mixed, ["key"], "n", total).select("id", "c").distinct()
+    grams = once(texts.join(wanted, "id"), b=wide(F.col("line"))).select("id", "c", "b", F.explode(places("b")).alias("i")).select("id", "c", F.expr(shingle("b", "i")).alias("x")).distinct()
+    grams = common.stored(spark, grams, "rest")
+    often = common.stored(spark, grams.groupBy("x").agg(F.count("*").alias("n")), "often")
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranked = common.spread_join(grams, often.withColumn("w", F.col("n")), ["x"], "n", total)
+    ranked = ranked.groupBy("id", "c").agg(F.sort_array(F.collect_list(F.struct("w", "x"))).alias("r"))  # one line's shingles
+    rarest = F.expr(f"slice(r, 1, size(r) - ({NUMERATOR} * size(r) + {DENOMINATOR - 1}) div {DENOMINATOR} + 1)")
+    rare = ranked.select("id", "c", F.size("r").alias("size"), F.explode(F.transform(rarest, lambda r: r["x"])).alias("x"))
     rare = common.stored(spark, rare, "rarest")
-    common.drop(grams)
+    for t in (placed, mixed, grams, often):
+        common.drop(t)
     several = rare.groupBy("x").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b")
     groups = rare.join(several.select("x", F.expr(f"CAST(n div {TILE} + 1 AS INT)").alias("tiles")), "x").select("x", "c", "tiles").distinct()
     left = groups.select("x", F.col("c").alias("ca"), F.pmod(F.xxhash64("c"), "tiles").cast("int").alias("tile"))
@@ -116,41 +149,48 @@ def rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the numbers of the lines that go, for documents that lose any."""
+    """(doc_id, removed): the numbers of the lines that go, for documents that lose any. Stored."""
     spark = docs.sparkSession
     table = common.stored(spark, signatures(docs), "lines")
     members = table.select("id", F.explode("bands").alias("key"))
-    links = sets = several = None
+    links = texts = several = None
+    scratch = []
     for _ in range(ROUNDS):
-        met = common.stored(spark, led(members), "met")
+        met = led(members)
         pairs = common.stored(spark, met.select("leader", "id").distinct(), "pairs")
-        if sets is None:  # later rounds pair lines of the first only
+        if texts is None:  # later rounds pair lines of the first only
             several = met.select("key", "id")  # the first leader of a bucket has met all its lines
             ids = pairs.select("id").unionAll(pairs.select(F.col("leader").alias("id"))).distinct()
-            sets = common.stored(spark, gram_sets(docs, table, ids), "grams")
-        found = common.stored(spark, similar(pairs, sets), "similar")
+            texts = common.stored(spark, line_texts(docs, table, ids), "texts")
+        found = common.stored(spark, similar(pairs, texts), "similar")
         links = found if links is None else links.unionAll(found)
+        scratch += [met, found]
         common.drop(pairs)
         members = met.join(found, ["leader", "id"], "left_anti").select("id", "key")
     labels = connected_components(links, "leader", "id")
-    pairs = rest_pairs(several, labels, sets)
-    found = common.stored(spark, similar(pairs, sets), "similar")
+    pairs = rest_pairs(several, labels, texts)
+    found = common.stored(spark, similar(pairs, texts), "similar")
     common.drop(pairs)
-    common.drop(sets)
+    common.drop(texts)
     if not found.isEmpty():
         labels = connected_components(links.unionAll(found), "leader", "id")
     labels = labels.withColumnRenamed("node", "id")
-    joined = common.stored(spark, table.where("times > 1").select("id").unionAll(labels.select("id")).distinct().join(table, "id").join(labels, "id", "left").select("h1", "h2", "doc_id", "line_no", F.coalesce("component", "id").alias("c")), "classes")
-    keeper = joined.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"))
-    classes = joined.join(keeper, "c").select("h1", "h2", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.line_no").alias("kept_no"))
-    gone = eligible_lines(docs).drop("line").join(classes.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id <> kept_doc or line_no <> kept_no")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    classes = table.join(labels, "id", "left").where("component is not null or times > 1").select("h1", "h2", F.coalesce("component", "id").alias("c"), "times")
+    classes = common.stored(spark, classes, "classes")
+    total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    found_in = common.stored(spark, common.spread_join(eligible_lines(docs).drop("line"), classes, ["h1", "h2"], "times", total).select("doc_id", "line_no", "c"), "found")
+    keepers = common.stored(spark, found_in.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")), "keepers")
+    gone = common.spread_join(found_in, keepers, ["c"], "n", total).where("doc_id <> kept.doc_id or line_no <> kept.line_no")
+    out = common.stored(spark, gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "gone")  # one document's lines
+    for t in (table, classes, found_in, keepers, found, *scratch):
+        common.drop(t)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their text without the lines that go, and columns n_lines and n_removed (replaced, if there)."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = common.stored(docs.sparkSession, removed_lines(docs), "gone").select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
+    gone = removed_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
     out = docs.select(*kept).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left")
     lines = split_lines(F.col("text"))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n"))

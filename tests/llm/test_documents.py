@@ -155,15 +155,16 @@ def test_shards_merge(shard):
 
 # ---- operator 4
 
-SHINGLES = re.compile(r"(?s)(?=(\S.{0,11}))\S{1,8}\s*")
+def line_set(line):
+    return frozenset(line[k : k + 12] for k in range(max(len(line) - 11, 1)))
 
 
 def line_brute(texts):
     sets = {}
     for doc, text in texts:
         for k, line in enumerate((text or "").split("\n") if text is not None else []):
-            if len(line := line.strip(" ").lower()) >= lines.LEAST_CHARS:
-                sets[doc, k] = frozenset(SHINGLES.findall(line))
+            if line := line.strip(" ").lower():
+                sets[doc, k] = line_set(line)
     groups = linked(sets, 8, 10)
     out = {}
     for doc, text in texts:
@@ -210,6 +211,37 @@ def test_lines_of_one_bucket_all_meet(spark, monkeypatch):
         assert sum(r["n_removed"] for r in out) == 42
 
 
+@pytest.mark.parametrize(("groups", "size", "changed"), [(150, 3, 2), (60, 4, 9)])
+def test_templated_lines(spark, groups, size, changed):
+    """Lines from one template, in groups that each change some words of it: against all pairs."""
+    rng = np.random.default_rng(groups + changed)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    template, texts = [word() for _ in range(60)], []
+    for _ in range(groups):
+        own = list(template)
+        for k in rng.choice(60, changed, replace=False):
+            own[k] = word()
+        for _ in range(size):
+            line = list(own)
+            line[rng.integers(60)] = word()
+            texts.append((len(texts), " ".join(line)))
+    out = lines.line_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = line_brute(texts)
+    should = {d for d, t in texts if want[d] != hashlib.sha256(t.encode()).hexdigest()}
+    gone = {r["doc_id"] for r in out if r["n_removed"]}
+    assert len(gone & should) >= 0.99 * len(should) and gone <= should
+
+
+def test_lines_without_spaces(spark):
+    """A character put in front changes one shingle only, whatever the script."""
+    rng = np.random.default_rng(8)
+    chinese = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 300))
+    address = "https://example.org/" + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 200))
+    texts = [(1, chinese), (2, "新" + chinese), (3, address), (4, address.replace("https", "http")), (5, "Yes."), (6, "yes. "), (7, "No."), (8, "")]
+    out = {r["doc_id"]: r["n_removed"] for r in lines.line_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0, 8: 0}
+
+
 # ---- operator 8
 
 
