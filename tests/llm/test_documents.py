@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import components, jaccard, langid, lines, lm, queries, shingles, suffix
+from rasterloom.llm import common, components, jaccard, langid, lines, lm, queries, shingles, suffix
 from tests.conftest import DATA
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -262,19 +263,128 @@ def test_op8(spark, documents):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) and r["score"] < 0 for r in rows)
     sizes = {d: len((t or "").encode()) + 1 for d, t in documents}
     held = [r for r in rows if r["held_out"]]
-    assert -sum(r["score"] for r in held) / math.log10(2) / sum(sizes[r["doc_id"]] for r in held) < 3.5  # bits a byte; 8 unlearned
+    assert -sum(r["score"] for r in held) / math.log10(2) / sum(sizes[r["doc_id"]] for r in held) < 3.2  # bits a byte; 8 unlearned
 
 
 def test_scores_of_odd_documents(odd_docs, odd_texts, no_docs):
     rows = lm.lm_report(odd_docs).collect()
     assert scores_of(rows) == unigrams(odd_texts)
     by = {r["doc_id"]: r["score"] for r in rows}
-    assert by[4] == by[5] == by[7] and by[0] == by[1] and by[9] == by[10]
+    assert set(by) == {d for d, _ in odd_texts} and all(x < 0 for x in by.values())
     assert lm.lm_report(no_docs).count() == 0
     untrained = lm.score(odd_docs, F.lit(False)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0 for r in untrained)
 
 
+def plain_units(text):
+    raw = bytes(text, "utf-8").translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    return re.findall(rb"[^ \t-\r]*[ \t-\r]", raw) + [re.search(rb"[^ \t-\r]*\Z", raw).group() + b"\0"]
+
+
+def plain_mixer(texts, train, tree, part):
+    """Bits of each unit of one bucket's texts, by dictionaries of whole contexts and one decision at a time."""
+    word_counts, slots = collections.Counter(), collections.defaultdict(lambda: [0, 0])
+
+    def steps(text, seen=plain_units):
+        before, past = b"", b""
+        for unit in seen(text):
+            rows = []
+            for at, byte in enumerate(unit):
+                symbol = 256 if at == len(unit) - 1 and byte == 0 else byte
+                done = unit[:at]
+                contexts = [done[-k:] for k in (1, 2, 3)] + [done, (past + done)[-6:], (before, done)]
+                first = int(tree.first[symbol])
+                for depth in range(int(tree.sizes[symbol])):
+                    node, bit = int(tree.nodes[first + depth]), int(tree.bits[first + depth])
+                    rows.append(([(k, c, node) for k, c in enumerate(contexts)], node, bit, min(depth, 3)))
+            yield unit, rows
+            before, past = unit, past + unit
+
+    for text, learned in zip(texts, train):
+        for unit, rows in steps(text) if learned else ():
+            word_counts[unit] += 1
+            for keys, _, bit, _ in rows:
+                for key in keys:
+                    slots[key][bit] += 1
+    total = sum(word_counts.values())
+    weights = [[lm.START_WEIGHT] * 6 for _ in range(lm.GATES)]
+    cells, trust, out = {}, [0.5] * 3, []
+    queue = [(u, rows, learned, k == 0, text) for text, learned in zip(texts, train) for k, (u, rows) in enumerate(steps(text))]
+    known = 0
+    tasks = []
+    for unit, rows, learned, first, _ in queue:
+        tasks.append((unit, rows, learned, 0 if first else 1 + (known > 0)))
+        known = word_counts[unit] - learned
+    while tasks:
+        size, now = 0, []
+        while tasks and (not now or size + len(tasks[0][0]) <= part):
+            size += len(tasks[0][0])
+            now.append(tasks.pop(0))
+        grads, seen = collections.defaultdict(lambda: [0.0] * 6), collections.Counter()
+        fresh, shares = collections.Counter(), collections.defaultdict(list)
+        for unit, rows, learned, before in now:
+            spelled = 0
+            for keys, node, bit, depth in rows:
+                x = []
+                for key in keys:
+                    z, o = slots.get(key, (0, 0))
+                    z, o = z - (learned and not bit), o - (learned and bit)
+                    x.append(math.log((o + lm.PRIOR) / (z + lm.PRIOR)) if z + o > 0 else 0.0)
+                gate = depth * 8 + (x[3] != 0) + 2 * (x[4] != 0) + 4 * (x[5] != 0)
+                dot = max(-12, min(12, sum(a * b for a, b in zip(weights[gate], x))))
+                p = 1 / (1 + math.exp(-dot))
+                column = int(min(max(round((dot + 8) / 0.5), 0), 32))
+                centre = 1 / (1 + math.exp(8 - column * 0.5))
+                a, b = cells.get((node, column), (0, 0))
+                refined = (b + 16 * centre) / (a + b + 16)
+                final = (p + refined) / 2
+                spelled -= math.log2(max(final if bit else 1 - final, 1e-7))
+                if learned:
+                    fresh[node, column, bit] += 1
+                    seen[gate] += 1
+                    for k in range(6):
+                        grads[gate][k] += (bit - p) * x[k]
+            whole = max(word_counts[unit] - learned, 0) / max(total - 1, 1)
+            said = (1 - trust[before]) * 2**-spelled + trust[before] * whole
+            out.append(-math.log2(said))
+            if learned:
+                shares[before].append(trust[before] * whole / said)
+        for gate, g in grads.items():
+            for k in range(6):
+                weights[gate][k] += lm.RATE * g[k] / math.sqrt(seen[gate])
+        for (node, column, bit), n in fresh.items():
+            pair = cells.setdefault((node, column), [0, 0])
+            pair[bit] += n
+        for before, xs in shares.items():
+            rate = 1 - (1 - lm.UNIT_RATE) ** min(len(xs), 200)
+            trust[before] = min(max(trust[before] + rate * (sum(xs) / len(xs) - trust[before]), 0.001), 0.999)
+    return out
+
+
+def test_the_mixer_is_a_plain_one(monkeypatch):
+    monkeypatch.setattr(lm, "PART", 40)
+    texts = ["The cat sat on the mat. The cat", "the dog sat\n\non the log", "", "a cat, a dog, a Cat sat", "été\x00 là the mat ", "the cat sat on the dog"]
+    train = np.array([True, True, True, False, True, True])
+    low, starts, hashes, per_text = lm.units(*common.flat_bytes(pa.array(texts)))
+    raw = [low[a:z].tobytes() for a, z in zip(starts, starts[1:])]
+    assert raw == [u for t in texts for u in plain_units(t)]
+    learned = np.repeat(train, per_text)
+    counts = collections.Counter(u for u, t in zip(raw, learned) if t)
+    symbols = np.zeros(lm.SYMBOLS)
+    symbols[:256] = np.bincount(np.concatenate([np.frombuffer(u, np.uint8) for u, t in zip(raw, learned) if t]), minlength=256)
+    tree = lm.Tree(symbols)
+    table = np.zeros(2 * lm.SLOTS, np.float32)
+    units = pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()))], names=["unit", "n"])
+    whole = pa.record_batch([pa.array([t for t, x in zip(texts, train) if x])], names=["text"])
+    for sums in lm.add_chunks([*lm.count_within(tree)([units]), *lm.count_across(tree)([whole])]):
+        part = lm._unpacked(sums.column(1)[0].as_py())
+        at = sums.column(0)[0].as_py()
+        table[at : at + len(part)] += part
+    model = lm.Mixer(tree, lm.states(table), sum(counts.values()))
+    found = model.bits(low, starts, hashes, per_text, train, np.array([counts[u] for u in raw]))
+    np.testing.assert_allclose(found, plain_mixer(texts, train.tolist(), tree, 40), rtol=2e-4)
+
+
 # ---- operator 10
 
 
