@@ -1,8 +1,9 @@
 """N-gram Jaccard join: all links of word-shingle sets at a similarity threshold, and their components.
 
 1.  One pass counts, for each of SKETCH hash buckets, the shingles of all documents that fall there. The array has a
-    fixed size, is added up in the shuffle, and gives an order of shingles, rarest buckets first, that is the same
-    everywhere. Any such order gives the same links; this one keeps shared passages out of the prefixes.
+    fixed size, is added up in the shuffle with whole counts, and gives an order of shingles, rarest buckets first, that
+    is the same everywhere. Any such order gives the same links; this one keeps shared passages out of the prefixes.
+    It also tells which shingles may be in very many prefixes; only those are grouped by aggregation and broadcast.
 2.  A second pass makes each document's set: its size, a digest of the set (equal sets form a class, and the class's
     smallest doc_id stands for it), a bitmap signature, and the prefix of the set in that order: two sets of n shingles
     that are similar enough share one of their first n - ceil(t n) + 1 shingles, so meeting there loses nothing.
@@ -18,8 +19,10 @@
 Joins with wide rows are merge joins at every size, so that a small input takes no other way than a large one.
 
 Defined results: null or empty text, or a text without words: an empty set, linked with nothing; a text with fewer
-words than a shingle is one shingle; equal texts have equal sets and link; an empty table gives no rows. doc_id is
-taken as unique; repeated rows of one doc_id count once.
+words than a shingle is one shingle; equal texts have equal sets and link; an empty table gives no rows. Repeated
+rows of one doc_id count once if their texts are alike; else each row's size is reported, and the id is linked by those
+of its sets that its prefixes bring together. Rows without doc_id link nothing; their component
+is that of the ids with the same set, or null.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,35 +54,51 @@ def _sets(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sketch(docs: DataFrame) -> np.ndarray:
-    """How many (document, shingle) pairs fall into each of SKETCH buckets, 255 at most: SKETCH bytes, whatever the input."""
+    """How many (document, shingle) pairs fall into each of SKETCH buckets, as bytes: eight steps to each doubling.
+
+    Counts have 64 bits until the end, so buckets of common shingles stand out at any size of the input.
+    """
+
+    def packed(k: int, part: np.ndarray) -> pa.RecordBatch:
+        raw = zstandard.ZstdCompressor(level=1).compress(part.astype("<u8" if part.max() >> 32 else "<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([raw], pa.binary())], names=["chunk", "counts"])
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+        return np.frombuffer(raw, "<u8" if len(raw) == 8 * CHUNK else "<u4").astype(np.uint64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)  # a document counts a shingle once, so this can't run over
+        total = np.zeros(SKETCH, np.uint32)  # a task has fewer pairs than that
         for batch in batches:
             for part in common.slices(batch, "text"):
                 hashes, _ = _sets(part, 0)
                 np.add.at(total, (hashes & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         for s in range(0, SKETCH, CHUNK):
             if (part := total[s : s + CHUNK]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // CHUNK], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
+                yield packed(s // CHUNK, part.astype(np.uint64))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.frombuffer(raw, np.uint8).astype(np.uint16)
-                sums[k] = np.minimum(sums[k] + more, 255) if k in sums else more
+                sums[k] = sums.get(k, 0) + unpacked(raw)
         for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level(x).tobytes()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(add, schema).collect()  # SKETCH bytes
+    rows = docs.select("text").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(add, schema)
     sketch = np.zeros(SKETCH, np.uint8)
-    for r in rows:
+    for r in rows.toLocalIterator():  # SKETCH bytes in all
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
     return sketch
 
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that order them: exact to 8, then at eight steps to each doubling, for all of 32 bits."""
+    x = np.maximum(counts.astype(np.float64), 1)
+    return np.where(counts < 8, counts, np.minimum(8 * np.log2(x) - 16, 255)).astype(np.uint8)
+
+
 def bitmap(hashes: np.ndarray) -> bytes:
     """A signature of the set: one bit per hash, about four bits for each member, 2**k bits in all."""
     bits = LEAST_BITS
@@ -93,8 +113,12 @@ def prefix_length(sizes: np.ndarray) -> np.ndarray:
     return sizes - -(-NUMERATOR * sizes // DENOMINATOR) + 1
 
 
-def _profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, key (digest of the set), bits (signature), prefix (rarest shingles first). Stored."""
+def _profiles(docs: DataFrame, sketch: np.ndarray, busy: int) -> DataFrame:
+    """doc_id, n, key (digest of the set), bits (signature), prefix (rarest shingles first). Stored.
+
+    Shingles of the prefix whose bucket has the level `busy` or more are in a column of that name instead: only they can
+    be in very many prefixes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,36 +133,27 @@ def _profiles(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 by_rank = hashes[order].view(np.int64)
                 keep = np.where(sizes > 0, prefix_length(sizes), 0)
                 within = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
-                prefix = by_rank[within < np.repeat(keep, sizes)]
-                offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+                own = within < np.repeat(keep, sizes)
+                hot = own & (rank[order] >= busy)
+                lists = []
+                for use in (own & ~hot, hot):
+                    ends_ = np.cumsum(np.bincount(owner[use], minlength=len(sizes)))
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends_]).astype(np.int32)), pa.array(by_rank[use])))
                 sets = np.split(hashes, ends[:-1]) if len(sizes) else []
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).cast(pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([bitmap(s) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
-                ], names=["doc_id", "n", "key", "bits", "prefix"])
+                    *lists,
+                ], names=["doc_id", "n", "key", "bits", "prefix", "busy"])
 
-    out = docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, key binary, bits binary, prefix array<long>")
+    out = docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, key binary, bits binary, prefix array<long>, busy array<long>")
     out = common.stored(docs.sparkSession, out, "profiles")
     shared.destroy()
     return out
 
 
-def _folded(bits: np.ndarray, size: int) -> np.ndarray:
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
-
-
-def overlap_bound(a: bytes, na: int, b: bytes, nb: int) -> int:
-    """An upper bound of the intersection of two sets: members whose bit the other lacks can't be shared."""
-    size = min(len(a), len(b))
-    x, y = (_folded(np.frombuffer(s, np.uint8), size) for s in (a, b))
-    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
-
-
 def needed(na, nb):
     """The least intersection that links sets of these sizes: 100 i >= 80 (na + nb - i)."""
     return -(-NUMERATOR * (na + nb) // (DENOMINATOR + NUMERATOR))
@@ -147,12 +162,14 @@ def needed(na, nb):
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (tile, a, b, na, nb, bits_a, bits_b) that the size and bit-count bounds leave, as (tile, a, b)."""
     for batch in batches:
-        c = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-        na, nb = (c[x].to_numpy(zero_copy_only=False) for x in ("na", "nb"))
-        least = needed(na, nb)
-        fits = np.flatnonzero(np.minimum(na, nb) >= least)
-        keep = [i for i in fits.tolist() if overlap_bound(c["bits_a"][i].as_py(), int(na[i]), c["bits_b"][i].as_py(), int(nb[i])) >= least[i]]
-        yield batch.select(["tile", "a", "b"]).take(pa.array(keep, pa.int64()))
+        rows = batch.num_rows
+        column = lambda x, k: np.concatenate([batch.column(batch.schema.get_field_index(f"{x}{s}")).to_numpy(zero_copy_only=False) for s in k])  # noqa: E731, B023
+        t = {"n": column("n", "ab"), "bits": column("bits_", "ab")}
+        t["size"] = np.concatenate([common.lengths(batch.column(batch.schema.get_field_index(f"bits_{s}"))) for s in "ab"])
+        na, nb = t["n"][:rows], t["n"][rows:]
+        fits = np.flatnonzero(np.minimum(na, nb) >= needed(na, nb))
+        keep, _, _ = bits_fit(t, fits, fits + rows)
+        yield batch.select(["tile", "a", "b"]).take(pa.array(np.sort(keep)))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,19 +323,26 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    profiles = _profiles(docs, shingle_sketch(docs))
+    number = docs.count()
+    profiles = _profiles(docs, shingle_sketch(docs), int(level(np.array([number // common.HOT_SHARE]))[0]))
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = common.stored(spark, classes.select(F.col("rep").alias("doc_id"), "key"), "classes")
-    spread = profiles.where("n > 0").join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("key"))
+    own = profiles.where("n > 0").join(reps.select("doc_id"), "doc_id", "left_semi")
     by_key = Window.partitionBy("key")
     x1, x2 = F.xxhash64("doc_id"), F.xxhash64(F.lit(1), "doc_id")
-    met = spread.select("key", F.col("doc_id").alias("doc"), F.min("doc_id").over(by_key).alias("first"), F.max("doc_id").over(by_key).alias("last"), F.bit_xor(x1).over(by_key).alias("x1"), F.bit_xor(x2).over(by_key).alias("x2")).where("first <> last")
-    met = common.stored(spark, met.drop("last"), "met")
+    facts = lambda over: [over(f).alias(n) for f, n in ((F.min("doc_id"), "first"), (F.max("doc_id"), "last"), (F.bit_xor(x1), "x1"), (F.bit_xor(x2), "x2"), (F.count("*"), "size"))]
+    calm = own.select("doc_id", F.explode("prefix").alias("key")).select("key", F.col("doc_id").alias("doc"), *facts(lambda f: f.over(by_key))).where("first <> last")
+    busy = own.select(F.explode("busy").alias("key"), "doc_id")
+    told = common.stored(spark, busy.groupBy("key").agg(*facts(lambda f: f)).where("first <> last"), "busy")
+    busy = common.spread_join(busy.withColumnRenamed("doc_id", "doc"), told.withColumn("share", F.col("size")), ["key"], "share", number)
+    met = common.stored(spark, calm.unionByName(busy).drop("last"), "met")
+    common.drop(told)
     # Shingles with the same members lead to the same pairs: one of them stays, with their number.
-    alike = met.where("doc = first").groupBy("first", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("w")).select("key", "w")
+    alike = common.stored(spark, met.where("doc = first").groupBy("first", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("w"), F.first("size").alias("size")).select("key", "w", "size"), "distinct")
     every = met
-    met = common.stored(spark, every.join(alike, "key").select("key", "doc", "w"), "alike")
+    met = common.stored(spark, common.spread_join(every.select("key", "doc"), alike, ["key"], "size", number).select("key", "doc", "w"), "alike")
     common.drop(every)
+    common.drop(alike)
     wanted = met.select(F.col("doc").alias("doc_id")).distinct()
     sets = common.stored(spark, _set_table(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
     links = spark.createDataFrame([], "a long, b long")
@@ -326,8 +350,9 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tried = links
     for step in ("star",) * ROUNDS + ("best", "all"):
         if step == "star":
-            first = members.groupBy("key").agg(F.min("doc").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "first")
-            led = members.join(first, "key").where("doc <> first").groupBy("first", "doc").agg(F.sum("w").alias("w"))
+            first = members.groupBy("key").agg(F.min("doc").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "first", "size")
+            first = common.stored(spark, first, "leaders")
+            led = common.spread_join(members, first, ["key"], "size", number).where("doc <> first").groupBy("first", "doc").agg(F.sum("w").alias("w"))
             led = led.join(tried.select(F.col("a").alias("first"), F.col("b").alias("doc")), ["first", "doc"], "left_anti")
             pairs = led.groupBy("doc").agg(F.min(F.struct((-F.col("w")).alias("m"), "first")).alias("best")).select(F.col("best.first").alias("a"), F.col("doc").alias("b"))
             pairs = common.stored(spark, pairs, "star")
@@ -335,8 +360,9 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("blocks"))
             pairs = bounded_pairs(pairs.join(blocks, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))).alias("tile"), "a", "b"), profiles)
         else:
-            mixed = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-            rest = members.join(mixed, "key", "left_semi").join(profiles.select(F.col("doc_id").alias("doc"), "n", "bits").hint("merge"), "doc")
+            mixed = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
+            mixed = common.stored(spark, mixed, "mixed")
+            rest = common.spread_join(members, mixed, ["key"], "size", number).join(profiles.select(F.col("doc_id").alias("doc"), "n", "bits").hint("merge"), "doc")
             pairs = tile_candidates(rest.select("key", "doc", "n", "comp", "bits"), step == "best").join(tried, ["a", "b"], "left_anti").select("tile", "a", "b")
         pairs = common.stored(spark, pairs, "candidates")
         if step != "star":

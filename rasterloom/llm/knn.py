@@ -1,17 +1,20 @@
 """Exact top-k search by inner product: a Voronoi join of queries and vectors.
 
-Vectors are turned into integers, floor(SCALE * x) for each component. A bounded sample gives pivots; each vector goes
-to the cell of its nearest pivot. A cell's summary is its size, its radius and the k + 1 smallest distances to its
-pivot. From the summaries alone each query gets a score that k other vectors reach for sure, and for each cell the
-highest score that any member can have (Cauchy-Schwarz); only cells that can reach the sure score get the query.
-Cells are cut into blocks of BLOCK rows and queries into blocks of QUERY_BLOCK, so neither a hot cell nor many queries
-meet in one task. Each pair of blocks is solved by one exact matrix product; the block results are merged per query.
+Vectors are turned into integers, floor(SCALE * x) for each component. A bounded sample (the square root of the number
+of rows) gives pivots; each vector goes to the cell of its nearest pivot. A cell's summary is its size, its radius and
+the k + 1 smallest distances to its pivot. From the summaries alone each query gets a score that k other vectors reach
+for sure, and for each cell the highest score that any member can have (Cauchy-Schwarz); only cells that can reach the
+sure score get the query. Cells are cut into blocks of BLOCK rows, so a hot cell doesn't meet in one task. Every vector
+is sent once, to its block; queries are copied to the blocks that they must see, and stream past a block's vectors in
+batches, so no number of queries is held. Each batch is one exact matrix product; block results are merged per query.
 
 The sample only places the pivots: any pivots give the same, exact, result.
 
-Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; vectors of another
-length than the query's are no candidates of it; ties go to the smaller vec_id; a query is no candidate of itself
-(rows that repeat its vec_id aren't either); fewer candidates than k give fewer rows; an empty table gives none.
+Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without
+vec_id, nor vectors so large that a score with one alike might not fit 64 bits (length times the largest integer
+squared is 2**63 or more); vectors of another length than the query's are no candidates of it; ties go to the smaller
+vec_id; a query is no candidate of itself (rows that repeat its vec_id aren't either); rows that repeat a candidate's
+vec_id with the same score count once; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from pyspark.sql import functions as F
 from . import common
 
 SCALE, TOP = 1024, 10
-PIVOTS, BLOCK, QUERY_BLOCK = 128, 8192, 2048
+LEAST_PIVOTS, BLOCK = 16, 8192
 
 
-def valid_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
+def valid_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     x = F.col(vector)
     finite = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
-    return df.where(x.isNotNull() & (F.size(x) > 0) & finite)
+    largest = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))) * SCALE + 1
+    return df.where(F.col(key).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).where(F.size(x) * largest * largest < float(2**63))
 
 
 def integers(column: pa.Array) -> list[np.ndarray]:
@@ -75,8 +79,9 @@ def reach(q: np.ndarray, centres: np.ndarray, radius: np.ndarray, sure: np.ndarr
     slack = 1e-9 * (size * (np.sqrt((centres * centres).sum(1)) + radius)[None] + 1)
     most = at + size * radius[None] + slack
     least = at[:, :, None] - size[:, :, None] * closest[None] - slack[:, :, None]
-    least = np.sort(np.where(np.isfinite(closest)[None], least, -np.inf).reshape(len(q), -1), axis=1)[:, ::-1]
-    bound = least[:, sure - 1] if least.shape[1] >= sure else np.full(len(q), -np.inf)
+    least = np.where(np.isfinite(closest)[None], least, -np.inf).reshape(len(q), -1)
+    there = least.shape[1]
+    bound = np.partition(least, there - sure, axis=1)[:, there - sure] if there >= sure else np.full(len(q), -np.inf)
     return most >= bound[:, None]
 
 
@@ -85,40 +90,56 @@ def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     if v.shape[1] * np.abs(v).max(initial=0) * np.abs(q).max(initial=0) < 2**53:
         return (v @ q.T).astype(np.int64)
     exact = np.array([[int(x) for x in row] for row in v], object) @ np.array([[int(x) for x in row] for row in q], object).T
-    if exact.size and max(exact.max(), -exact.min()) >= 2**63:
-        raise OverflowError("a score doesn't fit 64 bits")
     return exact.astype(np.int64)
 
 
+def _best(ids: np.ndarray, v: np.ndarray, queries: np.ndarray, q: np.ndarray, top: int) -> list[tuple[np.ndarray, ...]]:
+    """(query_id, vec_id, score) of the best of a block for each query."""
+    out, scores = [], products(v, q)
+    for k, query in enumerate(queries.tolist()):
+        s = scores[:, k]
+        rows = np.flatnonzero(ids != query)
+        if len(rows) > top:
+            edge = np.partition(s[rows], len(rows) - top)[len(rows) - top]
+            rows = rows[s[rows] >= edge]
+        rows = rows[np.lexsort((ids[rows], -s[rows]))][:top]
+        out.append((np.full(len(rows), query), ids[rows], s[rows]))
+    return out
+
+
 def _solve(top: int):
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            ids, vs = (right.column(c).combine_chunks() for c in ("vec_id", "v"))
-            ids = ids.to_numpy()
-            v = np.stack([np.frombuffer(x.as_buffer(), "<f8") for x in vs])
-            queries = left.column("query_id").to_numpy()
-            q = np.stack([np.frombuffer(x.as_buffer(), "<f8") for x in left.column("q").combine_chunks()])
-            scores = products(v, q)
-            for k, query in enumerate(queries.tolist()):
-                s = scores[:, k]
-                rows = np.flatnonzero(ids != query)
-                if len(rows) > top:
-                    edge = np.partition(s[rows], len(rows) - top)[len(rows) - top]
-                    rows = rows[s[rows] >= edge]
-                rows = rows[np.lexsort((ids[rows], -s[rows]))][:top]
-                out["query_id"].append(np.full(len(rows), query))
-                out["vec_id"].append(ids[rows])
-                out["score"].append(s[rows])
-        return pa.table({n: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for n, x in out.items()})
+    """Rows (dim, cell, block, kind, id, v) by block and kind: a block's vectors (kind 0), then its queries (kind 1)."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, vectors, table = None, [], [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+            kind, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+            change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (kind[1:] != kind[:-1])) + 1
+            found = []
+            for a, z in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if a == z:
+                    continue
+                if block != (now := tuple(keys[:, a].tolist())):
+                    block, ids, vectors, table = now, [], [], None
+                x = np.stack([np.frombuffer(batch.column(5)[k].as_buffer(), "<f8") for k in range(a, z)])
+                if kind[a] == 0:
+                    ids.append(own[a:z])
+                    vectors.append(x)
+                elif ids:
+                    if table is None:
+                        table = np.concatenate(ids), np.concatenate(vectors)
+                    found += _best(*table, own[a:z], x, top)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in (zip(*found) if found else [()] * 3)], names=["query_id", "vec_id", "score"])
 
     return solve
 
 
-def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = TOP, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = TOP, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the best `top` other vectors of each row for which is_query (a Column) holds."""
     spark = vectors.sparkSession
-    rows = valid_vectors(vectors, vector)
+    rows = valid_vectors(vectors, vector, key)
+    pivots = pivots or max(LEAST_PIVOTS, int(rows.count() ** 0.5))
     sample = rows.select(key, vector).orderBy(F.xxhash64(key), key).limit(pivots).toArrow()
     found: dict[int, list[np.ndarray]] = {}
     for v in integers(sample.column(vector).combine_chunks()) if sample.num_rows else []:
@@ -142,32 +163,34 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embe
             close[k, : len(x)] = x
         cells[d] = number, centre, np.array([r["radius"] for r in own]), close, np.array([-(-r["n"] // BLOCK) for r in own])
     queries = table.where(is_query)
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    shared = spark.sparkContext.broadcast((cells, query_blocks))
+    shared = spark.sparkContext.broadcast(cells)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries to the blocks of all cells that they must see."""
-        cells, query_blocks = shared.value
+        cells = shared.value
         for batch in batches:
             ids, dims = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for d in np.unique(dims).tolist():
                 number, centre, radius, close, blocks = cells[d]
                 mine = np.flatnonzero(dims == d)
-                for s in range(0, len(mine), 256):
-                    rows = mine[s : s + 256]
+                step = max(1, (1 << 21) // max(1, close.size))
+                for s in range(0, len(mine), step):
+                    rows = mine[s : s + step]
                     q = np.stack([np.frombuffer(batch.column(2)[r].as_buffer(), "<f8") for r in rows.tolist()])
                     i, c = np.nonzero(reach(q, centre, radius, top + 1, close))
                     times = blocks[c]
                     i, c = np.repeat(i, times), np.repeat(c, times)
                     block = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d, np.int32)), pa.array(number[c].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array((ids[rows[i]] // 100 % query_blocks).astype(np.int32)), pa.array(ids[rows[i]]), batch.column(2).take(pa.array(rows[i]))], names=["dim", "cell", "block", "part", "query_id", "q"])
+                    for a in range(0, len(i), 4096):
+                        k, e = rows[i[a : a + 4096]], c[a : a + 4096]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), d, np.int32)), pa.array(number[e].astype(np.int32)), pa.array(block[a : a + 4096].astype(np.int32)), pa.array(np.ones(len(k), np.int32)), pa.array(ids[k]), batch.column(2).take(pa.array(k))], names=["dim", "cell", "block", "kind", "id", "v"])
 
-    sent = queries.select("vec_id", "dim", "v").mapInArrow(send, "dim int, cell int, block int, part int, query_id long, q binary")
+    sent = queries.select("vec_id", "dim", "v").mapInArrow(send, "dim int, cell int, block int, kind int, id long, v binary")
     sizes = spark.createDataFrame([(d, int(c), int(b)) for d, (number, *_, blocks) in cells.items() for c, b in zip(number, blocks)], "dim int, cell int, blocks int")
     dealt = table.select("dim", "cell", "vec_id", "v").join(F.broadcast(sizes), ["dim", "cell"])  # a row for each pivot
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    group = ["dim", "cell", "block", "part"]
-    best = sent.groupBy(*group).cogroup(dealt.select(*group, "vec_id", "v").groupBy(*group)).applyInArrow(_solve(top), "query_id long, vec_id long, score long")
+    dealt = dealt.select("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v")
+    group = ["dim", "cell", "block"]
+    best = sent.unionByName(dealt).repartition(*group).sortWithinPartitions(*group, "kind", "id").mapInArrow(_solve(top), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

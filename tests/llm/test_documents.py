@@ -442,8 +442,17 @@ def test_bit_count_bound_is_above_the_overlap():
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 500, rng.integers(1, 400)).astype(np.uint64)) for _ in range(2))
         a, b = np.sort(shingles.mix64(a)), np.sort(shingles.mix64(b))
-        bound = jaccard.overlap_bound(jaccard.bitmap(a), len(a), jaccard.bitmap(b), len(b))
-        assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+        bits = [jaccard.bitmap(a), jaccard.bitmap(b)]
+        t = {"n": np.array([len(a), len(b)]), "bits": np.array(bits, object), "size": np.array([len(x) for x in bits])}
+        _, _, spare = jaccard.bits_fit(t, np.array([0]), np.array([1]))
+        enough = len(np.intersect1d(a, b)) - jaccard.needed(len(a), len(b))
+        assert (len(spare) == 1 and spare[0] >= enough) if enough >= 0 else True
+
+
+def test_levels_order_counts():
+    counts = np.unique(np.concatenate([np.arange(300), 2 ** np.arange(8, 32, dtype=np.int64)]))
+    levels = jaccard.level(counts).astype(int)
+    assert (np.diff(levels) >= 0).all() and levels[-1] > levels[300] and len(set(levels[:9])) == 9
 
 
 def test_components(spark):

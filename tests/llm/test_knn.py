@@ -25,7 +25,6 @@ def brute(rows, top):
 @pytest.mark.parametrize("pivots", [1, 16])
 def test_ties_clusters_and_blocks(spark, monkeypatch, pivots):
     monkeypatch.setattr(knn, "BLOCK", 30)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(1)
     rows = []
     for i in range(700):
@@ -46,8 +45,13 @@ def test_odd_vectors(spark):
 def test_large_integers_are_exact():
     a, b = np.array([[2.0**40, 3.0]]), np.array([[2.0**20, 5.0]])
     assert knn.products(a, b)[0, 0] == 2**60 + 15
-    with pytest.raises(OverflowError):
-        knn.products(np.array([[2.0**40]]), np.array([[2.0**40]]))
+
+
+def test_large_vectors_and_rows_without_id(spark):
+    rows = [(0, [1.0, 2.0]), (100, [1e5, -3e5]), (1, [3e38, 1.0]), (2, [-2e5, 2e5]), (None, [1.0, 1.0]), (3, [0.5, 0.25])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    small = [(i, v) for i, v in rows if i not in (None, 1)]
+    assert sorted(map(tuple, knn.top_k(frame, F.col("vec_id") % 100 == 0).collect())) == brute(small, 10)
 
 
 def test_cells_that_are_left_out_hold_no_better_vector():
