@@ -5,16 +5,18 @@ classified by softmax. A text's windows cover it whole, side by side; its predic
 mean probability over its windows. Where the network is applied, embedding and filters are multiplied out into tables
 over byte pairs, so a window costs table rows and additions only.
 
-The network learns from a bounded sample: about SAMPLE texts of each language, chosen by a hash of doc_id, and
-WINDOWS windows of each. Everything else covers all rows.
+The network learns from a bounded sample: about SAMPLE texts of each language (fewer where TOTAL texts would be
+passed), chosen by a hash of doc_id, and WINDOWS windows of each, cut where the texts are. Every language that has a
+label can be predicted, and everything else covers all rows.
 
 Defined results: null text, or a text without a letter: `und`, score 0. No labelled text at all: `und` for every row.
-Null languages are never learned. Repeated texts get equal predictions; every input row gives one row.
+Null languages and rows without doc_id are never learned; the latter are not held out. Repeated texts get equal predictions; every input row gives one row.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, WINDOWS, MOST_LANGUAGES = 1500, 3, 200
+SAMPLE, WINDOWS, TOTAL = 1500, 3, 200_000
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 5, 128, 0.01
 LETTER = re.compile(r"[^\W\d_]")
@@ -135,31 +137,45 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     return ByteNet(languages, p["embed"], [p[f"bank{w}"].reshape(w, EMBED, FILTERS) for w in WIDTHS], [p[f"bias{w}"] for w in WIDTHS], p["out"], p["out_bias"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 0) -> ByteNet | None:
-    """Trains on (doc_id, text, lang): about `sample` texts of each of the most frequent MOST_LANGUAGES languages."""
-    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+def sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, lang) to (doc_id, lang, window): up to WINDOWS windows of each text with a letter, chosen by a hash."""
+    for batch in batches:
+        for part in common.slices(batch, "text", 1 << 20):
+            docs, texts, langs = (part.column(k).to_pylist() for k in range(3))
+            rows = []
+            for doc, text, lang in zip(docs, texts, langs):
+                if not LETTER.search(text):
+                    continue
+                raw = text.encode()
+                n = -(-len(raw) // WINDOW)
+                turn = common.mix64(np.arange(n, dtype=np.uint64) + np.uint64(zlib.crc32(str(doc).encode()) << 20))
+                for k in np.argsort(turn, kind="stable")[:WINDOWS].tolist():
+                    rows.append((doc, lang, raw[k * WINDOW : (k + 1) * WINDOW].ljust(WINDOW, b"\0")))
+            kinds = pa.int64(), pa.string(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=["doc_id", "lang", "window"])
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 0, total: int = TOTAL) -> ByteNet | None:
+    """Trains on (doc_id, text, lang): about `sample` texts of each language, fewer where `total` texts would be passed."""
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null and lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
-    share = F.lit(None)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / n))).otherwise(share)
+    each = max(1, min(sample, total // len(counts)))
+    share = spark.createDataFrame([(name, min(1.0, each / n)) for name, n in counts.items()], "lang string, share double")
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(1 << 30)
-    chosen = rows.where(chance < share).toArrow()  # at most MOST_LANGUAGES x about `sample` texts
-    order = np.lexsort([np.array(chosen["doc_id"].to_pylist(), dtype=np.int64)]) if chosen.num_rows else []
+    chosen = rows.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("doc_id", "text", "lang")
+    found = chosen.mapInArrow(sample_windows, "doc_id long, lang string, window binary").toArrow()  # WINDOW bytes each
+    if not found.num_rows:
+        return None
     languages = sorted(counts)
-    g = np.random.default_rng(seed)
-    windows, labels = [], []
-    texts, langs = chosen["text"].to_pylist(), chosen["lang"].to_pylist()
-    for i in order:
-        if not LETTER.search(texts[i]):
-            continue
-        raw = np.frombuffer(texts[i].encode(), np.uint8)
-        whole, _ = cut_windows(raw, np.array([0, len(raw)]))
-        for w in g.permutation(len(whole))[:WINDOWS]:
-            windows.append(whole[w])
-            labels.append(languages.index(langs[i]))
-    return train(np.array(windows), np.array(labels), languages, seed) if windows else None
+    number = {name: k for k, name in enumerate(languages)}
+    windows = np.frombuffer(b"".join(found["window"].to_pylist()), np.uint8).reshape(-1, WINDOW)
+    labels = np.array([number[x] for x in found["lang"].to_pylist()])
+    docs = found["doc_id"].to_numpy()
+    order = np.lexsort([*windows[:, 7::-1].T, labels, docs])  # the same order wherever rows come from
+    return train(windows[order], labels[order], languages, seed)
 
 
 PREDICTION_SCHEMA = "lang_pred string, score double"
@@ -200,4 +216,4 @@ def fold(of: str = "doc_id", folds: int = 3) -> F.Column:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the rows whose fold of three is not 1."""
     net = fit(docs.where(fold() != 1))
-    return predict(docs.select("doc_id", (fold() == 1).alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", "score")
