@@ -15,7 +15,15 @@ ACTIVITY_LADDERS = {
     8: (1, 2, 4, 7, 12, 20, 36),
     12: (1, 2, 3, 4, 6, 9, 13, 20, 30, 46, 72),
     16: (1, 2, 3, 4, 5, 7, 9, 12, 16, 22, 30, 42, 58, 80, 112),
+    24: (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 24, 29, 35, 42, 51, 62, 76, 94, 118, 150),
+    32: (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 21, 24, 28, 32, 37, 43, 50, 58, 68, 80, 94, 110, 130, 154, 182, 215, 255),
 }
+#: The ladders among which a plane's coder chooses.
+CODER_LADDERS = (4, 6, 8, 12, 16)
+#: Activity and residual sizes in the adaptive codec's contexts, and the luma symbol beside a chroma sample.
+CODEC_ACTIVITY = (1, 2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48, 64, 88, 120)
+CODEC_ERROR = (1, 2, 4, 7, 12, 20)
+LUMA = (1, 3, 6, 12, 24)
 # ---- end of fixed values
 
 #: Proxy of a residual's cost: 8 log2(1 + d), rounded half to even, d = 0 to 128.
@@ -101,14 +109,26 @@ def sign(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN 1 WHEN {x} < 0 THEN -1 ELSE 0 END)"
 
 
-def sign_pattern(a: str, b: str) -> str:
-    """Two differences' signs as 0 to 8."""
-    return f"(3 * ({sign(a)} + 1) + {sign(b)} + 1)"
+def differences(n: str = "n", w: str = "w", nw: str = "nw", ne: str = "ne") -> tuple[str, str, str]:
+    """The three modular differences around the causal neighbours."""
+    return centre(f"{w} - {nw}"), centre(f"{nw} - {n}"), centre(f"{n} - {ne}")
+
+
+def sign_pattern() -> str:
+    """The signs of the first two differences as 0 to 8; the middle on the first row and column."""
+    a, b, _ = differences()
+    return f"(CASE WHEN y = 0 OR x = 0 THEN 4 ELSE 3 * ({sign(a)} + 1) + {sign(b)} + 1 END)"
 
 
 def gradient_level(d: str) -> str:
-    """A gradient as -4 to 4, with the level edges 1, 3, 7 and 21."""
-    return f"({sign(d)} * {bucket(f'abs({d})', (1, 3, 7, 21))})"
+    """A gradient as -4 to 4: levels begin at 1, 3, 8 and 22."""
+    return f"({sign(d)} * {bucket(f'abs({d})', (1, 3, 8, 22))})"
+
+
+def gradient_triple() -> str:
+    """Three gradient levels as 0 to 364, folded by sign; 0 on the first row and column."""
+    a, b, c = (gradient_level(d) for d in differences())
+    return f"(CASE WHEN y = 0 OR x = 0 THEN 0 ELSE abs(81 * {a} + 9 * {b} + {c}) END)"
 
 
 def residual_cost(a: str, b: str) -> str:

@@ -1,7 +1,10 @@
 """Lossless image and clip streams over the wavefront coder, and their DataFrame operators.
 
 An image stream: magic, width, height, channels, flags, planes. A clip stream: magic, frames, planes, flags, block
-size, plane sizes, then the block table of each frame but the first; then the row coders' units. Both end with a CRC-32 of all before it.
+size, plane sizes, then the block table of each frame but the first; then the row coders' units. Large images are cut
+into bands of rows and long clips into groups of frames, each a stream of its own that another task codes: a stream of
+parts has magic, kind, width, height, planes, frames, flags, block size, samples, the parts' sizes and the parts. All
+end with a CRC-32 of all before it.
 Vectors have no range limit in the stream (a magnitude is an Exp-Golomb code), frames may be of odd sizes, and chroma
 vectors are scaled by the rounded ratio of plane sizes.
 """
@@ -21,7 +24,9 @@ from . import motion
 from .coders import BitDecoder, BitEncoder, Reader, varint
 from .wavefront import Bank, RowCoders, code_plane, coders_of
 
-IMAGE, CLIP = b"RLI1", b"RLV1"
+IMAGE, CLIP, PARTS = b"RLI1", b"RLV1", b"RLP1"
+#: Samples of a band (of all its planes) and frames of a group; each is modelled from nothing.
+BAND_SAMPLES, GROUP_FRAMES = 1 << 15, 16
 COLOUR, TURNED = 1, 2  # flags; a tall image is coded on its side, which takes fewer steps
 MOST_SAMPLES = 1 << 31
 
@@ -108,7 +113,29 @@ def encode_image(channels: list[np.ndarray], statistics: dict | None = None) ->
     return _sealed(b"".join(out))
 
 
+def join_parts(parts: list[bytes]) -> bytes:
+    """One stream of bands or groups in order; a single part stays as it is."""
+    if len(parts) == 1:
+        return parts[0]
+    heads = [header(p) for p in parts]
+    first, clip = heads[0], heads[0]["kind"] == "clip"
+    height = first["height"] if clip else sum(h["height"] for h in heads)
+    out = [PARTS, bytes((int(clip),)), varint(first["width"]), varint(height), bytes((first["planes"],)), varint(sum(h["frames"] for h in heads) if clip else 1), bytes((any(h["colour"] for h in heads), first["block"] or 0)), varint(sum(h["samples"] for h in heads)), varint(len(parts))]
+    return _sealed(b"".join([*out, *(varint(len(p)) for p in parts), *parts]))
+
+
+def split_parts(data: bytes) -> list[bytes]:
+    """The parts of a stream in order; a stream without parts is its own only one."""
+    if data[:4] != PARTS:
+        return [data]
+    r = _opened(data, PARTS)
+    r.u8(), r.varint(), r.varint(), r.u8(), r.varint(), r.u8(), r.u8(), r.varint()
+    return _get_streams(r, r.varint())
+
+
 def decode_image(data: bytes) -> list[np.ndarray]:
+    if data[:4] == PARTS:
+        return [np.concatenate(p) for p in zip(*(decode_image(x) for x in split_parts(data)))]
     r = _opened(data, IMAGE)
     width, height, channels, flags = r.varint(), r.varint(), r.u8(), r.u8()
     if not 1 <= channels <= 4 or not 0 < width * height < MOST_SAMPLES:
@@ -181,10 +208,14 @@ def _inter(previous: np.ndarray, blocks: tuple[np.ndarray, ...], block: int, lum
     return moved, mode[by][:, bx] == motion.TEMPORAL
 
 
-def encode_clip(frames: list[list[np.ndarray]], colour: bool = False, block: int = motion.BLOCK) -> bytes:
-    """Frames of equal plane sizes (one to four planes; the first is searched). colour: planes are red, green, blue."""
+def encode_clip(frames: list[list[np.ndarray]], colour: bool | None = None, block: int = motion.BLOCK) -> bytes:
+    """Frames of equal plane sizes (one to four planes; the first is searched). colour: whether the first three planes go
+    through the colour transform; None: if they have one size and the first frame's residuals take less."""
     if not frames or not 1 <= len(frames[0]) <= 4:
         raise ValueError("a clip has frames of one to four planes")
+    if colour is None:
+        first = frames[0][:3]
+        colour = len(first) == 3 and len({p.shape for p in first}) == 1 and first[0].size > 0 and med_entropy(forward_colour(first)) <= med_entropy(first)
     frames = [forward_colour(f[:3]) + f[3:] for f in frames] if colour else frames
     shapes = [p.shape for p in frames[0]]
     if any([p.shape for p in f] != shapes for f in frames) or any(not h or not w for h, w in shapes):
@@ -207,6 +238,8 @@ def encode_clip(frames: list[list[np.ndarray]], colour: bool = False, block: int
 
 
 def decode_clip(data: bytes) -> list[list[np.ndarray]]:
+    if data[:4] == PARTS:
+        return [f for x in split_parts(data) for f in decode_clip(x)]
     r = _opened(data, CLIP)
     count, planes, flags, block = r.varint(), r.u8(), r.u8(), r.u8()
     shapes = [(r.varint(), r.varint())[::-1] for _ in range(planes)]
@@ -238,6 +271,9 @@ def header(data: bytes) -> dict:
         frames, planes, flags, block = r.varint(), r.u8(), r.u8(), r.u8()
         shapes = [(r.varint(), r.varint()) for _ in range(planes)]
         return {"kind": "clip", "width": shapes[0][0], "height": shapes[0][1], "planes": planes, "frames": frames, "colour": bool(flags & COLOUR), "block": block, "samples": frames * sum(w * h for w, h in shapes)}
+    if data[:4] == PARTS:
+        clip, width, height, planes, frames, colour, block, samples = r.u8(), r.varint(), r.varint(), r.u8(), r.varint(), r.u8(), r.u8(), r.varint()
+        return {"kind": "clip" if clip else "image", "width": width, "height": height, "planes": planes, "frames": frames, "colour": bool(colour), "block": block or None, "samples": samples}
     raise ValueError("a foreign stream")
 
 
@@ -252,10 +288,28 @@ def _ordered(table: pa.Table) -> list[tuple[int, int, np.ndarray]]:
     return sorted(((f, p, np.frombuffer(d.as_buffer(), np.uint8).reshape(h, w)) for f, p, w, h, d in rows), key=lambda x: x[:2])
 
 
-def encode_media(planes: DataFrame, colour_clips: bool = False) -> DataFrame:
+def _tasks(df: DataFrame) -> int:
+    """Enough tasks to deal out parts; parts are few bytes and much work, so they aren't put together again."""
+    return 8 * df.sparkSession.sparkContext.defaultParallelism
+
+
+PART_SCHEMA = "media_id string, part int, kind string, payload binary, raw_bytes long, nonzero long, plain_bits long, length_bits long"
+
+
+def cut_media(planes: DataFrame, band_samples: int = BAND_SAMPLES, group_frames: int = GROUP_FRAMES) -> DataFrame:
+    """Packed planes in parts: bands of rows of images, groups of frames of clips (media with several frames)."""
+    sizes = planes.groupBy("media_id").agg((F.max("frame_no") > F.min("frame_no")).alias("clip"), F.min("frame_no").alias("_f"), F.sum("width").alias("_w"))
+    rows = planes.join(sizes, "media_id").withColumn("_r", F.expr(f"CAST(IF(clip, height, greatest(16, {band_samples} div _w)) AS INT)"))
+    bands = F.expr(f"IF(clip, array(CAST((frame_no - _f) div {group_frames} AS INT)), sequence(0, CAST((height - 1) div _r AS INT)))")
+    rows = rows.withColumn("part", F.explode(bands)).withColumn("_a", F.expr("IF(clip, 0, part * _r)"))
+    return rows.select("media_id", "part", "clip", "frame_no", "plane_no", "width", F.expr("least(_r, height - _a)").cast("int").alias("height"), F.expr("substring(data, _a * width + 1, _r * width)").alias("data"))
+
+
+def encode_media(planes: DataFrame, colour_clips: bool | None = None, band_samples: int = BAND_SAMPLES, group_frames: int = GROUP_FRAMES) -> DataFrame:
     """Packed planes to one stream per media_id: a clip if there are several frames, else an image.
 
-    A stream is one task's work, so a clip must fit an executor; media are coded side by side.
+    Bands and groups are coded side by side in tasks of their own, so a medium may be larger than a task's memory until
+    its parts, coded, are put together. colour_clips: as encode_clip's colour.
     """
 
     def encode(key: tuple, table: pa.Table) -> pa.Table:
@@ -264,31 +318,49 @@ def encode_media(planes: DataFrame, colour_clips: bool = False) -> DataFrame:
         for f, _, plane in rows:
             frames.setdefault(f, []).append(plane)
         statistics: dict = {}
-        clip = len(frames) > 1
+        clip = table.column("clip")[0].as_py()
         payload = encode_clip([frames[f] for f in sorted(frames)], colour_clips) if clip else encode_image(next(iter(frames.values())), statistics)
-        raw = sum(p.size for _, _, p in rows)
-        values = [key[0].as_py(), "clip" if clip else "image", payload, len(payload), raw, *(statistics.get(k) for k in ("nonzero", "plain_bits", "length_bits"))]
-        kinds = [pa.string(), pa.string(), pa.binary(), *[pa.int64()] * 5]
-        return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in STREAM_SCHEMA.split(", ")])
+        values = [key[0].as_py(), key[1].as_py(), "clip" if clip else "image", payload, sum(p.size for _, _, p in rows), *(statistics.get(k) for k in ("nonzero", "plain_bits", "length_bits"))]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.binary(), *[pa.int64()] * 4]
+        return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in PART_SCHEMA.split(", ")])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            streams = [join_parts([p["payload"] for p in parts]) for parts in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(streams, pa.binary()), pa.array([len(x) for x in streams], pa.int64()), *batch.columns[3:]], names=[x.split()[0] for x in STREAM_SCHEMA.split(", ")])
 
-    return planes.groupBy("media_id").applyInArrow(encode, STREAM_SCHEMA)
+    parts = cut_media(planes, band_samples, group_frames).repartition(_tasks(planes), "media_id", "part").groupBy("media_id", "part").applyInArrow(encode, PART_SCHEMA)
+    sums = [F.sum(c).cast("long").alias(c) for c in ("raw_bytes", "nonzero", "plain_bits", "length_bits")]
+    whole = parts.groupBy("media_id").agg(F.first("kind").alias("kind"), F.sort_array(F.collect_list(F.struct("part", "payload"))).alias("parts"), *sums)  # one medium's coded parts
+    return whole.mapInArrow(joined, STREAM_SCHEMA)
 
 
 PLANE_SCHEMA = "media_id string, frame_no int, plane_no int, width int, height int, data binary"
 
 
 def decode_media(streams: DataFrame) -> DataFrame:
-    """Streams (media_id, payload) to packed planes."""
+    """Streams (media_id, payload) to packed planes. Parts are decoded side by side."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for media, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                frames = decode_clip(payload) if payload[:4] == CLIP else [decode_image(payload)]
-                rows = [(media, f, p, plane.shape[1], plane.shape[0], plane.tobytes()) for f, planes in enumerate(frames) for p, plane in enumerate(planes)]
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["media_id", "frame_no", "plane_no", "width", "height", "data"])
+                parts = split_parts(payload)
+                first = np.cumsum([0, *(header(p)["frames"] for p in parts)])[:-1] if header(payload)["kind"] == "clip" else np.zeros(len(parts), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([media] * len(parts)), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(first.astype(np.int32)), pa.array(parts, pa.binary())], names=["media_id", "part", "first", "payload"])
 
-    return streams.select("media_id", "payload").mapInArrow(decode, PLANE_SCHEMA)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for media, part, first, payload in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                frames = decode_clip(payload) if payload[:4] == CLIP else [decode_image(payload)]
+                rows = [(media, first + f, p, part, plane.shape[1], plane.shape[0], plane.tobytes()) for f, planes in enumerate(frames) for p, plane in enumerate(planes)]
+                kinds = [pa.string(), *[pa.int32()] * 5, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["media_id", "frame_no", "plane_no", "part", "width", "height", "data"])
+
+    parts = streams.select("media_id", "payload").mapInArrow(split, "media_id string, part int, first int, payload binary").repartition(_tasks(streams), "media_id", "part")
+    rows = parts.mapInArrow(decode, "media_id string, frame_no int, plane_no int, part int, width int, height int, data binary")
+    bands = F.sort_array(F.collect_list(F.struct("part", "data")))  # one plane's bands
+    whole = rows.groupBy("media_id", "frame_no", "plane_no").agg(F.first("width").alias("width"), F.sum("height").cast("int").alias("height"), bands.alias("b"))
+    return whole.select("media_id", "frame_no", "plane_no", "width", "height", F.expr("IF(size(b) = 1, b[0].data, unhex(array_join(transform(b, x -> hex(x.data)), '')))").alias("data"))
 
 
 INFO_SCHEMA = "media_id string, kind string, width int, height int, planes int, frames int, colour boolean, block int, samples long, n_bytes long, bits_per_sample double"

@@ -72,7 +72,7 @@ def normalise(hist: np.ndarray, scale: int = 1 << SCALE_BITS) -> np.ndarray | No
     total = int(hist.sum())
     if not total:
         return None
-    freq = np.where(hist > 0, np.maximum(1, np.rint(hist * (scale / total))), 0).astype(np.int64)
+    freq = np.where(hist > 0, np.maximum(1, np.rint(hist * scale / total)), 0).astype(np.int64)
     gap = scale - int(freq.sum())
     if gap > 0:
         freq[int(freq.argmax())] += gap

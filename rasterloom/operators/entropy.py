@@ -26,22 +26,34 @@ def conditional_entropy(symbols: DataFrame, keys: list[str], context: str = "ctx
     return each.groupBy(*keys).agg(F.count("*").alias("contexts"), F.round(F.sum("entropy_bytes"), 4).alias("entropy_bytes"))
 
 
+def normalised(hist: DataFrame, keys: list[str], scale: int = 4096) -> DataFrame:
+    """hist with freq: counts scaled to a sum of `scale`, 1 at least. What is missing goes to the most frequent symbol (the
+    first of equals); what is too much is taken from the most frequent ones in turn, down to 1."""
+    all_, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("_raw"), "sym")
+    raw = hist.withColumn("_raw", F.greatest(F.lit(1), F.bround(F.col("n").cast("double") * scale / F.sum("n").over(all_), 0)).cast("long"))
+    raw = raw.withColumns({"_miss": scale - F.sum("_raw").over(all_), "_place": F.row_number().over(order), "_room": F.sum(F.col("_raw") - 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    less = F.greatest(F.lit(0), F.least(F.col("_raw") - 1, -F.col("_miss") - (F.col("_room") - F.col("_raw") + 1)))
+    freq = F.when(F.col("_miss") >= 0, F.col("_raw") + F.when(F.col("_place") == 1, F.col("_miss")).otherwise(0)).otherwise(F.col("_raw") - less)
+    return raw.withColumn("freq", freq.cast("long")).drop("_raw", "_miss", "_place", "_room")
+
+
+def table_cells(freqs: DataFrame, keys: list[str]) -> DataFrame:
+    """freqs with cell: the bytes of a symbol's gap and frequency in a serialised table."""
+    gap = F.col("sym") - F.coalesce(F.lag("sym").over(Window.partitionBy(*keys).orderBy("sym")), F.lit(-1)) - 1
+    return freqs.withColumn("gap", gap).withColumn("cell", F.expr(S.varint_size("gap") + " + " + S.varint_size("freq - 1"))).drop("gap")
+
+
 def context_cost(symbols: DataFrame, keys: list[str], domain: DataFrame) -> DataFrame:
     """keys, design, header_bytes, payload_bytes, total_bytes of coding under each context design.
 
-    symbols: keys, design, ctx, sym. domain: design, nctx. A context's header is a varint count and, per used symbol, a
-    varint gap and a varint of its count less one; an unused context costs one byte.
+    symbols: keys, design, ctx, sym. domain: design, nctx. Each context has a table of frequencies that add up to 4096: a
+    varint count and, per used symbol, a varint gap and a varint of its frequency less one; an unused context costs one
+    byte. The payload is what its symbols take under that table.
     """
-    hist = histogram(symbols, [*keys, "design", "ctx"])
-    before = Window.partitionBy(*keys, "design", "ctx").orderBy("sym")
-    cells = hist.withColumn("gap", F.col("sym") - F.coalesce(F.lag("sym").over(before), F.lit(-1)) - 1)
-    cells = cells.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "design", "ctx")))
-    each = cells.groupBy(*keys, "design", "ctx").agg(
-        F.sum(F.expr(S.varint_size("gap") + " + " + S.varint_size("n - 1"))).alias("table_bytes"),
-        F.count("*").alias("used"),
-        F.sum(-F.col("n") * F.log2(F.col("n") / F.col("total"))).alias("bits"),
-    )
-    each = each.withColumn("header", F.expr(f"table_bytes + {S.varint_size('used')}"))
+    own = [*keys, "design", "ctx"]
+    cells = table_cells(normalised(histogram(symbols, own), own), own)
+    each = cells.groupBy(*own).agg(F.sum("cell").alias("cells"), F.count("*").alias("used"), F.sum(-F.col("n") * F.log2(F.col("freq") / 4096.0)).alias("bits"))
+    each = each.withColumn("header", F.expr(f"cells + {S.varint_size('used')}"))
     sums = each.groupBy(*keys, "design").agg(F.sum("header").alias("h"), F.sum("bits").alias("bits"), F.count("*").alias("seen"))
     out = sums.join(F.broadcast(domain), "design")  # a row for each design
     return out.select(*keys, "design", (F.col("h") + F.col("nctx") - F.col("seen")).cast("long").alias("header_bytes"), F.round(F.col("bits") / 8, 4).alias("payload_bytes"), F.round(F.col("h") + F.col("nctx") - F.col("seen") + F.col("bits") / 8, 4).alias("total_bytes"))
@@ -61,10 +73,8 @@ def slot_table(freqs: DataFrame, keys: list[str], freq: str = "freq") -> DataFra
 
 
 def table_size(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, table_bytes: a serialised table of gaps and counts."""
-    before = Window.partitionBy(*keys).orderBy("sym")
-    cells = hist.withColumn("gap", F.col("sym") - F.coalesce(F.lag("sym").over(before), F.lit(-1)) - 1)
-    sums = cells.groupBy(*keys).agg(F.sum(F.expr(S.varint_size("gap") + " + " + S.varint_size("n - 1"))).alias("b"), F.count("*").alias("used"))
+    """keys, used, table_bytes: a serialised table of gaps and normalised frequencies."""
+    sums = table_cells(normalised(hist, keys), keys).groupBy(*keys).agg(F.sum("cell").alias("b"), F.count("*").alias("used"))
     return sums.select(*keys, "used", F.expr(f"CAST(b + {S.varint_size('used')} AS BIGINT)").alias("table_bytes"))
 
 

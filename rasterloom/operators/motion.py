@@ -62,13 +62,14 @@ def spatial_cost(cur: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 
 def search(cur: np.ndarray, ref: np.ndarray, block: int = BLOCK, reach: int = SEARCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """dy, dx (half samples) and cost of each block: all whole displacements, then the eight half steps around the best.
+    """dy, dx (half samples) and cost of each block: all whole displacements, then eight half steps.
 
-    Among equals the shortest vector wins, then the first in raster order; a half step must save more than HALF_BIAS.
+    Among equals the first in raster order wins. Each half step starts from the best vector so far and must save more
+    than HALF_BIAS against it.
     """
     h, w = cur.shape
     planes = phases(ref)
-    order = sorted(((y, x) for y in range(-reach, reach + 1) for x in range(-reach, reach + 1)), key=lambda v: (v[0] * v[0] + v[1] * v[1], v))
+    order = [(y, x) for y in range(-reach, reach + 1) for x in range(-reach, reach + 1)]
     best = dy = dx = None
     for vy, vx in order:
         y, x = np.clip(np.arange(h) + vy, 0, h - 1), np.clip(np.arange(w) + vx, 0, w - 1)
@@ -78,12 +79,10 @@ def search(cur: np.ndarray, ref: np.ndarray, block: int = BLOCK, reach: int = SE
         else:
             less = total < best
             best, dy, dx = np.where(less, total, best), np.where(less, 2 * vy, dy), np.where(less, 2 * vx, dx)
-    centre_y, centre_x, goal = dy.copy(), dx.copy(), best - HALF_BIAS
     for sy, sx in [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if y or x]:
-        total = block_sums(cost(cur, compensated(planes, centre_y + sy, centre_x + sx, (block, block))), block)
-        less = total < goal
-        goal, best = np.where(less, total, goal), np.where(less, total, best)
-        dy, dx = np.where(less, centre_y + sy, dy), np.where(less, centre_x + sx, dx)
+        total = block_sums(cost(cur, compensated(planes, dy + sy, dx + sx, (block, block))), block)
+        less = total + HALF_BIAS < best
+        best, dy, dx = np.where(less, total, best), np.where(less, dy + sy, dy), np.where(less, dx + sx, dx)
     return dy, dx, best
 
 
@@ -128,8 +127,8 @@ def displacement_costs(samples: DataFrame, reach: int, block: int) -> DataFrame:
 
 
 def best_displacement(costs: DataFrame) -> DataFrame:
-    """The cheapest vector of each block; among equals the shortest, then the first in raster order."""
-    rank = F.struct("cost", F.expr("dy * dy + dx * dx").alias("size"), "dy", "dx")
+    """The cheapest vector of each block; among equals the first in raster order."""
+    rank = F.struct("cost", "dy", "dx")
     return costs.groupBy("media_id", "frame_no", "brow", "bcol").agg(F.min(rank).alias("b")).select("media_id", "frame_no", "brow", "bcol", F.col("b.dy").alias("dy"), F.col("b.dx").alias("dx"), F.col("b.cost").alias("cost"))
 
 

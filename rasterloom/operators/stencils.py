@@ -70,7 +70,7 @@ def med_residuals(samples: DataFrame) -> DataFrame:
 
 def med_bundle(samples: DataFrame) -> DataFrame:
     """Residual symbols with activity, its bucket of 16 and the sign pattern of two differences."""
-    return med_residuals(samples).withColumn("activity", F.expr(S.activity())).withColumns({"bucket": F.expr(S.bucket("activity", S.ACTIVITY_LADDERS[16])), "signs": F.expr(S.sign_pattern("w - nw", "n - nw"))})
+    return med_residuals(samples).withColumn("activity", F.expr(S.activity())).withColumns({"bucket": F.expr(S.bucket("activity", S.ACTIVITY_LADDERS[16])), "signs": F.expr(S.sign_pattern())})
 
 
 def predictors(samples: DataFrame) -> DataFrame:

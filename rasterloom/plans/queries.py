@@ -15,12 +15,13 @@ from rasterloom.operators.stencils import neighbours
 from rasterloom.sources import rasters
 from rasterloom.sources.rasters import KEY, table
 
+from . import rules as R
 from . import sql, studies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-REACH, BLOCK, SMALL = 2, 8, (2, 16, 24)  # the small scene of the motion queries: frames, rows, columns
+REACH, BLOCK, SMALL = 2, 8, (2, 16, 24)  # a small scene for tests: frames, rows, columns
 PLANES = "media_id, frame_no, plane_no, y, x, v"
 
 
@@ -34,6 +35,9 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_COARSE = f"SELECT media_id, frame_no, plane_no, y, x, CAST(v // 64 AS INTEGER) AS v FROM ({sql.GRAY})"
+
+
 def small_scene(spark: SparkSession) -> DataFrame:
     return rasters.scene(spark, *SMALL)
 
@@ -89,7 +93,7 @@ def frame_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RGB_PIXELS = f"SELECT media_id, frame_no, y, x, max(CASE WHEN plane_no = 0 THEN v END) AS r, max(CASE WHEN plane_no = 1 THEN v END) AS g, max(CASE WHEN plane_no = 2 THEN v END) AS b FROM ({sql.RGB}) GROUP BY ALL"
 
 
-@query(" UNION ALL ".join(f"SELECT media_id, frame_no, {k} AS plane_no, y, x, CAST({e} AS INTEGER) AS v FROM ({_RGB_PIXELS})" for k, e in enumerate(S.rct_planes())))
+@query(" UNION ALL ".join(f"SELECT media_id, frame_no, {k} AS plane_no, y, x, CAST({e} AS INTEGER) AS v FROM ({_RGB_PIXELS})" for k, e in enumerate(R.rct_planes())))
 def rct_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.colour_planes(rasters.rgb(spark, sf_dir))
 
@@ -99,16 +103,16 @@ def rct_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.colour_planes(stencils.colour_planes(rasters.rgb(spark, sf_dir)), forward=False)
 
 
-@query(f"SELECT CAST(v AS INTEGER) AS v, CAST({S.centre('v')} AS INTEGER) AS centred, CAST({S.zigzag('v')} AS INTEGER) AS sym, CAST(v AS INTEGER) AS back FROM range(256) t(v)")
+@query(f"SELECT CAST(v AS INTEGER) AS v, CAST({R.centre('v')} AS INTEGER) AS centred, CAST({R.zigzag('v')} AS INTEGER) AS sym, CAST(v AS INTEGER) AS back FROM range(256) t(v)")
 def zigzag_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every residual, its symbol, and the residual of that symbol."""
     rows = spark.range(256).selectExpr("CAST(id AS INT) AS v").withColumns({"centred": F.expr(S.centre("v")), "sym": F.expr(S.zigzag("v"))})
     return rows.withColumn("back", F.expr(S.unzigzag("sym"))).select("v", "centred", "sym", "back")
 
 
-@query(f"SELECT a, b, CAST({S.residual_cost('a', 'b')} AS INTEGER) AS cost FROM (SELECT CAST(i AS INTEGER) AS a, CAST(j * 5 AS INTEGER) AS b FROM range(256) s(i), range(52) t(j))")
+@query(f"SELECT a, b, CAST({R.residual_cost('a', 'b')} AS INTEGER) AS cost FROM (SELECT CAST(i AS INTEGER) AS a, CAST(j * 5 AS INTEGER) AS b FROM range(256) s(i), range(52) t(j))")
 def residual_cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proxy cost from a literal table (here) against the thresholds of the same function (the oracle)."""
+    """The proxy cost from a literal table."""
     pairs = spark.range(256 * 52).selectExpr("CAST(id div 52 AS INT) AS a", "CAST(id % 52 * 5 AS INT) AS b")
     costs = F.array(*[F.lit(c) for c in S.COST])
     return pairs.select("a", "b", F.element_at(costs, F.expr(f"abs({S.centre('a - b')}) + 1")).alias("cost"))
@@ -147,10 +151,10 @@ def med_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.med_residuals(rasters.gray(spark, sf_dir)).select(*KEY, "y", "x", "v", "pred", "residual", "sym")
 
 
-_BUNDLE = f"SELECT *, {S.activity()} AS activity FROM ({sql.med(sql.GRAY)})"
+_BUNDLE = f"SELECT *, {R.activity()} AS activity FROM ({sql.med(sql.GRAY)})"
 
 
-@query(f"SELECT {sql.KEYS}, y, x, sym, activity, {S.bucket('activity', S.ACTIVITY_LADDERS[16])} AS bucket, {S.sign_pattern('w - nw', 'n - nw')} AS signs FROM ({_BUNDLE})")
+@query(f"SELECT {sql.KEYS}, y, x, sym, activity, {R.bucket('activity', R.LADDERS[16])} AS bucket, {R.signs()} AS signs FROM ({_BUNDLE})")
 def activity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.med_bundle(rasters.gray(spark, sf_dir)).select(*KEY, "y", "x", "sym", "activity", "bucket", "signs")
 
@@ -160,21 +164,23 @@ def predictor_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.predictors(rasters.gray(spark, sf_dir)).select(*KEY, "y", "x", "v", "activity", "predictor", "pred")
 
 
-@query(f"SELECT {sql.KEYS}, y, x, round({S.gap_float()}, 6) AS pred, {S.med('n', 'w', 'nw')} AS med FROM ({sql.near(sql.scene())}) WHERE y >= 2 AND x >= 2")
+@query(f"SELECT {sql.KEYS}, y, x, round({R.gap_float()}, 6) AS pred, {R.med('n', 'w', 'nw')} AS med FROM ({sql.near(sql.GRAY)}) WHERE y >= 2 AND x >= 2")
 def gap_real(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The real-valued gradient-adjusted prediction beside MED, inner samples."""
-    near = neighbours(rasters.scene(spark), second_ring=True).where("y >= 2 AND x >= 2")
+    near = neighbours(rasters.gray(spark, sf_dir), second_ring=True).where("y >= 2 AND x >= 2")
     return near.select(*KEY, "y", "x", F.round(F.expr(S.gap_float()), 6).alias("pred"), F.expr(S.med("n", "w", "nw")).alias("med"))
 
 
-@query(sql.phases(sql.scene(*SMALL)))
+@query(sql.phases(sql.CLIP))
 def half_sample_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stencils.half_sample_planes(small_scene(spark))
+    return stencils.half_sample_planes(rasters.clip(spark, sf_dir))
 
 
-@query(f"SELECT {sql.KEYS}, y, x, v, lag(CAST(y AS BIGINT) * 96 + x) OVER (PARTITION BY {sql.KEYS}, w, n, nw, ne ORDER BY CAST(y AS BIGINT) * 96 + x) AS match_pos FROM ({sql.near(sql.scene())}) WHERE y > 0 AND x > 0")
+@query(f"SELECT {sql.KEYS}, y, x, v, lag(CAST(y AS BIGINT) * 64 + x) OVER (PARTITION BY {sql.KEYS}, w, n, nw, ne ORDER BY CAST(y AS BIGINT) * 64 + x) AS match_pos FROM ({sql.near(_COARSE)}) WHERE y > 0 AND x > 0")
 def previous_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stencils.previous_occurrence(rasters.scene(spark), rasters.SCENE_COLUMNS).select(*KEY, "y", "x", "v", "match_pos")
+    """Where the same four neighbours stood before, in the gray raster of 4 levels."""
+    coarse = rasters.gray(spark, sf_dir).withColumn("v", F.expr("CAST(v div 64 AS INT)"))
+    return stencils.previous_occurrence(coarse, 64).select(*KEY, "y", "x", "v", "match_pos")
 
 
 # ---------------------------------------------------------------- entropy
@@ -205,7 +211,7 @@ def rct_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ERR = f"SELECT *, coalesce(lag(abs(residual)) OVER ({_ROW}), 0) + coalesce(lag(abs(residual)) OVER ({_COLUMN}), 0) AS err FROM ({_BUNDLE})"
-_CTX = f"{S.bucket('activity', S.ACTIVITY_LADDERS[8])} * 5 + {S.bucket('err', (2, 6, 15, 40))}"
+_CTX = f"{R.bucket('activity', R.CODEC_ACTIVITY)} * 7 + {R.bucket('err', R.CODEC_ERROR)}"
 
 
 def _conditional_sql(source: str, keys: str) -> str:
@@ -217,36 +223,38 @@ def _conditional_sql(source: str, keys: str) -> str:
 def conditional_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residual entropy given activity and the neighbours' residual sizes."""
     rows = stencils.med_bundle(rasters.gray(spark, sf_dir)).withColumn("size", F.abs("residual"))
-    rows = rows.withColumn("err", F.coalesce(F.lag("size").over(stencils.row_window()), F.lit(0)) + F.coalesce(F.lag("size").over(stencils.column_window()), F.lit(0)))
-    return entropy.conditional_entropy(rows.withColumn("ctx", F.expr(_CTX)), KEY)
+    return entropy.conditional_entropy(studies.with_error(rows, []), KEY)
+
+
+def _cross(source: str, keys: str = "") -> str:
+    """Rows (keys, plane, y, x, activity, sym) with their contexts beside luma."""
+    act = R.bucket("c.activity", R.LADDERS[12])
+    also = "".join(f" AND l.{k} = c.{k}" for k in keys.split(", ") if k)
+    return f"SELECT c.*, CASE WHEN c.plane_no = 0 THEN {act} ELSE {act} * 6 + {R.bucket('l.sym', R.LUMA)} END AS ctx FROM ({source}) c JOIN (SELECT * FROM ({source}) WHERE plane_no = 0) l ON l.media_id = c.media_id AND l.frame_no = c.frame_no AND l.y = c.y AND l.x = c.x{also}"
 
 
 def _cross_sql() -> str:
-    chroma = f"SELECT c.*, {S.bucket('c.activity', S.ACTIVITY_LADDERS[6])} * 6 + {S.bucket('abs(l.residual)', (1, 3, 8, 20, 45))} AS ctx FROM (SELECT *, {S.activity()} AS activity FROM ({sql.med(ORACLE['rct_forward'])}) WHERE plane_no > 0) c JOIN (SELECT * FROM ({sql.med(ORACLE['rct_forward'])}) WHERE plane_no = 0) l ON l.media_id = c.media_id AND l.frame_no = c.frame_no AND l.y = c.y AND l.x = c.x"
-    return _conditional_sql(chroma, sql.KEYS)
+    return _conditional_sql(_cross(f"SELECT *, {R.activity()} AS activity FROM ({sql.med(ORACLE['rct_forward'])})"), sql.KEYS)
 
 
 @query(_cross_sql())
 def cross_channel_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chroma residuals given activity and the luma residual at the same place."""
-    rows = stencils.med_bundle(stencils.colour_planes(rasters.rgb(spark, sf_dir)))
-    luma = rows.where("plane_no = 0").selectExpr("media_id", "frame_no", "y", "x", "abs(residual) AS luma")
-    both = rows.where("plane_no > 0").join(luma, ["media_id", "frame_no", "y", "x"])
-    ctx = f"{S.bucket('activity', S.ACTIVITY_LADDERS[6])} * 6 + {S.bucket('luma', (1, 3, 8, 20, 45))}"
-    return entropy.conditional_entropy(both.withColumn("ctx", F.expr(ctx)), KEY)
+    """Residuals given activity and, for chroma, the luma symbol at the same place."""
+    return entropy.conditional_entropy(studies.with_luma(stencils.med_bundle(stencils.colour_planes(rasters.rgb(spark, sf_dir))), []), KEY)
 
 
 def _cost_sql(source: str, keys: str, domain: dict[str, int]) -> str:
     """source: keys, design, ctx, sym."""
-    cells = f"SELECT *, sym - coalesce(lag(sym) OVER (PARTITION BY {keys}, design, ctx ORDER BY sym), -1) - 1 AS gap, sum(n) OVER (PARTITION BY {keys}, design, ctx) AS total FROM ({sql.hist(source, f'{keys}, design, ctx')})"
-    each = f"SELECT {keys}, design, ctx, sum({S.varint_size('gap')} + {S.varint_size('n - 1')}) AS tb, count(*) AS used, sum(-n * log2(n / total)) AS bits FROM ({cells}) GROUP BY {keys}, design, ctx"
-    sums = f"SELECT {keys}, design, sum(tb + {S.varint_size('used')}) AS h, sum(bits) AS bits, count(*) AS seen FROM ({each}) GROUP BY {keys}, design"
+    own = f"{keys}, design, ctx"
+    cells = f"SELECT *, sym - coalesce(lag(sym) OVER (PARTITION BY {own} ORDER BY sym), -1) - 1 AS gap FROM ({R.normalised(sql.hist(source, own), own)})"
+    each = f"SELECT {own}, sum({R.varint_size('gap')} + {R.varint_size('freq - 1')}) AS tb, count(*) AS used, sum(-n * log2(freq / 4096.0)) AS bits FROM ({cells}) GROUP BY {own}"
+    sums = f"SELECT {keys}, design, sum(tb + {R.varint_size('used')}) AS h, sum(bits) AS bits, count(*) AS seen FROM ({each}) GROUP BY {keys}, design"
     sizes = ", ".join(f"('{d}', {n})" for d, n in domain.items())
     return f"SELECT {keys}, s.design, CAST(h + nctx - seen AS BIGINT) AS header_bytes, round(bits / 8, 4) AS payload_bytes, round(h + nctx - seen + bits / 8, 4) AS total_bytes FROM ({sums}) s JOIN (VALUES {sizes}) d(design, nctx) ON d.design = s.design"
 
 
-_DESIGN_SQL = " UNION ALL ".join(f"SELECT {sql.KEYS}, '{d}' AS design, {e} AS ctx, sym FROM ({_BUNDLE})" for d, (_, e) in studies.DESIGNS.items())
-_DESIGN_SIZES = {d: n for d, (n, _) in studies.DESIGNS.items()}
+_DESIGN_SQL = " UNION ALL ".join(f"SELECT {sql.KEYS}, '{d}' AS design, {e} AS ctx, sym FROM ({_BUNDLE})" for d, (_, e) in R.designs().items())
+_DESIGN_SIZES = {d: n for d, (n, _) in R.designs().items()}
 
 
 @query(_cost_sql(_DESIGN_SQL, sql.KEYS, _DESIGN_SIZES))
@@ -260,25 +268,28 @@ def best_context_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.best_design(studies.context_designs(rasters.gray(spark, sf_dir)))
 
 
-_PREDICTOR_SQL = f"SELECT {sql.KEYS}, predictor AS design, {S.bucket('activity', S.ACTIVITY_LADDERS[8])} AS ctx, {S.zigzag('v - pred')} AS sym FROM ({sql.predictors(sql.scene())})"
+_PREDICTED = f"SELECT *, {R.zigzag('v - pred')} AS sym FROM ({sql.predictors(ORACLE['rct_forward'])})"
+_PREDICTOR_SQL = f"SELECT {sql.KEYS}, predictor AS design, {R.bucket('activity', R.LADDERS[12])} AS ctx, sym FROM ({_PREDICTED})"
+_CROSS_SQL = f"SELECT {sql.KEYS}, predictor || '_cross/' || CASE WHEN plane_no = 0 THEN 'luma' ELSE 'chroma' END AS design, ctx, sym FROM ({_cross(_PREDICTED, 'predictor')}) WHERE predictor IN ('med', 'gap')"
+_CROSS_SIZES = {f"{p}_cross/{k}": n for p in ("med", "gap") for k, n in (("luma", 12), ("chroma", 72))}
 
 
-@query(_cost_sql(_PREDICTOR_SQL, sql.KEYS, {p: 8 for p in studies.PREDICTORS}).replace(".design", ".design"))
+@query(f"{_cost_sql(_PREDICTOR_SQL, sql.KEYS, {p: 12 for p in ('average', 'planar', 'med', 'gap', 'med_gap')})} UNION ALL SELECT {sql.KEYS}, split_part(design, '/', 1) AS design, header_bytes, payload_bytes, total_bytes FROM ({_cost_sql(_CROSS_SQL, sql.KEYS, _CROSS_SIZES)})")
 def predictor_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each predictor's residuals take under eight activity contexts."""
-    return studies.predictor_costs(rasters.scene(spark))
+    """What each predictor's residuals take under twelve activity contexts, and beside luma."""
+    return studies.predictor_costs(stencils.colour_planes(rasters.rgb(spark, sf_dir)))
 
 
 @query()
 def headroom_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MED, real-valued GAP and the least-squares linear predictor of each plane, and their conditional entropy."""
-    return studies.headroom(rasters.scene(spark))
+    return studies.headroom(rasters.gray(spark, sf_dir))
 
 
 @query()
 def least_squares_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the least-squares predictor, from sums of products that Spark adds up."""
-    return studies.least_squares(rasters.scene(spark))
+    return studies.least_squares(rasters.gray(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- tables and static coders
@@ -291,27 +302,38 @@ def cumulative_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.cumulative(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"])
 
 
-@query(f"SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY sym, pos) - 1 AS BIGINT) AS slot, sym FROM ({sql.BYTES})")
+_BYTE_FREQ = R.normalised(_BYTE_HIST, "media_id")
+
+
+@query(f"SELECT media_id, sym, CAST(freq AS BIGINT) AS slots, CAST(sum(freq) OVER (PARTITION BY media_id ORDER BY sym) - freq AS BIGINT) AS first_slot, CAST(sum(freq) OVER (PARTITION BY media_id ORDER BY sym) - 1 AS BIGINT) AS last_slot FROM ({_BYTE_FREQ})")
 def slot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entropy.slot_table(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"], "n")
+    """The decoder's table of 4096 slots, as the slots that each symbol has."""
+    freq = entropy.normalised(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"])
+    return entropy.slot_table(freq, ["media_id"]).groupBy("media_id", "sym").agg(F.count("*").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
 
 
-@query(f"SELECT media_id, count(*) AS used, CAST(sum({S.varint_size('gap')} + {S.varint_size('n - 1')}) + {S.varint_size('count(*)')} AS BIGINT) AS table_bytes FROM (SELECT *, sym - coalesce(lag(sym) OVER (PARTITION BY media_id ORDER BY sym), -1) - 1 AS gap FROM ({_BYTE_HIST})) GROUP BY media_id")
+@query(f"SELECT media_id, count(*) AS used, CAST(sum({R.varint_size('gap')} + {R.varint_size('freq - 1')}) + {R.varint_size('count(*)')} AS BIGINT) AS table_bytes FROM (SELECT *, sym - coalesce(lag(sym) OVER (PARTITION BY media_id ORDER BY sym), -1) - 1 AS gap FROM ({_BYTE_FREQ})) GROUP BY media_id")
 def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.table_size(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"])
 
 
-@query(f"SELECT media_id, CAST(count(*) AS BIGINT) AS used, CAST(4096 AS BIGINT) AS total, true AS kept FROM ({_BYTE_HIST}) GROUP BY media_id")
+@query(f"SELECT media_id, sym, CAST(freq AS BIGINT) AS freq FROM ({_BYTE_FREQ})")
 def normalised_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequency tables scaled to 4096: used symbols, sum, and whether every used symbol kept a frequency."""
-    freq = studies.normalised(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), "media_id")
-    return freq.groupBy("media_id").agg(F.count("*").alias("used"), F.sum("freq").cast("long").alias("total"), (F.min("freq") > 0).alias("kept"))
+    """Frequency tables scaled to 4096, as the coders make them."""
+    return studies.normalised(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), "media_id")
 
 
 @query()
 def static_coder_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Huffman and rANS sizes of each text: coded, and estimated from the histogram."""
-    return studies.coder_sizes(rasters.text_bytes(spark, sf_dir))
+    return studies.coder_sizes(rasters.texts(spark, sf_dir)).withColumn("rans_estimate", F.round("rans_estimate", 3))
+
+
+@query(f"SELECT media_id, round(sum(-n * log2(freq / 4096.0)) / 8, 2) AS estimate, CAST(sum(n) AS BIGINT) AS symbols FROM ({_BYTE_FREQ}) GROUP BY media_id")
+def static_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the static coder's estimate says of each text."""
+    sizes = studies.coder_sizes(rasters.texts(spark, sf_dir).where("octet_length(data) > 0"))
+    return sizes.select("media_id", F.round("rans_estimate", 2).alias("estimate"), "symbols")
 
 
 @query(f"SELECT media_id, CAST(count(*) AS BIGINT) AS used, true AS complete FROM ({_BYTE_HIST}) GROUP BY media_id HAVING count(*) > 1")
@@ -323,21 +345,35 @@ def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.where("used > 1").select("media_id", "used", ((F.col("filled") == 1 << 15) & (F.col("apart") == F.col("used"))).alias("complete"))
 
 
-@query(f"SELECT media_id, pos, sym FROM ({sql.BYTES})")
+#: Digests of what was decoded, and whether the coded bytes lie between the entropy and the escape from it.
+_DECODED = f"SELECT CAST(doc_id AS VARCHAR) AS media_id, CAST(strlen(text) AS BIGINT) AS symbols, md5(text) AS digest, true AS in_bounds FROM documents WHERE text IS NOT NULL"
+
+
+def _decoded(spark: SparkSession, sf_dir: str, coder: str) -> DataFrame:
+    texts = rasters.texts(spark, sf_dir)
+    least = entropy.entropy(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"]).select("media_id", "entropy_bytes")
+    back = studies.roundtrip(texts, coder).join(least, "media_id", "left")
+    # A coder with one table can't take less than the entropy; an adaptive one can where a text changes.
+    least_bytes = F.coalesce("entropy_bytes", F.lit(0.0)) - 1 if coder != "bits" else F.lit(0)
+    bounds = (F.col("n_bytes") >= least_bytes) & (F.col("n_bytes") <= F.coalesce(F.col("entropy_bytes") * 1.1, F.lit(0.0)) + 1024)
+    return back.select("media_id", F.octet_length("data").cast("long").alias("symbols"), F.md5("data").alias("digest"), bounds.alias("in_bounds"))
+
+
+@query(_DECODED)
 def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of each text through Huffman coding and back."""
-    return studies.roundtrip(rasters.text_bytes(spark, sf_dir), "huffman")
+    """Each text through Huffman coding and back."""
+    return _decoded(spark, sf_dir, "huffman")
 
 
-@query(f"SELECT media_id, pos, sym FROM ({sql.BYTES})")
+@query(_DECODED)
 def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.roundtrip(rasters.text_bytes(spark, sf_dir), "rans")
+    return _decoded(spark, sf_dir, "rans")
 
 
-@query(f"SELECT media_id, pos, sym FROM ({sql.BYTES})")
+@query(_DECODED)
 def range_coder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through the adaptive binary range coder, each byte as a tree of eight decisions."""
-    return studies.roundtrip(rasters.text_bytes(spark, sf_dir), "bits")
+    return _decoded(spark, sf_dir, "bits")
 
 
 # ---------------------------------------------------------------- the adaptive codec
@@ -360,9 +396,7 @@ def clip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     A stream's frames have one size: a short last frame is coded with rows of 0 below, which are cut off again.
     """
     planes = rasters.pack(rasters.clip(spark, sf_dir).unionAll(rasters.scene(spark)))
-    full = planes.groupBy("media_id", "plane_no").agg(F.max("height").alias("full"))
-    padded = planes.join(full, ["media_id", "plane_no"]).select("media_id", "frame_no", "plane_no", "width", F.col("full").alias("height"), F.expr("rpad(data, width * full, X'00')").alias("data"))
-    back = codec.decode_media(codec.encode_media(padded)).drop("height").join(planes.select(*KEY, "height"), KEY)
+    back = codec.decode_media(codec.encode_media(studies.padded(planes))).drop("height").join(planes.select(*KEY, "height"), KEY)
     return rasters.unpack(back.withColumn("data", F.expr("substring(data, 1, width * height)")))
 
 
@@ -389,7 +423,7 @@ def verify_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def compression_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven rungs from raw samples to the adaptive codec, with what each saves against the one before."""
-    return studies.ladder(spark, rasters.scene(spark, 1, 96, 128))
+    return studies.ladder(rasters.rgb(spark, sf_dir))
 
 
 @query()
@@ -407,12 +441,12 @@ def codec_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid of block sizes and move penalties, the five best by motion cost."""
-    return studies.sweep(spark, rasters.pack(rasters.scene(spark, 2)))
+    return studies.sweep(spark, rasters.pack(rasters.clip(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- motion
 
-_SMALL = sql.scene(*SMALL)
+_SMALL = sql.CLIP
 
 
 @query(f"SELECT media_id, frame_no, CAST(y // {BLOCK} AS INTEGER) AS brow, CAST(x // {BLOCK} AS INTEGER) AS bcol, CAST(sum(v) AS BIGINT) AS total FROM ({sql.CLIP}) GROUP BY ALL")
@@ -422,21 +456,21 @@ def block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.displacement_costs(_SMALL, REACH, BLOCK))
 def displacement_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.displacement_costs(small_scene(spark), REACH, BLOCK)
+    return motion.displacement_costs(rasters.clip(spark, sf_dir), REACH, BLOCK)
 
 
 @query(sql.best_displacement(sql.displacement_costs(_SMALL, REACH, BLOCK)))
 def best_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.best_displacement(motion.displacement_costs(small_scene(spark), REACH, BLOCK))
+    return motion.best_displacement(motion.displacement_costs(rasters.clip(spark, sf_dir), REACH, BLOCK))
 
 
 @query(sql.spatial(_SMALL, BLOCK))
 def spatial_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.spatial_costs(stencils.med_residuals(small_scene(spark)), BLOCK)
+    return motion.spatial_costs(stencils.med_residuals(rasters.clip(spark, sf_dir)), BLOCK)
 
 
-def _modes(spark: SparkSession) -> DataFrame:
-    small = small_scene(spark)
+def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = rasters.clip(spark, sf_dir)
     return motion.block_modes(motion.best_displacement(motion.displacement_costs(small, REACH, BLOCK)), motion.spatial_costs(stencils.med_residuals(small), BLOCK))
 
 
@@ -445,7 +479,7 @@ _MODES = sql.block_modes(_SMALL, REACH, BLOCK, motion.MOVE_PENALTY)
 
 @query(_MODES)
 def block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _modes(spark)
+    return _modes(spark, sf_dir)
 
 
 def _vectors_sql() -> str:
@@ -458,19 +492,19 @@ def _vectors_sql() -> str:
 
 @query(_vectors_sql())
 def vector_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.vector_predictions(_modes(spark))
+    return motion.vector_predictions(_modes(spark, sf_dir))
 
 
 @query(f"WITH s AS ({_SMALL}), z AS (SELECT max(y) AS ym, max(x) AS xm FROM s), b AS ({_MODES}), p AS ({sql.phases(_SMALL)}) SELECT s.media_id, s.frame_no, s.plane_no, s.y, s.x, s.v, p.v AS moved FROM s CROSS JOIN z JOIN b ON b.frame_no = s.frame_no AND b.brow = s.y // {BLOCK} AND b.bcol = s.x // {BLOCK} JOIN p ON p.frame_no = s.frame_no - 1 AND p.phase = 2 * (dy & 1) + (dx & 1) AND p.y = greatest(0, least(ym, s.y + (dy >> 1))) AND p.x = greatest(0, least(xm, s.x + (dx >> 1)))")
 def moved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sample with the one its block's vector (taken in half samples) points at."""
-    return motion.moved_samples(small_scene(spark), _modes(spark), BLOCK)
+    return motion.moved_samples(rasters.clip(spark, sf_dir), _modes(spark, sf_dir), BLOCK)
 
 
 @query()
 def motion_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production search, one task per frame pair: mode, vector and costs of each block."""
-    return studies.searched(rasters.pack(rasters.scene(spark)))
+    return studies.searched(rasters.pack(rasters.clip(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- harness

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from rasterloom.functions import samples as S
-from rasterloom.sources.rasters import CLIP_END, CLIP_ROWS, SCENE_COLUMNS, SCENE_FRAMES, SCENE_ROWS, SCENE_VALUE
+from . import rules as R
+
+CLIP_ROWS, SCENE_FRAMES, SCENE_ROWS, SCENE_COLUMNS = 50, 4, 64, 96
+SCENE_VALUE = R.byte("CAST(floor(u * 3 / 2.0) AS INTEGER) + CAST(floor(t / 2.0) AS INTEGER) + CAST(floor(u * t / 128.0) AS INTEGER) + CASE WHEN u + t > 90 THEN 40 ELSE 0 END + CAST(floor((u * 7919 + t * 104729 + u * t * 31) / 16.0) AS INTEGER) % 4")
 
 KEYS = "media_id, frame_no, plane_no"
 
 _Q = "CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 0.5) * 255))) AS INTEGER)"
 GRAY = f"SELECT 'gray' AS media_id, 0 AS frame_no, 0 AS plane_no, CAST(vec_id AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x, {_Q} AS v FROM embeddings, range(1, 65) r(i)"
-RGB = f"SELECT 'rgb' AS media_id, 0 AS frame_no, CAST((i - 1) % 3 AS INTEGER) AS plane_no, CAST(vec_id AS INTEGER) AS y, CAST((i - 1) // 3 AS INTEGER) AS x, {_Q} AS v FROM embeddings, range(1, 64) r(i)"
-CLIP = f"SELECT 'clip' AS media_id, CAST(vec_id // {CLIP_ROWS} AS INTEGER) AS frame_no, 0 AS plane_no, CAST(vec_id % {CLIP_ROWS} AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x, {_Q} AS v FROM embeddings, range(1, 65) r(i) WHERE vec_id < {CLIP_END}"
+RGB = f"SELECT 'rgb' AS media_id, 0 AS frame_no, CAST((i - 1) % 3 AS INTEGER) AS plane_no, CAST(vec_id AS INTEGER) AS y, CAST((i - 1) // 3 AS INTEGER) AS x, CAST(least(255, greatest(0, floor((coalesce(CAST(embedding[i] AS DOUBLE), 0) + 0.5) * 255))) AS INTEGER) AS v FROM embeddings, range(1, 67) r(i)"
+CLIP = f"SELECT 'clip' AS media_id, CAST(vec_id // {CLIP_ROWS} AS INTEGER) AS frame_no, 0 AS plane_no, CAST(vec_id % {CLIP_ROWS} AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x, {_Q} AS v FROM embeddings, range(1, 65) r(i)"
 
 
 def scene(frames: int = SCENE_FRAMES, rows: int = SCENE_ROWS, columns: int = SCENE_COLUMNS) -> str:
@@ -20,7 +22,7 @@ def scene(frames: int = SCENE_FRAMES, rows: int = SCENE_ROWS, columns: int = SCE
     )
 
 
-BYTES = "SELECT CAST(item_id AS VARCHAR) AS media_id, i - 1 AS pos, CAST(('0x' || substr(h, CAST(2 * i - 1 AS INTEGER), 2)) AS INTEGER) AS sym FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark WHERE text IS NOT NULL) b, LATERAL (SELECT unnest(range(1, CAST(length(h) // 2 + 1 AS BIGINT))) AS i) u"
+BYTES = "SELECT CAST(doc_id AS VARCHAR) AS media_id, i - 1 AS pos, CAST(('0x' || substr(h, CAST(2 * i - 1 AS INTEGER), 2)) AS INTEGER) AS sym FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL) b, LATERAL (SELECT unnest(range(1, CAST(length(h) // 2 + 1 AS BIGINT))) AS i) u"
 
 
 def near(source: str) -> str:
@@ -35,7 +37,7 @@ def near(source: str) -> str:
 
 def med(source: str) -> str:
     """Neighbours with pred, residual and sym."""
-    return f"SELECT *, {S.zigzag('residual')} AS sym FROM (SELECT *, {S.centre('v - pred')} AS residual FROM (SELECT *, {S.at_edges(S.med('n', 'w', 'nw'))} AS pred FROM ({near(source)})))"
+    return f"SELECT *, {R.zigzag('residual')} AS sym FROM (SELECT *, {R.centre('v - pred')} AS residual FROM (SELECT *, {R.at_edges(R.med('n', 'w', 'nw'))} AS pred FROM ({near(source)})))"
 
 
 def entropy(hist: str, keys: str) -> str:
@@ -51,32 +53,32 @@ def hist(source: str, keys: str, sym: str = "sym") -> str:
 
 def predictors(source: str) -> str:
     clip = "greatest(0, least(255, {}))"
-    choices = {"average": S.average("n", "w"), "planar": S.planar("n", "w", "nw"), "med": "p_med", "gap": clip.format("p_gap"), "med_gap": clip.format("(p_med + p_gap) >> 1")}
-    base = f"SELECT *, {S.med('n', 'w', 'nw')} AS p_med, {S.gap()} AS p_gap FROM ({near(source)})"
-    return " UNION ALL ".join(f"SELECT {KEYS}, y, x, v, {S.activity()} AS activity, '{k}' AS predictor, {S.at_edges(e)} AS pred FROM ({base})" for k, e in choices.items())
+    choices = {"average": R.average("n", "w"), "planar": R.planar("n", "w", "nw"), "med": "p_med", "gap": clip.format("p_gap"), "med_gap": clip.format(R.half("p_med + p_gap"))}
+    base = f"SELECT *, {R.med('n', 'w', 'nw')} AS p_med, {R.gap()} AS p_gap FROM ({near(source)})"
+    return " UNION ALL ".join(f"SELECT {KEYS}, y, x, v, {R.activity()} AS activity, '{k}' AS predictor, {R.at_edges(e)} AS pred FROM ({base})" for k, e in choices.items())
 
 
 def phases(source: str) -> str:
     col, row = f"PARTITION BY {KEYS}, x ORDER BY y", f"PARTITION BY {KEYS}, y ORDER BY x"
     base = f"SELECT *, coalesce(lead(r_) OVER (PARTITION BY {KEYS}, x ORDER BY y), r_) AS rd_ FROM (SELECT *, coalesce(lead(v) OVER ({row}), v) AS r_, coalesce(lead(v) OVER ({col}), v) AS d_ FROM ({source}))"
-    parts = ["v", "(v + r_ + 1) >> 1", "(v + d_ + 1) >> 1", "(v + r_ + d_ + rd_ + 2) >> 2"]
+    parts = ["v", R.half("v + r_ + 1"), R.half("v + d_ + 1"), R.half("v + r_ + d_ + rd_ + 2", 4)]
     return " UNION ALL ".join(f"SELECT {KEYS}, y, x, {k} AS phase, CAST({e} AS INTEGER) AS v FROM ({base})" for k, e in enumerate(parts))
 
 
 def displacement_costs(source: str, reach: int, block: int) -> str:
     return (
         f"WITH s AS ({source}), z AS (SELECT media_id AS zm, max(y) AS ym, max(x) AS xm FROM s GROUP BY media_id), d AS (SELECT CAST(a.i AS INTEGER) AS dy, CAST(b.i AS INTEGER) AS dx FROM range({-reach}, {reach + 1}) a(i), range({-reach}, {reach + 1}) b(i))"
-        f" SELECT c.media_id, c.frame_no, CAST(c.y // {block} AS INTEGER) AS brow, CAST(c.x // {block} AS INTEGER) AS bcol, d.dy, d.dx, CAST(sum({S.residual_cost('c.v', 'r.v')}) AS BIGINT) AS cost"
+        f" SELECT c.media_id, c.frame_no, CAST(c.y // {block} AS INTEGER) AS brow, CAST(c.x // {block} AS INTEGER) AS bcol, d.dy, d.dx, CAST(sum({R.residual_cost('c.v', 'r.v')}) AS BIGINT) AS cost"
         " FROM s c JOIN z ON z.zm = c.media_id CROSS JOIN d JOIN s r ON r.media_id = c.media_id AND r.frame_no = c.frame_no - 1 AND r.y = greatest(0, least(ym, c.y + dy)) AND r.x = greatest(0, least(xm, c.x + dx)) GROUP BY ALL"
     )
 
 
 def best_displacement(costs: str) -> str:
-    return f"SELECT media_id, frame_no, brow, bcol, dy, dx, cost FROM (SELECT *, row_number() OVER (PARTITION BY media_id, frame_no, brow, bcol ORDER BY cost, dy * dy + dx * dx, dy, dx) AS k FROM ({costs})) WHERE k = 1"
+    return f"SELECT media_id, frame_no, brow, bcol, dy, dx, cost FROM (SELECT *, row_number() OVER (PARTITION BY media_id, frame_no, brow, bcol ORDER BY cost, dy, dx) AS k FROM ({costs})) WHERE k = 1"
 
 
 def spatial(source: str, block: int) -> str:
-    return f"SELECT media_id, frame_no, CAST(y // {block} AS INTEGER) AS brow, CAST(x // {block} AS INTEGER) AS bcol, CAST(sum({S.residual_cost('v', 'pred')}) AS BIGINT) AS spatial FROM ({med(source)}) GROUP BY ALL"
+    return f"SELECT media_id, frame_no, CAST(y // {block} AS INTEGER) AS brow, CAST(x // {block} AS INTEGER) AS bcol, CAST(sum({R.residual_cost('v', 'pred')}) AS BIGINT) AS spatial FROM ({med(source)}) GROUP BY ALL"
 
 
 def block_modes(source: str, reach: int, block: int, penalty: int) -> str:

@@ -22,17 +22,12 @@ KINDS = {"image": ("png", "ppm", "pgm"), "clip": ("y4m", "mp4", "mkv")}
 # ---------------------------------------------------------------- context designs
 
 _BUCKETS = {n: S.bucket("activity", e) for n, e in S.ACTIVITY_LADDERS.items()}
-_FINE = {24: tuple(round(1.26**k + k / 2) for k in range(23)), 32: tuple(round(1.2**k + k / 2) for k in range(31))}
-_LEVELS = tuple(S.gradient_level(d) for d in ("(ne - n)", "(n - nw)", "(nw - w)"))
-_SIGNED = f"(81 * ({_LEVELS[0]}) + 9 * ({_LEVELS[1]}) + {_LEVELS[2]})"
 #: Name to (contexts, expression) over the columns of stencils.med_bundle.
 DESIGNS: dict[str, tuple[int, str]] = {
     "one": (1, "0"),
-    **{f"act{n}": (n, e) for n, e in _BUCKETS.items() if n in (4, 8, 12, 16)},
-    **{f"act{n}": (n, S.bucket("activity", e)) for n, e in _FINE.items()},
-    "act8_signs": (72, f"{_BUCKETS[8]} * 9 + {S.sign_pattern('w - nw', 'n - nw')}"),
-    "act12_signs": (108, f"{_BUCKETS[12]} * 9 + {S.sign_pattern('w - nw', 'n - nw')}"),
-    "gradients": (365, f"abs({_SIGNED})"),  # three quantised gradients, folded by sign
+    **{f"act{n}": (n, _BUCKETS[n]) for n in (4, 8, 12, 16, 24, 32)},
+    **{f"act{n}_signs": (9 * n, f"{_BUCKETS[n]} * 9 + {S.sign_pattern()}") for n in (8, 12)},
+    "gradients": (365, S.gradient_triple()),
 }
 PREDICTORS = ("average", "planar", "med", "gap", "med_gap")
 
@@ -54,9 +49,28 @@ def best_design(costs: DataFrame) -> DataFrame:
     return best.select(*KEY, F.col("b.design").alias("design"), F.col("b.total_bytes").alias("total_bytes"))
 
 
+CROSS = 6 * 12
+
+
+def with_luma(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, media_id, frame_no, plane_no, y, x, activity, sym) with ctx: twelve activities, for chroma times six
+    sizes of the luma symbol at the same place."""
+    at = [*dict.fromkeys([*keys, "media_id", "frame_no"]), "y", "x"]
+    luma = rows.where("plane_no = 0").select(*at, F.col("sym").alias("luma"))
+    ctx = S.bucket("activity", S.ACTIVITY_LADDERS[12])
+    return rows.join(luma, at).withColumn("ctx", F.expr(f"CASE WHEN plane_no = 0 THEN {ctx} ELSE {ctx} * 6 + {S.bucket('luma', S.LUMA)} END"))
+
+
 def predictor_costs(samples: DataFrame) -> DataFrame:
-    rows = stencils.predictors(samples).withColumn("ctx", F.expr(S.bucket("activity", S.ACTIVITY_LADDERS[8]))).withColumnRenamed("predictor", "design")
-    return entropy.context_cost(rows.select(*KEY, "design", "ctx", "sym"), KEY, _domain(samples.sparkSession, {p: 8 for p in PREDICTORS}))
+    """Costs of each predictor's residuals under twelve activities by plane, and of MED's and GAP's beside luma (cross)."""
+    rows = stencils.predictors(samples).withColumnRenamed("predictor", "design")
+    plain = rows.withColumn("ctx", F.expr(S.bucket("activity", S.ACTIVITY_LADDERS[12]))).select(*KEY, "design", "ctx", "sym")
+    cross = with_luma(rows.where("design IN ('med', 'gap')"), ["design"]).select(*KEY, F.concat("design", F.lit("_cross")).alias("design"), "ctx", "sym")
+    spark = samples.sparkSession
+    sized = entropy.context_cost(plain, KEY, _domain(spark, {p: 12 for p in PREDICTORS}))
+    both = cross.select(*KEY, F.concat("design", F.when(F.col("plane_no") == 0, "/luma").otherwise("/chroma")).alias("design"), "ctx", "sym")
+    crossed = entropy.context_cost(both, KEY, _domain(spark, {f"{p}_cross/{k}": n for p in ("med", "gap") for k, n in (("luma", 12), ("chroma", CROSS))}))
+    return sized.unionAll(crossed.withColumn("design", F.substring_index("design", "/", 1)))
 
 
 # ---------------------------------------------------------------- headroom
@@ -89,13 +103,22 @@ def least_squares(samples: DataFrame) -> DataFrame:
 
 def headroom(samples: DataFrame) -> DataFrame:
     """Conditional entropy of four predictors' residuals over inner samples."""
-    near = stencils.neighbours(samples, second_ring=True).withColumn("activity", F.expr(S.activity())).where("y >= 2 AND x >= 2").join(least_squares(samples), KEY)
+    near = stencils.neighbours(samples, second_ring=True).withColumn("activity", F.expr(S.activity())).where("y >= 2 AND x >= 2").join(least_squares(samples), KEY)  # a row of weights a plane
     linear = " + ".join(f"weights[{k}] * {t}" for k, t in enumerate(TAPS))
     med = S.med("n", "w", "nw")
     clip = "greatest(0, least(255, CAST(bround({}) AS INT)))"
     stack = ", ".join(f"'{n}', {e}" for n, e in {"med": med, "gap": clip.format(S.gap_float()), "linear": clip.format(linear), "med_linear": clip.format(f"({med} + {linear}) / 2")}.items())
-    rows = near.selectExpr(*KEY, "v", "activity", f"stack(4, {stack}) AS (predictor, pred)").withColumns({"sym": F.expr(S.zigzag("v - pred")), "ctx": F.expr(S.bucket("activity", S.ACTIVITY_LADDERS[12]))})
-    return entropy.conditional_entropy(rows, [*KEY, "predictor"])
+    rows = near.selectExpr(*KEY, "y", "x", "v", "activity", f"stack(4, {stack}) AS (predictor, pred)").withColumns({"sym": F.expr(S.zigzag("v - pred")), "size": F.expr(f"abs({S.centre('v - pred')})")})
+    return entropy.conditional_entropy(with_error(rows, ["predictor"]), [*KEY, "predictor"])
+
+
+def with_error(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with activity and size (of the residual), and ctx: the adaptive codec's activity times the sizes of the
+    residuals to the left and above."""
+    left, up = (Window.partitionBy(*keys, *KEY, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
+    err = F.coalesce(F.lag("size").over(left), F.lit(0)) + F.coalesce(F.lag("size").over(up), F.lit(0))
+    ctx = f"{S.bucket('activity', S.CODEC_ACTIVITY)} * {len(S.CODEC_ERROR) + 1} + {S.bucket('err', S.CODEC_ERROR)}"
+    return rows.withColumn("err", err).withColumn("ctx", F.expr(ctx))
 
 
 # ---------------------------------------------------------------- static coders
@@ -136,56 +159,69 @@ def huffman_lengths(hist: DataFrame, key: str) -> DataFrame:
     return _per_group(hist, key, make, f"{key} string, sym int, len int")
 
 
-def _symbols(rows: pa.Table) -> np.ndarray:
-    return rows.column("sym").to_numpy()[np.argsort(rows.column("pos").to_numpy())].astype(np.int64)
+def _each_text(texts: DataFrame, make, schema: str) -> DataFrame:
+    """Applies make to (media_id, data) rows one text at a time; it returns the other columns' values."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+        for batch in batches:
+            rows = [(k, *make(np.frombuffer(d, np.uint8).astype(np.int64))) for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            columns = zip(*rows) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "))], names=names)
 
-def coder_sizes(symbols: DataFrame) -> DataFrame:
+    return texts.select("media_id", "data").mapInArrow(apply, schema)
+
+
+def coder_sizes(texts: DataFrame) -> DataFrame:
     """Per media_id: symbols, Huffman and rANS bytes (tables included), and the rANS estimate."""
 
-    def make(k: str, rows: pa.Table) -> pa.Table:
-        s = _symbols(rows)
+    def make(s: np.ndarray) -> tuple:
+        if not len(s):
+            return 0, 0, 0, 0.0
         hist = np.bincount(s, minlength=256)
         freq = coders.normalise(hist)
         rans = len(coders.write_table(freq)) + len(coders.rans_encode(s, freq))
-        values = {"media_id": pa.array([k]), "symbols": pa.array([len(s)], pa.int64()), "huffman_bytes": pa.array([len(coders.huffman_encode(s))], pa.int64()), "rans_bytes": pa.array([rans], pa.int64()), "rans_estimate": pa.array([round(coders.estimate_bits(hist, freq) / 8, 3)])}
-        return pa.table(values)
+        return len(s), len(coders.huffman_encode(s)), rans, coders.estimate_bits(hist, freq) / 8
 
-    return _per_group(symbols, "media_id", make, "media_id string, symbols long, huffman_bytes long, rans_bytes long, rans_estimate double")
+    return _each_text(texts, make, "media_id string, symbols long, huffman_bytes long, rans_bytes long, rans_estimate double")
 
 
-def _bits_there_and_back(s: np.ndarray) -> np.ndarray:
+def _bits_there_and_back(s: np.ndarray) -> tuple[bytes, np.ndarray]:
     coder, bank = coders.BitEncoder(), [32768] * 256
     for v in s.tolist():
         node = 1
         for k in range(7, -1, -1):
             coder.bit(bank, node, v >> k & 1)
             node = node << 1 | v >> k & 1
-    reader, bank, out = coders.BitDecoder(coder.finish()), [32768] * 256, []
+    blob = coder.finish()
+    reader, bank, out = coders.BitDecoder(blob), [32768] * 256, []
     for _ in range(len(s)):
         node = 1
         for _ in range(8):
             node = node << 1 | reader.bit(bank, node)
         out.append(node - 256)
-    return np.array(out, np.int64)
+    return blob, np.array(out, np.int64)
 
 
-def roundtrip(symbols: DataFrame, coder: str) -> DataFrame:
-    """media_id, pos, sym, as decoded from each media's coded bytes. coder: huffman, rans or bits."""
+def roundtrip(texts: DataFrame, coder: str) -> DataFrame:
+    """media_id, data as decoded from each text's coded bytes, and how many those are. coder: huffman, rans or bits."""
 
-    def make(k: str, rows: pa.Table) -> pa.Table:
-        s = _symbols(rows)
+    def make(s: np.ndarray) -> tuple:
+        if not len(s):
+            return b"", 0
         if coder == "huffman":
-            back = coders.huffman_decode(coders.huffman_encode(s), len(s))
+            blob = coders.huffman_encode(s)
+            back = coders.huffman_decode(blob, len(s))
         elif coder == "rans":
             freq = coders.normalise(np.bincount(s, minlength=256))
-            table = coders.write_table(freq)
-            back = coders.rans_decode(coders.rans_encode(s, freq), len(s), coders.read_table(coders.Reader(table)))
+            table, body = coders.write_table(freq), coders.rans_encode(s, freq)
+            blob, back = table + body, coders.rans_decode(body, len(s), coders.read_table(coders.Reader(table)))
         else:
-            back = _bits_there_and_back(s)
-        return pa.table({"media_id": pa.array([k] * len(s)), "pos": pa.array(np.arange(len(s))), "sym": pa.array(back.astype(np.int32))})
+            blob, back = _bits_there_and_back(s)
+        return back.astype(np.uint8).tobytes(), len(blob)
 
-    return _per_group(symbols, "media_id", make, "media_id string, pos long, sym int")
+    return _each_text(texts, make, "media_id string, data binary, n_bytes long")
 
 
 # ---------------------------------------------------------------- codecs side by side
@@ -278,16 +314,19 @@ def verified(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.groupBy("media_id").agg(F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("lossless"), F.max(F.abs(F.coalesce("a", F.lit(999)) - F.coalesce("b", F.lit(-999)))).cast("int").alias("max_error"))
 
 
-def ladder(spark: SparkSession, samples: DataFrame) -> DataFrame:
+def ladder(rgb: DataFrame) -> DataFrame:
     """rung, name, n_bytes, saved: raw, Huffman, per plane, over MED, with colour, under contexts, the adaptive codec."""
     def sized(rows: DataFrame, keys: list[str], sym: str) -> DataFrame:
         hist = entropy.histogram(rows.withColumn("k", F.concat_ws("/", *keys) if keys else F.lit("all")), ["k"], sym)
         bits = entropy.coded_bits(hist, huffman_lengths(hist, "k"), ["k"])
         return bits.agg(F.sum(F.ceil(F.col("bits") / 8) + 128).cast("long").alias("n_bytes"))
 
-    rgb = samples.select("media_id", "frame_no", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("plane_no"), "y", "x", F.col("v").alias("base")).selectExpr(*KEY, "y", "x", f"CAST({S.wrap('base + plane_no * 7 + ((x * plane_no) >> 4)')} AS INT) AS v")
     changed = stencils.colour_planes(rgb)
-    contexts = context_designs(changed).where("design IN ('act4', 'act8', 'act12', 'act16')").groupBy(*KEY).agg(F.min("total_bytes").alias("t")).agg(F.ceil(F.sum("t")).cast("long").alias("n_bytes"))
+    rows = stencils.med_bundle(changed)
+    stack = ", ".join(f"'act{n}', {_BUCKETS[n]}" for n in S.CODER_LADDERS)
+    tall = rows.selectExpr(*KEY, "sym", f"stack({len(S.CODER_LADDERS)}, {stack}) AS (design, ctx)")
+    costs = entropy.context_cost(tall, KEY, _domain(rgb.sparkSession, {f"act{n}": n for n in S.CODER_LADDERS}))
+    contexts = costs.groupBy(*KEY).agg(F.min("total_bytes").alias("t")).agg(F.ceil(F.sum("t")).cast("long").alias("n_bytes"))
     from rasterloom.sources.rasters import pack
 
     rungs = [
@@ -311,9 +350,15 @@ def ladder(spark: SparkSession, samples: DataFrame) -> DataFrame:
 SEARCHED = "media_id string, frame_no int, brow int, bcol int, mode int, dy int, dx int, temporal long, spatial long"
 
 
+def padded(planes: DataFrame) -> DataFrame:
+    """Frames of one size: rows of 0 below those that are short."""
+    full = planes.groupBy("media_id", "plane_no").agg(F.max("height").alias("full"))
+    return planes.join(full, ["media_id", "plane_no"]).select("media_id", "frame_no", "plane_no", "width", F.col("full").alias("height"), F.expr("rpad(data, width * full, X'00')").alias("data"))
+
+
 def _frame_pairs(planes: DataFrame) -> DataFrame:
     """Each first plane with the one of the frame before."""
-    luma = planes.where("plane_no = 0").select("media_id", "frame_no", "width", "height", "data")
+    luma = padded(planes).where("plane_no = 0").select("media_id", "frame_no", "width", "height", "data")
     before = luma.select("media_id", (F.col("frame_no") + 1).alias("frame_no"), F.col("data").alias("ref"))
     return luma.join(before, ["media_id", "frame_no"])
 

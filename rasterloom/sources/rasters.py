@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from rasterloom.functions.samples import wrap
 
 KEY = ["media_id", "frame_no", "plane_no"]
-#: Rows of the `embeddings` raster that make one frame of the clip. CLIP_END is only where the oracle SQL still ends it.
-CLIP_ROWS, CLIP_END = 50, 500
+#: Rows of the `embeddings` raster that make one frame of the clip.
+CLIP_ROWS = 50
 SCENE_ROWS, SCENE_COLUMNS, SCENE_FRAMES = 64, 96, 4
 
 
@@ -22,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "f"))
+    return _values(table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "f")))
+
+
+def _values(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("v", F.expr("CAST(least(255, greatest(0, floor((CAST(f AS DOUBLE) + 0.5) * 255))) AS INT)"))
 
 
@@ -32,8 +35,10 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimensions 0 to 62 as 21 pixels of three channels."""
-    return _quantized(spark, sf_dir).where("dim < 63").selectExpr("'rgb' AS media_id", "0 AS frame_no", "dim % 3 AS plane_no", "CAST(vec_id AS INT) AS y", "dim div 3 AS x", "v").withColumn("x", F.col("x").cast("int"))
+    """All dimensions, and zeros up to a multiple of three, as pixels of three channels."""
+    padded = F.expr("concat(embedding, array_repeat(CAST(0 AS FLOAT), CAST(pmod(-size(embedding), 3) AS INT)))")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(padded).alias("dim", "f"))
+    return _values(vectors).selectExpr("'rgb' AS media_id", "0 AS frame_no", "dim % 3 AS plane_no", "CAST(vec_id AS INT) AS y", "CAST(dim div 3 AS INT) AS x", "v")
 
 
 def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +57,15 @@ def scene(spark: SparkSession, frames: int = SCENE_FRAMES, rows: int = SCENE_ROW
     return cells.withColumns({"u": F.expr("x + 2 * frame_no"), "t": F.expr("y + frame_no")}).selectExpr("'scene' AS media_id", "frame_no", "0 AS plane_no", "y", "x", f"CAST({SCENE_VALUE} AS INT) AS v")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The UTF-8 bytes of every whole text of documents: (media_id, data); null texts have none."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("media_id"), F.encode("text", "UTF-8").alias("data"))
+
+
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The UTF-8 bytes of the benchmark's texts: (media_id, pos, sym)."""
-    texts = table(spark, sf_dir, "benchmark").where("text IS NOT NULL")
-    cells = texts.select(F.col("item_id").cast("string").alias("media_id"), F.posexplode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), F.lit(1))).alias("pos", "h"))
-    return cells.selectExpr("media_id", "CAST(pos AS BIGINT) AS pos", "CAST(conv(h, 16, 10) AS INT) AS sym")
+    """The same a byte a row: (media_id, pos, sym)."""
+    cells = texts(spark, sf_dir).where("octet_length(data) > 0").select("media_id", "data", F.explode(F.expr("sequence(0, octet_length(data) - 1)")).alias("pos"))
+    return cells.selectExpr("media_id", "CAST(pos AS BIGINT) AS pos", "CAST(conv(hex(substring(data, pos + 1, 1)), 16, 10) AS INT) AS sym")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,3 +156,14 @@ def test_rows_that_share_a_coder_are_never_in_flight_together():
         for t in range(w + 2 * (h - 1)):
             rows = [y for y in range(h) if 0 <= t - 2 * y < w]
             assert len({y % n for y in rows}) == len(rows)
+
+
+def test_parts_join():
+    image = picture(90, 40)
+    bands = [codec.encode_image([p[a : a + 32] for p in image]) for a in range(0, 90, 32)]
+    blob = codec.join_parts(bands)
+    assert same(codec.decode_image(blob), image) and codec.split_parts(blob) == bands
+    head = codec.header(blob)
+    assert (head["kind"], head["width"], head["height"], head["planes"], head["samples"]) == ("image", 40, 90, 3, 90 * 40 * 3)
+    with pytest.raises(ValueError):
+        codec.split_parts(blob[:-6] + b"xxxxxx")
