@@ -13,11 +13,12 @@ shingle, so short lines match only equal ones.
     that fail against their leader choose another leader among themselves, for ROUNDS rounds.
 4.  Buckets whose lines (without the first leader, which has met them all) still lie in two components are compared
     whole: lines of two components that share one of their rarest shingles, without which 0.8 can't be reached, meet in
-    tiles; those that agree in enough minima and in size are verified. Shingles that the same lines have count once.
+    tiles; those that agree in enough minima and in size are verified, of each two components first the pair that agrees
+    most, then what is still apart. Shingles that the same lines have count once.
 5.  Verified pairs are links; each component keeps its first line by (doc_id, line number), all others go.
 
 Two lines at similarity s meet in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.993 at 0.8, 0.9999 at 0.9; of
-those with 0.8, three in ten thousand agree in fewer than AGREE of the 21 minima.
+those with 0.8, two in a thousand agree in fewer than AGREE of the 21 minima.
 
 Defined results: null text has no line; empty text is one empty line, which stays; a document all of whose lines go
 keeps an empty text; lines of one document are compared like others; an empty table gives no rows. Repeated rows of one
@@ -36,7 +37,7 @@ from .components import connected_components
 SHINGLE = 12
 BANDS, ROWS, ROUNDS = 7, 3, 2
 NUMERATOR, DENOMINATOR = 8, 10
-AGREE = 10
+AGREE = 11
 #: Lines of a shingle that make another tile of the rest.
 TILE = 256
 
@@ -92,9 +93,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return least.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc_id", "times", F.array(*bands).alias("bands"), signature.alias("sig"))
 
 
+def agreement(a: str, b: str) -> str:
+    """In how many minima two signatures (the low 16 bits of each) agree."""
+    return " + ".join(f"IF({a}[{k}] = {b}[{k}], 1, 0)" for k in range(BANDS * ROWS))
+
+
 def agree(a: str, b: str) -> str:
-    """Whether two signatures (the low 16 bits of all minima) agree often enough."""
-    return " + ".join(f"IF({a}[{k}] = {b}[{k}], 1, 0)" for k in range(BANDS * ROWS)) + f" >= {AGREE}"
+    return f"{agreement(a, b)} >= {AGREE}"
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -128,7 +133,8 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (leader, id) of lines of two components that may be similar, for the buckets (key, id) that hold several."""
+    """Pairs (leader, id, ca, cb, same) of lines of two components that may be similar, for the buckets (key, id) that hold
+    several; same: in how many minima they agree. Stored."""
     spark = members.sparkSession
     placed = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = common.stored(spark, placed, "placed")
@@ -156,7 +162,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     right = rows.select("x", "id", F.col("c").alias("cb"), F.col("size").alias("q"), F.col("sig").alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     fits = f"ca < cb AND least(p, q) * {DENOMINATOR} >= greatest(p, q) * {NUMERATOR} AND {agree('s', 't')}"
     met = left.alias("l").join(right.alias("r"), (F.col("l.x") == F.col("r.x")) & (F.col("l.tile") == F.col("r.tile")) & F.expr(fits))
-    out = common.stored(spark, met.select("leader", "id").distinct(), "pairs")
+    out = common.stored(spark, met.select("leader", "id", "ca", "cb", F.expr(agreement("s", "t")).alias("same")).distinct(), "pairs")
     common.drop(several)
     common.drop(rows)
     common.drop(rare)
@@ -184,11 +190,28 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         members = met.join(found, ["leader", "id"], "left_anti").select("id", "key")
     labels = connected_components(links, "leader", "id")
     pairs = rest_pairs(several, labels, texts)
-    found = common.stored(spark, similar(pairs, texts), "similar")
-    common.drop(pairs)
-    common.drop(texts)
+    likeliest = pairs.groupBy("ca", "cb").agg(F.max(F.struct("same", "leader", "id")).alias("p")).select("p.leader", "p.id")
+    tried = common.stored(spark, likeliest, "likeliest")
+    found = common.stored(spark, similar(tried, texts), "similar")
     if not found.isEmpty():
-        labels = connected_components(links.unionAll(found), "leader", "id")
+        links = links.unionAll(found)
+        scratch.append(found)
+        labels = connected_components(links, "leader", "id")
+        apart = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+        open_ = pairs.join(tried, ["leader", "id"], "left_anti").join(apart("leader"), "leader", "left").join(apart("id"), "id", "left")
+        open_ = open_.where("coalesce(_leader, leader) <> coalesce(_id, id)").select("leader", "id")
+        more = common.stored(spark, similar(open_, texts), "similar")
+        if not more.isEmpty():
+            labels = connected_components(links.unionAll(more), "leader", "id")
+        scratch.append(more)
+    else:
+        open_ = pairs.join(tried, ["leader", "id"], "left_anti").select("leader", "id")
+        found = common.stored(spark, similar(open_, texts), "similar")
+        if not found.isEmpty():
+            labels = connected_components(links.unionAll(found), "leader", "id")
+        scratch.append(found)
+    for t in (pairs, tried, texts):
+        common.drop(t)
     labels = labels.withColumnRenamed("node", "id")
     classes = table.join(labels, "id", "left").where("component is not null or times > 1").select("h1", "h2", F.coalesce("component", "id").alias("c"), "times")
     classes = common.stored(spark, classes, "classes")
@@ -197,7 +220,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     keepers = common.stored(spark, found_in.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")), "keepers")
     gone = common.spread_join(found_in, keepers, ["c"], "n", total).where("doc_id <> kept.doc_id or line_no <> kept.line_no")
     out = common.stored(spark, gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "gone")  # one document's lines
-    for t in (table, classes, found_in, keepers, found, *scratch):
+    for t in (table, classes, found_in, keepers, *scratch):
         common.drop(t)
     return out
 
