@@ -16,7 +16,7 @@
     two components, a last one all that are still apart. A tile's pairs pass the size bound, then the bit-count
     bound of the bitmaps, which limits the overlap from above, then the exact intersection of the sorted arrays.
 
-Joins with wide rows are merge joins at every size, so that a small input takes no other way than a large one.
+Joins are merge joins at every size, so that a small input takes no other way than a large one.
 
 Defined results: null or empty text, or a text without words: an empty set, linked with nothing; a text with fewer
 words than a shingle is one shingle; equal texts have equal sets and link; an empty table gives no rows. Repeated
@@ -307,7 +307,7 @@ def tile_candidates(members: DataFrame, best: bool = False) -> DataFrame:
     banded = members.withColumn("own", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DENOMINATOR / NUMERATOR)))).cast("int"))
     rows = banded.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("own") == F.col("band"))
     sizes = rows.groupBy("key", "band").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("any_home")).where("any_home and c0 <> c1").select("key", "band", F.ceil(F.greatest(F.col("rows") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.join(sizes.hint("merge"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "band", F.least("block", "j").cast("int").alias("ti"), F.greatest("block", "j").cast("int").alias("tj"), "n", "doc", "comp", "block", "home", "bits")
     tile = ["key", "band", "ti", "tj"]
@@ -327,7 +327,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     profiles = _profiles(docs, shingle_sketch(docs), int(level(np.array([number // common.HOT_SHARE]))[0]))
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = common.stored(spark, classes.select(F.col("rep").alias("doc_id"), "key"), "classes")
-    own = profiles.where("n > 0").join(reps.select("doc_id"), "doc_id", "left_semi")
+    own = profiles.where("n > 0").join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi")
     by_key = Window.partitionBy("key")
     x1, x2 = F.xxhash64("doc_id"), F.xxhash64(F.lit(1), "doc_id")
     facts = lambda over: [over(f).alias(n) for f, n in ((F.min("doc_id"), "first"), (F.max("doc_id"), "last"), (F.bit_xor(x1), "x1"), (F.bit_xor(x2), "x2"), (F.count("*"), "size"))]
@@ -353,17 +353,17 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             first = members.groupBy("key").agg(F.min("doc").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "first", "size")
             first = common.stored(spark, first, "leaders")
             led = common.spread_join(members, first, ["key"], "size", number).where("doc <> first").groupBy("first", "doc").agg(F.sum("w").alias("w"))
-            led = led.join(tried.select(F.col("a").alias("first"), F.col("b").alias("doc")), ["first", "doc"], "left_anti")
+            led = led.join(tried.select(F.col("a").alias("first"), F.col("b").alias("doc")).hint("merge"), ["first", "doc"], "left_anti")
             pairs = led.groupBy("doc").agg(F.min(F.struct((-F.col("w")).alias("m"), "first")).alias("best")).select(F.col("best.first").alias("a"), F.col("doc").alias("b"))
             pairs = common.stored(spark, pairs, "star")
             tried = tried.unionAll(pairs)
             blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("blocks"))
-            pairs = bounded_pairs(pairs.join(blocks, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))).alias("tile"), "a", "b"), profiles)
+            pairs = bounded_pairs(pairs.join(blocks.hint("merge"), "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))).alias("tile"), "a", "b"), profiles)
         else:
             mixed = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
             mixed = common.stored(spark, mixed, "mixed")
             rest = common.spread_join(members, mixed, ["key"], "size", number).join(profiles.select(F.col("doc_id").alias("doc"), "n", "bits").hint("merge"), "doc")
-            pairs = tile_candidates(rest.select("key", "doc", "n", "comp", "bits"), step == "best").join(tried, ["a", "b"], "left_anti").select("tile", "a", "b")
+            pairs = tile_candidates(rest.select("key", "doc", "n", "comp", "bits"), step == "best").join(tried.hint("merge"), ["a", "b"], "left_anti").select("tile", "a", "b")
         pairs = common.stored(spark, pairs, "candidates")
         if step != "star":
             tried = tried.unionAll(pairs.select("a", "b"))
@@ -371,14 +371,14 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         labels = connected_components(links)
         if step != "all":
             before = members
-            members = common.stored(spark, met.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "w", F.coalesce("component", "doc").alias("comp")), "members")
+            members = common.stored(spark, met.join(labels.hint("merge"), F.col("doc") == F.col("node"), "left").select("key", "doc", "w", F.coalesce("component", "doc").alias("comp")), "members")
             if before is not first_members:
                 common.drop(before)
-    return profiles.join(reps.select("key", F.col("doc_id").alias("rep")), "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), links, labels
+    return profiles.join(reps.select("key", F.col("doc_id").alias("rep")).hint("merge"), "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), links, labels
 
 
 def component_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest doc_id with the same set)."""
     profiles, _, labels = jaccard_join(docs)
-    out = profiles.join(labels, F.col("rep") == F.col("node"), "left")
+    out = profiles.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"))
