@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,14 +47,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Scratch paths handed out, in order; a caller that knows when results are written can remove() what they needed.
-MADE: list[str] = []
+#: Where the scratch paths that a recorded() block asks for are listed.
+_paths: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("paths", default=None)
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the scratch paths that this thread asks for within the block; who knows when they are done can remove() them."""
+    token = _paths.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _paths.reset(token)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
-    MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if (paths := _paths.get()) is not None:
+        paths.append(path)
+    return path
 
 
 #: Spark removes a query's shuffle files when it has ended, instead of when the driver next collects its garbage.

@@ -328,6 +328,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = common.stored(spark, classes.select(F.col("rep").alias("doc_id"), "key"), "classes")
     own = profiles.where("n > 0").join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    own = common.stored(spark, own.select("doc_id", "prefix", "busy"), "prefixes")
     by_key = Window.partitionBy("key")
     x1, x2 = F.xxhash64("doc_id"), F.xxhash64(F.lit(1), "doc_id")
     facts = lambda over: [over(f).alias(n) for f, n in ((F.min("doc_id"), "first"), (F.max("doc_id"), "last"), (F.bit_xor(x1), "x1"), (F.bit_xor(x2), "x2"), (F.count("*"), "size"))]
@@ -337,6 +338,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     busy = common.spread_join(busy.withColumnRenamed("doc_id", "doc"), told.withColumn("share", F.col("size")), ["key"], "share", number)
     met = common.stored(spark, calm.unionByName(busy).drop("last"), "met")
     common.drop(told)
+    common.drop(own)
     # Shingles with the same members lead to the same pairs: one of them stays, with their number.
     alike = common.stored(spark, met.where("doc = first").groupBy("first", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("w"), F.first("size").alias("size")).select("key", "w", "size"), "distinct")
     every = met

@@ -1,8 +1,8 @@
 """Fuzzy line deduplication in DataFrame operations only: MinHash, banding, exact Jaccard, distributed union-find.
 
 Lines are what lies between line feeds; they are compared trimmed and in lower case, and empty ones always stay. A
-line's set holds its character shingles: the SHINGLE characters from every position on; a shorter line is its own only
-shingle, so short lines match only equal ones.
+line's set holds its character shingles: the SHINGLE characters (UTF-16 units) from every position on; a shorter line is
+its own only shingle, so short lines match only equal ones.
 
 1.  All lines' shingles are hashed and, in the same stage, the minima under BANDS x ROWS xor-shifted orders are taken by
     a hash aggregation; equal lines come together in it and count as one.
@@ -13,8 +13,7 @@ shingle, so short lines match only equal ones.
     that fail against their leader choose another leader among themselves, for ROUNDS rounds.
 4.  Buckets whose lines (without the first leader, which has met them all) still lie in two components are compared
     whole: lines of two components that share one of their rarest shingles, without which 0.8 can't be reached, meet in
-    tiles; those that agree in enough minima and in size are verified, of each two components first the pair that agrees
-    most, then what is still apart. Shingles that the same lines have count once.
+    tiles; those that agree in enough minima and in size are verified. Shingles that the same lines have count once.
 5.  Verified pairs are links; each component keeps its first line by (doc_id, line number), all others go.
 
 Two lines at similarity s meet in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.993 at 0.8, 0.9999 at 0.9; of
@@ -57,22 +56,22 @@ def once(table: DataFrame, **made: Column) -> DataFrame:
 
 
 def wide(line: Column) -> Column:
-    """Four bytes a character, so that any character is found at once."""
-    return F.encode(line, "UTF-32")
+    """Two bytes a character, so that any character is found at once."""
+    return F.encode(line, "UTF-16BE")
 
 
-def places(b: str) -> Column:
-    """The positions (from 0) of the shingles of a wide line."""
-    return F.expr(f"sequence(0, greatest(octet_length({b}) div 4 - {SHINGLE}, 0))")
+def starts(b: str) -> str:
+    """Where the shingles of a wide line start (bytes from 1)."""
+    return f"sequence(1, greatest(octet_length({b}) - {2 * SHINGLE - 1}, 1), 2)"
 
 
 def shingle(b: str, i: str) -> str:
-    return f"xxhash64(substring({b}, 4 * {i} + 1, {4 * SHINGLE}))"
+    return f"xxhash64(substring({b}, {i}, {2 * SHINGLE}))"
 
 
 def shingle_set(b: str) -> Column:
     """The distinct shingle hashes of a wide line (a column made by once())."""
-    return F.expr(f"array_distinct(transform(sequence(0, greatest(octet_length({b}) div 4 - {SHINGLE}, 0)), i -> {shingle(b, 'i')}))")
+    return F.expr(f"array_distinct(transform({starts(b)}, i -> {shingle(b, 'i')}))")
 
 
 def eligible_lines(docs: DataFrame) -> DataFrame:
@@ -84,8 +83,8 @@ def eligible_lines(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame) -> DataFrame:
     """One row per distinct line: its first document, how often it occurs, and its band keys."""
     lines = eligible_lines(docs).select("doc_id", "h1", "h2", wide(F.col("line")).alias("b"))
-    grams = lines.select("doc_id", "h1", "h2", "b", F.explode(places("b")).alias("i"))
-    grams = grams.select("doc_id", "h1", "h2", F.expr("if(i = 0, 1, 0)").alias("one"), F.expr(shingle("b", "i")).alias("x"))
+    grams = lines.select("doc_id", "h1", "h2", "b", F.explode(F.expr(starts("b"))).alias("i"))
+    grams = grams.select("doc_id", "h1", "h2", F.expr("if(i = 1, 1, 0)").alias("one"), F.expr(shingle("b", "i")).alias("x"))
     order = [int(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) - (1 << 63) for k in range(BANDS * ROWS)]  # spread evenly
     least = grams.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.sum("one").alias("times"), *[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(order)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
@@ -93,13 +92,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return least.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc_id", "times", F.array(*bands).alias("bands"), signature.alias("sig"))
 
 
-def agreement(a: str, b: str) -> str:
-    """In how many minima two signatures (the low 16 bits of each) agree."""
-    return " + ".join(f"IF({a}[{k}] = {b}[{k}], 1, 0)" for k in range(BANDS * ROWS))
-
-
 def agree(a: str, b: str) -> str:
-    return f"{agreement(a, b)} >= {AGREE}"
+    """Whether two signatures (the low 16 bits of all minima) agree often enough."""
+    return " + ".join(f"IF({a}[{k}] = {b}[{k}], 1, 0)" for k in range(BANDS * ROWS)) + f" >= {AGREE}"
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -133,15 +128,14 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (leader, id, ca, cb, same) of lines of two components that may be similar, for the buckets (key, id) that hold
-    several; same: in how many minima they agree. Stored."""
+    """Pairs (leader, id) of lines of two components that may be similar, for the buckets (key, id) that hold several. Stored."""
     spark = members.sparkSession
     placed = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = common.stored(spark, placed, "placed")
     mixed = common.stored(spark, placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n"), "mixed")
     total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     wanted = common.spread_join(placed, mixed, ["key"], "n", total).select("id", "c").distinct()
-    grams = once(texts.join(wanted, "id"), b=wide(F.col("line"))).select("id", "c", "b", F.explode(places("b")).alias("i")).select("id", "c", F.expr(shingle("b", "i")).alias("x")).distinct()
+    grams = once(texts.join(wanted, "id"), b=wide(F.col("line"))).select("id", "c", "b", F.explode(F.expr(starts("b"))).alias("i")).select("id", "c", F.expr(shingle("b", "i")).alias("x")).distinct()
     grams = common.stored(spark, grams, "rest")
     often = common.stored(spark, grams.groupBy("x").agg(F.count("*").alias("n")), "often")
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -162,7 +156,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     right = rows.select("x", "id", F.col("c").alias("cb"), F.col("size").alias("q"), F.col("sig").alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     fits = f"ca < cb AND least(p, q) * {DENOMINATOR} >= greatest(p, q) * {NUMERATOR} AND {agree('s', 't')}"
     met = left.alias("l").join(right.alias("r"), (F.col("l.x") == F.col("r.x")) & (F.col("l.tile") == F.col("r.tile")) & F.expr(fits))
-    out = common.stored(spark, met.select("leader", "id", "ca", "cb", F.expr(agreement("s", "t")).alias("same")).distinct(), "pairs")
+    out = common.stored(spark, met.select("leader", "id").distinct(), "pairs")
     common.drop(several)
     common.drop(rows)
     common.drop(rare)
@@ -190,28 +184,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         members = met.join(found, ["leader", "id"], "left_anti").select("id", "key")
     labels = connected_components(links, "leader", "id")
     pairs = rest_pairs(several, labels, texts)
-    likeliest = pairs.groupBy("ca", "cb").agg(F.max(F.struct("same", "leader", "id")).alias("p")).select("p.leader", "p.id")
-    tried = common.stored(spark, likeliest, "likeliest")
-    found = common.stored(spark, similar(tried, texts), "similar")
+    found = common.stored(spark, similar(pairs, texts), "similar")
+    common.drop(pairs)
+    common.drop(texts)
     if not found.isEmpty():
-        links = links.unionAll(found)
-        scratch.append(found)
-        labels = connected_components(links, "leader", "id")
-        apart = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
-        open_ = pairs.join(tried, ["leader", "id"], "left_anti").join(apart("leader"), "leader", "left").join(apart("id"), "id", "left")
-        open_ = open_.where("coalesce(_leader, leader) <> coalesce(_id, id)").select("leader", "id")
-        more = common.stored(spark, similar(open_, texts), "similar")
-        if not more.isEmpty():
-            labels = connected_components(links.unionAll(more), "leader", "id")
-        scratch.append(more)
-    else:
-        open_ = pairs.join(tried, ["leader", "id"], "left_anti").select("leader", "id")
-        found = common.stored(spark, similar(open_, texts), "similar")
-        if not found.isEmpty():
-            labels = connected_components(links.unionAll(found), "leader", "id")
-        scratch.append(found)
-    for t in (pairs, tried, texts):
-        common.drop(t)
+        labels = connected_components(links.unionAll(found), "leader", "id")
     labels = labels.withColumnRenamed("node", "id")
     classes = table.join(labels, "id", "left").where("component is not null or times > 1").select("h1", "h2", F.coalesce("component", "id").alias("c"), "times")
     classes = common.stored(spark, classes, "classes")
@@ -220,7 +197,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     keepers = common.stored(spark, found_in.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")), "keepers")
     gone = common.spread_join(found_in, keepers, ["c"], "n", total).where("doc_id <> kept.doc_id or line_no <> kept.line_no")
     out = common.stored(spark, gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "gone")  # one document's lines
-    for t in (table, classes, found_in, keepers, *scratch):
+    for t in (table, classes, found_in, keepers, found, *scratch):
         common.drop(t)
     return out
 

@@ -157,7 +157,8 @@ def test_shards_merge(shard):
 # ---- operator 4
 
 def line_set(line):
-    return frozenset(line[k : k + 12] for k in range(max(len(line) - 11, 1)))
+    raw = line.encode("utf-16-be")
+    return frozenset(raw[k : k + 24] for k in range(0, max(len(raw) - 23, 1), 2))
 
 
 def line_brute(texts):
