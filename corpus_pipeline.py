@@ -27,21 +27,27 @@ REMEMBER = 100_000
 ORACLE_SQL = None
 
 
-_before: list[str] = []  # scratch tables of the stage before
+#: Scratch tables of the last stage over a data folder: its result may still be read from them until the next one begins.
+_pending: dict[str, list[str]] = {}
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> None:
+    for path in _pending.pop(sf_dir, ()):
+        common.remove(spark, path)
 
 
 def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first removes the scratch tables of the one before, whose result is written when the next begins."""
+    """A stage that first removes the scratch tables of the one before over the same folder, whose result is written by
+    then. Pipelines over other folders, and other queries, keep theirs."""
 
     @functools.wraps(run)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _before:
-            common.remove(spark, _before.pop())
+        _clean(spark, sf_dir)
         gc.collect()
         pa.default_memory_pool().release_unused()
-        known = len(common.MADE)
-        out = run(spark, docs, sf_dir)
-        _before.extend(common.MADE[known:])
+        with common.recorded() as paths:
+            out = run(spark, docs, sf_dir)
+        _pending[sf_dir] = paths
         return out
 
     return stage
@@ -63,7 +69,12 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a likely language; learns from the labelled documents."""
+    """Drops documents without a letter or without a likely language; learns from the labelled documents.
+
+    Null and empty texts have no letter and go; texts of any length are judged whole; repeated rows are judged each, equal
+    texts alike; without a single label every document goes; columns named like the operator's outputs stay; an empty
+    table gives none.
+    """
     common.small_batches(spark)
     net = langid.fit(docs.where(langid.fold() != 1))
     columns = docs.columns
@@ -74,7 +85,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each group of similar lines keeps its first; documents without any line left go."""
+    """Each group of similar lines keeps its first by (doc_id, line number); documents without any line left go.
+
+    Null and empty texts have no line that could go and stay; a line of any length is compared whole; repeated rows of a
+    doc_id lose the same lines; n_chars follows the text, other columns stay as they are; an empty table gives none.
+    """
     columns = docs.columns
     docs, there = _aside(docs, ("n_lines", "n_removed"))
     out = lines.dedup_lines(docs).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
@@ -83,14 +98,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the smallest doc_id."""
+    """One document of each group of linked documents stays: the smallest doc_id.
+
+    Documents without words link with nothing and stay; equal texts are linked; repeated rows of the doc_id that stays all
+    stay; rows without doc_id go; columns stay as they are; an empty table gives none.
+    """
     heads = jaccard.component_table(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_doc")).distinct()
     return docs.join(heads, F.col("doc_id") == F.col("_doc"), "left_semi")
 
 
 @_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out passages that a smaller doc_id has; documents that lose all they had go."""
+    """Takes out passages that a smaller doc_id has; documents that lose all they had go.
+
+    Null and empty texts, and texts shorter than a passage, stay; repeated rows of a doc_id keep what they share; texts that
+    lose nothing stay byte for byte, in others a character that a cut parts becomes U+FFFD; an empty table gives none.
+    """
     columns = docs.columns
     docs, there = _aside(docs, ("kept", "removed", "n_bytes"))
     out = suffix.dedup_suffixes(docs)
@@ -103,7 +126,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and places."""
+    """Token pieces with their sequences and places.
+
+    Null and empty texts are one piece with the end id; longer texts than a sequence are cut; repeated rows are packed each;
+    an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), remember=REMEMBER)
 
 
@@ -112,7 +139,11 @@ STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("n-gram Jac
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        _clean(spark, sf_dir)
+        if before is not None:
+            common.drop(before)
+        before = docs
     return docs
