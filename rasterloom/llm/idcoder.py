@@ -324,7 +324,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocab
 
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     common.small_batches(docs.sparkSession)
-    ordered.mapInArrow(write, "part int, block_no long, block binary").write.parquet(path)
+    ordered.mapInArrow(common.released(write), "part int, block_no long, block binary").write.parquet(path)
 
 
 READ_SCHEMA = "part int, doc_id long, own_start long, n_tokens long, ids_crc32 long"
@@ -383,7 +383,7 @@ def read_ids(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
         yield from decode()
 
     ordered = blocks.select("part", "block_no", "block").repartition("part").sortWithinPartitions("part", "block_no")
-    return ordered.mapInArrow(read, READ_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return ordered.mapInArrow(common.released(read), READ_SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def with_starts(read: DataFrame) -> DataFrame:

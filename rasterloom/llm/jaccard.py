@@ -86,7 +86,7 @@ def shingle_sketch(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level(x).tobytes()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(add, schema)
+    rows = docs.select("text").mapInArrow(common.released(count), schema).repartition(16, "chunk").mapInArrow(common.released(add), schema)
     sketch = np.zeros(SKETCH, np.uint8)
     for r in rows.toLocalIterator():  # SKETCH bytes in all
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
@@ -148,7 +148,7 @@ def _profiles(docs: DataFrame, sketch: np.ndarray, busy: int) -> DataFrame:
                     *lists,
                 ], names=["doc_id", "n", "key", "bits", "prefix", "busy"])
 
-    out = docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, key binary, bits binary, prefix array<long>, busy array<long>")
+    out = docs.select("doc_id", "text").mapInArrow(common.released(profile), "doc_id long, n long, key binary, bits binary, prefix array<long>, busy array<long>")
     out = common.stored(docs.sparkSession, out, "profiles")
     shared.destroy()
     return out
@@ -205,14 +205,14 @@ def _set_table(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], names=["doc_id", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, members binary")
+    return docs.select("doc_id", "text").mapInArrow(common.released(sets), "doc_id long, members binary")
 
 
 def bounded_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The pairs (tile, a, b) that the size and bit-count bounds leave."""
     small = profiles.select("doc_id", "n", "bits")
     side = lambda x: small.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("tile", "a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded, "tile long, a long, b long")
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("tile", "a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(common.released(_bounded), "tile long, a long, b long")
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def verified_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     need = pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge").join(sets, "doc_id")
     rows = need.selectExpr("tile", "0 AS kind", "doc_id AS a", "CAST(NULL AS BIGINT) AS b", "members").unionAll(pairs.selectExpr("tile", "1 AS kind", "a", "b", "CAST(NULL AS BINARY) AS members"))
     rows = rows.repartition("tile").sortWithinPartitions("tile", "kind")
-    return common.stored(pairs.sparkSession, rows.mapInArrow(_verified, "a long, b long"), "links")
+    return common.stored(pairs.sparkSession, rows.mapInArrow(common.released(_verified), "a long, b long"), "links")
 
 
 def bits_fit(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -166,7 +166,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 0, total: int = T
     share = spark.createDataFrame([(name, min(1.0, each / n)) for name, n in counts.items()], "lang string, share double")
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(1 << 30)
     chosen = rows.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("doc_id", "text", "lang")
-    found = chosen.mapInArrow(sample_windows, "doc_id long, lang string, window binary").toArrow()  # WINDOW bytes each
+    found = chosen.mapInArrow(common.released(sample_windows), "doc_id long, lang string, window binary").toArrow()  # WINDOW bytes each
     if not found.num_rows:
         return None
     languages = sorted(counts)
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
                     scores = np.where(letters, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(label, schema)
+    return docs.select(*kept).mapInArrow(common.released(label), schema)
 
 
 def fold(of: str = "doc_id", folds: int = 3) -> F.Column:

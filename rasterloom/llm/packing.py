@@ -160,7 +160,7 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
                 offset[rows_] = start[k] + q % each[k] * value
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, pieces.select(*kept).schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(common.released(place), pieces.select(*kept).schema.add("sequence_id", "long").add("offset", "long"))
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -191,7 +191,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CA
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(a, len(ids)), pa.int32()), pa.array(ids.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(common.released(cut), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, remember: int = tokens.MOST) -> DataFrame:
