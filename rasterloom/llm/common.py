@@ -106,14 +106,19 @@ def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        tidy()
 
     return run
 
 
+def tidy() -> None:
+    """Gives memory that this process doesn't use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: A key that more than one in so many rows have is hot; there are fewer than so many of them, whatever the input.
 HOT_SHARE = 1000
 
