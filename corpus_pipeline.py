@@ -9,10 +9,8 @@ is left.
 from __future__ import annotations
 
 import functools
-import gc
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +41,7 @@ def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
     @functools.wraps(run)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _clean(spark, sf_dir)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        common.tidy()
         with common.recorded() as paths:
             out = run(spark, docs, sf_dir)
         _pending[sf_dir] = paths
