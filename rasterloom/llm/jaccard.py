@@ -14,13 +14,14 @@
     size, in size bands (a band and the one below), cut into blocks of TILE rows; pairs of one component are left out,
     since a further link between them changes no component. A first round of tiles tries the likeliest pair of each
     two components, a last one all that are still apart. A tile's pairs pass the size bound, then the bit-count
-    bound of the bitmaps, which limits the overlap from above, then the exact intersection of the sorted arrays.
+    bound of the bitmaps, which limits the overlap from above, then the exact intersection of the sorted arrays,
+    which a tile makes from the texts it gets: they take less room in a shuffle than their shingles' hashes.
 
 Joins are merge joins at every size, so that a small input takes no other way than a large one.
 
 Defined results: null or empty text, or a text without words: an empty set, linked with nothing; a text with fewer
 words than a shingle is one shingle; equal texts have equal sets and link; an empty table gives no rows. Repeated
-rows of one doc_id count once if their texts are alike; else each row's size is reported, and the id is linked by those
+rows of one doc_id count once if their texts are alike; else each row's size is reported, and the id is linked by any
 of its sets that its prefixes bring together. Rows without doc_id link nothing; their component
 is that of the ids with the same set, or null.
 """
@@ -172,40 +173,33 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["tile", "a", "b"]).take(pa.array(np.sort(keep)))
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets share enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) >= needed(len(x), len(y))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, kind, a, b, members) sorted by tile and kind: sets (kind 0) come before pairs (kind 1), which stay if
-    their sorted arrays share enough."""
+    """Rows (tile, kind, a, b, text) sorted by tile and kind: texts (kind 0) come before pairs (kind 1), which stay if
+    their sorted sets share enough. An id with several texts is linked by any of them."""
     tile, sets = None, {}
     for batch in batches:
-        out_a, out_b = [], []
-        members = batch.column(4)
-        for k, (t, kind, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
-            if t != tile:
-                tile, sets = t, {}
-            if not kind:
-                sets[a] = np.frombuffer(members[k].as_buffer().to_pybytes(), np.uint64)
-                continue
-            x, y = sets[a], sets[b]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            if int((y[np.minimum(at, len(y) - 1)] == x).sum()) >= needed(len(x), len(y)):
-                out_a.append(a)
-                out_b.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-
-def _set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, members): each document's sorted shingle hashes as bytes."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                hashes, sizes = _sets(part, 1)
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], names=["doc_id", "members"])
-
-    return docs.select("doc_id", "text").mapInArrow(common.released(sets), "doc_id long, members binary")
+        for part in common.slices(batch, "text"):
+            out_a, out_b = [], []
+            hashes, sizes = _sets(part, 4)
+            own = np.split(hashes, np.cumsum(sizes)[:-1])
+            for k, (t, kind, a, b) in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)))):
+                if t != tile:
+                    tile, sets = t, {}
+                if not kind:
+                    if len(own[k]):
+                        sets.setdefault(a, []).append(own[k].copy())
+                elif any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ())):
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
 def bounded_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -215,10 +209,11 @@ def bounded_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("tile", "a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(common.released(_bounded), "tile long, a long, b long")
 
 
-def verified_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (tile, a, b) that link, by exact intersection. Stored. A tile gets each of its sets once."""
-    need = pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge").join(sets, "doc_id")
-    rows = need.selectExpr("tile", "0 AS kind", "doc_id AS a", "CAST(NULL AS BIGINT) AS b", "members").unionAll(pairs.selectExpr("tile", "1 AS kind", "a", "b", "CAST(NULL AS BINARY) AS members"))
+def verified_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (tile, a, b) that link, by exact intersection. Stored. A tile gets each of its texts once, and makes the
+    sets there: texts take less room in a shuffle than their shingles' hashes."""
+    need = pairs.select("tile", F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge").join(texts, "doc_id")
+    rows = need.selectExpr("tile", "0 AS kind", "doc_id AS a", "CAST(NULL AS BIGINT) AS b", "text").unionAll(pairs.selectExpr("tile", "1 AS kind", "a", "b", "CAST(NULL AS STRING) AS text"))
     rows = rows.repartition("tile").sortWithinPartitions("tile", "kind")
     return common.stored(pairs.sparkSession, rows.mapInArrow(common.released(_verified), "a long, b long"), "links")
 
@@ -346,7 +341,8 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     common.drop(every)
     common.drop(alike)
     wanted = met.select(F.col("doc").alias("doc_id")).distinct()
-    sets = common.stored(spark, _set_table(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
+    texts = common.stored(spark, docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
+    scratch = [met, texts]
     links = spark.createDataFrame([], "a long, b long")
     members = first_members = met.withColumn("comp", F.col("doc"))
     tried = links
@@ -354,28 +350,34 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if step == "star":
             first = members.groupBy("key").agg(F.min("doc").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "first", "size")
             first = common.stored(spark, first, "leaders")
+            scratch.append(first)
             led = common.spread_join(members, first, ["key"], "size", number).where("doc <> first").groupBy("first", "doc").agg(F.sum("w").alias("w"))
             led = led.join(tried.select(F.col("a").alias("first"), F.col("b").alias("doc")).hint("merge"), ["first", "doc"], "left_anti")
             pairs = led.groupBy("doc").agg(F.min(F.struct((-F.col("w")).alias("m"), "first")).alias("best")).select(F.col("best.first").alias("a"), F.col("doc").alias("b"))
             pairs = common.stored(spark, pairs, "star")
+            scratch.append(pairs)
             tried = tried.unionAll(pairs)
             blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("blocks"))
             pairs = bounded_pairs(pairs.join(blocks.hint("merge"), "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))).alias("tile"), "a", "b"), profiles)
         else:
             mixed = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
             mixed = common.stored(spark, mixed, "mixed")
+            scratch.append(mixed)
             rest = common.spread_join(members, mixed, ["key"], "size", number).join(profiles.select(F.col("doc_id").alias("doc"), "n", "bits").hint("merge"), "doc")
             pairs = tile_candidates(rest.select("key", "doc", "n", "comp", "bits"), step == "best").join(tried.hint("merge"), ["a", "b"], "left_anti").select("tile", "a", "b")
         pairs = common.stored(spark, pairs, "candidates")
+        scratch.append(pairs)
         if step != "star":
             tried = tried.unionAll(pairs.select("a", "b"))
-        links = links.unionAll(verified_links(pairs, sets))
+        links = links.unionAll(verified_links(pairs, texts))
         labels = connected_components(links)
         if step != "all":
             before = members
             members = common.stored(spark, met.join(labels.hint("merge"), F.col("doc") == F.col("node"), "left").select("key", "doc", "w", F.coalesce("component", "doc").alias("comp")), "members")
             if before is not first_members:
                 common.drop(before)
+    for t in (members, *scratch):  # what is returned reads profiles, classes, links and components
+        common.drop(t)
     return profiles.join(reps.select("key", F.col("doc_id").alias("rep")).hint("merge"), "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), links, labels
 
 
