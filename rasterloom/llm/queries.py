@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import concurrency, idcoder, jaccard, knn, langid, lines, lm, media, packing, piece_bpe, rank_bpe, suffix
+from . import concurrency, idcoder, jaccard, knn, langid, lines, lm, media, packing, piece_bpe, rank_bpe, search, suffix
 from .common import table
 
 
@@ -71,9 +71,13 @@ def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.rank_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_id_files, op2_langid, op3_suffix_dedup, op4_line_dedup, op5_packing, op6_media_tiff, op7_piece_bpe, op8_lm_score, op9_knn, op10_jaccard_join, op11_open_sales, op12_rank_bpe)}
+    return {f.__name__: f for f in (op1_id_files, op2_langid, op3_suffix_dedup, op4_line_dedup, op5_packing, op6_media_tiff, op7_piece_bpe, op8_lm_score, op9_knn, op10_jaccard_join, op11_open_sales, op12_rank_bpe, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_knn": knn.SQL, "op11_open_sales": concurrency.SQL}
+    return {"op9_knn": knn.SQL, "op11_open_sales": concurrency.SQL, "op13_ranked_search": search.SQL}
