@@ -14,15 +14,16 @@ its own only shingle, so short lines match only equal ones.
 4.  Buckets whose lines (without the first leader, which has met them all) still lie in two components are compared
     whole: lines of two components that share one of their rarest shingles, without which 0.8 can't be reached, meet in
     tiles; those that agree in enough minima and in size are verified. Shingles that the same lines have count once.
-5.  Verified pairs are links; each component keeps its first line by (doc_id, line number), all others go.
+5.  Verified pairs are links; each component keeps its first line by (doc_id, line number, text hash), all others go.
 
 Two lines at similarity s meet in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.993 at 0.8, 0.9999 at 0.9; of
 those with 0.8, two in a thousand agree in fewer than AGREE of the 21 minima.
 
 Defined results: null text has no line; empty text is one empty line, which stays; a document all of whose lines go
-keeps an empty text; lines of one document are compared like others; an empty table gives no rows. Repeated rows of one
-doc_id are treated as the same lines: the first occurrence stays in each of them. Rows whose doc_id is null stay as they
-are and are compared with nothing. A line of any length is compared whole.
+keeps an empty text; lines of one document are compared like others; an empty table gives no rows. Rows that repeat a
+doc_id are told apart by a hash of their texts: a line that only one of them has stays, one that several have stays in
+one of them; rows equal in both keep the same lines. Rows whose doc_id is null stay as they are and are compared with
+nothing. A line of any length is compared whole.
 """
 
 from __future__ import annotations
@@ -75,9 +76,10 @@ def shingle_set(b: str) -> Column:
 
 
 def eligible_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line (normalized), and two 64-bit hashes of it, for all lines that are compared."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "raw")).select("doc_id", "line_no", norm(F.col("raw")).alias("line"))
-    return lines.where("line <> ''").select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+    """doc_id, row (its text's hash), line_no, line (normalized), and two 64-bit hashes of it, for all lines that are compared."""
+    lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "raw"))
+    lines = lines.select("doc_id", "row", "line_no", norm(F.col("raw")).alias("line")).where("line <> ''")
+    return lines.select("doc_id", "row", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the numbers of the lines that go, for documents that lose any. Stored."""
+    """(doc_id, row, removed): the numbers of the lines that go, for texts that lose any. Stored."""
     spark = docs.sparkSession
     table = common.stored(spark, signatures(docs), "lines")
     members = table.select("id", F.explode("bands").alias("key"))
@@ -193,10 +195,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     classes = table.join(labels, "id", "left").where("component is not null or times > 1").select("h1", "h2", F.coalesce("component", "id").alias("c"), "times")
     classes = common.stored(spark, classes, "classes")
     total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    found_in = common.stored(spark, common.spread_join(eligible_lines(docs).drop("line"), classes, ["h1", "h2"], "times", total).select("doc_id", "line_no", "c"), "found")
-    keepers = common.stored(spark, found_in.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")), "keepers")
-    gone = common.spread_join(found_in, keepers, ["c"], "n", total).where("doc_id <> kept.doc_id or line_no <> kept.line_no")
-    out = common.stored(spark, gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "gone")  # one document's lines
+    found_in = common.stored(spark, common.spread_join(eligible_lines(docs).drop("line"), classes, ["h1", "h2"], "times", total).select("doc_id", "row", "line_no", "c"), "found")
+    keepers = common.stored(spark, found_in.groupBy("c").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("kept"), F.count("*").alias("n")), "keepers")
+    gone = common.spread_join(found_in, keepers, ["c"], "n", total).where("doc_id <> kept.doc_id or line_no <> kept.line_no or row <> kept.row")
+    out = common.stored(spark, gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "gone")  # one text's lines
     for t in (table, classes, found_in, keepers, found, *scratch):
         common.drop(t)
     return out
@@ -205,8 +207,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their text without the lines that go, and columns n_lines and n_removed (replaced, if there)."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    out = docs.select(*kept).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left")
+    gone = removed_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
+    out = docs.select(*kept).join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left")
     lines = split_lines(F.col("text"))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n"))
     counts = [F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed")]
