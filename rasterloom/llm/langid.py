@@ -15,7 +15,6 @@ Null languages and rows without doc_id are never learned; the latter are not hel
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +29,11 @@ from . import common
 SAMPLE, WINDOWS, TOTAL = 1500, 3, 200_000
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 5, 128, 0.01
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's category L (numbers in circles or fractions aren't)."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -144,7 +147,7 @@ def sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             docs, texts, langs = (part.column(k).to_pylist() for k in range(3))
             rows = []
             for doc, text, lang in zip(docs, texts, langs):
-                if not LETTER.search(text):
+                if not has_letter(text):
                     continue
                 raw = text.encode()
                 n = -(-len(raw) // WINDOW)
@@ -193,7 +196,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
         for batch in batches:
             for part in common.slices(batch, text, 1 << 20):
                 data, offsets = common.flat_bytes(part.column(at))
-                letters = np.array([bool(t and LETTER.search(t)) for t in part.column(at).to_pylist()])
+                letters = np.array([bool(t and has_letter(t)) for t in part.column(at).to_pylist()])
                 names, scores = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
                 if net is not None and letters.any():
                     windows, owner = cut_windows(data, offsets)
