@@ -10,11 +10,14 @@ batches, so no number of queries is held. Each batch is one exact matrix product
 
 The sample only places the pivots: any pivots give the same, exact, result.
 
+Data are grouped by pivots and sent once; queries, each with bounds of its own, are what is replicated.
+
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without
-vec_id, nor vectors so large that a score with one alike might not fit 64 bits (length times the largest integer
-squared is 2**63 or more); vectors of another length than the query's are no candidates of it; ties go to the smaller
-vec_id; a query is no candidate of itself (rows that repeat its vec_id aren't either); rows that repeat a candidate's
-vec_id with the same score count once; fewer candidates than k give fewer rows; an empty table gives none.
+vec_id; scores are exact, and those that don't fit 64 bits count as the largest or smallest number that does (a component
+that is no longer finite times SCALE counts as the largest double); vectors of another length than the query's are no
+candidates of it; ties go to the smaller vec_id; a query is no candidate of itself (rows that repeat its vec_id aren't
+either); rows that repeat a candidate's vec_id with the same score count once; fewer candidates than k give fewer rows;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,18 +33,22 @@ from . import common
 
 SCALE, TOP = 1024, 10
 LEAST_PIVOTS, BLOCK = 16, 8192
+#: Components from here on are large: products of smaller ones are exact as doubles for up to 2,048 dimensions.
+PLAIN = 2.0**21
+#: Scores stop at 64 bits, and so do bounds: beyond, ties go by vec_id.
+EDGE = 2.0**63
 
 
 def valid_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     x = F.col(vector)
     finite = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
-    largest = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))) * SCALE + 1
-    return df.where(F.col(key).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).where(F.size(x) * largest * largest < float(2**63))
+    return df.where(F.col(key).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite)
 
 
 def integers(column: pa.Array) -> list[np.ndarray]:
     """floor(SCALE * x), x as double, of each vector of a list column."""
-    flat = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    with np.errstate(over="ignore"):
+        flat = np.nan_to_num(np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)))
     ends = np.cumsum(np.diff(column.offsets.to_numpy()))
     return np.split(flat, ends[:-1]) if len(ends) else []
 
@@ -59,12 +66,13 @@ def assign(vectors: DataFrame, pivots: dict[int, np.ndarray], key: str, vector:
                 rows = np.flatnonzero(dims == d)
                 x = np.stack([found[r] for r in rows])
                 p = shared.value.get(d)
-                if p is None:
-                    dist[rows] = np.sqrt((x * x).sum(1))
-                    continue
-                near = ((p * p).sum(1)[None] - 2 * x @ p.T).argmin(axis=1)
-                cell[rows] = near
-                dist[rows] = np.sqrt(((x - p[near]) ** 2).sum(1))
+                with np.errstate(over="ignore", invalid="ignore"):  # a distance that isn't finite bounds nothing
+                    if p is None:
+                        dist[rows] = np.sqrt((x * x).sum(1))
+                        continue
+                    near = np.nan_to_num((p * p).sum(1)[None] - 2 * x @ p.T, nan=np.inf, posinf=np.inf, neginf=-np.inf).argmin(axis=1)
+                    cell[rows] = near
+                    dist[rows] = np.nan_to_num(np.sqrt(((x - p[near]) ** 2).sum(1)), nan=np.inf, posinf=np.inf)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(dims), pa.array(cell), pa.array(dist), pa.array([v.astype("<f8").tobytes() for v in found], pa.binary())], names=["vec_id", "dim", "cell", "dist", "v"])
 
     return vectors.select(key, vector).mapInArrow(nearest, "vec_id long, dim int, cell int, dist double, v binary")
@@ -75,22 +83,38 @@ def reach(q: np.ndarray, centres: np.ndarray, radius: np.ndarray, sure: np.ndarr
 
     closest: for each cell the smallest distances to its pivot (inf where it has fewer); sure: how many a query needs.
     """
-    at, size = q @ centres.T, np.sqrt((q * q).sum(1))[:, None]
-    slack = 1e-9 * (size * (np.sqrt((centres * centres).sum(1)) + radius)[None] + 1)
-    most = at + size * radius[None] + slack
-    least = at[:, :, None] - size[:, :, None] * closest[None] - slack[:, :, None]
-    least = np.where(np.isfinite(closest)[None], least, -np.inf).reshape(len(q), -1)
+    with np.errstate(over="ignore", invalid="ignore"):  # where sizes aren't finite any more, anything can be reached and nothing is sure
+        at, size = q @ centres.T, np.sqrt((q * q).sum(1))[:, None]
+        slack = 1e-9 * (size * (np.sqrt((centres * centres).sum(1)) + radius)[None] + 1)
+        most = np.maximum(np.nan_to_num(at + size * radius[None] + slack, nan=np.inf, posinf=np.inf, neginf=-np.inf), -EDGE)
+        least = at[:, :, None] - size[:, :, None] * closest[None] - slack[:, :, None]
+        least = np.where(np.isfinite(closest)[None] & ~np.isnan(least), np.minimum(least, EDGE), -np.inf).reshape(len(q), -1)
     there = least.shape[1]
     bound = np.partition(least, there - sure, axis=1)[:, there - sure] if there >= sure else np.full(len(q), -np.inf)
     return most >= bound[:, None]
 
 
 def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of integers held as doubles."""
-    if v.shape[1] * np.abs(v).max(initial=0) * np.abs(q).max(initial=0) < 2**53:
+    """Exact inner products of integers held as doubles; those beyond 64 bits become the largest or smallest that fit.
+
+    Rows and columns with large components are multiplied apart, so that one such vector doesn't slow its block down.
+    """
+    rows, columns = (np.abs(x).max(axis=1, initial=0) >= PLAIN for x in (v, q))
+    out = np.zeros((len(v), len(q)), np.int64)
+    for r in filter(len, (np.flatnonzero(~rows), np.flatnonzero(rows))):
+        for c in filter(len, (np.flatnonzero(~columns), np.flatnonzero(columns))):
+            out[np.ix_(r, c)] = _products(v[r], q[c])
+    return out
+
+
+def _products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    most = v.shape[1] * int(np.abs(v).max(initial=0)) * int(np.abs(q).max(initial=0))
+    if most < 2**53:
         return (v @ q.T).astype(np.int64)
+    if most < 2**63:
+        return v.astype(np.int64) @ q.astype(np.int64).T
     exact = np.array([[int(x) for x in row] for row in v], object) @ np.array([[int(x) for x in row] for row in q], object).T
-    return exact.astype(np.int64)
+    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best(ids: np.ndarray, v: np.ndarray, queries: np.ndarray, q: np.ndarray, top: int) -> list[tuple[np.ndarray, ...]]:

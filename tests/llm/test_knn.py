@@ -14,10 +14,10 @@ def test_op9(spark, same_rows):
 
 def brute(rows, top):
     out = []
-    valid = [(i, [np.floor(1024 * float(x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    valid = [(i, [np.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     for q, a in valid:
         if q % 100 == 0:
-            best = sorted({(-int(sum(int(x) * int(y) for x, y in zip(a, b))), i) for i, b in valid if i != q and len(a) == len(b)})[:top]
+            best = sorted({(-max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a, b)))), i) for i, b in valid if i != q and len(a) == len(b)})[:top]
             out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -47,11 +47,30 @@ def test_large_integers_are_exact():
     assert knn.products(a, b)[0, 0] == 2**60 + 15
 
 
-def test_large_vectors_and_rows_without_id(spark):
-    rows = [(0, [1.0, 2.0]), (100, [1e5, -3e5]), (1, [3e38, 1.0]), (2, [-2e5, 2e5]), (None, [1.0, 1.0]), (3, [0.5, 0.25])]
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("pivots", [1, 3, None])
+def test_large_vectors_and_rows_without_id(spark, kind, pivots):
+    """All finite vectors take part, however large; scores beyond 64 bits are the largest or smallest that fit."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 2.0]), (100, [1e5, -3e5]), (200, [3e38, -1e38]), (300, [-2e18, 5.0]), (400, [-1.0, 0.0])]
+    rows += [(1, [3e38, 1.0]), (2, [-2e5, 2e5]), (None, [1.0, 1.0]), (3, [0.5, 0.25]), (4, [4e5, 0.0]), (5, [1e17, 1e17]), (6, [1e17, -1e17]), (7, [-3e38, -3e38])]
+    rows += [(k, [float(np.float32(x)) for x in rng.normal(0, 10.0 ** rng.integers(0, 12), 2)]) for k in range(500, 540)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    assert sorted(map(tuple, knn.top_k(frame, F.col("vec_id") % 100 == 0, pivots=pivots).collect())) == brute(rows, 10)
+
+
+def test_a_large_candidate_ranks_first(spark):
+    rows = [(0, [1.0] + [0.0] * 63), (1, [4e5] + [0.0] * 63), *[(k, [k / 100] + [0.5] * 63) for k in range(2, 30)]]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    small = [(i, v) for i, v in rows if i not in (None, 1)]
-    assert sorted(map(tuple, knn.top_k(frame, F.col("vec_id") % 100 == 0).collect())) == brute(small, 10)
+    assert knn.top_k(frame, F.col("vec_id") == 0).where("rank = 1").first()["score"] == 419_430_400_000
+
+
+def test_products_of_mixed_sizes():
+    v = np.array([[1.0, -2.0], [2.0**30, 2.0**31], [2.0**60, -(2.0**60)], [2.0**200, 1.0]])
+    q = np.array([[3.0, 5.0], [2.0**31, 7.0], [-(2.0**100), 0.0]])
+    exact = [[max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x, y)))) for y in q] for x in v]
+    assert knn.products(v, q).tolist() == exact
 
 
 def test_cells_that_are_left_out_hold_no_better_vector():
