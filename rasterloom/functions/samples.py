@@ -97,7 +97,12 @@ def gap_float(w: str = "w", n: str = "n", nw: str = "nw", ne: str = "ne", ww: st
 
 def activity(n: str = "n", w: str = "w", nw: str = "nw", ne: str = "ne") -> str:
     """How much the causal neighbours differ; 0 on the first row and column."""
-    return f"(CASE WHEN y = 0 OR x = 0 THEN 0 ELSE abs({centre(f'{w} - {nw}')}) + abs({centre(f'{nw} - {n}')}) + abs({centre(f'{n} - {ne}')}) END)"
+    return f"(CASE WHEN y = 0 OR x = 0 THEN 0 ELSE {spread(n, w, nw, ne)} END)"
+
+
+def spread(n: str = "n", w: str = "w", nw: str = "nw", ne: str = "ne") -> str:
+    """The sizes of the three modular differences around the causal neighbours, added up."""
+    return " + ".join(f"abs({d})" for d in differences(n, w, nw, ne))
 
 
 def bucket(x: str, edges: tuple[int, ...]) -> str:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import samples as S
-from rasterloom.operators import codec, coders, entropy, motion, stencils
+from rasterloom.operators import bitpack, codec, coders, entropy, motion, stencils
 from rasterloom.operators.stencils import neighbours
-from rasterloom.sources import rasters
+from rasterloom.sources import rasters, shared, y4m
 from rasterloom.sources.rasters import KEY, table
 
 from . import rules as R
@@ -80,7 +80,7 @@ def packed_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT sym, CAST(count(*) AS BIGINT) AS n FROM ({sql.BYTES}) GROUP BY sym")
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entropy.histogram(rasters.text_bytes(spark, sf_dir), [])
+    return rasters.byte_counts(rasters.texts(spark, sf_dir)).groupBy("sym").agg(F.sum("n").alias("n"))
 
 
 @query(f"SELECT {PLANES} FROM ({sql.CLIP}) WHERE frame_no < 3")
@@ -88,6 +88,37 @@ def frame_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.clip(spark, sf_dir).where(F.col("frame_no") < 3)
 
 
+def _clip_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The clip written as y4m files in the shared folder (a short last frame with rows of 0 below), and its planes."""
+    planes = rasters.pack(rasters.clip(spark, sf_dir))
+    y4m.save(studies.padded(planes), path := shared.scratch(spark, "clip"))
+    return path, planes
+
+
+@query(sql.CLIP)
+def y4m_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clip through the y4m sink and source: its samples."""
+    path, planes = _clip_files(spark, sf_dir)
+    back = spark.read.format("y4m").load(path).drop("height", "colourspace", "rate").join(planes.select(*KEY, "height"), KEY)
+    return rasters.unpack(back.select(*KEY, "width", "height", F.expr("substring(data, 1, width * height)").alias("data")))
+
+
+@query(f"SELECT {sql.KEYS}, CAST(sum(v) AS BIGINT) AS total FROM ({sql.CLIP}) WHERE frame_no < 3 AND frame_no >= 1 GROUP BY ALL")
+def y4m_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames 1 and 2 of the clip's files: the filter reaches the source, which seeks to them and reads no others."""
+    path, _ = _clip_files(spark, sf_dir)
+    frames = spark.read.format("y4m").load(path).where("frame_no < 3 AND frame_no >= 1")
+    return rasters.unpack(frames).groupBy(*KEY).agg(F.sum("v").cast("long").alias("total"))
+
+
+@query(f"SELECT 'clip' AS media_id, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height, 'mono' AS colourspace, '25:1' AS rate, CAST(count(DISTINCT frame_no) AS BIGINT) AS frames FROM ({sql.CLIP})")
+def y4m_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and lengths of the clip's files, added up over its parts."""
+    path, _ = _clip_files(spark, sf_dir)
+    found = y4m.headers(spark, path).withColumn("media_id", F.regexp_extract("path", "([^/]*)-[0-9]+[.]y4m$", 1))
+    return found.groupBy("media_id", "width", "height", "colourspace", "rate").agg(F.sum("frames").alias("frames"))
+
+
 # ---------------------------------------------------------------- projections
 
 _RGB_PIXELS = f"SELECT media_id, frame_no, y, x, max(CASE WHEN plane_no = 0 THEN v END) AS r, max(CASE WHEN plane_no = 1 THEN v END) AS g, max(CASE WHEN plane_no = 2 THEN v END) AS b FROM ({sql.RGB}) GROUP BY ALL"
@@ -183,6 +214,32 @@ def previous_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.previous_occurrence(coarse, 64).select(*KEY, "y", "x", "v", "match_pos")
 
 
+_MATCHES = f"SELECT {sql.KEYS}, y, x, v, CAST(y AS BIGINT) * 64 + x AS pos, lag(CAST(y AS BIGINT) * 64 + x) OVER (PARTITION BY {sql.KEYS}, w, n, nw, ne ORDER BY CAST(y AS BIGINT) * 64 + x) AS match_pos FROM ({sql.near(_COARSE)}) WHERE y > 0 AND x > 0"
+
+
+@query(f"SELECT {sql.KEYS}, y, x, match_pos, CAST(CASE WHEN match_pos IS NULL THEN 0 ELSE row_number() OVER i END AS INTEGER) AS run, CASE WHEN match_pos IS NOT NULL THEN first_value(pos) OVER i END AS run_start FROM (SELECT *, x - row_number() OVER (PARTITION BY {sql.KEYS}, y, pos - match_pos ORDER BY x) AS island FROM ({_MATCHES})) WINDOW i AS (PARTITION BY {sql.KEYS}, y, pos - match_pos, island ORDER BY x)")
+def match_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each repeated neighbourhood's match has lasted: islands of equal distance within a row."""
+    coarse = rasters.gray(spark, sf_dir).withColumn("v", F.expr("CAST(v div 64 AS INT)"))
+    return stencils.match_runs(stencils.previous_occurrence(coarse, 64), 64).select(*KEY, "y", "x", "match_pos", "run", "run_start")
+
+
+_SHIFTS = {"w": (0, 1), "n": (1, 0), "nw": (1, 1), "ne": (1, -1), "ww": (0, 2), "nn": (2, 0), "nne": (2, -1)}
+
+
+def _ring_sql() -> str:
+    """Each row of the plane as a list; neighbours are read from the lists of the row and the two above by clamped places."""
+    lines = f"SELECT {sql.KEYS}, y, list(v ORDER BY x) AS a FROM ({sql.GRAY}) GROUP BY ALL"
+    taken = ", ".join(f"r{dy}.a[greatest(1, least(len(r{dy}.a), s.x + 1 - ({dx})))] AS {k}" for k, (dy, dx) in _SHIFTS.items())
+    return f"WITH s AS ({sql.GRAY}), r AS ({lines}), u AS (SELECT *, greatest(0, y - 1) AS y1, greatest(0, y - 2) AS y2 FROM s) SELECT s.media_id, s.frame_no, s.plane_no, s.y, s.x, s.v, {taken} FROM u s JOIN r r0 ON r0.y = s.y JOIN r r1 ON r1.y = s.y1 JOIN r r2 ON r2.y = s.y2"
+
+
+@query(_ring_sql())
+def repeated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven neighbours of studies, edges repeated: found by coordinates in the SQL."""
+    return stencils.repeated_neighbours(rasters.gray(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- entropy
 
 
@@ -286,6 +343,12 @@ def headroom_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.headroom(rasters.gray(spark, sf_dir))
 
 
+@query()
+def headroom_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ideal bytes of four predictors beside what the adaptive codec emits."""
+    return studies.headroom_gap(rasters.rgb(spark, sf_dir))
+
+
 @query()
 def least_squares_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the least-squares predictor, from sums of products that Spark adds up."""
@@ -299,7 +362,7 @@ _BYTE_HIST = sql.hist(sql.BYTES, "media_id")
 
 @query(f"SELECT media_id, sym, CAST(n AS BIGINT) AS n, CAST(coalesce(sum(n) OVER (PARTITION BY media_id ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({_BYTE_HIST})")
 def cumulative_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entropy.cumulative(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"])
+    return entropy.cumulative(rasters.byte_counts(rasters.texts(spark, sf_dir)), ["media_id"])
 
 
 _BYTE_FREQ = R.normalised(_BYTE_HIST, "media_id")
@@ -308,19 +371,19 @@ _BYTE_FREQ = R.normalised(_BYTE_HIST, "media_id")
 @query(f"SELECT media_id, sym, CAST(freq AS BIGINT) AS slots, CAST(sum(freq) OVER (PARTITION BY media_id ORDER BY sym) - freq AS BIGINT) AS first_slot, CAST(sum(freq) OVER (PARTITION BY media_id ORDER BY sym) - 1 AS BIGINT) AS last_slot FROM ({_BYTE_FREQ})")
 def slot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decoder's table of 4096 slots, as the slots that each symbol has."""
-    freq = entropy.normalised(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"])
+    freq = entropy.normalised(rasters.byte_counts(rasters.texts(spark, sf_dir)), ["media_id"])
     return entropy.slot_table(freq, ["media_id"]).groupBy("media_id", "sym").agg(F.count("*").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
 
 
 @query(f"SELECT media_id, count(*) AS used, CAST(sum({R.varint_size('gap')} + {R.varint_size('freq - 1')}) + {R.varint_size('count(*)')} AS BIGINT) AS table_bytes FROM (SELECT *, sym - coalesce(lag(sym) OVER (PARTITION BY media_id ORDER BY sym), -1) - 1 AS gap FROM ({_BYTE_FREQ})) GROUP BY media_id")
 def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entropy.table_size(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"])
+    return entropy.table_size(rasters.byte_counts(rasters.texts(spark, sf_dir)), ["media_id"])
 
 
 @query(f"SELECT media_id, sym, CAST(freq AS BIGINT) AS freq FROM ({_BYTE_FREQ})")
 def normalised_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency tables scaled to 4096, as the coders make them."""
-    return studies.normalised(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), "media_id")
+    return studies.normalised(rasters.byte_counts(rasters.texts(spark, sf_dir)), "media_id")
 
 
 @query()
@@ -339,7 +402,7 @@ def static_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT media_id, CAST(count(*) AS BIGINT) AS used, true AS complete FROM ({_BYTE_HIST}) GROUP BY media_id HAVING count(*) > 1")
 def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical codes by a window over code lengths: whether they fill the code space exactly and none repeats."""
-    lengths = studies.huffman_lengths(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), "media_id")
+    lengths = studies.huffman_lengths(rasters.byte_counts(rasters.texts(spark, sf_dir)), "media_id")
     codes = entropy.canonical_codes(lengths, ["media_id"])
     full = codes.groupBy("media_id").agg(F.count("*").alias("used"), F.sum(F.expr("shiftleft(1L, 15 - len)")).alias("filled"), F.countDistinct(F.expr("shiftleft(code, 15 - len)")).alias("apart"))
     return full.where("used > 1").select("media_id", "used", ((F.col("filled") == 1 << 15) & (F.col("apart") == F.col("used"))).alias("complete"))
@@ -351,7 +414,7 @@ _DECODED = f"SELECT CAST(doc_id AS VARCHAR) AS media_id, CAST(strlen(text) AS BI
 
 def _decoded(spark: SparkSession, sf_dir: str, coder: str) -> DataFrame:
     texts = rasters.texts(spark, sf_dir)
-    least = entropy.entropy(entropy.histogram(rasters.text_bytes(spark, sf_dir), ["media_id"]), ["media_id"]).select("media_id", "entropy_bytes")
+    least = entropy.entropy(rasters.byte_counts(rasters.texts(spark, sf_dir)), ["media_id"]).select("media_id", "entropy_bytes")
     back = studies.roundtrip(texts, coder).join(least, "media_id", "left")
     # A coder with one table can't take less than the entropy; an adaptive one can where a text changes.
     least_bytes = F.coalesce("entropy_bytes", F.lit(0.0)) - 1 if coder != "bits" else F.lit(0)
@@ -365,6 +428,18 @@ def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, sf_dir, "huffman")
 
 
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS media_id, CAST(strlen(text) AS BIGINT) AS symbols, md5(text) AS digest, true AS in_bounds FROM documents WHERE strlen(text) > 0")
+def huffman_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's Huffman bits placed by prefix sums and packed by bit_or, then decoded by the coder."""
+    data = rasters.texts(spark, sf_dir)
+    lengths = studies.huffman_lengths(rasters.byte_counts(data), "media_id")
+    packed = bitpack.huffman_packed(rasters.byte_rows(data), lengths, entropy.canonical_codes(lengths, ["media_id"]), ["media_id"])
+    sizes = data.select("media_id", F.octet_length("data").cast("long").alias("symbols"))
+    bits = entropy.coded_bits(rasters.byte_counts(data), lengths, ["media_id"])
+    back = studies.huffman_decoded(packed.join(sizes, "media_id")).join(bits, "media_id")
+    return back.select("media_id", "symbols", F.md5("data").alias("digest"), (F.col("n_bytes") == 128 + F.expr("(bits + 7) div 8")).alias("in_bounds"))
+
+
 @query(_DECODED)
 def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, sf_dir, "rans")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.functions import samples as S
-from rasterloom.operators import codec, coders, entropy, motion, stencils
+from rasterloom.operators import codec, coders, entropy, motion, stencils, tiles
+from rasterloom.sources import rasters
 from rasterloom.sources.rasters import KEY
 
 #: Extensions by kind (fixed values).
@@ -81,7 +82,7 @@ TAPS = ("w", "n", "nw", "ne", "ww", "nn")
 def least_squares(samples: DataFrame) -> DataFrame:
     """media_id, frame_no, plane_no, weights: the linear predictor with the least squared error over inner samples,
     rounded to 1/64. Sums of products are aggregated; a 6 x 6 system is solved per plane."""
-    near = stencils.neighbours(samples, second_ring=True).where("y >= 2 AND x >= 2")
+    near = stencils.repeated_neighbours(samples).where("y >= 2 AND x >= 2")
     pairs = [(a, b) for i, a in enumerate(TAPS) for b in TAPS[i:]]
     sums = near.groupBy(*KEY).agg(*[F.sum(F.col(a).cast("long") * F.col(b)).alias(f"{a}_{b}") for a, b in pairs], *[F.sum(F.col(a).cast("long") * F.col("v")).alias(f"{a}_v") for a in TAPS])
 
@@ -102,23 +103,38 @@ def least_squares(samples: DataFrame) -> DataFrame:
 
 
 def headroom(samples: DataFrame) -> DataFrame:
-    """Conditional entropy of four predictors' residuals over inner samples."""
-    near = stencils.neighbours(samples, second_ring=True).withColumn("activity", F.expr(S.activity())).where("y >= 2 AND x >= 2").join(least_squares(samples), KEY)  # a row of weights a plane
+    """Conditional entropy of four predictors' residuals over all samples; edges repeat. A plane without inner samples has
+    no linear predictor."""
+    near = stencils.repeated_neighbours(samples).withColumn("activity", F.expr(S.spread())).join(least_squares(samples), KEY, "left")  # a row of weights a plane
     linear = " + ".join(f"weights[{k}] * {t}" for k, t in enumerate(TAPS))
     med = S.med("n", "w", "nw")
     clip = "greatest(0, least(255, CAST(bround({}) AS INT)))"
-    stack = ", ".join(f"'{n}', {e}" for n, e in {"med": med, "gap": clip.format(S.gap_float()), "linear": clip.format(linear), "med_linear": clip.format(f"({med} + {linear}) / 2")}.items())
-    rows = near.selectExpr(*KEY, "y", "x", "v", "activity", f"stack(4, {stack}) AS (predictor, pred)").withColumns({"sym": F.expr(S.zigzag("v - pred")), "size": F.expr(f"abs({S.centre('v - pred')})")})
-    return entropy.conditional_entropy(with_error(rows, ["predictor"]), [*KEY, "predictor"])
+    known = "CASE WHEN weights IS NOT NULL THEN {} END".format
+    stack = ", ".join(f"'{n}', {e}" for n, e in {"med": med, "gap": clip.format(S.gap_float()), "linear": known(clip.format(linear)), "med_linear": known(clip.format(f"({med} + {linear}) / 2"))}.items())
+    rows = near.selectExpr(*KEY, "y", "x", "v", "activity", f"stack(4, {stack}) AS (predictor, pred)").where("pred IS NOT NULL")
+    rows = rows.withColumns({"sym": F.expr(S.zigzag("v - pred")), "size": F.expr(f"abs({S.centre('v - pred')})")})
+    return entropy.conditional_entropy(with_error(rows, ["predictor"], repeat=True), [*KEY, "predictor"])
 
 
-def with_error(rows: DataFrame, keys: list[str]) -> DataFrame:
+def headroom_gap(rgb: DataFrame) -> DataFrame:
+    """(name, n_bytes, vs_med): each predictor's ideal bytes over all planes after the colour transform, beside what the
+    adaptive codec emits for the images (`measured`), in percent over MED's ideal."""
+    ideal = headroom(stencils.colour_planes(rgb)).groupBy(F.col("predictor").alias("name")).agg(F.sum("entropy_bytes").alias("n_bytes"))
+    coded = codec.encode_media(rasters.pack(rgb)).agg(F.sum("n_bytes").cast("double").alias("n_bytes")).select(F.lit("measured").alias("name"), "n_bytes")
+    rows = ideal.unionAll(coded)
+    med = F.max(F.when(F.col("name") == "med", F.col("n_bytes"))).over(Window.partitionBy())  # five rows
+    return rows.select("name", F.round("n_bytes", 4).alias("n_bytes"), F.round(100 * (F.col("n_bytes") - med) / med, 4).alias("vs_med"))
+
+
+def with_error(rows: DataFrame, keys: list[str], repeat: bool = False) -> DataFrame:
     """Rows with activity and size (of the residual), and ctx: the adaptive codec's activity times the sizes of the
-    residuals to the left and above."""
-    left, up = (Window.partitionBy(*keys, *KEY, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
-    err = F.coalesce(F.lag("size").over(left), F.lit(0)) + F.coalesce(F.lag("size").over(up), F.lit(0))
+    residuals to the left and above. Outside the plane: 0, or (repeat) the residual itself."""
+    tile = tiles.tiled(rows, up=1, left=1, keys=keys)
+    left, up = tiles.along_rows(keys), tiles.along_columns(keys)
+    outside = F.col("size") if repeat else F.lit(0)
+    err = F.coalesce(F.lag("size").over(left), outside) + F.coalesce(F.lag("size").over(up), outside)
     ctx = f"{S.bucket('activity', S.CODEC_ACTIVITY)} * {len(S.CODEC_ERROR) + 1} + {S.bucket('err', S.CODEC_ERROR)}"
-    return rows.withColumn("err", err).withColumn("ctx", F.expr(ctx))
+    return tiles.own(tile.withColumn("err", err)).withColumn("ctx", F.expr(ctx))
 
 
 # ---------------------------------------------------------------- static coders
@@ -224,6 +240,18 @@ def roundtrip(texts: DataFrame, coder: str) -> DataFrame:
     return _each_text(texts, make, "media_id string, data binary, n_bytes long")
 
 
+def huffman_decoded(packed: DataFrame) -> DataFrame:
+    """(media_id, data, symbols, n_bytes) of coded (media_id, data, symbols)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded, counts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            back = [coders.huffman_decode(d, n).astype(np.uint8).tobytes() for d, n in zip(coded, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary()), batch.column(2), pa.array([len(d) for d in coded], pa.int64())], names=["media_id", "data", "symbols", "n_bytes"])
+
+    return packed.select("media_id", "data", "symbols").mapInArrow(read, "media_id string, data binary, symbols long, n_bytes long")
+
+
 # ---------------------------------------------------------------- codecs side by side
 
 

@@ -64,8 +64,43 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same a byte a row: (media_id, pos, sym)."""
-    cells = texts(spark, sf_dir).where("octet_length(data) > 0").select("media_id", "data", F.explode(F.expr("sequence(0, octet_length(data) - 1)")).alias("pos"))
-    return cells.selectExpr("media_id", "CAST(pos AS BIGINT) AS pos", "CAST(conv(hex(substring(data, pos + 1, 1)), 16, 10) AS INT) AS sym")
+    return byte_rows(texts(spark, sf_dir))
+
+
+#: Bytes that become rows of one Arrow batch.
+STRETCH = 1 << 18
+
+
+def byte_rows(data: DataFrame) -> DataFrame:
+    """(media_id, data) a byte a row, cut into batches of STRETCH rows."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for media, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                every = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.zeros(0, np.uint8)
+                for at in range(0, len(every), STRETCH):
+                    part = every[at : at + STRETCH]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(media, pa.string()), len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.int32))], names=["media_id", "pos", "sym"])
+
+    return data.select("media_id", "data").mapInArrow(spread, "media_id string, pos long, sym int")
+
+
+def byte_counts(data: DataFrame) -> DataFrame:
+    """(media_id, sym, n): each value's bytes counted where it lies, 256 rows at most, instead of a row a byte."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, syms, counts = [], [], []
+            for media, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n = np.bincount(np.frombuffer(value.as_buffer(), np.uint8), minlength=256) if value.is_valid else np.zeros(256, np.int64)
+                used = np.flatnonzero(n)
+                names += [media] * len(used)
+                syms.append(used)
+                counts.append(n[used])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(np.concatenate(x) if x else [], k) for x, k in ((syms, pa.int32()), (counts, pa.int64())))], names=["media_id", "sym", "n"])
+
+    found = data.select("media_id", "data").mapInArrow(count, "media_id string, sym int, n long")
+    return found.groupBy("media_id", "sym").agg(F.sum("n").alias("n"))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,19 @@ as it was."""
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 MAGIC = b"YUV4MPEG2"
 #: Colour spaces to chroma steps (vertical, horizontal), None: no chroma (fixed values).
@@ -141,9 +143,12 @@ def to_y4m(planes: DataFrame) -> DataFrame:
 
 
 class Y4mSource(DataSource):
-    """spark.read.format("y4m").load(path): files of a shared file system, split into runs of frames.
+    """spark.read.format("y4m").load(path): clips split into runs of frames, read by byte ranges.
 
-    Options: path (a file, folder or pattern), limit (frames of each file). Writing takes media_id and content.
+    Options: path (a file or folder; a local path or a URI of a store that Arrow opens), limit (frames of each clip).
+    Filters on frame_no and plane_no are pushed down where the session allows it (register() does): frames and planes
+    that they rule out are never read. Files of a folder named <clip>-<first frame>.y4m are parts of one clip.
+    Writing takes either whole files (media_id, content) or planes, see save().
     """
 
     @classmethod
@@ -157,51 +162,125 @@ class Y4mSource(DataSource):
         return _Y4mReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Y4mWriter(self.options, schema.names)
+        return (_Y4mWriter if "content" in schema.names else _PartWriter)(self.options, schema.names)
 
 
-def _local(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path
+#: Name of a part: the clip's and its first frame's.
+PART_NAME = re.compile(r"(.*)-(\d{9,})")
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path or URI names, and the path within it."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    """A file that can be read at any place (a seam for tests)."""
+    store, name = _store(path)
+    return store.open_input_file(name)
 
 
 @dataclass
 class _Run(InputPartition):
     path: str
-    first: int
+    media: str
+    base: int  # number of the file's first frame
+    first: int  # from here in the file
     count: int
 
 
+@dataclass
+class _Range:
+    """Whole numbers that the pushed filters on a column leave."""
+
+    low: int = 0
+    high: int = 1 << 31
+    listed: set | None = None
+
+    def push(self, f: Filter) -> bool:
+        """Takes a filter on the column, if it is one of those that name a range or a list."""
+        if isinstance(f, IsNotNull):
+            return True
+        if isinstance(f, In):
+            values = {v for v in f.value if v is not None}
+            self.listed = values if self.listed is None else self.listed & values
+            return True
+        if not isinstance(f, EqualTo | LessThan | LessThanOrEqual | GreaterThan | GreaterThanOrEqual) or f.value is None:
+            return False
+        if not isinstance(f, LessThan | LessThanOrEqual):
+            self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+        if not isinstance(f, GreaterThan | GreaterThanOrEqual):
+            self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
+        return True
+
+    def holds(self, k: int) -> bool:
+        return self.low <= k < self.high and (self.listed is None or k in self.listed)
+
+
 class _Y4mReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
+        self.path = options["path"]
         self.limit = int(options["limit"]) if options.get("limit") else None
+        self.ranges = {("frame_no",): _Range(), ("plane_no",): _Range()}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            held = self.ranges.get(getattr(f, "attribute", None))
+            if held is None or not held.push(f):
+                yield f
+
+    def _files(self) -> list[tuple[str, int]]:
+        """Paths and sizes of the files that the path names."""
+        store, name = _store(self.path)
+        prefix = self.path[: len(self.path) - len(name)] if "://" in self.path and self.path.endswith(name) else ""
+        pattern = None
+        if "*" in name or "?" in name:
+            name, pattern = os.path.split(name)
+        info = store.get_file_info(name)
+        if info.type == fs.FileType.File:
+            return [(prefix + name, info.size)]
+        found = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
+        wanted = [x for x in found if x.type == fs.FileType.File and (fnmatch.fnmatch(x.base_name, pattern) if pattern else x.base_name.endswith(".y4m")) and not x.base_name.startswith((".", "_"))]
+        return sorted((prefix + x.path, x.size) for x in wanted)
 
     def partitions(self) -> list[_Run]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.y4m")) if os.path.isdir(self.path) else glob.glob(self.path))
+        frames = self.ranges["frame_no",]
         runs = []
-        for name in files:
-            with open(name, "rb") as f:
+        for path, size in self._files():
+            stem = os.path.basename(path).removesuffix(".y4m")
+            part = PART_NAME.fullmatch(stem)
+            media, base = (part[1], int(part[2])) if part else (path, 0)
+            high = min(frames.high, self.limit if self.limit is not None else frames.high)
+            if base >= high:
+                continue
+            with _open(path) as f:
                 head = parse_header(f.read(4096))
-            n = (os.path.getsize(name) - head.size) // (head.frame_bytes() + 6)
-            n = n if self.limit is None else min(n, self.limit)
-            runs += [_Run(name, k, min(FRAMES_PER_PARTITION, n - k)) for k in range(0, n, FRAMES_PER_PARTITION)]
-        return runs or [_Run("", 0, 0)]
+            n = (size - head.size) // (head.frame_bytes() + 6)
+            low, high = max(frames.low - base, 0), min(n, high - base)
+            runs += [_Run(path, media, base, k, min(FRAMES_PER_PARTITION, high - k)) for k in range(low, high, FRAMES_PER_PARTITION) if any(frames.holds(base + i) for i in range(k, min(k + FRAMES_PER_PARTITION, high)))]
+        return runs or [_Run("", "", 0, 0, 0)]
 
     def read(self, run: _Run) -> Iterator[tuple]:
         if not run.count:
             return
-        with open(run.path, "rb") as f:
+        frames, planes = self.ranges["frame_no",], self.ranges["plane_no",]
+        with _open(run.path) as f:
             head = parse_header(f.read(4096))
-            size = head.frame_bytes()
-            f.seek(head.size + run.first * (size + 6))  # a frame's mark is 6 bytes long where it has no tags
+            step = head.frame_bytes() + 6  # a frame's mark is 6 bytes long where it has no tags
             for k in range(run.first, run.first + run.count):
+                if not frames.holds(run.base + k):
+                    continue
+                f.seek(at := head.size + k * step)
                 if f.read(6) != b"FRAME\n":
                     raise ValueError("a frame doesn't start with a plain mark; read this file with y4m.scan")
-                planes, at, raw = [], 0, f.read(size)
-                for h, w in head.shapes():
-                    planes.append(np.frombuffer(raw, np.uint8, h * w, at).reshape(h, w))
+                at += 6
+                for p, (h, w) in enumerate(head.shapes()):
+                    if planes.holds(p):
+                        f.seek(at)
+                        yield run.media, run.base + k, p, w, h, f.read(h * w), head.colourspace, head.rate
                     at += h * w
-                yield from _rows(run.path, k, planes, head)
 
 
 @dataclass
@@ -209,34 +288,112 @@ class _Written(WriterCommitMessage):
     files: list[str]
 
 
-class _Y4mWriter(DataSourceWriter):
-    """One file per row, under a temporary name until all tasks are done."""
+def _safe(name: str) -> str:
+    return re.sub(r"[^A-Za-z0-9._-]", "_", os.path.basename(name).removesuffix(".y4m"))
+
+
+class _Writer(DataSourceWriter):
+    """Files under temporary names until all tasks are done; what a failed or repeated task left is never seen."""
 
     def __init__(self, options: dict, names: list[str]):
-        self.folder = _local(options["path"])
-        self.at = names.index("media_id"), names.index("content")
-        os.makedirs(self.folder, exist_ok=True)
+        self.folder, self.names = options["path"], names
 
-    def write(self, rows: Iterator) -> _Written:
-        files = []
-        for row in rows:
-            name = re.sub(r"[^A-Za-z0-9._-]", "_", os.path.basename(row[self.at[0]]).removesuffix(".y4m")) + ".y4m"
-            with open(temporary := os.path.join(self.folder, f".{name}.{os.getpid()}"), "wb") as f:
-                f.write(row[self.at[1]])
-            files.append(temporary)
-        return _Written(files)
+    def _temporary(self, name: str) -> str:
+        return f"_temporary.{uuid.uuid4().hex}.{name}.y4m"
 
     def commit(self, messages: list) -> None:
+        store, folder = _store(self.folder)
+        store.create_dir(folder, recursive=True)
         for m in messages:
-            for temporary in m.files if m else []:
-                folder, name = os.path.split(temporary)
-                os.replace(temporary, os.path.join(folder, name[1:].rsplit(".", 1)[0]))
+            for name in m.files if m else []:
+                final = f"{folder}/{name.split('.', 2)[2]}"
+                if store.get_file_info(final).type == fs.FileType.File:
+                    store.delete_file(final)
+                store.move(f"{folder}/{name}", final)
 
     def abort(self, messages: list) -> None:
+        store, folder = _store(self.folder)
         for m in messages:
-            for temporary in m.files if m else []:
-                os.remove(temporary)
+            for name in m.files if m else []:
+                store.delete_file(f"{folder}/{name}")
+
+
+class _Y4mWriter(_Writer):
+    """One file per row (media_id, content)."""
+
+    def write(self, rows: Iterator) -> _Written:
+        store, folder = _store(self.folder)
+        store.create_dir(folder, recursive=True)
+        at = self.names.index("media_id"), self.names.index("content")
+        files = []
+        for row in rows:
+            files.append(name := self._temporary(_safe(row[at[0]])))
+            with store.open_output_stream(f"{folder}/{name}") as f:
+                f.write(row[at[1]])
+        return _Written(files)
+
+
+class _PartWriter(_Writer):
+    """Planes in order of (media_id, frame_no, plane_no), a frame in memory at a time; a file for every run of frames."""
+
+    def write(self, rows: Iterator) -> _Written:
+        store, folder = _store(self.folder)
+        store.create_dir(folder, recursive=True)
+        files, out, head, last = [], None, None, None
+        tell = [self.names.index(c) for c in ("media_id", "frame_no", "plane_no", "width", "height", "data", "colourspace", "rate")]
+
+        def put(media: str, k: int, planes: list[tuple]) -> None:
+            nonlocal out, head, last
+            w, h, colourspace, rate = planes[0][0], planes[0][1], planes[0][3], planes[0][4]
+            now = Header(w, h, colourspace, rate)
+            if [(p[1], p[0]) for p in planes] != now.shapes():
+                raise ValueError(f"{media}: the planes of frame {k} don't have the colour space's sizes")
+            if out is None or (media, k) != (last[0], last[1] + 1) or k // FRAMES_PER_PARTITION != last[1] // FRAMES_PER_PARTITION:
+                if out is not None:
+                    out.close()
+                files.append(name := self._temporary(f"{_safe(media)}-{k:09d}"))
+                out, head = store.open_output_stream(f"{folder}/{name}"), now
+                out.write(head.line())
+            elif now != head:
+                raise ValueError(f"{media}: frame {k} doesn't have the sizes of those before")
+            out.write(b"FRAME\n")
+            for p in planes:
+                out.write(p[2])
+            last = media, k
+
+        frame, held = None, []
+        for row in rows:
+            media, k, _, *plane = (row[i] for i in tell)
+            if frame is not None and frame != (media, k):
+                put(*frame, held)
+                held = []
+            frame = media, k
+            held.append(plane)
+        if held:
+            put(*frame, held)
+        if out is not None:
+            out.close()
+        return _Written(files)
+
+
+def save(planes: DataFrame, path: str, colourspace: str | None = None, rate: str = "25:1") -> None:
+    """Writes packed planes as y4m files, a part of FRAMES_PER_PARTITION frames each: a long clip is many tasks' work.
+
+    Without columns colourspace and rate: `mono` for one plane a frame, else 420jpeg, unless named.
+    """
+    register(planes.sparkSession)
+    if "colourspace" not in planes.columns:
+        # A frame's planes decide; they come together anyway.
+        many = F.max("plane_no").over(Window.partitionBy("media_id", "frame_no")) > 0
+        planes = planes.withColumn("colourspace", F.lit(colourspace) if colourspace else F.when(many, "420jpeg").otherwise("mono"))
+    if "rate" not in planes.columns:
+        planes = planes.withColumn("rate", F.lit(rate))
+    part = F.expr(f"frame_no div {FRAMES_PER_PARTITION}")
+    rows = planes.select("media_id", "frame_no", "plane_no", "width", "height", "data", "colourspace", "rate")
+    rows.repartition("media_id", part).sortWithinPartitions("media_id", "frame_no", "plane_no").write.format("y4m").mode("append").save(path)
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to the session, and lets it take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Y4mSource)
