@@ -1,6 +1,6 @@
 """Lossless image and clip streams over the wavefront coder, and their DataFrame operators.
 
-An image stream: magic, width, height, channels, flags, planes. A clip stream: magic, frames, planes, flags, block
+An image stream: magic, width, height, channels, flags, settings if they aren't the usual ones, planes. A clip stream: magic, frames, planes, flags, block
 size, plane sizes, then the block table of each frame but the first; then the row coders' units. Large images are cut
 into bands of rows and long clips into groups of frames, each a stream of its own that another task codes: a stream of
 parts has magic, kind, width, height, planes, frames, flags, block size, samples, the parts' sizes and the parts. All
@@ -11,6 +11,7 @@ vectors are scaled by the rounded ratio of plane sizes.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 
 from . import motion
 from .coders import BitDecoder, BitEncoder, Reader, varint
-from .wavefront import Bank, RowCoders, code_plane, coders_of
+from .wavefront import DEFAULT, Bank, RowCoders, Settings, code_plane, coders_of
 
 IMAGE, CLIP, PARTS = b"RLI1", b"RLV1", b"RLP1"
 #: Samples of a band (of all its planes) and frames of a group; each is modelled from nothing.
 BAND_SAMPLES, GROUP_FRAMES = 1 << 15, 16
-COLOUR, TURNED = 1, 2  # flags; a tall image is coded on its side, which takes fewer steps
+COLOUR, TURNED, TUNED = 1, 2, 4  # flags; a tall image is coded on its side, which takes fewer steps; a tuned one has its settings
 MOST_SAMPLES = 1 << 31
 
 
@@ -87,7 +88,19 @@ def _opened(data: bytes, magic: bytes) -> Reader:
     return Reader(data[:-4], 4)
 
 
-def encode_image(channels: list[np.ndarray], statistics: dict | None = None) -> bytes:
+def _put_settings(settings: Settings) -> bytes:
+    """The settings, edges as steps."""
+    ladders = [bytes((len(e),)) + b"".join(varint(b - a) for a, b in zip((0, *e), e)) for e in (settings.activity, settings.errors)]
+    return bytes((settings.memory,)) + b"".join(ladders)
+
+
+def _get_settings(r: Reader) -> Settings:
+    memory = r.u8()
+    ladders = [tuple(itertools.accumulate(r.varint() for _ in range(r.u8()))) for _ in range(2)]
+    return Settings(*ladders, memory)
+
+
+def encode_image(channels: list[np.ndarray], statistics: dict | None = None, settings: Settings = DEFAULT) -> bytes:
     """One to four channels of one size; three and more choose the colour transform if its residuals take less."""
     if not 1 <= len(channels) <= 4 or any(c.shape != channels[0].shape for c in channels):
         raise ValueError("an image has one to four channels of one size")
@@ -101,9 +114,10 @@ def encode_image(channels: list[np.ndarray], statistics: dict | None = None) ->
             planes, flags = changed + channels[3:], COLOUR
     if height > width:
         planes, flags = [np.ascontiguousarray(p.T) for p in planes], flags | TURNED
-    out = [IMAGE, varint(width), varint(height), bytes((len(channels), flags))]
+    flags |= TUNED if settings != DEFAULT else 0
+    out = [IMAGE, varint(width), varint(height), bytes((len(channels), flags)), _put_settings(settings) if flags & TUNED else b""]
     rows, columns = planes[0].shape
-    bank, side, coders = Bank(), None, RowCoders(coders_of(rows, columns))
+    bank, side, coders = Bank(settings), None, RowCoders(coders_of(rows, columns))
     for k, plane in enumerate(planes):
         _, sizes = code_plane(bank, k, rows, columns, plane, coders, side=side if k in (1, 2) else None)
         side = sizes if k == 0 else side
@@ -140,7 +154,7 @@ def decode_image(data: bytes) -> list[np.ndarray]:
     width, height, channels, flags = r.varint(), r.varint(), r.u8(), r.u8()
     if not 1 <= channels <= 4 or not 0 < width * height < MOST_SAMPLES:
         raise ValueError("the header is damaged")
-    bank, side, planes = Bank(), None, []
+    bank, side, planes = Bank(_get_settings(r) if flags & TUNED else DEFAULT), None, []
     rows, columns = (width, height) if flags & TURNED else (height, width)
     n = coders_of(rows, columns)
     coders = RowCoders(n, _get_streams(r, n))

@@ -16,13 +16,15 @@ weights and refines the result by an adaptive map.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 
+from rasterloom.functions.samples import ACTIVITY_LADDERS
+
 KINDS = 8  # luma, two chroma, alpha; each again for motion-compensated samples
-TAPS, LMS_CONTEXTS = 9, 32
+TAPS = 9
 MATCH_BITS, MATCH_TRUST = 18, 8
-LIMIT = 1 << 10
 MAP_STEPS = 33
 #: Log odds in 1/256 of 12-bit probabilities, and back.
 STRETCH = np.array([round(256 * math.log((k + 0.5) / (4095.5 - k))) for k in range(4096)], np.int64)
@@ -34,16 +36,37 @@ def levels(x: np.ndarray, edges: tuple[int, ...]) -> np.ndarray:
     return np.searchsorted(np.array(edges), x, "right")
 
 
-ACTIVITY_EDGES = (1, 2, 3, 4, 5, 7, 9, 12, 16, 22, 30, 42, 58, 80, 112)
+ACTIVITY_EDGES = ACTIVITY_LADDERS[16]
 ERROR_EDGES = (1, 3, 6, 11, 20, 40)
 SIDE_EDGES = (1, 3, 8, 20)
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a stream may set: the ladders of activity and of the neighbours' errors, and how far counts grow before they
+    are halved (a power of two; the smaller, the faster statistics follow a change)."""
+
+    activity: tuple[int, ...] = ACTIVITY_EDGES
+    errors: tuple[int, ...] = ERROR_EDGES
+    memory: int = 10
+
+    def __post_init__(self) -> None:
+        for edges in (self.activity, self.errors):
+            if not 0 < len(edges) < 64 or any(not 0 < a < b < 1 << 10 for a, b in zip(edges, (*edges[1:], (1 << 10) - 1))):
+                raise ValueError("a ladder has up to 63 rising edges")
+        if not 4 <= self.memory <= 20:
+            raise ValueError("counts are halved at 2**4 to 2**20")
+
+
+DEFAULT = Settings()
+
+
 class Decision:
     """A family of binary decisions with several contexts each: counts, mixing weights, a refining map."""
 
-    def __init__(self, contexts: tuple[int, ...], gates: int):
+    def __init__(self, contexts: tuple[int, ...], gates: int, memory: int = DEFAULT.memory):
         self.counts = [np.zeros((n, 2), np.int64) for n in contexts]
+        self.limit = 1 << memory
         k = len(contexts)
         self.weights = np.full((gates, k), 65536 * 5 // (4 * k), np.int64)
         start = SQUASH[np.clip((np.arange(MAP_STEPS) - 16) * 128 + 2047, 0, 4095)]
@@ -68,7 +91,7 @@ class Decision:
     def update(self, bit: np.ndarray) -> None:
         for counts, c in zip(self.counts, self.at):
             np.add.at(counts, (c, bit), 1)
-            full = c[counts[c].sum(axis=1) > LIMIT]
+            full = c[counts[c].sum(axis=1) > self.limit]
             if len(full):
                 full = np.unique(full)
                 counts[full] >>= 1
@@ -93,13 +116,16 @@ class Decision:
 class Bank:
     """All adaptive state; lives for an image, or for a whole clip."""
 
-    def __init__(self) -> None:
-        a, e, s = len(ACTIVITY_EDGES) + 1, len(ERROR_EDGES) + 1, len(SIDE_EDGES) + 1
-        self.zero = Decision((KINDS * a * e, KINDS * 9 * a, KINDS * e * s * s, KINDS * 8 * e), KINDS * a)
-        self.sign = Decision((KINDS * 9 * 3, KINDS * 16), KINDS)
-        self.length = Decision((KINDS * a * e * 8, KINDS * s * s * 8 * 8, KINDS * 8 * 9), KINDS * 8)
-        self.below = Decision((KINDS * 8 * 4, KINDS * 8 * 4 * a), KINDS)
-        self.lms = np.zeros((KINDS // 2 * LMS_CONTEXTS, TAPS), np.int64)
+    def __init__(self, settings: Settings = DEFAULT) -> None:
+        self.settings = settings
+        a, e, s = len(settings.activity) + 1, len(settings.errors) + 1, len(SIDE_EDGES) + 1
+        family = lambda contexts, gates: Decision(contexts, gates, settings.memory)
+        self.zero = family((KINDS * a * e, KINDS * 9 * a, KINDS * e * s * s, KINDS * 8 * e), KINDS * a)
+        self.sign = family((KINDS * 9 * 3, KINDS * a), KINDS)
+        self.length = family((KINDS * a * e * 8, KINDS * s * s * 8 * 8, KINDS * 8 * 9), KINDS * 8)
+        self.below = family((KINDS * 8 * 4, KINDS * 8 * 4 * a), KINDS)
+        self.lms_contexts = 4 * (a + 1 >> 1)
+        self.lms = np.zeros((KINDS // 2 * self.lms_contexts, TAPS), np.int64)
         self.statistics = {"samples": 0, "nonzero": 0, "plain_bits": 0, "length_bits": 0}
 
 
@@ -235,9 +261,9 @@ def code_plane(bank: Bank, kind: int, height: int, width: int, source: np.ndarra
         base = np.clip(blend, lo - 16, hi + 16)
         # the least-mean-squares combiner, around the blend
         activity = abs(w - nw) + abs(nw - n) + abs(n - ne)
-        a = levels(activity, ACTIVITY_EDGES)
+        a = levels(activity, bank.settings.activity)
         own = kind % (KINDS // 2)
-        context = own * LMS_CONTEXTS + (a >> 1) * 4 + 2 * (w > nw) + (n > nw)
+        context = own * bank.lms_contexts + (a >> 1) * 4 + 2 * (w > nw) + (n > nw)
         zero = np.zeros_like(base)
         taps = np.stack([w - base, n - base, nw - base, ne - base, ww - base, nn - base, nne - base, np.where(left, zero, at(signs, 0, 1)), np.where(top, zero, at(signs, 1, 0))], axis=1)
         learned = base + ((taps * bank.lms[context]).sum(axis=1) + 32768 >> 16)
@@ -255,12 +281,12 @@ def code_plane(bank: Bank, kind: int, height: int, width: int, source: np.ndarra
             kinds = kinds + np.where(inter, KINDS // 2, 0)
         # contexts
         ew, en, ene, enw = at(sizes, 0, 1), at(sizes, 1, 0), at(sizes, 1, -1), at(sizes, 1, 1)
-        e = levels(ew + en + (ene + enw >> 1), ERROR_EDGES)
+        e = levels(ew + en + (ene + enw >> 1), bank.settings.errors)
         sl = levels(side[y, x], SIDE_EDGES) if side is not None else np.zeros(len(y), np.int64)
         el = levels(ew, SIDE_EDGES)
         pattern = 3 * (np.sign(w - nw) + 1) + np.sign(n - nw) + 1
         m = np.minimum(sure, 7)
-        na, ne_, ns = len(ACTIVITY_EDGES) + 1, len(ERROR_EDGES) + 1, len(SIDE_EDGES) + 1
+        na, ne_, ns = len(bank.settings.activity) + 1, len(bank.settings.errors) + 1, len(SIDE_EDGES) + 1
         if encode:
             value = source[y, x].astype(np.int64)
             d = (value - pred + 128 & 255) - 128
@@ -278,7 +304,7 @@ def code_plane(bank: Bank, kind: int, height: int, width: int, source: np.ndarra
         if len(k):
             sw, sn = np.where(left, 0, at(signs, 0, 1))[k], np.where(top, 0, at(signs, 1, 0))[k]
             lean = np.where(sure[k] > 0, np.sign(guess[k] - pred[k]) + 1, 1)
-            negative = decide(bank.sign, [(kinds[k] * 9 + 3 * (np.sign(sw) + 1) + np.sign(sn) + 1) * 3 + lean, kinds[k] * 16 + a[k]], kinds[k], lane[k], (d[k] < 0).astype(np.int64) if encode else None)
+            negative = decide(bank.sign, [(kinds[k] * 9 + 3 * (np.sign(sw) + 1) + np.sign(sn) + 1) * 3 + lean, kinds[k] * na + a[k]], kinds[k], lane[k], (d[k] < 0).astype(np.int64) if encode else None)
             less = size[k] - 1 if encode else None  # 0 to 127
             length = np.zeros(len(k), np.int64)
             target = LENGTHS[less] if encode else None

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.functions import samples as S
-from rasterloom.operators import codec, coders, entropy, motion, stencils, tiles
-from rasterloom.sources import rasters
+from rasterloom.operators import codec, coders, entropy, motion, stencils, tiles, wavefront
+from rasterloom.sources import rasters, shared
 from rasterloom.sources.rasters import KEY
 
 #: Extensions by kind (fixed values).
@@ -392,17 +392,33 @@ def _frame_pairs(planes: DataFrame) -> DataFrame:
 
 
 def searched(planes: DataFrame, block: int = motion.BLOCK, penalty: int = motion.MOVE_PENALTY) -> DataFrame:
+    """Mode, vector and costs of each block of every frame but the first."""
+    pairs = _frame_pairs(planes).select("*", F.lit(block).alias("block"), F.lit(penalty).alias("penalty"))
+    return _searched(pairs).drop("block", "penalty")
+
+
+def _searched(pairs: DataFrame) -> DataFrame:
+    """The search over frame pairs with their settings (block, penalty)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 cur, ref = (np.frombuffer(row[c], np.uint8).reshape(row["height"], row["width"]) for c in ("data", "ref"))
-                found = motion.modes(cur, ref, block, penalty)
+                found = motion.modes(cur, ref, row["block"], row["penalty"])
                 by, bx = np.indices(found[0].shape, np.int32)
                 n = by.size
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([row["media_id"]] * n), pa.array(np.full(n, row["frame_no"], np.int32)), pa.array(by.ravel()), pa.array(bx.ravel()), *(pa.array(x.ravel(), k) for x, k in zip(found, kinds))], names=[x.split()[0] for x in SEARCHED.split(", ")])
+                settings = [pa.array(np.full(n, row[c], np.int32)) for c in ("block", "penalty")]
+                yield pa.RecordBatch.from_arrays([pa.array([row["media_id"]] * n), pa.array(np.full(n, row["frame_no"], np.int32)), pa.array(by.ravel()), pa.array(bx.ravel()), *(pa.array(x.ravel(), k) for x, k in zip(found, kinds)), *settings], names=[x.split()[0] for x in f"{SEARCHED}, block int, penalty int".split(", ")])
+
+    return pairs.mapInArrow(run, f"{SEARCHED}, block int, penalty int")
 
-    return _frame_pairs(planes).mapInArrow(run, SEARCHED)
+
+def _kept(frame: DataFrame, what: str) -> DataFrame:
+    """frame written once to the shared folder and read back."""
+    spark = frame.sparkSession
+    frame.write.parquet(path := shared.scratch(spark, what))
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def grid(spark: SparkSession) -> DataFrame:
@@ -410,14 +426,49 @@ def grid(spark: SparkSession) -> DataFrame:
     return blocks.crossJoin(spark.createDataFrame([(0,), (48,), (96,)], "penalty int"))  # nine rows
 
 
-def sweep(spark: SparkSession, planes: DataFrame, best: int = 5) -> DataFrame:
-    """Motion cost of every setting (an argument of the search, not a global), the best few."""
-    out = None
-    for r in grid(spark).collect():  # nine rows
-        cost = searched(planes, r["block"], r["penalty"]).agg(F.sum(F.when(F.col("mode") == 1, F.col("temporal")).otherwise(F.col("spatial"))).alias("cost"), F.count("*").alias("blocks"))
-        row = cost.select(F.lit(r["block"]).alias("block"), F.lit(r["penalty"]).alias("penalty"), "cost", "blocks")
-        out = row if out is None else out.unionAll(row)
-    return out.orderBy("cost", "block", "penalty").limit(best)
+def motion_sweep(planes: DataFrame, best: int = 5) -> DataFrame:
+    """Motion cost of every setting of the search, the best few: one stored table of frame pairs, a task for pairs and
+    settings side by side."""
+    spark = planes.sparkSession
+    pairs = _kept(_frame_pairs(planes), "pairs").crossJoin(F.broadcast(grid(spark)))  # nine rows
+    cost = F.sum(F.when(F.col("mode") == 1, F.col("temporal")).otherwise(F.col("spatial")))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    every = _searched(pairs.repartition(tasks, "media_id", "frame_no", "block", "penalty"))
+    return every.groupBy("block", "penalty").agg(cost.alias("cost"), F.count("*").alias("blocks")).orderBy("cost", "block", "penalty").limit(best)
+
+
+#: Ladders of the neighbours' errors that a sweep tries, by name.
+ERROR_LADDERS = {"e3": (1, 4, 12), "e6": wavefront.ERROR_EDGES}
+SWEPT = "memory int, activity int, errors string, media_id string, part int, n_bytes long"
+
+
+def settings_grid(spark: SparkSession) -> DataFrame:
+    """Eighteen settings of the adaptive model: how long counts remember, the ladders of activity and of errors."""
+    memory, activity = (spark.createDataFrame([(k,) for k in v], f"{n} int") for n, v in (("memory", (8, 10, 12)), ("activity", (12, 16, 24))))
+    return memory.crossJoin(activity).crossJoin(spark.createDataFrame([(k,) for k in ERROR_LADDERS], "errors string"))
+
+
+def sweep(planes: DataFrame, best: int = 5) -> DataFrame:
+    """(memory, activity, errors, n_bytes, parts): the settings whose streams are smallest, by real bytes.
+
+    Images are cut into bands once and stored; every band is coded under every setting by a task of its own, and only
+    sizes come back. A setting travels in the stream's header, so each stream decodes by itself.
+    """
+    spark = planes.sparkSession
+    bands = _kept(codec.cut_media(planes).where("NOT clip").drop("clip"), "bands").crossJoin(F.broadcast(settings_grid(spark)))  # eighteen rows
+    key = ["memory", "activity", "errors", "media_id", "part"]
+
+    def code(keys: tuple, rows: pa.Table) -> pa.Table:
+        memory, activity, errors, media, part = (k.as_py() for k in keys)
+        settings = wavefront.Settings(S.ACTIVITY_LADDERS[activity], ERROR_LADDERS[errors], memory)
+        stream = codec.encode_image(_image(rows), settings=settings)
+        kinds = [x.split()[1] for x in SWEPT.split(", ")]
+        arrow = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
+        return pa.table([pa.array([v], arrow[k]) for v, k in zip((memory, activity, errors, media, part, len(stream)), kinds)], names=[x.split()[0] for x in SWEPT.split(", ")])
+
+    coded = bands.repartition(8 * spark.sparkContext.defaultParallelism, *key).groupBy(*key).applyInArrow(code, SWEPT)
+    sums = coded.groupBy("memory", "activity", "errors").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("parts"))
+    return sums.orderBy("n_bytes", "memory", "activity", "errors").limit(best)
 
 
 def kind_of(path: Column) -> Column:

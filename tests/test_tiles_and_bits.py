@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import bitpack, codec, coders, entropy, stencils, tiles
+from rasterloom.operators import bitpack, codec, coders, entropy, stencils, tiles, wavefront
 from rasterloom.plans import studies
 from rasterloom.sources import rasters, y4m
 
@@ -292,3 +292,43 @@ def test_filters_reach_the_source(spark, tmp_path):
     assert source.where("frame_no < 4").count() == 4 and [r["frame_no"] for r in source.where("frame_no = 5").collect()] == [5]
     with pytest.raises(Exception, match="mark"):
         source.where("width = 8").collect()
+
+
+# ---- settings and sweeps
+
+
+@pytest.mark.parametrize("settings", [wavefront.DEFAULT, wavefront.Settings((3, 9), (1, 2, 300), 5), wavefront.Settings(tuple(range(1, 64)), (7,), 20)])
+def test_streams_carry_their_settings(settings):
+    image = [plane(23, 17, k).astype(np.uint8) // 3 for k in range(3)]
+    stream = codec.encode_image(image, settings=settings)
+    assert all(map(np.array_equal, codec.decode_image(stream), image)) and codec.header(stream)["samples"] == 3 * 23 * 17
+    with pytest.raises(ValueError):
+        wavefront.Settings((3, 3))
+
+
+def test_sweep_by_real_bytes(spark, monkeypatch):
+    y, x = np.mgrid[0:24, 0:20]
+    image = [(y * 5 + x * 2 + plane(24, 20, 3, 6)).astype(np.uint8), plane(24, 20, 4, 40).astype(np.uint8)]
+    rows = [("m", 0, p, 20, 24, bytearray(a.tobytes())) for p, a in enumerate(image)]
+    planes = spark.createDataFrame(rows, "media_id string, frame_no int, plane_no int, width int, height int, data binary")
+    from rasterloom.functions import samples as S
+
+    sizes = sorted((len(codec.encode_image(image, settings=wavefront.Settings(S.ACTIVITY_LADDERS[a], studies.ERROR_LADDERS[e], m))), m, a, e) for m in (8, 10, 12) for a in (12, 16, 24) for e in ("e3", "e6"))
+    found = [(r["n_bytes"], r["memory"], r["activity"], r["errors"]) for r in studies.sweep(planes).collect()]
+    assert found == sizes[:5] and len(sizes) == 18
+
+
+def test_motion_sweep_by_the_search(spark):
+    from rasterloom.operators import motion
+
+    a, b = plane(32, 48, 1).astype(np.uint8), plane(32, 48, 1).astype(np.uint8)
+    b = np.roll(b, 2, axis=1)
+    rows = [("m", k, 0, 48, 32, bytearray(f.tobytes())) for k, f in enumerate((a, b))]
+    planes = spark.createDataFrame(rows, "media_id string, frame_no int, plane_no int, width int, height int, data binary")
+    want = []
+    for block in (8, 16, 32):
+        for penalty in (0, 48, 96):
+            mode, _, _, temporal, spatial = motion.modes(b, a, block, penalty)
+            want.append((int(np.where(mode == 1, temporal, spatial).sum()), block, penalty))
+    found = [(r["cost"], r["block"], r["penalty"]) for r in studies.motion_sweep(planes).collect()]
+    assert found == sorted(want)[:5]
