@@ -123,14 +123,17 @@ def tidy() -> None:
 HOT_SHARE = 1000
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """rows (inner) joined with facts, which has one row for each key and in column n how many of `total` rows have it.
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
+    """rows (inner) joined with facts, which has one row for each key and in column n how many of `total` rows have it
+    (None: the sum of n, so that fewer than HOT_SHARE keys can be hot).
 
     Hot keys' facts, fewer than HOT_SHARE of them, are broadcast, so their rows stay where they are; the others are
     shuffled and no task gets more than its share. facts must be stored: they are read twice. n is dropped.
     """
     from pyspark.sql import functions as F
 
+    if total is None:
+        total = facts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     least = total // HOT_SHARE
     hot, calm = facts.where(F.col(n) > least).drop(n), facts.where(F.col(n) <= least).drop(n)
     marks = hot.select(*keys)

@@ -330,14 +330,14 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     calm = own.select("doc_id", F.explode("prefix").alias("key")).select("key", F.col("doc_id").alias("doc"), *facts(lambda f: f.over(by_key))).where("first <> last")
     busy = own.select(F.explode("busy").alias("key"), "doc_id")
     told = common.stored(spark, busy.groupBy("key").agg(*facts(lambda f: f)).where("first <> last"), "busy")
-    busy = common.spread_join(busy.withColumnRenamed("doc_id", "doc"), told.withColumn("share", F.col("size")), ["key"], "share", number)
+    busy = common.spread_join(busy.withColumnRenamed("doc_id", "doc"), told.withColumn("share", F.col("size")), ["key"], "share")
     met = common.stored(spark, calm.unionByName(busy).drop("last"), "met")
     common.drop(told)
     common.drop(own)
     # Shingles with the same members lead to the same pairs: one of them stays, with their number.
     alike = common.stored(spark, met.where("doc = first").groupBy("first", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("w"), F.first("size").alias("size")).select("key", "w", "size"), "distinct")
     every = met
-    met = common.stored(spark, common.spread_join(every.select("key", "doc"), alike, ["key"], "size", number).select("key", "doc", "w"), "alike")
+    met = common.stored(spark, common.spread_join(every.select("key", "doc"), alike, ["key"], "size").select("key", "doc", "w"), "alike")
     common.drop(every)
     common.drop(alike)
     wanted = met.select(F.col("doc").alias("doc_id")).distinct()
@@ -351,7 +351,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             first = members.groupBy("key").agg(F.min("doc").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "first", "size")
             first = common.stored(spark, first, "leaders")
             scratch.append(first)
-            led = common.spread_join(members, first, ["key"], "size", number).where("doc <> first").groupBy("first", "doc").agg(F.sum("w").alias("w"))
+            led = common.spread_join(members, first, ["key"], "size").where("doc <> first").groupBy("first", "doc").agg(F.sum("w").alias("w"))
             led = led.join(tried.select(F.col("a").alias("first"), F.col("b").alias("doc")).hint("merge"), ["first", "doc"], "left_anti")
             pairs = led.groupBy("doc").agg(F.min(F.struct((-F.col("w")).alias("m"), "first")).alias("best")).select(F.col("best.first").alias("a"), F.col("doc").alias("b"))
             pairs = common.stored(spark, pairs, "star")
@@ -363,7 +363,7 @@ def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             mixed = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
             mixed = common.stored(spark, mixed, "mixed")
             scratch.append(mixed)
-            rest = common.spread_join(members, mixed, ["key"], "size", number).join(profiles.select(F.col("doc_id").alias("doc"), "n", "bits").hint("merge"), "doc")
+            rest = common.spread_join(members, mixed, ["key"], "size").join(profiles.select(F.col("doc_id").alias("doc"), "n", "bits").hint("merge"), "doc")
             pairs = tile_candidates(rest.select("key", "doc", "n", "comp", "bits"), step == "best").join(tried.hint("merge"), ["a", "b"], "left_anti").select("tile", "a", "b")
         pairs = common.stored(spark, pairs, "candidates")
         scratch.append(pairs)

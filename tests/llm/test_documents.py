@@ -510,3 +510,27 @@ def test_pipeline_of_odd_documents(spark, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             docs = common.stored(spark, stage(spark, docs, DATA), "stage")
         assert (docs.count() > 0) == some
+
+
+def test_full_slots_keep_their_ratio():
+    """Counts far beyond LEVELS: the log odds are those of the counts, not 0."""
+    pairs = [(1_000_000, 100_000), (50, 7_000_000), (300_000, 300_000), (2, 3), (40_000, 900), (32_768, 16_384)]
+    state = lm.states(np.array(pairs, np.float32).ravel())
+    odds = lm.odds_tables()[: 1 << 16][state]
+    for (zeros, ones), x in zip(pairs, odds.tolist()):
+        assert abs(x - math.log((ones + lm.PRIOR) / (zeros + lm.PRIOR))) < 0.06 or zeros == 50  # a side that vanishes beside the other
+    assert odds[1] > 10
+    small = np.random.default_rng(1).integers(0, 128, 400).astype(np.float32)
+    assert np.array_equal(lm.states(small), small[0::2].astype(np.uint16) << 8 | small[1::2].astype(np.uint16))
+
+
+def test_hot_keys_of_a_join_are_few(spark):
+    """However many rows a key has, fewer than HOT_SHARE keys are broadcast; all rows come back."""
+    facts = spark.range(5000).selectExpr("id AS k", "IF(id < 5, 100000L, 3L) AS n", "id * 2 AS fact")
+    facts.write.parquet(path := common.scratch_path(spark, "facts"))
+    facts = spark.read.parquet(path)
+    rows = spark.range(20000).selectExpr("id % 4000 AS k", "id AS row")
+    out = common.spread_join(rows, facts, ["k"], "n")
+    assert out.columns == ["k", "row", "fact"] and out.count() == 20000 and out.where("fact <> 2 * k").count() == 0
+    total = facts.agg(F.sum("n")).first()[0]
+    assert facts.where(F.col("n") > total // common.HOT_SHARE).count() < common.HOT_SHARE
