@@ -13,9 +13,9 @@ that start here, u32 crc32 of the ids as u32, then per document i64 id and u64 i
 (zero bytes at the end are left out).
 
 Defined results: null text is empty (the end id alone); a text of any length may go on through any number of blocks;
-repeated rows are written each; rows of one doc_id follow each other in any order, and a null doc_id raises ValueError,
-since files are in ascending doc_id order; an empty table gives files without blocks and no rows. Further columns are
-not read.
+repeated rows are written each; rows of one doc_id follow each other in the order of their texts' hashes; rows without
+doc_id come first, written as the smallest 64-bit number, and are read back as null (so is that number); an empty table
+gives files without blocks and no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -285,8 +285,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocab
 
     Parts are ranges of doc_id; part numbers and block numbers ascend with doc_id.
     """
-    known = F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("a null doc_id has no place in the files")).cast("long"))
-    rows = docs.select(known.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE).cast("long"))
+    rows = docs.select(known.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("turn", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(max(1, -(-size // PART_BYTES)))
 
@@ -322,11 +322,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocab
         if total:
             yield from flush(room)
 
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange(parts, "doc_id", "turn").sortWithinPartitions("doc_id", "turn").drop("turn")
     common.small_batches(docs.sparkSession)
     ordered.mapInArrow(common.released(write), "part int, block_no long, block binary").write.parquet(path)
 
 
+#: How a missing doc_id is written.
+NONE = -(1 << 63)
 READ_SCHEMA = "part int, doc_id long, own_start long, n_tokens long, ids_crc32 long"
 
 
@@ -365,7 +367,7 @@ def read_ids(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
         def result() -> pa.RecordBatch:
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
             names = ["part", "doc_id", "own_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+            out = pa.RecordBatch.from_arrays([pa.array([None if k == 1 and r[k] == NONE else r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
             rows.clear()
             return out
 

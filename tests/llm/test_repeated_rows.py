@@ -6,7 +6,7 @@ import unicodedata
 
 import pytest
 
-from rasterloom.llm import langid, lines, rank_bpe, suffix
+from rasterloom.llm import common, idcoder, langid, lines, queries, rank_bpe, suffix
 from tests.llm.test_documents import line_set
 
 L = "A passage of more than fifty bytes that several rows have in common, word for word."
@@ -90,3 +90,25 @@ def test_ranks_of_repeated_rows(repeats):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = rank_bpe.rank_digests(repeats, path, public_tokenizers.PATTERN)
     assert collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in found.collect()) == collections.Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in ROWS)
+
+
+def test_id_files_of_repeated_ids(spark, repeats):
+    """Rows without doc_id first, rows of one doc_id in the order of their texts' hashes; starts leave no gap."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    found = idcoder.id_report(repeats, path).collect()
+    assert len(found) == len(ROWS)
+    at, order = 0, sorted(found, key=lambda r: r["start"])
+    for r in order:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in order]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    sizes = collections.Counter((d, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in ROWS)
+    assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in found) == sizes
+    again = idcoder.id_report(repeats.repartition(7), path).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    idcoder.write_ids(repeats, where := common.scratch_path(spark, "ids"), path)
+    assert idcoder.read_ids(spark.read.parquet(where)).where("doc_id IS NULL").count() == 3
