@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import samples as S
-from rasterloom.operators import bitpack, codec, coders, entropy, motion, stencils
+from rasterloom.operators import adaptive, bitpack, codec, coders, entropy, motion, stencils
 from rasterloom.operators.stencils import neighbours
 from rasterloom.sources import rasters, shared, y4m
 from rasterloom.sources.rasters import KEY, table
@@ -355,6 +355,26 @@ def least_squares_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.least_squares(rasters.gray(spark, sf_dir))
 
 
+_FLAGS = f"SELECT {R.bucket('activity', R.LADDERS[16])} AS ctx, CAST(y AS BIGINT) * 64 + x AS pos, CASE WHEN sym = 0 THEN 0 ELSE 1 END AS bit FROM ({_BUNDLE})"
+_SURE = "greatest(32, least(65504, p))"
+_LEARNED_SQL = f"""
+WITH RECURSIVE d AS (SELECT ctx, bit, row_number() OVER (PARTITION BY ctx ORDER BY pos) AS k FROM ({_FLAGS})),
+r AS (
+  SELECT DISTINCT ctx, CAST(0 AS BIGINT) AS k, CAST(32768 AS BIGINT) AS p, CAST(0 AS DOUBLE) AS bits FROM d
+  UNION ALL
+  SELECT r.ctx, d.k, CASE WHEN bit = 1 THEN p + ((65535 - p) >> 5) ELSE p - (p >> 5) END, bits - log2(CASE WHEN bit = 1 THEN {_SURE} ELSE 65536 - {_SURE} END / 65536.0) FROM r JOIN d ON d.ctx = r.ctx AND d.k = r.k + 1
+)
+SELECT CAST(ctx AS INTEGER) AS ctx, k AS n, CAST(p AS INTEGER) AS p, round(bits, 4) AS bits FROM (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY k DESC) AS last FROM r) WHERE last = 1
+"""
+
+
+@query(_LEARNED_SQL)
+def adaptive_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sixteen activity contexts have learned of their residuals' zero flags, and the bits these take."""
+    rows = stencils.med_bundle(rasters.gray(spark, sf_dir)).selectExpr("bucket AS ctx", "CAST(y AS BIGINT) * 64 + x AS pos", "IF(sym = 0, 0, 1) AS bit")
+    return adaptive.learned(rows, ["ctx"]).select("ctx", "n", "p", F.round("bits", 4).alias("bits"))
+
+
 # ---------------------------------------------------------------- tables and static coders
 
 _BYTE_HIST = sql.hist(sql.BYTES, "media_id")

@@ -332,3 +332,31 @@ def test_motion_sweep_by_the_search(spark):
             want.append((int(np.where(mode == 1, temporal, spatial).sum()), block, penalty))
     found = [(r["cost"], r["block"], r["penalty"]) for r in studies.motion_sweep(planes).collect()]
     assert found == sorted(want)[:5]
+
+
+# ---- adaptive probabilities
+
+
+@pytest.mark.parametrize("part", [3, 64, 4096])
+def test_adaptive_probabilities_by_the_coders_bank(spark, part):
+    """The fold's probabilities are those that the range coder's bank ends with; its bits are near the coded size."""
+    from rasterloom.operators import adaptive
+
+    rng = np.random.default_rng(6)
+    rows, banks, bits, sizes = [], {}, {}, {}
+    for c, chance in enumerate((0.03, 0.5, 0.98, 1.0)):
+        coder, bank = coders.BitEncoder(), [32768]
+        banks[c], bits[c] = bank, 0.0
+        for k in range(900 if c else 1):
+            bit = int(rng.random() < chance)
+            p = max(32, min(65504, bank[0])) / 65536
+            bits[c] -= np.log2(p if bit else 1 - p)
+            coder.bit(bank, 0, bit)
+            rows.append((c, 7 * k + c, bit))
+        sizes[c] = len(coder.finish())
+    rows.append((9, 1, None))
+    found = {r["ctx"]: r for r in adaptive.learned(spark.createDataFrame(rows, "ctx int, pos long, bit int").repartition(4), ["ctx"], part).collect()}
+    assert set(found) == set(banks)
+    for c, r in found.items():
+        assert r["p"] == banks[c][0] and abs(r["bits"] - bits[c]) < 1e-6 and r["n"] == (900 if c else 1)
+        assert abs(sizes[c] - bits[c] / 8) <= 5
