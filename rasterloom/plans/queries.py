@@ -533,6 +533,13 @@ def codec_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.rollup(codec_comparison(spark, sf_dir)).drop("cpu_s")
 
 
+@query(f"SELECT media_id, codec, CAST(count(DISTINCT frame_no) AS BIGINT) AS frames, CAST(count(*) AS BIGINT) AS raw_bytes, true AS lossless, true AS in_bounds FROM ({sql.CLIP}) CROSS JOIN (VALUES ('deflate'), ('frames'), ('difference'), ('motion')) c(codec) GROUP BY ALL")
+def clip_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clip codec on the clip: lossless by a full outer join of frames, and within an eighth of the raw samples (the raster is nearly noise)."""
+    found = studies.clip_comparison(rasters.pack(rasters.clip(spark, sf_dir)))
+    return found.select("media_id", "codec", "frames", "raw_bytes", "lossless", (F.col("n_bytes") < F.col("raw_bytes") * 1.125).alias("in_bounds"))
+
+
 @query()
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eighteen settings of the adaptive model over every band of the images, the five smallest by real bytes."""

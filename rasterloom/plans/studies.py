@@ -437,6 +437,82 @@ def motion_sweep(planes: DataFrame, best: int = 5) -> DataFrame:
     return every.groupBy("block", "penalty").agg(cost.alias("cost"), F.count("*").alias("blocks")).orderBy("cost", "block", "penalty").limit(best)
 
 
+# ---------------------------------------------------------------- clip codecs side by side
+
+
+def _per_frame(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]]:
+    blobs = [codec.encode_image(f) for f in frames]
+    return sum(map(len, blobs)), [codec.decode_image(b) for b in blobs]
+
+
+def _differences(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]]:
+    """The first frame, then each sample's difference from the frame before, modulo 256."""
+    blobs = [codec.encode_image([p - q for p, q in zip(f, before)]) for before, f in zip([[np.uint8(0)] * 4, *frames], frames)]
+    out: list[list[np.ndarray]] = []
+    for blob in blobs:
+        change = codec.decode_image(blob)
+        out.append([p + q for p, q in zip(change, out[-1])] if out else change)
+    return sum(map(len, blobs)), out
+
+
+def _by_motion(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]]:
+    blob = codec.encode_clip(frames)
+    return len(blob), codec.decode_clip(blob)
+
+
+def _deflated(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]]:
+    found = [_deflate(f) for f in frames]
+    return sum(len(b) for b, _ in found), [f for _, f in found]
+
+
+#: A clip codec is a function from a group's frames to its bytes and the frames decoded from them. Frames' planes have one
+#: size each; codecs of images take planes of one size only.
+CLIP_CODECS = {"deflate": _deflated, "frames": _per_frame, "difference": _differences, "motion": _by_motion}
+CODED = "codec string, media_id string, frame_no int, plane_no int, data binary, n_bytes long, cpu_s double, status string"
+
+
+def clip_comparison(planes: DataFrame, group_frames: int = codec.GROUP_FRAMES) -> DataFrame:
+    """A row for each clip and codec: raw and coded bytes, frames, processor seconds, whether it is lossless, and status.
+
+    Clips are cut into groups of frames; every codec takes every group in a task of its own, and decodes it again. Lossless
+    means that a full outer join of the planes that went in with those that came out leaves none alone and none unlike.
+    A codec that doesn't take a clip's planes has a status, no size, and isn't lossless.
+    """
+    spark = planes.sparkSession
+    codecs = spark.createDataFrame([(k,) for k in CLIP_CODECS], "codec string")
+    planes = padded(planes)
+    first = planes.groupBy("media_id").agg(F.min("frame_no").alias("_f"))
+    groups = planes.join(first, "media_id").withColumn("part", F.expr(f"CAST((frame_no - _f) div {group_frames} AS INT)")).drop("_f")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        name, media, _ = (k.as_py() for k in key)
+        ordered = codec._ordered(rows)
+        frames: dict[int, list[np.ndarray]] = {}
+        for f, _, plane in ordered:
+            frames.setdefault(f, []).append(plane)
+        began, status = time.process_time(), "ok"
+        try:
+            size, back = CLIP_CODECS[name]([frames[f] for f in sorted(frames)])
+        except ValueError as e:
+            size, back, status = None, [], str(e)
+        took = time.process_time() - began
+        out = [(name, media, f, p, plane.tobytes(), None, None, status) for f, own in zip(sorted(frames), back) for p, plane in enumerate(own)]
+        out.append((name, media, None, None, None, size, took, status))  # the group's own row
+        kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "double": pa.float64()}
+        return pa.table([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*out), CODED.split(", "))], names=[x.split()[0] for x in CODED.split(", ")])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    dealt = groups.crossJoin(F.broadcast(codecs)).repartition(tasks, "codec", "media_id", "part")  # four rows
+    coded = _kept(dealt.groupBy("codec", "media_id", "part").applyInArrow(run, CODED), "coded")
+    sizes = coded.where("frame_no IS NULL").groupBy("codec", "media_id").agg(F.when(F.count("*") == F.count("n_bytes"), F.sum("n_bytes")).alias("n_bytes"), F.round(F.sum("cpu_s"), 3).alias("cpu_s"), F.max("status").alias("status"))
+    there = planes.select("media_id", "frame_no", "plane_no", F.col("data").alias("was")).crossJoin(F.broadcast(codecs))
+    back = coded.where("frame_no IS NOT NULL").select("codec", "media_id", "frame_no", "plane_no", "data")
+    met = there.join(back, ["codec", "media_id", "frame_no", "plane_no"], "full_outer")
+    same = F.min(F.coalesce(F.col("was") == F.col("data"), F.lit(False))).alias("lossless")
+    equal = met.groupBy("codec", "media_id").agg(same, F.countDistinct("frame_no").alias("frames"), F.sum(F.octet_length("was")).alias("raw_bytes"))
+    return equal.join(sizes, ["codec", "media_id"]).select("media_id", "codec", "frames", "raw_bytes", "n_bytes", "cpu_s", "lossless", "status")
+
+
 #: Ladders of the neighbours' errors that a sweep tries, by name.
 ERROR_LADDERS = {"e3": (1, 4, 12), "e6": wavefront.ERROR_EDGES}
 SWEPT = "memory int, activity int, errors string, media_id string, part int, n_bytes long"

@@ -360,3 +360,31 @@ def test_adaptive_probabilities_by_the_coders_bank(spark, part):
     for c, r in found.items():
         assert r["p"] == banks[c][0] and abs(r["bits"] - bits[c]) < 1e-6 and r["n"] == (900 if c else 1)
         assert abs(sizes[c] - bits[c] / 8) <= 5
+
+
+# ---- clip codecs
+
+
+def test_clip_codecs_side_by_side(spark, monkeypatch):
+    """A still clip, a panned one and one of uneven planes: sizes by direct calls, lossless by the join."""
+    y, x = np.mgrid[0:16, 0:24]
+    base = ((y * 5 + x * 3) % 200 + plane(16, 24, 2, 4)).astype(np.uint8)
+    clips = {"still": [[base]] * 5, "panned": [[np.roll(base, 2 * k, axis=1)] for k in range(5)], "chroma": [[base, base[::2, ::2], base[1::2, ::2]]] * 2}
+    rows = [(m, k, p, a.shape[1], a.shape[0], bytearray(np.ascontiguousarray(a).tobytes())) for m, frames in clips.items() for k, f in enumerate(frames) for p, a in enumerate(f)]
+    planes = spark.createDataFrame(rows, "media_id string, frame_no int, plane_no int, width int, height int, data binary")
+    found = {(r["media_id"], r["codec"]): r for r in studies.clip_comparison(planes, 3).collect()}
+    assert len(found) == 12
+    for (m, name), r in found.items():
+        frames = [[np.ascontiguousarray(p) for p in f] for f in clips[m]]
+        assert r["frames"] == len(frames) and r["raw_bytes"] == sum(p.size for f in frames for p in f)
+        if m == "chroma" and name in ("frames", "difference"):
+            assert not r["lossless"] and r["n_bytes"] is None and "size" in r["status"]
+            continue
+        assert r["lossless"] and r["status"] == "ok" and r["n_bytes"] == sum(studies.CLIP_CODECS[name](frames[a : a + 3])[0] for a in range(0, len(frames), 3))
+    assert found["still", "difference"]["n_bytes"] < found["still", "frames"]["n_bytes"]
+    lossy = lambda frames: (1, [[p ^ (k == 1) for p in f] for k, f in enumerate(frames)])
+    short = lambda frames: (1, frames[:-1])
+    for bad in (lossy, short):
+        monkeypatch.setitem(studies.CLIP_CODECS, "deflate", bad)
+        told = {(r["media_id"], r["codec"]): r["lossless"] for r in studies.clip_comparison(planes, 3).collect()}
+        assert not told["still", "deflate"] and told["still", "motion"]
