@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import motion
 from .coders import BitDecoder, BitEncoder, Reader, varint
-from .wavefront import DEFAULT, Bank, RowCoders, Settings, code_plane, coders_of
+from .wavefront import DEFAULT, Bank, CostCoders, RowCoders, Settings, code_plane, coders_of
 
 IMAGE, CLIP, PARTS = b"RLI1", b"RLV1", b"RLP1"
 #: Samples of a band (of all its planes) and frames of a group; each is modelled from nothing.
@@ -100,8 +100,9 @@ def _get_settings(r: Reader) -> Settings:
     return Settings(*ladders, memory)
 
 
-def encode_image(channels: list[np.ndarray], statistics: dict | None = None, settings: Settings = DEFAULT) -> bytes:
-    """One to four channels of one size; three and more choose the colour transform if its residuals take less."""
+def _prepared(channels: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The planes that an image's stream holds, and its flags: three and more channels go through the colour transform if
+    their residuals then take less, tall images lie on their side."""
     if not 1 <= len(channels) <= 4 or any(c.shape != channels[0].shape for c in channels):
         raise ValueError("an image has one to four channels of one size")
     height, width = channels[0].shape
@@ -114,19 +115,38 @@ def encode_image(channels: list[np.ndarray], statistics: dict | None = None, set
             planes, flags = changed + channels[3:], COLOUR
     if height > width:
         planes, flags = [np.ascontiguousarray(p.T) for p in planes], flags | TURNED
-    flags |= TUNED if settings != DEFAULT else 0
-    out = [IMAGE, varint(width), varint(height), bytes((len(channels), flags)), _put_settings(settings) if flags & TUNED else b""]
-    rows, columns = planes[0].shape
-    bank, side, coders = Bank(settings), None, RowCoders(coders_of(rows, columns))
+    return planes, flags
+
+
+def _code_planes(planes: list[np.ndarray], bank: Bank, coders: RowCoders | CostCoders) -> None:
+    side = None
     for k, plane in enumerate(planes):
-        _, sizes = code_plane(bank, k, rows, columns, plane, coders, side=side if k in (1, 2) else None)
+        _, sizes = code_plane(bank, k, *plane.shape, plane, coders, side=side if k in (1, 2) else None)
         side = sizes if k == 0 else side
+
+
+def encode_image(channels: list[np.ndarray], statistics: dict | None = None, settings: Settings = DEFAULT) -> bytes:
+    """One to four channels of one size."""
+    planes, flags = _prepared(channels)
+    height, width = channels[0].shape
+    flags |= TUNED if settings != DEFAULT else 0
+    out = [IMAGE, varint(width), varint(height), bytes((len(channels), flags)), _put_settings(settings) if flags & TUNED else b""]
+    bank, coders = Bank(settings), RowCoders(coders_of(*planes[0].shape))
+    _code_planes(planes, bank, coders)
     out.append(_put_streams(coders.finish()))
     if statistics is not None:
         statistics.update(bank.statistics)
     return _sealed(b"".join(out))
 
 
+def image_bits(channels: list[np.ndarray], settings: Settings = DEFAULT) -> float:
+    """The bits that all decisions of an image cost, without coding them: its size but for header and rounding."""
+    planes, _ = _prepared(channels)
+    cost = CostCoders(coders_of(*planes[0].shape))
+    _code_planes(planes, Bank(settings), cost)
+    return cost.total
+
+
 def join_parts(parts: list[bytes]) -> bytes:
     """One stream of bands or groups in order; a single part stays as it is."""
     if len(parts) == 1:

@@ -26,6 +26,8 @@ KINDS = 8  # luma, two chroma, alpha; each again for motion-compensated samples
 TAPS = 9
 MATCH_BITS, MATCH_TRUST = 18, 8
 MAP_STEPS = 33
+#: A range narrower than this that lies across a border between units is cut at the border, which costs bits.
+NARROW = np.uint64(1 << 20)
 #: Log odds in 1/256 of 12-bit probabilities, and back.
 STRETCH = np.array([round(256 * math.log((k + 0.5) / (4095.5 - k))) for k in range(4096)], np.int64)
 SQUASH = np.array([min(4090, max(5, round(4096 / (1 + math.exp(-(k - 2047) / 256))))) for k in range(4096)], np.int64)
@@ -173,7 +175,7 @@ class RowCoders:
         rng = np.where(over, self.MASK - low, rng)
         while True:
             settled = (low ^ (low + rng)) >> np.uint64(32) == 0
-            small = ~settled & (rng < np.uint64(1 << 32))
+            small = ~settled & (rng < NARROW)  # rarely: a range that narrow seldom lies across a border
             go = settled | small
             if not go.any():
                 break
@@ -207,6 +209,20 @@ class RowCoders:
         return streams
 
 
+class CostCoders:
+    """Stands in for RowCoders where only sizes are asked for: adds up what decisions cost, -log2 of their probability."""
+
+    def __init__(self, n: int):
+        self.n, self.total = n, 0.0
+
+    def reserve(self, units: int) -> None:
+        pass
+
+    def bits(self, who: np.ndarray, p: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        self.total -= float(np.log2(np.where(bit == 1, p, 4096 - p) / 4096).sum())
+        return bit
+
+
 def coders_of(height: int, width: int) -> int:
     """Rows y and y + this many are never in flight together."""
     return max(1, min(height, width // 2 + 2))

@@ -546,6 +546,12 @@ def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.sweep(rasters.pack(rasters.rgb(spark, sf_dir)))
 
 
+@query()
+def quick_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two settings of the adaptive model on the images, by the cost of their decisions alone."""
+    return studies.quick(rasters.pack(rasters.rgb(spark, sf_dir)), (10, 16, "e6"), (12, 12, "e3"))
+
+
 @query()
 def motion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid of block sizes and move penalties, the five best by motion cost."""

@@ -388,3 +388,21 @@ def test_clip_codecs_side_by_side(spark, monkeypatch):
         monkeypatch.setitem(studies.CLIP_CODECS, "deflate", bad)
         told = {(r["media_id"], r["codec"]): r["lossless"] for r in studies.clip_comparison(planes, 3).collect()}
         assert not told["still", "deflate"] and told["still", "motion"]
+
+
+def test_costs_are_near_coded_sizes(spark):
+    """Within a thousandth of the coded bytes, or the few bytes that headers and lanes take; the change has its sign."""
+    y, x = np.mgrid[0:90, 0:110]
+    image = [((y * 3 + x * 2) // 3 + plane(90, 110, k, 24)).astype(np.uint8) for k in range(2)]
+    a, b = (10, 16, "e6"), (4 + 4, 24, "e3")
+    for name in (a, b):
+        settings = studies.settings_of(*name)
+        coded, cost = len(codec.encode_image(image, settings=settings)), codec.image_bits(image, settings) / 8
+        lanes = wavefront.coders_of(90, 110)
+        assert cost - 1 <= coded <= cost * 1.001 + 64 + 5 * lanes
+    rows = [("m", 0, p, 110, 90, bytearray(i.tobytes())) for p, i in enumerate(image)]
+    planes = spark.createDataFrame(rows, "media_id string, frame_no int, plane_no int, width int, height int, data binary")
+    r = studies.quick(planes, a, b).first()
+    assert abs(r["a_bytes"] - codec.image_bits(image, studies.settings_of(*a)) / 8) < 0.06
+    assert abs(r["b_bytes"] - codec.image_bits(image, studies.settings_of(*b)) / 8) < 0.06
+    assert abs(r["change"] - 100 * (r["b_bytes"] - r["a_bytes"]) / r["a_bytes"]) < 0.01
