@@ -1,8 +1,10 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity, by exact-complement hashing.
 
 Only the histogram of lengths (at most `capacity` numbers, however many pieces there are) is planned on the driver.
-For each length, longest first, the sums of one, two and three available lengths are looked up for its gap, and
-combinations that fill the gap exactly are taken as often as the counts allow. What is left goes by best fit. The plan
+The shortest pieces, RESERVE of all tokens, are set aside. For each length, longest first, the sums of one, two and three
+available lengths are looked up for its gap, the most even ones first, and combinations that fill the gap exactly are
+taken as often as the counts allow. What is left, and what was set aside, goes by best fit: short pieces are what it
+needs. The plan
 is a list of patterns with multiplicities; each step uses up a length or a group of sequences, which bounds the
 list by the number of lengths. Pieces then find their place by their rank among the pieces of their length; ranks
 are made in salted groups, so a length that a third of all pieces have doesn't meet in one task.
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 CAPACITY = 2048
+#: Share of all tokens whose shortest pieces are kept from exact sums.
+RESERVE = 0.02
 #: Pieces of one length are ranked in groups of about so many.
 RANK_GROUP = 50_000
 
@@ -34,16 +38,25 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]
 def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns ((length, how many), ...) with how many sequences follow each, for counts[length] pieces.
 
-    Exact fills can use up short pieces that best fit would need; so sums of at most 3, 2, 1 and 0 lengths are tried,
-    and the plan with the fewest sequences stays (the first of equals).
+    Sums of up to three lengths, then best fit. Only where that takes more sequences than the tokens need at least, plans
+    with sums of fewer lengths are tried too, and the one with the fewest sequences stays (the first of equals).
     """
-    return min((fill_exactly(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda plan: sum(n for _, n in plan))
+    plan = fill_exactly(counts, capacity, 3, RESERVE)
+    size = lambda plan: sum(n for _, n in plan)
+    if size(plan) <= -(-int((counts * np.arange(len(counts))).sum()) // capacity):
+        return plan
+    return min([plan, *(fill_exactly(counts, capacity, most) for most in (3, 2, 1, 0))], key=size)
 
 
-def fill_exactly(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
-    """A plan: complements of up to `most` lengths where they fill a gap exactly, then best fit."""
+def fill_exactly(counts: np.ndarray, capacity: int, most: int, reserve: float = 0.0) -> list[Pattern]:
+    """A plan: complements of up to `most` lengths where they fill a gap exactly, then best fit. reserve: the share of all
+    tokens whose shortest pieces wait for best fit."""
     c = counts.astype(np.int64).copy()
     done: list[Pattern] = []
+    tokens_of = c * np.arange(len(c))
+    before = np.cumsum(tokens_of) - tokens_of
+    aside = np.clip(-(-(int(tokens_of.sum() * reserve) - before) // np.maximum(np.arange(len(c)), 1)), 0, c)
+    c -= aside
 
     def take(parts: list[int]) -> int:
         """Uses up a combination as often as the counts allow."""
@@ -64,7 +77,7 @@ def fill_exactly(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
         if most >= 1 and c[length] and c[gap]:  # one length
             take([length, gap])
         if most >= 2 and c[length] and gap > 1:  # two
-            a = np.arange(gap - 1, (gap - 1) // 2, -1)
+            a = np.arange((gap + 1) // 2, gap)
             for x in a[(c[a] > 0) & (c[gap - a] > 0)].tolist():
                 if not c[length]:
                     break
@@ -73,11 +86,12 @@ def fill_exactly(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
             there = (c[1:gap] > 0).astype(np.float64)
             pair_sums = np.rint(np.fft.irfft(np.fft.rfft(there, 2 * gap) ** 2, 2 * gap)[:gap]) > 0  # index s: a sum of s + 2
             x = np.arange(gap - 2, 0, -1)
+            x = x[np.argsort(abs(3 * x - gap), kind="stable")]
             x = x[(c[x] > 0) & pair_sums[np.maximum(gap - x - 2, 0)] & (gap - x >= 2)]
             used = 0
             for first in x.tolist():
                 rest = gap - first
-                a = np.arange(rest - 1, (rest - 1) // 2, -1)
+                a = np.arange((rest + 1) // 2, rest)
                 for y in a[(c[a] > 0) & (c[rest - a] > 0)].tolist():
                     used += take([length, first, y, rest - y])
                     if not c[length] or not c[first]:
@@ -86,6 +100,7 @@ def fill_exactly(counts: np.ndarray, capacity: int, most: int) -> list[Pattern]:
                     break
             if not used:
                 break
+    c += aside
     groups: dict[int, list[Pattern]] = defaultdict(list)  # open sequences by gap
     for length in range(capacity, 0, -1):
         while c[length]:

@@ -253,3 +253,15 @@ def test_pieces_of_odd_documents(odd_docs, odd_texts, no_docs, pieces):
     assert piece_bpe.piece_digests(no_docs, path).count() == 0
     back = piece_bpe.decode_column(piece_bpe.encode_column(odd_docs, path), path).collect()
     assert all(r["decoded"] == pieces[1].decode(r["ids"]) and r["ids"] == pieces[1].encode(r["text"] or "") for r in back)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_dealt_plan_reaches_the_bound(seed):
+    """Single, pair and triple sums take part, every exact fill is full, and best fit of the rest wastes no sequence."""
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(2048, 1 + rng.lognormal(5.6, 1.3, 12_000).astype(np.int64))
+    counts = np.bincount(lengths, minlength=2049)
+    plan = packing.fill_exactly(counts, 2048, 3, packing.RESERVE)
+    assert sum(n for _, n in plan) == -(-int(lengths.sum()) // 2048) and plan == packing.plan_packing(counts)
+    full = {sum(k for _, k in parts) for parts, _ in plan if sum(length * k for length, k in parts) == 2048}
+    assert {2, 3, 4} <= full
