@@ -25,7 +25,7 @@ from . import motion
 from .coders import BitDecoder, BitEncoder, Reader, varint
 from .wavefront import DEFAULT, Bank, CostCoders, RowCoders, Settings, code_plane, coders_of
 
-IMAGE, CLIP, PARTS = b"RLI1", b"RLV1", b"RLP1"
+IMAGE, CLIP, PARTS, FRAME = b"RLI1", b"RLV1", b"RLP1", b"RLF1"
 #: Samples of a band (of all its planes) and frames of a group; each is modelled from nothing.
 BAND_SAMPLES, GROUP_FRAMES = 1 << 15, 16
 COLOUR, TURNED, TUNED = 1, 2, 4  # flags; a tall image is coded on its side, which takes fewer steps; a tuned one has its settings
@@ -295,6 +295,53 @@ def decode_clip(data: bytes) -> list[list[np.ndarray]]:
     return [inverse_colour(f[:3]) + f[3:] for f in frames] if flags & COLOUR else frames
 
 
+class FrameCoder:
+    """Codes frames one by one, or decodes them: statistics, block tables and the last frame go on from frame to frame, so
+    a frame can leave as soon as it is there. Both sides need the same frames in the same order.
+
+    A frame's stream: magic, planes, whether it follows another, block size, plane sizes, the block table if it does, units.
+    """
+
+    def __init__(self, block: int = motion.BLOCK):
+        self.bank, self.table, self.block = Bank(), _Blocks(), block
+        self.last: list[np.ndarray] | None = None
+
+    def encode(self, frame: list[np.ndarray]) -> bytes:
+        shapes = [p.shape for p in frame]
+        if not 1 <= len(frame) <= 4 or any(not h or not w for h, w in shapes) or self.last is not None and [p.shape for p in self.last] != shapes:
+            raise ValueError("frames have one to four planes, of the same sizes as those before")
+        out, blocks = [FRAME, bytes((len(frame), self.last is not None, self.block)), *(varint(w) + varint(h) for h, w in shapes)], None
+        if self.last is not None:
+            blocks = motion.modes(frame[0], self.last[0], self.block)[:3]
+            raw = self.table.write(*blocks)
+            out.append(varint(len(raw)) + raw)
+        coders = RowCoders(max(coders_of(*s) for s in shapes))
+        self._planes(shapes, blocks, coders, frame)
+        self.last = frame
+        return _sealed(b"".join([*out, _put_streams(coders.finish())]))
+
+    def decode(self, payload: bytes) -> list[np.ndarray]:
+        r = _opened(payload, FRAME)
+        planes, follows, block = r.u8(), r.u8(), r.u8()
+        shapes = [(r.varint(), r.varint())[::-1] for _ in range(planes)]
+        if not 1 <= planes <= 4 or not block or bool(follows) != (self.last is not None) or any(not 0 < h * w < MOST_SAMPLES for h, w in shapes):
+            raise ValueError("the frame doesn't follow those before")
+        blocks = self.table.read(r.raw(r.varint()), (-(-shapes[0][0] // block), -(-shapes[0][1] // block))) if follows else None
+        self.block = block
+        n = max(coders_of(*s) for s in shapes)
+        self.last = self._planes(shapes, blocks, RowCoders(n, _get_streams(r, n)), None)
+        return self.last
+
+    def _planes(self, shapes: list[tuple[int, int]], blocks, coders: RowCoders, frame: list[np.ndarray] | None) -> list[np.ndarray]:
+        side, out = None, []
+        for p, (h, w) in enumerate(shapes):
+            moved, temporal = _inter(self.last[p], blocks, self.block, shapes[0]) if blocks is not None else (None, None)
+            plane, sizes = code_plane(self.bank, p, h, w, frame[p] if frame else None, coders, side=side if p in (1, 2) else None, moved=moved, temporal=temporal)
+            side = sizes if p == 0 else side
+            out.append(plane)
+        return out
+
+
 def header(data: bytes) -> dict:
     """What a stream's header says, without decoding samples. A foreign magic raises ValueError."""
     r = Reader(data, 4)
