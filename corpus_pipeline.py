@@ -84,8 +84,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each group of similar lines keeps its first by (doc_id, line number); documents without any line left go.
 
-    Null and empty texts have no line that could go and stay; a line of any length is compared whole; repeated rows of a
-    doc_id lose the same lines; n_chars follows the text, other columns stay as they are; an empty table gives none.
+    Null and empty texts have no line that could go and stay; a line of any length is compared whole; rows that repeat a
+    doc_id are told apart by their texts, equal ones keep the same lines; rows without doc_id stay as they are; n_chars
+    follows the text, other columns stay as they are; an empty table gives none.
     """
     columns = docs.columns
     docs, there = _aside(docs, ("n_lines", "n_removed"))
@@ -108,8 +109,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that a smaller doc_id has; documents that lose all they had go.
 
-    Null and empty texts, and texts shorter than a passage, stay; repeated rows of a doc_id keep what they share; texts that
-    lose nothing stay byte for byte, in others a character that a cut parts becomes U+FFFD; an empty table gives none.
+    Null and empty texts, and texts shorter than a passage, stay; rows that repeat a doc_id don't take from each other, and
+    what only one of them has stays; texts that lose nothing stay byte for byte, in others a character that a cut parts
+    becomes U+FFFD; an empty table gives none.
     """
     columns = docs.columns
     docs, there = _aside(docs, ("kept", "removed", "n_bytes"))
