@@ -304,10 +304,15 @@ COMPARISON = "media_id string, codec string, raw_bytes long, n_bytes long, pixel
 
 
 def comparison(planes: DataFrame) -> DataFrame:
-    """Every codec on every image (one row each), decoded and compared; CPU seconds cover both ways."""
+    """Every codec on every image (one row each), decoded and compared; CPU seconds cover both ways.
+
+    The adaptive codec takes an image band by band, each in a task of its own, as its streams do; the others take it whole.
+    """
     spark = planes.sparkSession
-    names = spark.createDataFrame([(n,) for n in CODECS], "codec string")
-    jobs = planes.crossJoin(F.broadcast(names))  # a row for each codec
+    names = spark.createDataFrame([(n,) for n in CODECS if n != "own"], "codec string")
+    columns = ["media_id", "codec", "part", "frame_no", "plane_no", "width", "height", "data"]
+    whole = planes.withColumn("part", F.lit(0)).crossJoin(F.broadcast(names)).select(*columns)  # a row for each codec
+    jobs = whole.unionByName(codec.cut_media(planes).withColumn("codec", F.lit("own")).select(*columns))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         name = key[1].as_py()
@@ -325,7 +330,13 @@ def comparison(planes: DataFrame) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in COMPARISON.split(", ")])
 
-    return jobs.groupBy("media_id", "codec").applyInArrow(run, COMPARISON)
+    key = ["media_id", "codec", "part"]
+    every = jobs.repartition(4 * spark.sparkContext.defaultParallelism, *key).groupBy(*key).applyInArrow(run, COMPARISON)
+    sums = {c: F.sum(c).alias(c) for c in ("raw_bytes", "pixels", "cpu_s")}
+    size = F.when(F.count("*") == F.count("n_bytes"), F.sum("n_bytes")).alias("n_bytes")
+    status = F.coalesce(F.max(F.when(F.col("status") != "ok", F.col("status"))), F.lit("ok")).alias("status")
+    found = every.groupBy("media_id", "codec").agg(*sums.values(), size, F.bool_and("lossless").alias("lossless"), F.max("max_err").alias("max_err"), status, F.first("library").alias("library"))
+    return found.select(*(c.split()[0] for c in COMPARISON.split(", ")))
 
 
 def rollup(results: DataFrame) -> DataFrame:
