@@ -3,16 +3,27 @@
 Offsets are summed in two levels: within chunks of CHUNK symbols, and over the chunks' totals, so a text is never one
 task's; only its chunk totals, a row for each CHUNK symbols, are ordered together. Every code adds its bits to the bytes it
 touches, and bytes are combined before the shuffle. All of it stays in the engine.
+
+Values that lie whole in a row needn't become a row a byte: stretch_packed() codes stretches where they lie, so coded
+stretches are shuffled instead of symbols, and puts them together at the sums of their sizes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .coders import put_codes
+
 CHUNK = 4096
 #: Bytes that are put together as one value.
 BLOCK = 1 << 15
+#: Bytes of a value that are coded together.
+STRETCH = 1 << 16
 
 
 def bit_offsets(coded: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
@@ -58,3 +69,48 @@ def huffman_packed(symbols: DataFrame, lengths: DataFrame, codes: DataFrame, key
     coded = symbols.join(codes.select(*keys, "sym", "len", "code"), [*keys, "sym"]).select(*keys, "pos", "len", "code")
     body = joined_bytes(packed_bytes(bit_offsets(coded, keys), keys), keys)
     return length_table(lengths, keys).join(body, keys).select(*keys, F.concat("head", "data").alias("data"))
+
+
+def _joined_bits(parts: list[dict]) -> bytes:
+    """Stretches {bits, packed} in order, each at the sum of the sizes before it; a byte that two share is their bit_or."""
+    starts = np.cumsum([0, *(p["bits"] for p in parts)])
+    out = np.zeros((int(starts[-1]) + 7) // 8 + 1, np.uint8)
+    for part, start in zip(parts, starts.tolist()):
+        own, at, shift = np.frombuffer(part["packed"], np.uint8), start // 8, start % 8
+        out[at : at + len(own)] |= own >> np.uint8(shift)
+        if shift:
+            out[at + 1 : at + 1 + len(own)] |= own << np.uint8(8 - shift)
+    return out[:-1].tobytes()
+
+
+def stretch_packed(data: DataFrame, codes: DataFrame, key: str, stretch: int = STRETCH) -> DataFrame:
+    """(key, data): the codes of all bytes of whole values (key, data); codes: key, sym, len, code.
+
+    Empty and null values have no row.
+    """
+    table = codes.groupBy(key).agg(F.collect_list(F.struct(*(F.col(c).cast("int") for c in ("sym", "len", "code")))).alias("_codes"))  # 256 at most
+    at = F.explode(F.expr(f"sequence(0L, CAST((octet_length(data) - 1) div {stretch} AS BIGINT))")).alias("_at")
+    parts = data.where("octet_length(data) > 0").join(table, key).select(key, "data", "_codes", at)
+    parts = parts.select(key, "_at", F.expr(f"substring(data, CAST(_at * {stretch} + 1 AS INT), {stretch})").alias("_part"), "_codes")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, cells = batch.column(3).offsets.to_numpy(), batch.column(3).values
+            sym, size, word = (cells.field(k).to_numpy() for k in range(3))
+            bits, packed = [], []
+            for k, part in enumerate(batch.column(2)):
+                own, values = slice(ends[k], ends[k + 1]), np.frombuffer(part.as_buffer(), np.uint8)
+                lengths, words = np.zeros(256, np.int64), np.zeros(256, np.int64)
+                lengths[sym[own]], words[sym[own]] = size[own], word[own]
+                placed = put_codes(lengths[values], words[values])
+                bits.append(len(placed))
+                packed.append(np.packbits(placed).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.int64()), pa.array(packed, pa.binary())], names=[key, "_at", "bits", "packed"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_joined_bits(p) for p in batch.column(1).to_pylist()], pa.binary())], names=[key, "data"])
+
+    coded = parts.mapInArrow(code, f"{key} string, _at long, bits long, packed binary")
+    whole = coded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "bits", "packed"))).alias("_parts"))  # one value's coded stretches
+    return whole.mapInArrow(joined, f"{key} string, data binary")

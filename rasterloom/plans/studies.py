@@ -140,39 +140,36 @@ def with_error(rows: DataFrame, keys: list[str], repeat: bool = False) -> DataFr
 # ---------------------------------------------------------------- static coders
 
 
-def _per_group(frame: DataFrame, key: str, make, schema: str) -> DataFrame:
-    def apply(k: tuple, rows: pa.Table) -> pa.Table:
-        return make(k[0].as_py(), rows)
+def _each_histogram(hist: DataFrame, key: str, make, value: str) -> DataFrame:
+    """key, sym and a value of all that make (256 counts to 256 numbers) doesn't leave at 0; hist: key, sym, n."""
 
-    return frame.groupBy(key).applyInArrow(apply, schema)
-
-
-def _counts(rows: pa.Table) -> np.ndarray:
-    hist = np.zeros(256, np.int64)
-    hist[rows.column("sym").to_numpy()] = rows.column("n").to_numpy()
-    return hist
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, kind = value.split()
+        for batch in batches:
+            ends, cells = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            sym, n = (cells.field(k).to_numpy() for k in range(2))
+            used, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                counts = np.zeros(256, np.int64)
+                counts[sym[a:b]] = n[a:b]
+                made = make(counts)
+                used.append(np.flatnonzero(made))
+                values.append(made[used[-1]])
+            owner = np.repeat(np.arange(batch.num_rows), [len(u) for u in used[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(used), pa.int32()), pa.array(np.concatenate(values)).cast({"int": pa.int32(), "long": pa.int64()}[kind])], names=[key, "sym", name])
+
+    cells = F.collect_list(F.struct(F.col("sym").cast("int"), F.col("n").cast("long"))).alias("cells")  # 256 at most
+    return hist.groupBy(key).agg(cells).mapInArrow(apply, f"{key} string, sym int, {value}")
 
 
 def normalised(hist: DataFrame, key: str) -> DataFrame:
     """key, sym, freq: histograms (256 rows a key at most) scaled to 4096."""
-
-    def make(k: str, rows: pa.Table) -> pa.Table:
-        freq = coders.normalise(_counts(rows))
-        used = np.flatnonzero(freq)
-        return pa.table({key: [k] * len(used), "sym": pa.array(used, pa.int32()), "freq": pa.array(freq[used], pa.int64())})
-
-    return _per_group(hist, key, make, f"{key} string, sym int, freq long")
+    return _each_histogram(hist, key, coders.normalise, "freq long")
 
 
 def huffman_lengths(hist: DataFrame, key: str) -> DataFrame:
     """key, sym, len."""
-
-    def make(k: str, rows: pa.Table) -> pa.Table:
-        lengths = coders.code_lengths(_counts(rows))
-        used = np.flatnonzero(lengths)
-        return pa.table({key: [k] * len(used), "sym": pa.array(used, pa.int32()), "len": pa.array(lengths[used].astype(np.int32), pa.int32())})
-
-    return _per_group(hist, key, make, f"{key} string, sym int, len int")
+    return _each_histogram(hist, key, coders.code_lengths, "len int")
 
 
 def _each_text(texts: DataFrame, make, schema: str) -> DataFrame:
@@ -425,7 +422,7 @@ def _searched(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"{SEARCHED}, block int, penalty int")
 
 
-def _kept(frame: DataFrame, what: str) -> DataFrame:
+def kept(frame: DataFrame, what: str) -> DataFrame:
     """frame written once to the shared folder and read back."""
     spark = frame.sparkSession
     frame.write.parquet(path := shared.scratch(spark, what))
@@ -441,7 +438,7 @@ def motion_sweep(planes: DataFrame, best: int = 5) -> DataFrame:
     """Motion cost of every setting of the search, the best few: one stored table of frame pairs, a task for pairs and
     settings side by side."""
     spark = planes.sparkSession
-    pairs = _kept(_frame_pairs(planes), "pairs").crossJoin(F.broadcast(grid(spark)))  # nine rows
+    pairs = kept(_frame_pairs(planes), "pairs").crossJoin(F.broadcast(grid(spark)))  # nine rows
     cost = F.sum(F.when(F.col("mode") == 1, F.col("temporal")).otherwise(F.col("spatial")))
     tasks = 4 * spark.sparkContext.defaultParallelism
     every = _searched(pairs.repartition(tasks, "media_id", "frame_no", "block", "penalty"))
@@ -542,7 +539,7 @@ def clip_comparison(planes: DataFrame, group_frames: int = codec.GROUP_FRAMES) -
 
     tasks = 4 * spark.sparkContext.defaultParallelism
     dealt = groups.crossJoin(F.broadcast(codecs)).repartition(tasks, "codec", "media_id", "part")  # four rows
-    coded = _kept(dealt.groupBy("codec", "media_id", "part").applyInArrow(run, CODED), "coded")
+    coded = kept(dealt.groupBy("codec", "media_id", "part").applyInArrow(run, CODED), "coded")
     sizes = coded.where("frame_no IS NULL").groupBy("codec", "media_id").agg(F.when(F.count("*") == F.count("n_bytes"), F.sum("n_bytes")).alias("n_bytes"), F.round(F.sum("cpu_s"), 3).alias("cpu_s"), F.max("status").alias("status"))
     there = planes.select("media_id", "frame_no", "plane_no", F.col("data").alias("was")).crossJoin(F.broadcast(codecs))
     back = coded.where("frame_no IS NOT NULL").select("codec", "media_id", "frame_no", "plane_no", "data")
@@ -570,7 +567,7 @@ def sweep(planes: DataFrame, best: int = 5) -> DataFrame:
     sizes come back. A setting travels in the stream's header, so each stream decodes by itself.
     """
     spark = planes.sparkSession
-    bands = _kept(codec.cut_media(planes).where("NOT clip").drop("clip"), "bands").crossJoin(F.broadcast(settings_grid(spark)))  # eighteen rows
+    bands = kept(codec.cut_media(planes).where("NOT clip").drop("clip"), "bands").crossJoin(F.broadcast(settings_grid(spark)))  # eighteen rows
     key = ["memory", "activity", "errors", "media_id", "part"]
 
     def code(keys: tuple, rows: pa.Table) -> pa.Table:

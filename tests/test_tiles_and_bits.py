@@ -158,6 +158,24 @@ def test_packed_bits_are_the_coders(spark, monkeypatch, chunk):
     assert {(r["media_id"], r["sym"]): r["n"] for r in counts.collect()} == {(k, s): v.count(s) for k, v in texts.items() for s in set(v)}
 
 
+@pytest.mark.parametrize("stretch", [3, 1 << 16])
+def test_stretches_are_the_coders_and_not_a_row_a_byte(spark, monkeypatch, stretch):
+    """Whole values by stretches: the coder's bits, from as many rows as there are stretches; decoded by pieces."""
+    monkeypatch.setattr(coders, "DECODED", 7)
+    rng = np.random.default_rng(3)
+    texts = {"one": b"aaaaaaa", "two": b"abab", "skew": bytes(np.minimum(255, rng.geometric(0.3, 700)).astype(np.uint8)), "all": bytes(range(256)) * 3, "deep": b"".join(bytes([k]) * int(1.7**k + 1) for k in range(18)), "none": b""}
+    data = spark.createDataFrame([(k, bytearray(v)) for k, v in texts.items()] + [("null", None)], "media_id string, data binary")
+    lengths = studies.huffman_lengths(rasters.byte_counts(data), "media_id")
+    body = bitpack.stretch_packed(data, entropy.canonical_codes(lengths, ["media_id"]), "media_id", stretch)
+    packed = bitpack.length_table(lengths, ["media_id"]).join(body, "media_id").select("media_id", F.concat("head", "data").alias("data"))
+    found = {r["media_id"]: bytes(r["data"]) for r in packed.collect()}
+    assert found == {k: coders.huffman_encode(np.frombuffer(v, np.uint8).astype(np.int64)) for k, v in texts.items() if v}
+    for k, coded in found.items():
+        assert coders.huffman_decode(coded, len(texts[k])).astype(np.uint8).tobytes() == texts[k]
+        with pytest.raises(ValueError):
+            coders.huffman_decode(coded[:-2], len(texts[k]) + 20)
+
+
 def test_code_lengths_and_sizes_against_the_coder(spark):
     """A10, A11, A16: lengths of each text's tree, and the bits they take, beside the numpy coder's own."""
     rows = [("a", b"hello hello world"), ("b", bytes(range(40)) + b"zz" * 50)]
