@@ -512,10 +512,12 @@ def clip_comparison(planes: DataFrame, group_frames: int = codec.GROUP_FRAMES) -
 
     Clips are cut into groups of frames; every codec takes every group in a task of its own, and decodes it again. Lossless
     means that a full outer join of the planes that went in with those that came out leaves none alone and none unlike.
-    A codec that doesn't take a clip's planes has a status, no size, and isn't lossless.
+    A codec that doesn't take a clip's planes has a status, no size, and isn't lossless. Raw bytes don't count the rows of 0
+    that a short frame is coded with.
     """
     spark = planes.sparkSession
     codecs = spark.createDataFrame([(k,) for k in CLIP_CODECS], "codec string")
+    own = planes.select("media_id", "frame_no", "plane_no", F.octet_length("data").cast("long").alias("own"))
     planes = padded(planes)
     first = planes.groupBy("media_id").agg(F.min("frame_no").alias("_f"))
     groups = planes.join(first, "media_id").withColumn("part", F.expr(f"CAST((frame_no - _f) div {group_frames} AS INT)")).drop("_f")
@@ -541,11 +543,11 @@ def clip_comparison(planes: DataFrame, group_frames: int = codec.GROUP_FRAMES) -
     dealt = groups.crossJoin(F.broadcast(codecs)).repartition(tasks, "codec", "media_id", "part")  # four rows
     coded = kept(dealt.groupBy("codec", "media_id", "part").applyInArrow(run, CODED), "coded")
     sizes = coded.where("frame_no IS NULL").groupBy("codec", "media_id").agg(F.when(F.count("*") == F.count("n_bytes"), F.sum("n_bytes")).alias("n_bytes"), F.round(F.sum("cpu_s"), 3).alias("cpu_s"), F.max("status").alias("status"))
-    there = planes.select("media_id", "frame_no", "plane_no", F.col("data").alias("was")).crossJoin(F.broadcast(codecs))
+    there = planes.join(own, ["media_id", "frame_no", "plane_no"]).select("media_id", "frame_no", "plane_no", F.col("data").alias("was"), "own").crossJoin(F.broadcast(codecs))
     back = coded.where("frame_no IS NOT NULL").select("codec", "media_id", "frame_no", "plane_no", "data")
     met = there.join(back, ["codec", "media_id", "frame_no", "plane_no"], "full_outer")
     same = F.min(F.coalesce(F.col("was") == F.col("data"), F.lit(False))).alias("lossless")
-    equal = met.groupBy("codec", "media_id").agg(same, F.countDistinct("frame_no").alias("frames"), F.sum(F.octet_length("was")).alias("raw_bytes"))
+    equal = met.groupBy("codec", "media_id").agg(same, F.countDistinct("frame_no").alias("frames"), F.sum("own").alias("raw_bytes"))
     return equal.join(sizes, ["codec", "media_id"]).select("media_id", "codec", "frames", "raw_bytes", "n_bytes", "cpu_s", "lossless", "status")
 
 

@@ -408,6 +408,14 @@ def test_clip_codecs_side_by_side(spark, monkeypatch):
         assert not told["still", "deflate"] and told["still", "motion"]
 
 
+def test_raw_bytes_of_a_clip_with_a_short_last_frame(spark):
+    frames = [plane(8, 10, 0, 9), plane(8, 10, 1, 9), plane(3, 10, 2, 9)]
+    rows = [("m", k, 0, 10, f.shape[0], bytearray(f.astype(np.uint8).tobytes())) for k, f in enumerate(frames)]
+    planes = spark.createDataFrame(rows, "media_id string, frame_no int, plane_no int, width int, height int, data binary")
+    found = studies.clip_comparison(planes).collect()
+    assert len(found) == 4 and all(r["raw_bytes"] == 190 and r["lossless"] and r["frames"] == 3 for r in found)
+
+
 def test_costs_are_near_coded_sizes(spark):
     """Within a thousandth of the coded bytes, or the few bytes that headers and lanes take; the change has its sign."""
     y, x = np.mgrid[0:90, 0:110]
