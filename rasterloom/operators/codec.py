@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from . import motion
 from .coders import BitDecoder, BitEncoder, Reader, varint
-from .wavefront import DEFAULT, Bank, CostCoders, RowCoders, Settings, code_plane, coders_of
+from .wavefront import DEFAULT, Bank, CostCoders, RowCoders, Settings, code_plane, code_planes, coders_of
 
 IMAGE, CLIP, PARTS, FRAME = b"RLI1", b"RLV1", b"RLP1", b"RLF1"
 #: Samples of a band (of all its planes) and frames of a group; each is modelled from nothing.
 BAND_SAMPLES, GROUP_FRAMES = 1 << 15, 16
+#: Parts of one size that a task codes side by side; they take about 2 MB each.
+ABREAST = 64
 COLOUR, TURNED, TUNED = 1, 2, 4  # flags; a tall image is coded on its side, which takes fewer steps; a tuned one has its settings
 MOST_SAMPLES = 1 << 31
 
@@ -118,33 +120,54 @@ def _prepared(channels: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     return planes, flags
 
 
-def _code_planes(planes: list[np.ndarray], bank: Bank, coders: RowCoders | CostCoders) -> None:
+def _code_planes(images: list[list[np.ndarray]], bank: Bank, coders: RowCoders | CostCoders) -> None:
     side = None
-    for k, plane in enumerate(planes):
-        _, sizes = code_plane(bank, k, *plane.shape, plane, coders, side=side if k in (1, 2) else None)
+    for k, planes in enumerate(zip(*images)):
+        _, sizes = code_planes(bank, k, *planes[0].shape, np.stack(planes), coders, side=side if k in (1, 2) else None)
         side = sizes if k == 0 else side
 
 
+def encode_images(images: list[list[np.ndarray]], settings: Settings = DEFAULT) -> list[tuple[bytes, dict]]:
+    """Images of as many channels and one size, side by side: the stream of each, as encode_image's, and its statistics."""
+    ready = [_prepared(channels) for channels in images]
+    height, width = images[0][0].shape
+    n = coders_of(*ready[0][0][0].shape)
+    bank, coders = Bank(settings, len(images)), RowCoders(n * len(images))
+    _code_planes([planes for planes, _ in ready], bank, coders)
+    streams, out = coders.finish(), []
+    for k, (_, flags) in enumerate(ready):
+        flags |= TUNED if settings != DEFAULT else 0
+        head = [IMAGE, varint(width), varint(height), bytes((len(images[k]), flags)), _put_settings(settings) if flags & TUNED else b""]
+        out.append((_sealed(b"".join([*head, _put_streams(streams[k * n : (k + 1) * n])])), {c: int(v[k]) for c, v in bank.statistics.items()}))
+    return out
+
+
 def encode_image(channels: list[np.ndarray], statistics: dict | None = None, settings: Settings = DEFAULT) -> bytes:
     """One to four channels of one size."""
-    planes, flags = _prepared(channels)
-    height, width = channels[0].shape
-    flags |= TUNED if settings != DEFAULT else 0
-    out = [IMAGE, varint(width), varint(height), bytes((len(channels), flags)), _put_settings(settings) if flags & TUNED else b""]
-    bank, coders = Bank(settings), RowCoders(coders_of(*planes[0].shape))
-    _code_planes(planes, bank, coders)
-    out.append(_put_streams(coders.finish()))
+    stream, found = encode_images([channels], settings)[0]
     if statistics is not None:
-        statistics.update(bank.statistics)
-    return _sealed(b"".join(out))
+        statistics.update(found)
+    return stream
+
+
+def images_bits(images: list[list[np.ndarray]], settings: Settings = DEFAULT) -> list[float]:
+    """The bits that all decisions of each image cost, without coding them: its size but for header and rounding."""
+    ready = [_prepared(channels)[0] for channels in images]
+    cost = CostCoders(coders_of(*ready[0][0].shape), len(images))
+    _code_planes(ready, Bank(settings, len(images)), cost)
+    return cost.totals.tolist()
 
 
 def image_bits(channels: list[np.ndarray], settings: Settings = DEFAULT) -> float:
-    """The bits that all decisions of an image cost, without coding them: its size but for header and rounding."""
-    planes, _ = _prepared(channels)
-    cost = CostCoders(coders_of(*planes[0].shape))
-    _code_planes(planes, Bank(settings), cost)
-    return cost.total
+    return images_bits([channels], settings)[0]
+
+
+def side_by_side(shapes: list, most: int | None = None) -> list[list[int]]:
+    """The places of equal shapes together, up to `most` (ABREAST) each."""
+    most, found = most or ABREAST, {}
+    for k, shape in enumerate(shapes):
+        found.setdefault(shape, []).append(k)
+    return [places[a : a + most] for places in found.values() for a in range(0, len(places), most)]
 
 
 def join_parts(parts: list[bytes]) -> bytes:
@@ -167,23 +190,34 @@ def split_parts(data: bytes) -> list[bytes]:
     return _get_streams(r, r.varint())
 
 
+def decode_images(data: list[bytes]) -> list[list[np.ndarray]]:
+    """Streams without parts, those of one size side by side."""
+    heads = []
+    for d in data:
+        r = _opened(d, IMAGE)
+        width, height, channels, flags = r.varint(), r.varint(), r.u8(), r.u8()
+        if not 1 <= channels <= 4 or not 0 < width * height < MOST_SAMPLES:
+            raise ValueError("the header is damaged")
+        settings = _get_settings(r) if flags & TUNED else DEFAULT
+        rows, columns = (width, height) if flags & TURNED else (height, width)
+        heads.append(((channels, rows, columns, settings), flags, r))
+    out: list[list[np.ndarray]] = [[] for _ in data]
+    for places in side_by_side([h[0] for h in heads]):
+        channels, rows, columns, settings = heads[places[0]][0]
+        bank, side, n = Bank(settings, len(places)), None, coders_of(rows, columns)
+        coders = RowCoders(n * len(places), [u for k in places for u in _get_streams(heads[k][2], n)])
+        for c in range(channels):
+            planes, sizes = code_planes(bank, c, rows, columns, None, coders, side=side if c in (1, 2) else None)
+            side = sizes if c == 0 else side
+            for k, plane in zip(places, planes):
+                out[k].append(np.ascontiguousarray(plane.T) if heads[k][1] & TURNED else plane)
+    return [inverse_colour(planes[:3]) + planes[3:] if h[1] & COLOUR else planes for h, planes in zip(heads, out)]
+
+
 def decode_image(data: bytes) -> list[np.ndarray]:
     if data[:4] == PARTS:
-        return [np.concatenate(p) for p in zip(*(decode_image(x) for x in split_parts(data)))]
-    r = _opened(data, IMAGE)
-    width, height, channels, flags = r.varint(), r.varint(), r.u8(), r.u8()
-    if not 1 <= channels <= 4 or not 0 < width * height < MOST_SAMPLES:
-        raise ValueError("the header is damaged")
-    bank, side, planes = Bank(_get_settings(r) if flags & TUNED else DEFAULT), None, []
-    rows, columns = (width, height) if flags & TURNED else (height, width)
-    n = coders_of(rows, columns)
-    coders = RowCoders(n, _get_streams(r, n))
-    for k in range(channels):
-        plane, sizes = code_plane(bank, k, rows, columns, None, coders, side=side if k in (1, 2) else None)
-        side = sizes if k == 0 else side
-        planes.append(plane)
-    planes = [np.ascontiguousarray(p.T) for p in planes] if flags & TURNED else planes
-    return inverse_colour(planes[:3]) + planes[3:] if flags & COLOUR else planes
+        return [np.concatenate(p) for p in zip(*decode_images(split_parts(data)))]
+    return decode_images([data])[0]
 
 
 # ---------------------------------------------------------------- clips
@@ -242,57 +276,86 @@ def _inter(previous: np.ndarray, blocks: tuple[np.ndarray, ...], block: int, lum
     return moved, mode[by][:, bx] == motion.TEMPORAL
 
 
-def encode_clip(frames: list[list[np.ndarray]], colour: bool | None = None, block: int = motion.BLOCK) -> bytes:
-    """Frames of equal plane sizes (one to four planes; the first is searched). colour: whether the first three planes go
-    through the colour transform; None: if they have one size and the first frame's residuals take less."""
-    if not frames or not 1 <= len(frames[0]) <= 4:
-        raise ValueError("a clip has frames of one to four planes")
-    if colour is None:
-        first = frames[0][:3]
-        colour = len(first) == 3 and len({p.shape for p in first}) == 1 and first[0].size > 0 and med_entropy(forward_colour(first)) <= med_entropy(first)
-    frames = [forward_colour(f[:3]) + f[3:] for f in frames] if colour else frames
-    shapes = [p.shape for p in frames[0]]
-    if any([p.shape for p in f] != shapes for f in frames) or any(not h or not w for h, w in shapes):
+def encode_clips(clips: list[list[list[np.ndarray]]], colour: bool | None = None, block: int = motion.BLOCK) -> list[bytes]:
+    """Clips of as many frames and the same plane sizes (one to four planes; the first is searched), side by side.
+
+    colour: whether the first three planes go through the colour transform; None: if they have one size and the first
+    frame's residuals take less.
+    """
+    ready, flags = [], []
+    for frames in clips:
+        if not frames or not 1 <= len(frames[0]) <= 4:
+            raise ValueError("a clip has frames of one to four planes")
+        own = colour
+        if own is None:
+            first = frames[0][:3]
+            own = len(first) == 3 and len({p.shape for p in first}) == 1 and first[0].size > 0 and med_entropy(forward_colour(first)) <= med_entropy(first)
+        ready.append([forward_colour(f[:3]) + f[3:] for f in frames] if own else frames)
+        flags.append(COLOUR if own else 0)
+    shapes, count = [p.shape for p in ready[0][0]], len(ready[0])
+    if any(len(c) != count or [p.shape for p in f] != shapes for c in ready for f in c) or any(not h or not w for h, w in shapes):
         raise ValueError("all frames have planes of the same sizes")
-    out = [CLIP, varint(len(frames)), bytes((len(shapes), COLOUR if colour else 0, block)), *(varint(w) + varint(h) for h, w in shapes)]
-    bank, table, coders = Bank(), _Blocks(), RowCoders(max(coders_of(*s) for s in shapes))
-    for k, frame in enumerate(frames):
-        blocks = None
-        if k:
-            blocks = motion.modes(frame[0], frames[k - 1][0], block)[:3]
-            raw = table.write(*blocks)
-            out.append(varint(len(raw)) + raw)
+    out = [[CLIP, varint(count), bytes((len(shapes), f, block)), *(varint(w) + varint(h) for h, w in shapes)] for f in flags]
+    n = max(coders_of(*s) for s in shapes)
+    bank, tables, coders = Bank(copies=len(clips)), [_Blocks() for _ in clips], RowCoders(n * len(clips))
+    for k in range(count):
+        blocks: list = []
+        for c, clip in enumerate(ready if k else []):
+            blocks.append(motion.modes(clip[k][0], clip[k - 1][0], block)[:3])
+            raw = tables[c].write(*blocks[-1])
+            out[c].append(varint(len(raw)) + raw)
         side = None
-        for p, plane in enumerate(frame):
-            moved, temporal = _inter(frames[k - 1][p], blocks, block, shapes[0]) if k else (None, None)
-            _, sizes = code_plane(bank, p, *shapes[p], plane, coders, side=side if p in (1, 2) else None, moved=moved, temporal=temporal)
+        for p, shape in enumerate(shapes):
+            inter = _inters([c[k - 1][p] for c in ready], blocks, block, shapes[0]) if k else (None, None)
+            _, sizes = code_planes(bank, p, *shape, np.stack([c[k][p] for c in ready]), coders, side if p in (1, 2) else None, *inter)
             side = sizes if p == 0 else side
-    out.append(_put_streams(coders.finish()))
-    return _sealed(b"".join(out))
+    streams = coders.finish()
+    return [_sealed(b"".join([*o, _put_streams(streams[c * n : (c + 1) * n])])) for c, o in enumerate(out)]
+
+
+def encode_clip(frames: list[list[np.ndarray]], colour: bool | None = None, block: int = motion.BLOCK) -> bytes:
+    return encode_clips([frames], colour, block)[0]
+
+
+def _inters(previous: list[np.ndarray], blocks: list, block: int, luma: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Stacks of what _inter gives for each clip."""
+    found = [_inter(p, b, block, luma) for p, b in zip(previous, blocks)]
+    return np.stack([m for m, _ in found]), np.stack([t for _, t in found])
+
+
+def decode_clips(data: list[bytes]) -> list[list[list[np.ndarray]]]:
+    """Streams without parts, those of one size side by side."""
+    heads = []
+    for d in data:
+        r = _opened(d, CLIP)
+        count, planes, flags, block = r.varint(), r.u8(), r.u8(), r.u8()
+        shapes = tuple((r.varint(), r.varint())[::-1] for _ in range(planes))
+        if not planes or not block or any(not 0 < h * w < MOST_SAMPLES for h, w in shapes):
+            raise ValueError("the header is damaged")
+        heads.append(((count, shapes, block), flags, r))
+    out: list[list[list[np.ndarray]]] = [[] for _ in data]
+    for places in side_by_side([h[0] for h in heads]):
+        count, shapes, block = heads[places[0]][0]
+        tables = [[heads[k][2].raw(heads[k][2].varint()) for _ in range(count - 1)] for k in places]
+        n = max(coders_of(*s) for s in shapes)
+        bank, readers, coders = Bank(copies=len(places)), [_Blocks() for _ in places], RowCoders(n * len(places), [u for k in places for u in _get_streams(heads[k][2], n)])
+        for f in range(count):
+            blocks = [reader.read(t[f - 1], (-(-shapes[0][0] // block), -(-shapes[0][1] // block))) for reader, t in zip(readers, tables)] if f else []
+            side, frame = None, []
+            for p, (h, w) in enumerate(shapes):
+                inter = _inters([out[k][-1][p] for k in places], blocks, block, shapes[0]) if f else (None, None)
+                stack, sizes = code_planes(bank, p, h, w, None, coders, side if p in (1, 2) else None, *inter)
+                side = sizes if p == 0 else side
+                frame.append(stack)
+            for c, k in enumerate(places):
+                out[k].append([stack[c] for stack in frame])
+    return [[inverse_colour(f[:3]) + f[3:] for f in frames] if h[1] & COLOUR else frames for h, frames in zip(heads, out)]
 
 
 def decode_clip(data: bytes) -> list[list[np.ndarray]]:
     if data[:4] == PARTS:
-        return [f for x in split_parts(data) for f in decode_clip(x)]
-    r = _opened(data, CLIP)
-    count, planes, flags, block = r.varint(), r.u8(), r.u8(), r.u8()
-    shapes = [(r.varint(), r.varint())[::-1] for _ in range(planes)]
-    if not planes or not block or any(not 0 < h * w < MOST_SAMPLES for h, w in shapes):
-        raise ValueError("the header is damaged")
-    bank, table, frames = Bank(), _Blocks(), []
-    tables = [r.raw(r.varint()) for _ in range(count - 1)]
-    n = max(coders_of(*s) for s in shapes)
-    coders = RowCoders(n, _get_streams(r, n))
-    for k in range(count):
-        blocks = table.read(tables[k - 1], (-(-shapes[0][0] // block), -(-shapes[0][1] // block))) if k else None
-        frame, side = [], None
-        for p, (h, w) in enumerate(shapes):
-            moved, temporal = _inter(frames[-1][p], blocks, block, shapes[0]) if k else (None, None)
-            plane, sizes = code_plane(bank, p, h, w, None, coders, side=side if p in (1, 2) else None, moved=moved, temporal=temporal)
-            side = sizes if p == 0 else side
-            frame.append(plane)
-        frames.append(frame)
-    return [inverse_colour(f[:3]) + f[3:] for f in frames] if flags & COLOUR else frames
+        return [f for frames in decode_clips(split_parts(data)) for f in frames]
+    return decode_clips([data])[0]
 
 
 class FrameCoder:
@@ -369,9 +432,18 @@ def _ordered(table: pa.Table) -> list[tuple[int, int, np.ndarray]]:
     return sorted(((f, p, np.frombuffer(d.as_buffer(), np.uint8).reshape(h, w)) for f, p, w, h, d in rows), key=lambda x: x[:2])
 
 
-def _tasks(df: DataFrame) -> int:
-    """Enough tasks to deal out parts; parts are few bytes and much work, so they aren't put together again."""
-    return 8 * df.sparkSession.sparkContext.defaultParallelism
+def gathered(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, planes): a row for each part. Tasks are few, so that each has parts to take side by side."""
+    planes = F.sort_array(F.collect_list(F.struct("frame_no", "plane_no", "width", "height", "data"))).alias("planes")  # one part's
+    return cut.repartition(cut.sparkSession.sparkContext.defaultParallelism, *keys).groupBy(*keys).agg(planes)
+
+
+def part_frames(planes: list[dict]) -> list[list[np.ndarray]]:
+    """The frames of a part, their planes in order."""
+    frames: dict[int, list[np.ndarray]] = {}
+    for p in planes:
+        frames.setdefault(p["frame_no"], []).append(np.frombuffer(p["data"], np.uint8).reshape(p["height"], p["width"]))
+    return list(frames.values())
 
 
 PART_SCHEMA = "media_id string, part int, kind string, payload binary, raw_bytes long, nonzero long, plain_bits long, length_bits long"
@@ -393,24 +465,22 @@ def encode_media(planes: DataFrame, colour_clips: bool | None = None, band_sampl
     its parts, coded, are put together. colour_clips: as encode_clip's colour.
     """
 
-    def encode(key: tuple, table: pa.Table) -> pa.Table:
-        rows = _ordered(table)
-        frames: dict[int, list[np.ndarray]] = {}
-        for f, _, plane in rows:
-            frames.setdefault(f, []).append(plane)
-        statistics: dict = {}
-        clip = table.column("clip")[0].as_py()
-        payload = encode_clip([frames[f] for f in sorted(frames)], colour_clips) if clip else encode_image(next(iter(frames.values())), statistics)
-        values = [key[0].as_py(), key[1].as_py(), "clip" if clip else "image", payload, sum(p.size for _, _, p in rows), *(statistics.get(k) for k in ("nonzero", "plain_bits", "length_bits"))]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.binary(), *[pa.int64()] * 4]
-        return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in PART_SCHEMA.split(", ")])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            parts = [part_frames(p) for p in rows.column(3).to_pylist()]
+            medium, part, clip = (rows.column(k).to_pylist() for k in range(3))
+            for places in side_by_side([(clip[k], len(parts[k]), *(p.shape for f in parts[k] for p in f)) for k in range(len(parts))]):
+                coded = [(c, {}) for c in encode_clips([parts[k] for k in places], colour_clips)] if clip[places[0]] else encode_images([parts[k][0] for k in places])
+                values = [(medium[k], part[k], "clip" if clip[k] else "image", payload, sum(p.size for f in parts[k] for p in f), *(found.get(c) for c in ("nonzero", "plain_bits", "length_bits"))) for k, (payload, found) in zip(places, coded)]
+                kinds = [pa.string(), pa.int32(), pa.string(), pa.binary(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*values), kinds)], names=[x.split()[0] for x in PART_SCHEMA.split(", ")])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             streams = [join_parts([p["payload"] for p in parts]) for parts in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(streams, pa.binary()), pa.array([len(x) for x in streams], pa.int64()), *batch.columns[3:]], names=[x.split()[0] for x in STREAM_SCHEMA.split(", ")])
 
-    parts = cut_media(planes, band_samples, group_frames).repartition(_tasks(planes), "media_id", "part").groupBy("media_id", "part").applyInArrow(encode, PART_SCHEMA)
+    parts = gathered(cut_media(planes, band_samples, group_frames), ["media_id", "part", "clip"]).mapInArrow(encode, PART_SCHEMA)
     sums = [F.sum(c).cast("long").alias(c) for c in ("raw_bytes", "nonzero", "plain_bits", "length_bits")]
     whole = parts.groupBy("media_id").agg(F.first("kind").alias("kind"), F.sort_array(F.collect_list(F.struct("part", "payload"))).alias("parts"), *sums)  # one medium's coded parts
     return whole.mapInArrow(joined, STREAM_SCHEMA)
@@ -431,13 +501,17 @@ def decode_media(streams: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for media, part, first, payload in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                frames = decode_clip(payload) if payload[:4] == CLIP else [decode_image(payload)]
+            every = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            clips = [k for k, (*_, payload) in enumerate(every) if payload[:4] == CLIP]
+            others = [k for k, (*_, payload) in enumerate(every) if payload[:4] != CLIP]
+            back = dict(zip(clips, decode_clips([every[k][3] for k in clips]))) | dict(zip(others, ([i] for i in decode_images([every[k][3] for k in others]))))
+            for k, (media, part, first, _) in enumerate(every):
+                frames = back[k]
                 rows = [(media, first + f, p, part, plane.shape[1], plane.shape[0], plane.tobytes()) for f, planes in enumerate(frames) for p, plane in enumerate(planes)]
                 kinds = [pa.string(), *[pa.int32()] * 5, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["media_id", "frame_no", "plane_no", "part", "width", "height", "data"])
 
-    parts = streams.select("media_id", "payload").mapInArrow(split, "media_id string, part int, first int, payload binary").repartition(_tasks(streams), "media_id", "part")
+    parts = streams.select("media_id", "payload").mapInArrow(split, "media_id string, part int, first int, payload binary").repartition(streams.sparkSession.sparkContext.defaultParallelism, "media_id", "part")
     rows = parts.mapInArrow(decode, "media_id string, frame_no int, plane_no int, part int, width int, height int, data binary")
     bands = F.sort_array(F.collect_list(F.struct("part", "data")))  # one plane's bands
     whole = rows.groupBy("media_id", "frame_no", "plane_no").agg(F.first("width").alias("width"), F.sum("height").cast("int").alias("height"), bands.alias("b"))

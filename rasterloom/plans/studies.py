@@ -303,18 +303,37 @@ COMPARISON = "media_id string, codec string, raw_bytes long, n_bytes long, pixel
 def comparison(planes: DataFrame) -> DataFrame:
     """Every codec on every image (one row each), decoded and compared; CPU seconds cover both ways.
 
-    The adaptive codec takes an image band by band, each in a task of its own, as its streams do; the others take it whole.
+    The adaptive codec takes an image band by band, bands of one size side by side, as its streams do; the others take it whole.
     """
     spark = planes.sparkSession
     names = spark.createDataFrame([(n,) for n in CODECS if n != "own"], "codec string")
     columns = ["media_id", "codec", "part", "frame_no", "plane_no", "width", "height", "data"]
     whole = planes.withColumn("part", F.lit(0)).crossJoin(F.broadcast(names)).select(*columns)  # a row for each codec
-    jobs = whole.unionByName(codec.cut_media(planes).withColumn("codec", F.lit("own")).select(*columns))
+
+    def row(media: str, name: str, image: list, size: int | None, spent: float, worst: int | None, status: str) -> tuple:
+        library = f"zlib {zlib.ZLIB_RUNTIME_VERSION}" if name in ("deflate", "png") else f"numpy {np.__version__}"
+        return media, name, sum(p.size for p in image), size, image[0].size, spent, worst == 0, worst, status, library
+
+    names_, kinds = [x.split()[0] for x in COMPARISON.split(", ")], [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            media, images = rows.column(0).to_pylist(), [sum(codec.part_frames(p), []) for p in rows.column(2).to_pylist()]
+            for places in codec.side_by_side([tuple(p.shape for p in i) for i in images]):
+                began, status, blobs, worst = time.process_time(), "ok", [None] * len(places), [None] * len(places)
+                try:
+                    blobs = [b for b, _ in codec.encode_images([images[k] for k in places])]
+                    worst = [max(int(abs(a.astype(int) - b).max()) for a, b in zip(images[k], back)) for k, back in zip(places, codec.decode_images(blobs))]
+                except ValueError as e:
+                    status = str(e)
+                spent = (time.process_time() - began) / len(places)  # a part's share
+                found = [row(media[k], "own", images[k], len(b) if w is not None else None, spent, w, status) for k, b, w in zip(places, blobs, worst)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*found), kinds)], names=names_)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         name = key[1].as_py()
         image = _image(rows)
-        raw, status, blob, worst = sum(p.size for p in image), "ok", b"", None
+        status, blob, worst = "ok", b"", None
         began = time.process_time()
         try:
             blob, back = CODECS[name](image)
@@ -322,13 +341,12 @@ def comparison(planes: DataFrame) -> DataFrame:
         except ValueError as e:
             status = str(e)
         spent = time.process_time() - began
-        library = f"zlib {zlib.ZLIB_RUNTIME_VERSION}" if name in ("deflate", "png") else f"numpy {np.__version__}"
-        values = [key[0].as_py(), name, raw, len(blob) if worst is not None else None, image[0].size, spent, worst == 0, worst, status, library]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
-        return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in COMPARISON.split(", ")])
+        values = row(key[0].as_py(), name, image, len(blob) if worst is not None else None, spent, worst, status)
+        return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=names_)
 
     key = ["media_id", "codec", "part"]
-    every = jobs.repartition(4 * spark.sparkContext.defaultParallelism, *key).groupBy(*key).applyInArrow(run, COMPARISON)
+    every = whole.repartition(4 * spark.sparkContext.defaultParallelism, *key).groupBy(*key).applyInArrow(run, COMPARISON)
+    every = every.unionAll(codec.gathered(codec.cut_media(planes), ["media_id", "part"]).mapInArrow(own, COMPARISON))
     sums = {c: F.sum(c).alias(c) for c in ("raw_bytes", "pixels", "cpu_s")}
     size = F.when(F.count("*") == F.count("n_bytes"), F.sum("n_bytes")).alias("n_bytes")
     status = F.coalesce(F.max(F.when(F.col("status") != "ok", F.col("status"))), F.lit("ok")).alias("status")
@@ -456,19 +474,21 @@ QUICK = "side string, media_id string, part int, bits double"
 def quick(planes: DataFrame, a: tuple[int, int, str], b: tuple[int, int, str]) -> DataFrame:
     """(media_id, a_bytes, b_bytes, change): what images take under two settings, by the cost of their decisions alone.
 
-    change is b over a in percent, negative where b is smaller. Bands are tasks of their own, and nothing is coded.
+    change is b over a in percent, negative where b is smaller. Bands of one size go side by side, and nothing is coded.
     """
     spark = planes.sparkSession
     sides = spark.createDataFrame([("a", *a), ("b", *b)], "side string, memory int, activity int, errors string")
     bands = codec.cut_media(planes).where("NOT clip").drop("clip").crossJoin(F.broadcast(sides))  # two rows
 
-    def cost(key: tuple, rows: pa.Table) -> pa.Table:
-        side, media, part = (k.as_py() for k in key)
-        settings = settings_of(*(rows.column(c)[0].as_py() for c in ("memory", "activity", "errors")))
-        return pa.table({"side": pa.array([side]), "media_id": pa.array([media]), "part": pa.array([part], pa.int32()), "bits": pa.array([codec.image_bits(_image(rows), settings)])})
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            side, media, part, *settings = (rows.column(k).to_pylist() for k in range(6))
+            named, images = list(zip(*settings)), [codec.part_frames(p)[0] for p in rows.column(6).to_pylist()]
+            for places in codec.side_by_side([(n, *(p.shape for p in i)) for n, i in zip(named, images)]):
+                bits = codec.images_bits([images[k] for k in places], settings_of(*named[places[0]]))
+                yield pa.RecordBatch.from_arrays([pa.array([side[k] for k in places]), pa.array([media[k] for k in places]), pa.array([part[k] for k in places], pa.int32()), pa.array(bits)], names=["side", "media_id", "part", "bits"])
 
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    found = bands.repartition(tasks, "side", "media_id", "part").groupBy("side", "media_id", "part").applyInArrow(cost, QUICK)
+    found = codec.gathered(bands, ["side", "media_id", "part", "memory", "activity", "errors"]).mapInArrow(cost, QUICK)
     both = found.groupBy("media_id").pivot("side", ["a", "b"]).agg(F.sum("bits") / 8)
     return both.select("media_id", F.round("a", 1).alias("a_bytes"), F.round("b", 1).alias("b_bytes"), F.round(100 * (F.col("b") - F.col("a")) / F.col("a"), 4).alias("change"))
 
@@ -565,21 +585,24 @@ def settings_grid(spark: SparkSession) -> DataFrame:
 def sweep(planes: DataFrame, best: int = 5) -> DataFrame:
     """(memory, activity, errors, n_bytes, parts): the settings whose streams are smallest, by real bytes.
 
-    Images are cut into bands once and stored; every band is coded under every setting by a task of its own, and only
-    sizes come back. A setting travels in the stream's header, so each stream decodes by itself.
+    Images are cut into bands once and stored; every band is coded under every setting, bands of one size and setting side by
+    side, and only sizes come back. A setting travels in the stream's header, so each stream decodes by itself.
     """
     spark = planes.sparkSession
     bands = kept(codec.cut_media(planes).where("NOT clip").drop("clip"), "bands").crossJoin(F.broadcast(settings_grid(spark)))  # eighteen rows
     key = ["memory", "activity", "errors", "media_id", "part"]
 
-    def code(keys: tuple, rows: pa.Table) -> pa.Table:
-        memory, activity, errors, media, part = (k.as_py() for k in keys)
-        stream = codec.encode_image(_image(rows), settings=settings_of(memory, activity, errors))
-        kinds = [x.split()[1] for x in SWEPT.split(", ")]
-        arrow = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
-        return pa.table([pa.array([v], arrow[k]) for v, k in zip((memory, activity, errors, media, part, len(stream)), kinds)], names=[x.split()[0] for x in SWEPT.split(", ")])
-
-    coded = bands.repartition(8 * spark.sparkContext.defaultParallelism, *key).groupBy(*key).applyInArrow(code, SWEPT)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keys, images = list(zip(*(rows.column(k).to_pylist() for k in range(5)))), [codec.part_frames(p)[0] for p in rows.column(5).to_pylist()]
+            for places in codec.side_by_side([(k[:3], *(p.shape for p in i)) for k, i in zip(keys, images)]):
+                streams = codec.encode_images([images[k] for k in places], settings_of(*keys[places[0]][:3]))
+                values = [(*keys[k], len(stream)) for k, (stream, _) in zip(places, streams)]
+                arrow = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
+                kinds = [arrow[x.split()[1]] for x in SWEPT.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*values), kinds)], names=[x.split()[0] for x in SWEPT.split(", ")])
+
+    coded = codec.gathered(bands, key).mapInArrow(code, SWEPT)
     sums = coded.groupBy("memory", "activity", "errors").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("parts"))
     return sums.orderBy("n_bytes", "memory", "activity", "errors").limit(best)
 

@@ -416,6 +416,25 @@ def test_raw_bytes_of_a_clip_with_a_short_last_frame(spark):
     assert len(found) == 4 and all(r["raw_bytes"] == 190 and r["lossless"] and r["frames"] == 3 for r in found)
 
 
+def test_streams_side_by_side_are_those_one_by_one(monkeypatch):
+    """Images and clips of one size go through the model together, with statistics each; other sizes among them."""
+    monkeypatch.setattr(codec, "ABREAST", 2)
+    images = [[plane(9, 14 if k == 1 else 7, k + c, 20 + 60 * k) for c in range(3)] for k in range(4)]
+    same = [images[k] for k in (0, 2, 3)]
+    for settings in (wavefront.DEFAULT, studies.settings_of(8, 12, "e3")):
+        alone = []
+        for i in same:
+            alone.append((codec.encode_image(i, told := {}, settings), told))
+        assert codec.encode_images(same, settings) == alone
+        assert np.allclose(codec.images_bits(same, settings), [codec.image_bits(i, settings) for i in same])
+    streams = [codec.encode_image(i) for i in images]
+    assert all(np.array_equal(a, b) for i, j in zip(images, codec.decode_images(streams)) for a, b in zip(i, j))
+    clips = [[[plane(17, 20, 5 * k + f, 30 + 60 * k), plane(9, 10, k + f, 40)] for f in range(3)] for k in range(3)]
+    streams = codec.encode_clips(clips)
+    assert streams == [codec.encode_clip(c) for c in clips]
+    assert all(np.array_equal(a, b) for c, d in zip(clips, codec.decode_clips(streams)) for f, g in zip(c, d) for a, b in zip(f, g))
+
+
 def test_costs_are_near_coded_sizes(spark):
     """Within a thousandth of the coded bytes, or the few bytes that headers and lanes take; the change has its sign."""
     y, x = np.mgrid[0:90, 0:110]
