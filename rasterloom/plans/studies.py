@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.functions import samples as S
-from rasterloom.operators import codec, coders, entropy, motion, stencils, tiles, wavefront
+from rasterloom.operators import abreast, codec, coders, entropy, motion, stencils, tiles, wavefront
 from rasterloom.sources import rasters, shared
 from rasterloom.sources.rasters import KEY
 
@@ -200,23 +200,6 @@ def coder_sizes(texts: DataFrame) -> DataFrame:
     return _each_text(texts, make, "media_id string, symbols long, huffman_bytes long, rans_bytes long, rans_estimate double")
 
 
-def _bits_there_and_back(s: np.ndarray) -> tuple[bytes, np.ndarray]:
-    coder, bank = coders.BitEncoder(), [32768] * 256
-    for v in s.tolist():
-        node = 1
-        for k in range(7, -1, -1):
-            coder.bit(bank, node, v >> k & 1)
-            node = node << 1 | v >> k & 1
-    blob = coder.finish()
-    reader, bank, out = coders.BitDecoder(blob), [32768] * 256, []
-    for _ in range(len(s)):
-        node = 1
-        for _ in range(8):
-            node = node << 1 | reader.bit(bank, node)
-        out.append(node - 256)
-    return blob, np.array(out, np.int64)
-
-
 def roundtrip(texts: DataFrame, coder: str) -> DataFrame:
     """media_id, data as decoded from each text's coded bytes, and how many those are. coder: huffman, rans or bits."""
 
@@ -226,15 +209,21 @@ def roundtrip(texts: DataFrame, coder: str) -> DataFrame:
         if coder == "huffman":
             blob = coders.huffman_encode(s)
             back = coders.huffman_decode(blob, len(s))
-        elif coder == "rans":
+        else:
             freq = coders.normalise(np.bincount(s, minlength=256))
             table, body = coders.write_table(freq), coders.rans_encode(s, freq)
             blob, back = table + body, coders.rans_decode(body, len(s), coders.read_table(coders.Reader(table)))
-        else:
-            blob, back = _bits_there_and_back(s)
         return back.astype(np.uint8).tobytes(), len(blob)
 
-    return _each_text(texts, make, "media_id string, data binary, n_bytes long")
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.frombuffer(d.as_buffer(), np.uint8) for d in batch.column(1)]
+            blobs = abreast.range_encode(data)
+            back = [t.tobytes() for t in abreast.range_decode(blobs, [len(t) for t in data])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary()), pa.array([len(b) for b in blobs], pa.int64())], names=["media_id", "data", "n_bytes"])
+
+    schema = "media_id string, data binary, n_bytes long"
+    return texts.select("media_id", "data").mapInArrow(together, schema) if coder == "bits" else _each_text(texts, make, schema)
 
 
 def huffman_decoded(packed: DataFrame) -> DataFrame:

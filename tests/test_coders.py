@@ -167,3 +167,26 @@ def test_parts_join():
     assert (head["kind"], head["width"], head["height"], head["planes"], head["samples"]) == ("image", 40, 90, 3, 90 * 40 * 3)
     with pytest.raises(ValueError):
         codec.split_parts(blob[:-6] + b"xxxxxx")
+
+
+@pytest.mark.parametrize("places, alone", [(1024, 20), (7, 2), (40, 0), (100, 100)])
+def test_range_coder_abreast_is_the_coders(monkeypatch, places, alone):
+    """Texts coded together have the streams that BitEncoder makes of each, and come back; a cut stream raises."""
+    from rasterloom.operators import abreast
+
+    monkeypatch.setattr(abreast, "PLACES", places)
+    monkeypatch.setattr(abreast, "ALONE", alone)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, m, n).astype(np.uint8) for m, n in zip(rng.integers(1, 257, 60), rng.integers(0, 120, 60))]
+    texts += [np.zeros(900, np.uint8), np.full(700, 255, np.uint8), np.tile([0, 255], 400).astype(np.uint8)]
+    blobs = abreast.range_encode(texts)
+    for text, blob in zip(texts, blobs):
+        coder, bank = coders.BitEncoder(), [32768] * 256
+        for v in text.tolist():
+            for k in range(7, -1, -1):
+                coder.bit(bank, (v | 256) >> k + 1, v >> k & 1)
+        assert blob == (coder.finish() if len(text) else b"")
+    assert same(abreast.range_decode(blobs, [len(t) for t in texts]), texts)
+    with pytest.raises(ValueError):
+        abreast.range_decode([b[: len(b) // 8] for b in blobs], [len(t) for t in texts])
+    assert abreast.range_encode([]) == [] == abreast.range_decode([], [])
