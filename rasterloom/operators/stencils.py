@@ -68,12 +68,17 @@ def shifted(samples: DataFrame, dy: int, dx: int, top: str = "zero") -> DataFram
     return tiles.own(out).withColumnRenamed("_s", "s")
 
 
-def half_sample_planes(samples: DataFrame) -> DataFrame:
-    """Four rasters at half-sample phases, phase = 2 (dy odd) + (dx odd): bilinear, edges repeat."""
+def half_sample_phases(samples: DataFrame) -> DataFrame:
+    """`phases`, each sample's values at the four half-sample phases 2 (dy odd) + (dx odd): bilinear, edges repeat."""
     column, row = tiles.along_columns(), tiles.along_rows()
     out = tiles.tiled(samples, down=1, right=1).withColumn("_r", F.coalesce(F.lead("v").over(row), "v"))
     out = out.withColumns({"_d": F.coalesce(F.lead("v").over(column), "v"), "_rd": F.coalesce(F.lead("_r").over(column), "_r")})
-    return tiles.own(out).selectExpr(*KEY, "y", "x", "stack(4, 0, v, 1, (v + _r + 1) >> 1, 2, (v + _d + 1) >> 1, 3, (v + _r + _d + _rd + 2) >> 2) AS (phase, v)")
+    return tiles.own(out).selectExpr(*KEY, "y", "x", "array(v, shiftright(v + _r + 1, 1), shiftright(v + _d + 1, 1), shiftright(v + _r + _d + _rd + 2, 2)) AS phases")
+
+
+def half_sample_planes(samples: DataFrame) -> DataFrame:
+    """The same as four rasters, (phase, v)."""
+    return half_sample_phases(samples).selectExpr(*KEY, "y", "x", "posexplode(phases) AS (phase, v)")
 
 
 def med_residuals(samples: DataFrame) -> DataFrame:

@@ -451,3 +451,32 @@ def test_costs_are_near_coded_sizes(spark):
     assert abs(r["a_bytes"] - codec.image_bits(image, studies.settings_of(*a)) / 8) < 0.06
     assert abs(r["b_bytes"] - codec.image_bits(image, studies.settings_of(*b)) / 8) < 0.06
     assert abs(r["change"] - 100 * (r["b_bytes"] - r["a_bytes"]) / r["a_bytes"]) < 0.01
+
+
+def test_displacements_shuffle_a_sample_twice(spark, monkeypatch):
+    """Costs in small tiles against the join they stand for: holes, a sample twice, a short frame, a place below 0; and no
+    join by coordinates, which would shuffle a row for each sample and displacement."""
+    from rasterloom.operators import motion
+
+    monkeypatch.setattr(motion, "TILE", (4, 4))
+    rng = np.random.default_rng(4)
+    rows = [("m", f, 0, y, x, int(rng.integers(0, 256))) for f in range(4) for y in range(7 if f == 1 else 11) for x in range(10) if rng.random() < 0.93]
+    rows += [("m", 1, 0, 3, 4, 17), ("m", 2, 0, 0, 0, 200), ("m", 2, 0, -3, 2, 9), ("m", 0, 0, -1, -1, 5), ("m", None, 0, 1, 1, 5), ("n", 5, 0, 0, 0, 1), ("n", 6, 0, 0, 0, 3)]
+    samples = spark.createDataFrame(rows, SAMPLES).repartition(3)
+    kept = [r for r in rows if r[1] is not None]
+    most = {m: (max(r[3] for r in rows if r[0] == m), max(r[4] for r in rows if r[0] == m)) for m in "mn"}
+    refs, expected = {}, {}
+    for m, f, _, y, x, v in kept:
+        refs.setdefault((m, f, y, x), []).append(v)
+    for m, f, _, y, x, v in kept:
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                place = (m, f - 1, max(0, min(most[m][0], y + dy)), max(0, min(most[m][1], x + dx)))
+                for r in refs.get(place, []):
+                    own = (m, f, int(y / 3), int(x / 3), dy, dx)
+                    expected[own] = expected.get(own, 0) + int(motion.cost(np.array([v]), np.array([r]))[0])
+    costs = motion.displacement_costs(samples, 2, 3)
+    found = [tuple(r) for r in costs.collect()]
+    assert len(found) == len(expected) and {r[:6]: r[6] for r in found} == expected
+    plan = costs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)") == 1
