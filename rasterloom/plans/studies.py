@@ -186,18 +186,41 @@ def _each_text(texts: DataFrame, make, schema: str) -> DataFrame:
     return texts.select("media_id", "data").mapInArrow(apply, schema)
 
 
+def _tables(data: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    hists = [np.bincount(s, minlength=256) for s in data]
+    return hists, [coders.normalise(h) for h in hists]
+
+
+def _texts_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(d.as_buffer(), np.uint8) for d in batch.column(1)]
+
+
 def coder_sizes(texts: DataFrame) -> DataFrame:
-    """Per media_id: symbols, Huffman and rANS bytes (tables included), and the rANS estimate."""
+    """Per media_id: symbols, Huffman and rANS bytes (tables included), and the rANS estimate. A batch's texts are coded side by side."""
+    names = ["media_id", "symbols", "huffman_bytes", "rans_bytes", "rans_estimate"]
 
-    def make(s: np.ndarray) -> tuple:
-        if not len(s):
-            return 0, 0, 0, 0.0
-        hist = np.bincount(s, minlength=256)
-        freq = coders.normalise(hist)
-        rans = len(coders.write_table(freq)) + len(coders.rans_encode(s, freq))
-        return len(s), len(coders.huffman_encode(s)), rans, coders.estimate_bits(hist, freq) / 8
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = _texts_of(batch)
+            hists, freqs = _tables(data)
+            rans = [len(coders.write_table(f)) + len(b) if f is not None else 0 for f, b in zip(freqs, abreast.rans_encode(data, freqs))]
+            bits = [coders.estimate_bits(h, f) / 8 if f is not None else 0.0 for h, f in zip(hists, freqs)]
+            columns = [pa.array(c, pa.int64()) for c in ([len(s) for s in data], [len(coders.huffman_encode(s)) for s in data], rans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(bits, pa.float64())], names=names)
 
-    return _each_text(texts, make, "media_id string, symbols long, huffman_bytes long, rans_bytes long, rans_estimate double")
+    return texts.select("media_id", "data").mapInArrow(sized, "media_id string, symbols long, huffman_bytes long, rans_bytes long, rans_estimate double")
+
+
+def coder_estimates(texts: DataFrame) -> DataFrame:
+    """Per media_id: symbols and the rANS estimate, which a text's histogram gives without coding it."""
+
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = _texts_of(batch)
+            bits = [coders.estimate_bits(h, f) / 8 if f is not None else 0.0 for h, f in zip(*_tables(data))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in data], pa.int64()), pa.array(bits, pa.float64())], names=["media_id", "symbols", "rans_estimate"])
+
+    return texts.select("media_id", "data").mapInArrow(estimated, "media_id string, symbols long, rans_estimate double")
 
 
 def roundtrip(texts: DataFrame, coder: str) -> DataFrame:
@@ -206,24 +229,27 @@ def roundtrip(texts: DataFrame, coder: str) -> DataFrame:
     def make(s: np.ndarray) -> tuple:
         if not len(s):
             return b"", 0
-        if coder == "huffman":
-            blob = coders.huffman_encode(s)
-            back = coders.huffman_decode(blob, len(s))
-        else:
-            freq = coders.normalise(np.bincount(s, minlength=256))
-            table, body = coders.write_table(freq), coders.rans_encode(s, freq)
-            blob, back = table + body, coders.rans_decode(body, len(s), coders.read_table(coders.Reader(table)))
-        return back.astype(np.uint8).tobytes(), len(blob)
+        blob = coders.huffman_encode(s)
+        return coders.huffman_decode(blob, len(s)).astype(np.uint8).tobytes(), len(blob)
+
+    def rans(data: list[np.ndarray], counts: list[int]) -> tuple[list[int], list[np.ndarray]]:
+        freqs = _tables(data)[1]
+        tables, bodies = [coders.write_table(f) if f is not None else b"" for f in freqs], abreast.rans_encode(data, freqs)
+        read = [coders.read_table(coders.Reader(t)) if t else None for t in tables]
+        return [len(t) + len(b) for t, b in zip(tables, bodies)], abreast.rans_decode(bodies, counts, read)
+
+    def bits(data: list[np.ndarray], counts: list[int]) -> tuple[list[int], list[np.ndarray]]:
+        blobs = abreast.range_encode(data)
+        return [len(b) for b in blobs], abreast.range_decode(blobs, counts)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.frombuffer(d.as_buffer(), np.uint8) for d in batch.column(1)]
-            blobs = abreast.range_encode(data)
-            back = [t.tobytes() for t in abreast.range_decode(blobs, [len(t) for t in data])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary()), pa.array([len(b) for b in blobs], pa.int64())], names=["media_id", "data", "n_bytes"])
+            data = _texts_of(batch)
+            sizes, back = (rans if coder == "rans" else bits)(data, [len(t) for t in data])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tobytes() for t in back], pa.binary()), pa.array(sizes, pa.int64())], names=["media_id", "data", "n_bytes"])
 
     schema = "media_id string, data binary, n_bytes long"
-    return texts.select("media_id", "data").mapInArrow(together, schema) if coder == "bits" else _each_text(texts, make, schema)
+    return _each_text(texts, make, schema) if coder == "huffman" else texts.select("media_id", "data").mapInArrow(together, schema)
 
 
 def huffman_decoded(packed: DataFrame) -> DataFrame:

@@ -190,3 +190,29 @@ def test_range_coder_abreast_is_the_coders(monkeypatch, places, alone):
     with pytest.raises(ValueError):
         abreast.range_decode([b[: len(b) // 8] for b in blobs], [len(t) for t in texts])
     assert abreast.range_encode([]) == [] == abreast.range_decode([], [])
+
+
+@pytest.mark.parametrize("together", [512, 3])
+def test_rans_abreast_is_the_coders(monkeypatch, together):
+    """Texts coded together have the streams that coders.rans_encode makes of each, and come back; a cut stream raises."""
+    from rasterloom.operators import abreast
+
+    monkeypatch.setattr(abreast, "TOGETHER", together)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, m, n).astype(np.uint8) for m, n in zip(rng.integers(1, 257, 40), rng.integers(0, 700, 40))]
+    texts += [np.full(4000, 255, np.uint8), np.zeros(1, np.uint8), np.arange(32, dtype=np.uint8), np.zeros(0, np.uint8)]
+    freqs = [coders.normalise(np.bincount(t, minlength=256)) for t in texts]
+    blobs = abreast.rans_encode(texts, freqs)
+    assert blobs == [coders.rans_encode(t, f) for t, f in zip(texts, freqs)]
+    assert same(abreast.rans_decode(blobs, [len(t) for t in texts], freqs), texts)
+    with pytest.raises(ValueError):
+        abreast.rans_decode([b[: len(b) - len(b) // 4] for b in blobs], [len(t) for t in texts], freqs)
+    assert abreast.rans_encode([], []) == [] == abreast.rans_decode([], [], [])
+
+
+def test_estimates_without_coding(spark):
+    from rasterloom.plans import studies
+
+    texts = spark.createDataFrame([("a", b"abracadabra" * 9), ("b", b"x"), ("c", b"")], "media_id string, data binary")
+    coded = {r["media_id"]: (r["symbols"], r["rans_estimate"]) for r in studies.coder_sizes(texts).collect()}
+    assert {r["media_id"]: (r["symbols"], r["rans_estimate"]) for r in studies.coder_estimates(texts).collect()} == coded and coded["c"] == (0, 0.0)
