@@ -480,3 +480,15 @@ def test_displacements_shuffle_a_sample_twice(spark, monkeypatch):
     assert len(found) == len(expected) and {r[:6]: r[6] for r in found} == expected
     plan = costs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)") == 1
+
+
+def test_slots_of_a_symbol_without_an_aggregation(spark):
+    """The slots by hand, and that none is counted a row a slot (which kept a row of every symbol in one task's memory)."""
+    from rasterloom.plans import queries as engine
+    from tests.conftest import DATA
+
+    freqs = spark.createDataFrame([("a", 3, 2), ("a", 9, 3), ("b", 0, 1)], "media_id string, sym int, freq long")
+    assert sorted(tuple(r) for r in entropy.slot_lists(freqs, ["media_id"]).collect()) == [("a", 3, [0, 1]), ("a", 9, [2, 3, 4]), ("b", 0, [0])]
+    assert sorted(tuple(r) for r in entropy.slot_table(freqs, ["media_id"]).collect()) == [("a", 0, 3), ("a", 1, 3), ("a", 2, 9), ("a", 3, 9), ("a", 4, 9), ("b", 0, 0)]
+    plan = engine.slot_table(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
