@@ -312,18 +312,22 @@ def _own(planes: list[np.ndarray]) -> tuple[bytes, list[np.ndarray]]:
 #: A codec is a function from planes to its bytes and what it decodes from them.
 CODECS = {"raw": lambda p: (b"".join(x.tobytes() for x in p), p), "deflate": _deflate, "huffman": _huffman, "rans": _rans, "png": _png, "own": _own}
 
+#: Samples (of all planes) of a strip that the codecs other than the adaptive one take at once; smaller images go whole.
+STRIP_SAMPLES = 1 << 20
+
 COMPARISON = "media_id string, codec string, raw_bytes long, n_bytes long, pixels long, cpu_s double, lossless boolean, max_err int, status string, library string"
 
 
 def comparison(planes: DataFrame) -> DataFrame:
     """Every codec on every image (one row each), decoded and compared; CPU seconds cover both ways.
 
-    The adaptive codec takes an image band by band, bands of one size side by side, as its streams do; the others take it whole.
+    The adaptive codec takes an image band by band, bands of one size side by side, as its streams do. The others take an
+    image whole up to STRIP_SAMPLES; of a larger one each strip is a stream of its own, with its tables and headers.
     """
     spark = planes.sparkSession
     names = spark.createDataFrame([(n,) for n in CODECS if n != "own"], "codec string")
     columns = ["media_id", "codec", "part", "frame_no", "plane_no", "width", "height", "data"]
-    whole = planes.withColumn("part", F.lit(0)).crossJoin(F.broadcast(names)).select(*columns)  # a row for each codec
+    strips = codec.cut_media(planes, STRIP_SAMPLES).crossJoin(F.broadcast(names)).select(*columns)  # a row for each codec
 
     def row(media: str, name: str, image: list, size: int | None, spent: float, worst: int | None, status: str) -> tuple:
         library = f"zlib {zlib.ZLIB_RUNTIME_VERSION}" if name in ("deflate", "png") else f"numpy {np.__version__}"
@@ -360,7 +364,7 @@ def comparison(planes: DataFrame) -> DataFrame:
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=names_)
 
     key = ["media_id", "codec", "part"]
-    every = whole.repartition(4 * spark.sparkContext.defaultParallelism, *key).groupBy(*key).applyInArrow(run, COMPARISON)
+    every = strips.repartition(4 * spark.sparkContext.defaultParallelism, *key).groupBy(*key).applyInArrow(run, COMPARISON)
     every = every.unionAll(codec.gathered(codec.cut_media(planes), ["media_id", "part"]).mapInArrow(own, COMPARISON))
     sums = {c: F.sum(c).alias(c) for c in ("raw_bytes", "pixels", "cpu_s")}
     size = F.when(F.count("*") == F.count("n_bytes"), F.sum("n_bytes")).alias("n_bytes")

@@ -492,3 +492,20 @@ def test_slots_of_a_symbol_without_an_aggregation(spark):
     assert sorted(tuple(r) for r in entropy.slot_table(freqs, ["media_id"]).collect()) == [("a", 0, 3), ("a", 1, 3), ("a", 2, 9), ("a", 3, 9), ("a", 4, 9), ("b", 0, 0)]
     plan = engine.slot_table(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+# ---- large planes in strips
+
+
+def test_large_images_are_compared_in_strips(spark, monkeypatch):
+    """Every codec takes strips of an image beyond STRIP_SAMPLES, each a stream of its own, and a smaller image whole."""
+    monkeypatch.setattr(studies, "STRIP_SAMPLES", 24 * 3 * 16)
+    images = {"large": [plane(40, 24, k, 64).astype(np.uint8) for k in range(3)], "small": [plane(9, 24, k, 64).astype(np.uint8) for k in range(3)]}
+    rows = [(m, 0, p, a.shape[1], a.shape[0], bytearray(a.tobytes())) for m, planes in images.items() for p, a in enumerate(planes)]
+    found = studies.comparison(spark.createDataFrame(rows, codec.PLANE_SCHEMA)).collect()
+    assert len(found) == 2 * len(studies.CODECS)
+    for r in found:
+        image = images[r["media_id"]]
+        strips = [[p[a : a + 16] for p in image] for a in range(0, len(image[0]), 16)] if r["codec"] != "own" else [image]
+        assert r["n_bytes"] == sum(len(studies.CODECS[r["codec"]](s)[0]) for s in strips)
+        assert r["lossless"] and r["max_err"] == 0 and r["raw_bytes"] == sum(p.size for p in image) and r["pixels"] == image[0].size
