@@ -489,32 +489,39 @@ def encode_media(planes: DataFrame, colour_clips: bool | None = None, band_sampl
 PLANE_SCHEMA = "media_id string, frame_no int, plane_no int, width int, height int, data binary"
 
 
-def decode_media(streams: DataFrame) -> DataFrame:
-    """Streams (media_id, payload) to packed planes. Parts are decoded side by side."""
+def decode_bands(streams: DataFrame) -> DataFrame:
+    """Streams (media_id, payload) to the bands of their planes (media_id, frame_no, plane_no, top, width, height, data),
+    as they are decoded: no task holds a plane of many bands. Parts are decoded side by side."""
+    schema = "media_id string, frame_no int, plane_no int, top int, width int, height int, data binary"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for media, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = split_parts(payload)
-                first = np.cumsum([0, *(header(p)["frames"] for p in parts)])[:-1] if header(payload)["kind"] == "clip" else np.zeros(len(parts), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([media] * len(parts)), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(first.astype(np.int32)), pa.array(parts, pa.binary())], names=["media_id", "part", "first", "payload"])
+                heads, clip = [header(p) for p in parts], header(payload)["kind"] == "clip"
+                before = np.cumsum([0, *(h["frames" if clip else "height"] for h in heads)])[:-1].astype(np.int32)
+                none = np.zeros(len(parts), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([media] * len(parts)), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(before if clip else none), pa.array(none if clip else before), pa.array(parts, pa.binary())], names=["media_id", "part", "first", "top", "payload"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            every = list(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))))
             clips = [k for k, (*_, payload) in enumerate(every) if payload[:4] == CLIP]
             others = [k for k, (*_, payload) in enumerate(every) if payload[:4] != CLIP]
             back = dict(zip(clips, decode_clips([every[k][3] for k in clips]))) | dict(zip(others, ([i] for i in decode_images([every[k][3] for k in others]))))
-            for k, (media, part, first, _) in enumerate(every):
-                frames = back[k]
-                rows = [(media, first + f, p, part, plane.shape[1], plane.shape[0], plane.tobytes()) for f, planes in enumerate(frames) for p, plane in enumerate(planes)]
+            for k, (media, first, top, _) in enumerate(every):
+                rows = [(media, first + f, p, top, plane.shape[1], plane.shape[0], plane.tobytes()) for f, planes in enumerate(back[k]) for p, plane in enumerate(planes)]
                 kinds = [pa.string(), *[pa.int32()] * 5, pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["media_id", "frame_no", "plane_no", "part", "width", "height", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
+    parts = streams.select("media_id", "payload").mapInArrow(split, "media_id string, part int, first int, top int, payload binary").repartition(streams.sparkSession.sparkContext.defaultParallelism, "media_id", "part")
+    return parts.mapInArrow(decode, schema)
 
-    parts = streams.select("media_id", "payload").mapInArrow(split, "media_id string, part int, first int, payload binary").repartition(streams.sparkSession.sparkContext.defaultParallelism, "media_id", "part")
-    rows = parts.mapInArrow(decode, "media_id string, frame_no int, plane_no int, part int, width int, height int, data binary")
-    bands = F.sort_array(F.collect_list(F.struct("part", "data")))  # one plane's bands
-    whole = rows.groupBy("media_id", "frame_no", "plane_no").agg(F.first("width").alias("width"), F.sum("height").cast("int").alias("height"), bands.alias("b"))
+
+def decode_media(streams: DataFrame) -> DataFrame:
+    """Streams (media_id, payload) to packed planes."""
+    bands = F.sort_array(F.collect_list(F.struct("top", "data"))).alias("b")  # one plane's bands
+    whole = decode_bands(streams).groupBy("media_id", "frame_no", "plane_no").agg(F.first("width").alias("width"), F.sum("height").cast("int").alias("height"), bands)
     return whole.select("media_id", "frame_no", "plane_no", "width", "height", F.expr("IF(size(b) = 1, b[0].data, unhex(array_join(transform(b, x -> hex(x.data)), '')))").alias("data"))
 
 

@@ -509,3 +509,27 @@ def test_large_images_are_compared_in_strips(spark, monkeypatch):
         strips = [[p[a : a + 16] for p in image] for a in range(0, len(image[0]), 16)] if r["codec"] != "own" else [image]
         assert r["n_bytes"] == sum(len(studies.CODECS[r["codec"]](s)[0]) for s in strips)
         assert r["lossless"] and r["max_err"] == 0 and r["raw_bytes"] == sum(p.size for p in image) and r["pixels"] == image[0].size
+
+
+def test_planes_are_packed_and_unpacked_in_strips(spark, monkeypatch):
+    """No group holds more than PACKED_ROWS rows, no batch more than STRETCH samples; holes, whole strips of them, are 0."""
+    monkeypatch.setattr(rasters, "PACKED_ROWS", 3)
+    monkeypatch.setattr(rasters, "STRETCH", 7)
+    a, b = plane(14, 5), plane(2, 9, 1)
+    samples = frame_of(spark, a, b).where("plane_no = 1 OR NOT y BETWEEN 3 AND 7 AND NOT (y = 13 AND x = 4)")
+    a[3:8], a[13, 4] = 0, 0
+    packed = rasters.pack(samples)
+    found = {r["plane_no"]: r for r in packed.collect()}
+    for k, want in enumerate((a, b)):
+        assert (found[k]["height"], found[k]["width"]) == want.shape and bytes(found[k]["data"]) == want.astype(np.uint8).tobytes()
+    back = rasters.unpack(packed).collect()
+    assert len(back) == a.size + b.size and all(r["v"] == (a, b)[r["plane_no"]][r["y"], r["x"]] for r in back)
+
+
+def test_decoded_bands_have_their_first_rows(spark):
+    """Bands leave the decoder one by one and are unpacked where they lie; a clip's groups keep their frame numbers."""
+    image, frames = plane(50, 6, 2, 32), [plane(4, 6, k, 32) for k in range(5)]
+    rows = [("image", 0, 0, y, x, int(v)) for (y, x), v in np.ndenumerate(image)] + [("clip", f, 0, y, x, int(v)) for f, a in enumerate(frames) for (y, x), v in np.ndenumerate(a)]
+    bands = codec.decode_bands(codec.encode_media(rasters.pack(spark.createDataFrame(rows, SAMPLES)), band_samples=96, group_frames=2))
+    assert {(r["media_id"], r["frame_no"], r["top"], r["height"]) for r in bands.collect()} == {("image", 0, 0, 16), ("image", 0, 16, 16), ("image", 0, 32, 16), ("image", 0, 48, 2), *(("clip", f, 0, 4) for f in range(5))}
+    assert sorted(map(tuple, rasters.unpack(bands).collect())) == sorted(rows)
