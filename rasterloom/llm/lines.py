@@ -13,7 +13,9 @@ its own only shingle, so short lines match only equal ones.
     that fail against their leader choose another leader among themselves, for ROUNDS rounds.
 4.  Buckets whose lines (without the first leader, which has met them all) still lie in two components are compared
     whole: lines of two components that share one of their rarest shingles, without which 0.8 can't be reached, meet in
-    tiles; those that agree in enough minima and in size are verified. Shingles that the same lines have count once.
+    tiles; those that agree in enough minima, in size and in their bitmaps (WORDS x 64 bits, each the parity of its
+    shingles: sets differ in at least as many shingles as bitmaps do in bits) are verified, so few pairs below 0.8 leave
+    the tiles, however many lines share a passage. Shingles that the same lines have count once.
 5.  Verified pairs are links; each component keeps its first line by (doc_id, line number, text hash), all others go.
 
 Two lines at similarity s meet in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.993 at 0.8, 0.9999 at 0.9; of
@@ -38,6 +40,11 @@ SHINGLE = 12
 BANDS, ROWS, ROUNDS = 7, 3, 2
 NUMERATOR, DENOMINATOR = 8, 10
 AGREE = 11
+#: Longs of a line's bitmap, and longs that hold the minima's low 14 bits, four each, every 15 bits.
+WORDS, MINIMA = 16, -(-BANDS * ROWS // 4)
+#: What pairs of lines are told by, as columns, so that conditions on pairs compile to little code.
+SIGNS = [f"s{k}" for k in range(MINIMA)]
+TOLD = [*SIGNS, *[f"w{k}" for k in range(WORDS)], "size"]
 #: Lines of a shingle that make another tile of the rest.
 TILE = 256
 
@@ -90,13 +97,33 @@ def signatures(docs: DataFrame) -> DataFrame:
     order = [int(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)) - (1 << 63) for k in range(BANDS * ROWS)]  # spread evenly
     least = grams.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.sum("one").alias("times"), *[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(order)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    signature = F.array(*[F.expr(f"CAST((m{k} & 65535) - 32768 AS SMALLINT)") for k in range(BANDS * ROWS)])
-    return least.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc_id", "times", F.array(*bands).alias("bands"), signature.alias("sig"))
+    minima = [" | ".join(f"shiftleft(m{k} & 16383, {15 * (k % 4)})" for k in range(4 * g, min(4 * g + 4, BANDS * ROWS))) for g in range(MINIMA)]
+    return least.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "doc_id", "times", F.array(*bands).alias("bands"), *[F.expr(m).alias(f"s{g}") for g, m in enumerate(minima)])
+
+
+def named(columns: list[str], side: str) -> list[Column]:
+    """Columns with a letter in front."""
+    return [F.col(c).alias(side + c) for c in columns]
 
 
 def agree(a: str, b: str) -> str:
-    """Whether two signatures (the low 16 bits of all minima) agree often enough."""
-    return " + ".join(f"IF({a}[{k}] = {b}[{k}], 1, 0)" for k in range(BANDS * ROWS)) + f" >= {AGREE}"
+    """Whether two lines (SIGNS with letters a and b) agree in AGREE minima or more.
+
+    Four are compared at a time: where two differ, adding 14 ones to what they differ in carries to the bit above.
+    """
+    ones, carries = (sum(bits << 15 * k for k in range(4)) for bits in (16383, 16384))
+    unlike = " + ".join(f"bit_count((({a}{s} ^ {b}{s}) + {ones}L) & {carries}L)" for s in SIGNS)
+    return f"{unlike} <= {BANDS * ROWS - AGREE}"
+
+
+def likely(a: str, b: str) -> str:
+    """Whether two lines (TOLD with letters a and b) can be similar: by size, minima, and bitmaps.
+
+    Bitmaps may differ in no more bits than sets of such sizes may in shingles.
+    """
+    differ = " + ".join(f"bit_count({a}w{k} ^ {b}w{k})" for k in range(WORDS))
+    sizes = f"least({a}size, {b}size) * {DENOMINATOR} >= greatest({a}size, {b}size) * {NUMERATOR}"
+    return f"{sizes} AND {agree(a, b)} AND ({differ}) * {DENOMINATOR + NUMERATOR} <= ({a}size + {b}size) * {DENOMINATOR - NUMERATOR}"
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -112,15 +139,14 @@ def led(members: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, table: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line, sig): the lines wanted, taken from their first documents."""
-    wanted = table.join(ids, "id", "left_semi").select("id", "doc_id", "h1", "h2", "sig")
-    return eligible_lines(docs).select("doc_id", "h1", "h2", "line").join(wanted.hint("shuffle_hash"), ["doc_id", "h1", "h2"]).select("id", "line", "sig").dropDuplicates(["id"])
+    """(id, line, SIGNS): the lines wanted, taken from their first documents."""
+    wanted = table.join(ids, "id", "left_semi").select("id", "doc_id", "h1", "h2", *SIGNS)
+    return eligible_lines(docs).select("doc_id", "h1", "h2", "line").join(wanted.hint("shuffle_hash"), ["doc_id", "h1", "h2"]).select("id", "line", *SIGNS).dropDuplicates(["id"])
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (leader, id) whose sets have a Jaccard similarity of NUMERATOR / DENOMINATOR or more."""
-    known = texts.select("id", "sig")
-    pairs = pairs.join(known.select(F.col("id").alias("leader"), F.col("sig").alias("s")), "leader").join(known.withColumnRenamed("sig", "t"), "id").where(agree("s", "t")).select("leader", "id")
+    pairs = pairs.join(texts.select(F.col("id").alias("leader"), *named(SIGNS, "a")), "leader").join(texts.select("id", *named(SIGNS, "b")), "id").where(agree("a", "b")).select("leader", "id")
     left = texts.select(F.col("id").alias("leader"), F.col("line").alias("p"))
     both = pairs.join(left, "leader").join(texts.select("id", F.col("line").alias("q")), "id")
     both = once(both, a=wide(F.col("p")), b=wide(F.col("q"))).select("leader", "id", "a", "b")
@@ -137,14 +163,16 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     mixed = common.stored(spark, placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n"), "mixed")
     total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     wanted = common.spread_join(placed, mixed, ["key"], "n", total).select("id", "c").distinct()
-    grams = once(texts.join(wanted, "id"), b=wide(F.col("line"))).select("id", "c", "b", F.explode(F.expr(starts("b"))).alias("i")).select("id", "c", F.expr(shingle("b", "i")).alias("x")).distinct()
+    grams = once(texts.select("id", "line").join(wanted, "id"), b=wide(F.col("line"))).select("id", "c", "b", F.explode(F.expr(starts("b"))).alias("i")).select("id", "c", F.expr(shingle("b", "i")).alias("x")).distinct()
     grams = common.stored(spark, grams, "rest")
+    words = [F.bit_xor(F.expr(f"IF((x & {WORDS - 1}) = {k}, shiftleft(1L, CAST(shiftrightunsigned(x, 32) & 63 AS INT)), 0L)")).alias(f"w{k}") for k in range(WORDS)]
+    maps = common.stored(spark, grams.groupBy("id").agg(*words, F.count("*").alias("size")), "maps")
     often = common.stored(spark, grams.groupBy("x").agg(F.count("*").alias("n")), "often")
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranked = common.spread_join(grams, often.withColumn("w", F.col("n")), ["x"], "n", total)
     ranked = ranked.groupBy("id", "c").agg(F.sort_array(F.collect_list(F.struct("w", "x"))).alias("r"))  # one line's shingles
     rarest = F.expr(f"slice(r, 1, size(r) - ({NUMERATOR} * size(r) + {DENOMINATOR - 1}) div {DENOMINATOR} + 1)")
-    rare = ranked.select("id", "c", F.size("r").alias("size"), F.explode(F.transform(rarest, lambda r: r["x"])).alias("x"))
+    rare = ranked.select("id", "c", F.explode(F.transform(rarest, lambda r: r["x"])).alias("x"))
     rare = common.stored(spark, rare, "rarest")
     for t in (placed, mixed, grams, often):
         common.drop(t)
@@ -152,16 +180,17 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     several = several.groupBy("first", "n", "f", "g").agg(F.min("x").alias("x"))
     several = common.stored(spark, several.select("x", "n", F.expr(f"CAST(n div {TILE} + 1 AS INT)").alias("tiles")), "several")
     total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = common.spread_join(rare, several, ["x"], "n", total).join(texts.select("id", "sig"), "id")
+    rows = common.spread_join(rare, several, ["x"], "n", total).join(maps, "id").join(texts.select("id", *SIGNS), "id")
     rows = common.stored(spark, rows, "rows")
-    left = rows.select("x", F.col("id").alias("leader"), F.col("c").alias("ca"), F.col("size").alias("p"), F.col("sig").alias("s"), F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"))
-    right = rows.select("x", "id", F.col("c").alias("cb"), F.col("size").alias("q"), F.col("sig").alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    fits = f"ca < cb AND least(p, q) * {DENOMINATOR} >= greatest(p, q) * {NUMERATOR} AND {agree('s', 't')}"
+    left = rows.select("x", F.col("id").alias("leader"), F.col("c").alias("ca"), *named(TOLD, "a"), F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"))
+    right = rows.select("x", "id", F.col("c").alias("cb"), *named(TOLD, "b"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    fits = f"ca < cb AND {likely('a', 'b')}"
     met = left.alias("l").join(right.alias("r"), (F.col("l.x") == F.col("r.x")) & (F.col("l.tile") == F.col("r.tile")) & F.expr(fits))
     out = common.stored(spark, met.select("leader", "id").distinct(), "pairs")
     common.drop(several)
     common.drop(rows)
     common.drop(rare)
+    common.drop(maps)
     return out
 
 

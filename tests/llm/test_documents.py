@@ -234,6 +234,29 @@ def test_templated_lines(spark, groups, size, changed):
     assert len(gone & should) >= 0.99 * len(should) and gone <= should
 
 
+def test_lines_that_share_a_passage(spark, monkeypatch):
+    """Lines of one bucket that share three fifths of their shingles: bitmaps keep all but near copies from leaving the tiles."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    frame, rows = " ".join(word() for _ in range(45)), []
+    for _ in range(25):
+        own = [word() for _ in range(15)]
+        rows += [f"{frame} {' '.join(own)}", f"{frame} {' '.join(own[:-1])} {word()}"]
+    texts, met = list(enumerate(rows)), []
+    signatures, rest_pairs = lines.signatures, lines.rest_pairs
+
+    def counted(*given):
+        out = rest_pairs(*given)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "signatures", lambda docs: signatures(docs).withColumn("bands", F.array(F.lit(0).cast("long"))))
+    monkeypatch.setattr(lines, "rest_pairs", counted)
+    out = lines.line_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["kept_sha256"] for r in out} == line_brute(texts)
+    assert sum(r["n_removed"] for r in out) == 25 and 20 <= met[0] <= 50
+
+
 def test_lines_without_spaces(spark):
     """A character put in front changes one shingle only, whatever the script."""
     rng = np.random.default_rng(8)
