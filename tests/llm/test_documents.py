@@ -235,13 +235,15 @@ def test_templated_lines(spark, groups, size, changed):
 
 
 def test_lines_that_share_a_passage(spark, monkeypatch):
-    """Lines of one bucket that share three fifths of their shingles: bitmaps keep all but near copies from leaving the tiles."""
+    """Lines of one bucket that share about three fifths of their shingles: bitmaps keep those below 0.8 from leaving the tiles."""
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
-    frame, rows = " ".join(word() for _ in range(45)), []
-    for _ in range(25):
-        own = [word() for _ in range(15)]
-        rows += [f"{frame} {' '.join(own)}", f"{frame} {' '.join(own[:-1])} {word()}"]
+    template, rows = [word() for _ in range(60)], []
+    for _ in range(30):
+        own = list(template)
+        for k in rng.choice(60, 3, replace=False):
+            own[k] = word()
+        rows.append(" ".join(own))
     texts, met = list(enumerate(rows)), []
     signatures, rest_pairs = lines.signatures, lines.rest_pairs
 
@@ -254,7 +256,7 @@ def test_lines_that_share_a_passage(spark, monkeypatch):
     monkeypatch.setattr(lines, "rest_pairs", counted)
     out = lines.line_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["kept_sha256"] for r in out} == line_brute(texts)
-    assert sum(r["n_removed"] for r in out) == 25 and 20 <= met[0] <= 50
+    assert met[0] <= 30
 
 
 def test_lines_without_spaces(spark):
