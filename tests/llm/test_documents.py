@@ -154,6 +154,40 @@ def test_shards_merge(shard):
     assert suffix.match_contexts(contexts, ids, shard) == [w if any(w) else None for w in want]
 
 
+@pytest.mark.parametrize("hot", [4096, 30, 0])
+def test_contexts_meet_once(spark, monkeypatch, hot):
+    """Places of contexts get their ranges where they meet; only those of anchors of more than PLACES places are
+    combined and joined back."""
+    rng = np.random.default_rng(5)
+    passages = [bytes(rng.integers(97, 123, 90).astype(np.uint8)).decode() for _ in range(4)]
+    texts = [(0, ""), (1, None), (2, "x" * 49)]
+    for k in range(3, 80):
+        own = bytes(rng.integers(97, 123, 40).astype(np.uint8)).decode()
+        p = passages[0 if k % 4 else int(rng.integers(1, 4))]
+        at = int(rng.integers(0, 90))
+        texts.append((k, own + (p[:at] + "é" + p[at + 1 :] if k % 3 else p) + own[::-1]))
+    joined, stored = [], suffix.common.stored
+    monkeypatch.setattr(suffix.common, "stored", lambda s, df, what, *a: (joined.append(what), stored(s, df, what, *a))[1])
+    monkeypatch.setattr(suffix, "HOT", hot)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert spans_of(suffix.suffix_report(docs).collect()) == covered(texts)
+    assert ("verdicts" in joined) == (hot < 4096)
+
+
+def test_sorted_starts_and_cuts():
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 2, 3000).astype(np.uint8)
+    text[1000:1400] = text[:400]
+    at = np.flatnonzero(rng.integers(0, 3, 2900))
+    order, new, _ = suffix.sorted_starts(text, at)
+    strings = [text[a : a + 50].tobytes() for a in at[order].tolist()]
+    assert strings == sorted(strings) and new.tolist() == [k == 0 or strings[k] != strings[k - 1] for k in range(len(strings))]
+    data, offsets = np.arange(200, dtype=np.uint8), np.array([0, 60, 60, 130, 200])
+    kept, removed = suffix._cut(data, offsets, np.array([0, 2, 3, 0, 0, 1]), np.array([10, 20, -1, 0, 5, -1]), np.array([11, 21, -1, 1, 11, -1]))
+    assert removed.to_pylist() == [[{"start": 0, "stop": 60}], [], [{"start": 20, "stop": 70}], [{"start": 0, "stop": 70}]]
+    assert [len(k) for k in kept.to_pylist()] == [0, 0, 20, 0] and kept[2].as_py() == bytes(range(60, 80))
+
+
 # ---- operator 4
 
 def line_set(line):
