@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -515,24 +516,44 @@ def quick(planes: DataFrame, a: tuple[int, int, str], b: tuple[int, int, str]) -
 # ---------------------------------------------------------------- clip codecs side by side
 
 
-def _per_frame(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]]:
-    blobs = [codec.encode_image(f) for f in frames]
-    return sum(map(len, blobs)), [codec.decode_image(b) for b in blobs]
+Clip = list[list[np.ndarray]]
 
 
-def _differences(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]]:
+def _per_frame(groups: list[Clip]) -> list[tuple[int, Clip]]:
+    images = [f for frames in groups for f in frames]
+    blobs = [b""] * len(images)
+    for places in codec.side_by_side([tuple(p.shape for p in i) for i in images]):
+        for k, (blob, _) in zip(places, codec.encode_images([images[k] for k in places])):
+            blobs[k] = blob
+    back, sizes = iter(codec.decode_images(blobs)), iter(map(len, blobs))
+    return [(sum(itertools.islice(sizes, len(frames))), list(itertools.islice(back, len(frames)))) for frames in groups]
+
+
+def _differences(groups: list[Clip]) -> list[tuple[int, Clip]]:
     """The first frame, then each sample's difference from the frame before, modulo 256."""
-    blobs = [codec.encode_image([p - q for p, q in zip(f, before)]) for before, f in zip([[np.uint8(0)] * 4, *frames], frames)]
-    out: list[list[np.ndarray]] = []
-    for blob in blobs:
-        change = codec.decode_image(blob)
-        out.append([p + q for p, q in zip(change, out[-1])] if out else change)
-    return sum(map(len, blobs)), out
+    changes = [[[p - q for p, q in zip(f, before)] for before, f in zip([[np.uint8(0)] * 4, *frames], frames)] for frames in groups]
+    found = []
+    for size, back in _per_frame(changes):
+        out: Clip = []
+        for change in back:
+            out.append([p + q for p, q in zip(change, out[-1])] if out else change)
+        found.append((size, out))
+    return found
+
+
+def _by_motion(groups: list[Clip]) -> list[tuple[int, Clip]]:
+    blobs = codec.encode_clips(groups)
+    return list(zip(map(len, blobs), codec.decode_clips(blobs)))
 
 
-def _by_motion(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]]:
-    blob = codec.encode_clip(frames)
-    return len(blob), codec.decode_clip(blob)
+def _abreast(many: Callable[[list[Clip]], list[tuple[int, Clip]]]) -> Callable[[Clip], tuple[int, Clip]]:
+    """A codec of one group from one (its attribute many) that takes groups of one shape side by side."""
+
+    def one(frames: Clip) -> tuple[int, Clip]:
+        return many([frames])[0]
+
+    one.many = many
+    return one
 
 
 def _deflated(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray]]]:
@@ -542,14 +563,15 @@ def _deflated(frames: list[list[np.ndarray]]) -> tuple[int, list[list[np.ndarray
 
 #: A clip codec is a function from a group's frames to its bytes and the frames decoded from them. Frames' planes have one
 #: size each; codecs of images take planes of one size only.
-CLIP_CODECS = {"deflate": _deflated, "frames": _per_frame, "difference": _differences, "motion": _by_motion}
+CLIP_CODECS = {"deflate": _deflated, "frames": _abreast(_per_frame), "difference": _abreast(_differences), "motion": _abreast(_by_motion)}
 CODED = "codec string, media_id string, frame_no int, plane_no int, data binary, n_bytes long, cpu_s double, status string"
 
 
 def clip_comparison(planes: DataFrame, group_frames: int = codec.GROUP_FRAMES) -> DataFrame:
     """A row for each clip and codec: raw and coded bytes, frames, processor seconds, whether it is lossless, and status.
 
-    Clips are cut into groups of frames; every codec takes every group in a task of its own, and decodes it again. Lossless
+    Clips are cut into groups of frames; every codec takes every group, those of one shape in a task side by side, and
+    decodes it again; processor seconds are shared evenly by groups coded together. Lossless
     means that a full outer join of the planes that went in with those that came out leaves none alone and none unlike.
     A codec that doesn't take a clip's planes has a status, no size, and isn't lossless. Raw bytes don't count the rows of 0
     that a short frame is coded with.
@@ -561,26 +583,34 @@ def clip_comparison(planes: DataFrame, group_frames: int = codec.GROUP_FRAMES) -
     first = planes.groupBy("media_id").agg(F.min("frame_no").alias("_f"))
     groups = planes.join(first, "media_id").withColumn("part", F.expr(f"CAST((frame_no - _f) div {group_frames} AS INT)")).drop("_f")
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        name, media, _ = (k.as_py() for k in key)
-        ordered = codec._ordered(rows)
-        frames: dict[int, list[np.ndarray]] = {}
-        for f, _, plane in ordered:
-            frames.setdefault(f, []).append(plane)
-        began, status = time.process_time(), "ok"
-        try:
-            size, back = CLIP_CODECS[name]([frames[f] for f in sorted(frames)])
-        except ValueError as e:
-            size, back, status = None, [], str(e)
-        took = time.process_time() - began
-        out = [(name, media, f, p, plane.tobytes(), None, None, status) for f, own in zip(sorted(frames), back) for p, plane in enumerate(own)]
-        out.append((name, media, None, None, None, size, took, status))  # the group's own row
-        kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "double": pa.float64()}
-        return pa.table([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*out), CODED.split(", "))], names=[x.split()[0] for x in CODED.split(", ")])
+    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "double": pa.float64()}
 
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    dealt = groups.crossJoin(F.broadcast(codecs)).repartition(tasks, "codec", "media_id", "part")  # four rows
-    coded = kept(dealt.groupBy("codec", "media_id", "part").applyInArrow(run, CODED), "coded")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            names, media, planes_ = (rows.column(k).to_pylist() for k in (0, 1, 3))
+            clips = [codec.part_frames(p) for p in planes_]
+            for places in codec.side_by_side([(n, len(c), *(p.shape for f in c for p in f)) for n, c in zip(names, clips)]):
+                coder = CLIP_CODECS[names[places[0]]]
+                began = time.process_time()
+                try:
+                    found = [(*x, "ok") for x in coder.many([clips[k] for k in places])] if hasattr(coder, "many") else []
+                except ValueError:
+                    found = []
+                for k in places[len(found) :]:  # one by one, each with a status of its own
+                    try:
+                        found.append((*coder(clips[k]), "ok"))
+                    except ValueError as e:
+                        found.append((None, [], str(e)))
+                took = (time.process_time() - began) / len(places)
+                out = []
+                for k, (size, back, status) in zip(places, found):
+                    order = list(dict.fromkeys(p["frame_no"] for p in planes_[k]))
+                    out += [(names[k], media[k], f, p, plane.tobytes(), None, None, status) for f, own in zip(order, back) for p, plane in enumerate(own)]
+                    out.append((names[k], media[k], None, None, None, size, took, status))  # the group's own row
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*out), CODED.split(", "))], names=[x.split()[0] for x in CODED.split(", ")])
+
+    dealt = groups.select("media_id", "part", "frame_no", "plane_no", "width", "height", "data").crossJoin(F.broadcast(codecs))  # four rows
+    coded = kept(codec.gathered(dealt, ["codec", "media_id", "part"]).mapInArrow(run, CODED), "coded")
     sizes = coded.where("frame_no IS NULL").groupBy("codec", "media_id").agg(F.when(F.count("*") == F.count("n_bytes"), F.sum("n_bytes")).alias("n_bytes"), F.round(F.sum("cpu_s"), 3).alias("cpu_s"), F.max("status").alias("status"))
     there = planes.join(own, ["media_id", "frame_no", "plane_no"]).select("media_id", "frame_no", "plane_no", F.col("data").alias("was"), "own").crossJoin(F.broadcast(codecs))
     back = coded.where("frame_no IS NOT NULL").select("codec", "media_id", "frame_no", "plane_no", "data")

@@ -408,6 +408,18 @@ def test_clip_codecs_side_by_side(spark, monkeypatch):
         assert not told["still", "deflate"] and told["still", "motion"]
 
 
+def test_groups_of_clips_side_by_side(monkeypatch):
+    """Frames and groups of one shape go through the model together, with the bytes they have alone."""
+    clips = [[[plane(8, 12, 5 * k + f, 40)] for f in range(3)] for k in range(4)]
+    calls, encode = [], codec.encode_images
+    monkeypatch.setattr(codec, "encode_images", lambda images, *a: (calls.append(len(images)), encode(images, *a))[1])
+    for name in ("frames", "difference", "motion"):
+        found = studies.CLIP_CODECS[name].many(clips)
+        for (size, back), frames in zip(found, clips):
+            assert size == studies.CLIP_CODECS[name](frames)[0] and all(np.array_equal(p, q) for f, g in zip(back, frames) for p, q in zip(f, g))
+    assert calls[0] == 12
+
+
 def test_raw_bytes_of_a_clip_with_a_short_last_frame(spark):
     frames = [plane(8, 10, 0, 9), plane(8, 10, 1, 9), plane(3, 10, 2, 9)]
     rows = [("m", k, 0, 10, f.shape[0], bytearray(f.astype(np.uint8).tobytes())) for k, f in enumerate(frames)]
