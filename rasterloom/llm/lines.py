@@ -12,10 +12,12 @@ its own only shingle, so short lines match only equal ones.
 3.  Pairs that agree in AGREE minima or more are verified by the exact Jaccard similarity of their shingle sets; lines
     that fail against their leader choose another leader among themselves, for ROUNDS rounds.
 4.  Buckets whose lines (without the first leader, which has met them all) still lie in two components are compared
-    whole: lines of two components that share one of their rarest shingles, without which 0.8 can't be reached, meet in
-    tiles; those that agree in enough minima, in size and in their bitmaps (WORDS x 64 bits, each the parity of its
-    shingles: sets differ in at least as many shingles as bitmaps do in bits) are verified, so few pairs below 0.8 leave
-    the tiles, however many lines share a passage. Shingles that the same lines have count once.
+    whole: lines of two components may be similar only if they share one of their rarest shingles, without which 0.8
+    can't be reached, and agree in enough minima, in size and in their bitmaps (WORDS x 64 bits, each the parity of its
+    shingles: sets differ in at least as many shingles as bitmaps do in bits). Shingles that the same lines have count
+    once. MEETINGS times each of a shingle's lines meets one of them, drawn anew for each shingle; a line's likeliest
+    pair is verified, so there are no more pairs than lines, and components grow together. Lines that still lie in two
+    then all meet in tiles, and every pair that may be similar is verified.
 5.  Verified pairs are links; each component keeps its first line by (doc_id, line number, text hash), all others go.
 
 Two lines at similarity s meet in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.993 at 0.8, 0.9999 at 0.9; of
@@ -37,7 +39,7 @@ from . import common
 from .components import connected_components
 
 SHINGLE = 12
-BANDS, ROWS, ROUNDS = 7, 3, 2
+BANDS, ROWS, ROUNDS, MEETINGS = 7, 3, 2, 1
 NUMERATOR, DENOMINATOR = 8, 10
 AGREE = 11
 #: Longs of a line's bitmap, and longs that hold the minima's low 14 bits, four each, every 15 bits.
@@ -47,6 +49,8 @@ SIGNS = [f"s{k}" for k in range(MINIMA)]
 TOLD = [*SIGNS, *[f"w{k}" for k in range(WORDS)], "size"]
 #: Lines of a shingle that make another tile of the rest.
 TILE = 256
+#: Pairs whose shingles one task compares.
+PAIRS = 2048
 
 
 def norm(line: Column) -> Column:
@@ -77,11 +81,6 @@ def shingle(b: str, i: str) -> str:
     return f"xxhash64(substring({b}, {i}, {2 * SHINGLE}))"
 
 
-def shingle_set(b: str) -> Column:
-    """The distinct shingle hashes of a wide line (a column made by once())."""
-    return F.expr(f"array_distinct(transform({starts(b)}, i -> {shingle(b, 'i')}))")
-
-
 def eligible_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row (its text's hash), line_no, line (normalized), and two 64-bit hashes of it, for all lines that are compared."""
     lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "raw"))
@@ -116,14 +115,18 @@ def agree(a: str, b: str) -> str:
     return f"{unlike} <= {BANDS * ROWS - AGREE}"
 
 
+def differ(a: str, b: str) -> str:
+    """In how many bits the bitmaps of two lines (TOLD with letters a and b) differ."""
+    return f"({' + '.join(f'bit_count({a}w{k} ^ {b}w{k})' for k in range(WORDS))})"
+
+
 def likely(a: str, b: str) -> str:
     """Whether two lines (TOLD with letters a and b) can be similar: by size, minima, and bitmaps.
 
     Bitmaps may differ in no more bits than sets of such sizes may in shingles.
     """
-    differ = " + ".join(f"bit_count({a}w{k} ^ {b}w{k})" for k in range(WORDS))
     sizes = f"least({a}size, {b}size) * {DENOMINATOR} >= greatest({a}size, {b}size) * {NUMERATOR}"
-    return f"{sizes} AND {agree(a, b)} AND ({differ}) * {DENOMINATOR + NUMERATOR} <= ({a}size + {b}size) * {DENOMINATOR - NUMERATOR}"
+    return f"{sizes} AND {agree(a, b)} AND {differ(a, b)} * {DENOMINATOR + NUMERATOR} <= ({a}size + {b}size) * {DENOMINATOR - NUMERATOR}"
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -145,18 +148,24 @@ def line_texts(docs: DataFrame, table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (leader, id) whose sets have a Jaccard similarity of NUMERATOR / DENOMINATOR or more."""
+    """The pairs (leader, id; a stored table) whose sets have a Jaccard similarity of NUMERATOR / DENOMINATOR or more.
+
+    A pair's shingles are grouped where its lines lie, so they aren't shuffled.
+    """
+    tasks = pairs.count() // PAIRS + 1
     pairs = pairs.join(texts.select(F.col("id").alias("leader"), *named(SIGNS, "a")), "leader").join(texts.select("id", *named(SIGNS, "b")), "id").where(agree("a", "b")).select("leader", "id")
     left = texts.select(F.col("id").alias("leader"), F.col("line").alias("p"))
     both = pairs.join(left, "leader").join(texts.select("id", F.col("line").alias("q")), "id")
-    both = once(both, a=wide(F.col("p")), b=wide(F.col("q"))).select("leader", "id", "a", "b")
-    both = once(both, x=shingle_set("a"), y=shingle_set("b")).select("leader", "id", "x", "y")
-    both = both.select("leader", "id", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return both.where(F.col("i") * DENOMINATOR >= NUMERATOR * (F.col("n") - F.col("i"))).select("leader", "id").distinct()
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), wide(F.col(c)).alias("b")) for k, c in ((1, "p"), (2, "q"))])).alias("s")
+    both = both.repartition(tasks, "leader", "id").select("leader", "id", sides).select("leader", "id", "s.side", "s.b")
+    grams = both.select("leader", "id", "side", "b", F.explode(F.expr(starts("b"))).alias("i")).select("leader", "id", "side", F.expr(shingle("b", "i")).alias("x"))
+    met = grams.groupBy("leader", "id", "x").agg(F.bit_or("side").alias("sides")).groupBy("leader", "id").agg(F.count("*").alias("n"), F.count(F.expr("nullif(sides <> 3, true)")).alias("i"))
+    return met.where(F.col("i") * DENOMINATOR >= NUMERATOR * F.col("n")).select("leader", "id")
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (leader, id) of lines of two components that may be similar, for the buckets (key, id) that hold several. Stored."""
+def rest_lines(members: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, id, c): rarest shingles that lines of several components c have, for the buckets (key, id) that hold several; and
+    (id, TOLD) of lines. Both stored."""
     spark = members.sparkSession
     placed = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = common.stored(spark, placed, "placed")
@@ -178,19 +187,52 @@ def rest_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
         common.drop(t)
     several = rare.groupBy("x").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("f"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("g")).where("a <> b")
     several = several.groupBy("first", "n", "f", "g").agg(F.min("x").alias("x"))
-    several = common.stored(spark, several.select("x", "n", F.expr(f"CAST(n div {TILE} + 1 AS INT)").alias("tiles")), "several")
+    several = common.stored(spark, several.select("x", "n"), "several")
     total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = common.spread_join(rare, several, ["x"], "n", total).join(maps, "id").join(texts.select("id", *SIGNS), "id")
-    rows = common.stored(spark, rows, "rows")
-    left = rows.select("x", F.col("id").alias("leader"), F.col("c").alias("ca"), *named(TOLD, "a"), F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"))
-    right = rows.select("x", "id", F.col("c").alias("cb"), *named(TOLD, "b"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    rows = common.stored(spark, common.spread_join(rare, several, ["x"], "n", total).select("x", "id", "c"), "rows")
+    told = common.stored(spark, maps.join(texts.select("id", *SIGNS), "id"), "told")
+    for t in (several, rare, maps):
+        common.drop(t)
+    return rows, told
+
+
+def drawn_links(rows: DataFrame, told: DataFrame, texts: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """rows of shingles that several components still have, with their components, and the links (leader, id) found; both
+    stored. Each line of a shingle meets one that is drawn, if that is of another component; a line's likeliest pair is verified."""
+    spark = rows.sparkSession
+    drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "x", "id").alias("h"), "id", "c")).alias("d")
+    heads = rows.groupBy("x").agg(drawn, F.count("*").alias("n"))
+    heads = common.stored(spark, heads.select("x", "n", F.col("d.id").alias("leader"), F.col("d.c").alias("ca")), "heads")
+    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = common.spread_join(rows, heads, ["x"], "n", total).where("c <> ca").select("leader", "ca", "id", "c").distinct()
+    met = met.join(told.select(F.col("id").alias("leader"), *named(TOLD, "a")), "leader").join(told.select("id", *named(TOLD, "b")), "id").where(likely("a", "b"))
+    best = met.groupBy("id", "c").agg(F.min(F.struct(F.expr(differ("a", "b")).alias("d"), "leader", "ca")).alias("m"))
+    pairs = common.stored(spark, best.select("m.leader", "id", "m.ca", "c"), "pairs")
+    found = common.stored(spark, similar(pairs.select("leader", "id"), texts), "similar")
+    joined = connected_components(pairs.join(found, ["leader", "id"], "left_semi"), "ca", "c")
+    now = rows.join(joined, F.col("c") == F.col("node"), "left").select("x", "id", F.coalesce("component", "c").alias("c"))
+    now = common.stored(spark, now, "placed")
+    mixed = common.stored(spark, now.groupBy("x").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b").select("x", "n"), "mixed")
+    total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = common.stored(spark, common.spread_join(now, mixed, ["x"], "n", total).select("x", "id", "c"), "rows")
+    for t in (heads, pairs, now, mixed, rows):
+        common.drop(t)
+    return out, found
+
+
+def rest_pairs(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """Pairs (leader, id) of lines of two components that may be similar, of all that share a shingle (x, id, c). Stored."""
+    spark = rows.sparkSession
+    several = common.stored(spark, rows.groupBy("x").agg(F.count("*").alias("n")).select("x", "n", F.expr(f"CAST(n div {TILE} + 1 AS INT)").alias("tiles")), "several")
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tiled = common.stored(spark, common.spread_join(rows, several, ["x"], "n", total).join(told, "id"), "tiled")
+    left = tiled.select("x", F.col("id").alias("leader"), F.col("c").alias("ca"), *named(TOLD, "a"), F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"))
+    right = tiled.select("x", "id", F.col("c").alias("cb"), *named(TOLD, "b"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     fits = f"ca < cb AND {likely('a', 'b')}"
     met = left.alias("l").join(right.alias("r"), (F.col("l.x") == F.col("r.x")) & (F.col("l.tile") == F.col("r.tile")) & F.expr(fits))
     out = common.stored(spark, met.select("leader", "id").distinct(), "pairs")
     common.drop(several)
-    common.drop(rows)
-    common.drop(rare)
-    common.drop(maps)
+    common.drop(tiled)
     return out
 
 
@@ -214,12 +256,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         common.drop(pairs)
         members = met.join(found, ["leader", "id"], "left_anti").select("id", "key")
     labels = connected_components(links, "leader", "id")
-    pairs = rest_pairs(several, labels, texts)
-    found = common.stored(spark, similar(pairs, texts), "similar")
-    common.drop(pairs)
-    common.drop(texts)
-    if not found.isEmpty():
-        labels = connected_components(links.unionAll(found), "leader", "id")
+    rows, told = rest_lines(several, labels, texts)
+    rest = []
+    for turn in range(MEETINGS):
+        rows, found = drawn_links(rows, told, texts, turn)
+        rest.append(found)
+    pairs = rest_pairs(rows, told)
+    rest.append(common.stored(spark, similar(pairs, texts), "similar"))
+    for t in (pairs, rows, told, texts):
+        common.drop(t)
+    if any(not found.isEmpty() for found in rest):
+        for found in rest:
+            links = links.unionAll(found)
+        labels = connected_components(links, "leader", "id")
     labels = labels.withColumnRenamed("node", "id")
     classes = table.join(labels, "id", "left").where("component is not null or times > 1").select("h1", "h2", F.coalesce("component", "id").alias("c"), "times")
     classes = common.stored(spark, classes, "classes")
@@ -228,7 +277,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     keepers = common.stored(spark, found_in.groupBy("c").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("kept"), F.count("*").alias("n")), "keepers")
     gone = common.spread_join(found_in, keepers, ["c"], "n", total).where("doc_id <> kept.doc_id or line_no <> kept.line_no or row <> kept.row")
     out = common.stored(spark, gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "gone")  # one text's lines
-    for t in (table, classes, found_in, keepers, found, *scratch):
+    for t in (table, classes, found_in, keepers, *rest, *scratch):
         common.drop(t)
     return out
 
